@@ -124,6 +124,16 @@ def rank_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
     )
 
 
+def micros_of(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp column, without time-zone shifts for zone-less ones."""
+    at = F.col(ts)
+    if df.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(at)
+    clock = F.hour(at) * 3600 + F.minute(at) * 60
+    seconds = F.unix_date(F.to_date(at)).cast("long") * 86400 + clock
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+
+
 def throttle_aligned(
     calls: DataFrame, keys: Sequence[str], ts: str, tie: str, per_window: int = 20, window: str = "60 seconds"
 ) -> DataFrame:
@@ -153,9 +163,7 @@ def throttle(
     """
     width = int(window_seconds * 1_000_000)
     stretch = int((bucket_seconds or max(window_seconds * 60, 1)) * 1_000_000)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    group = F.struct(*keys)
-    timed = calls.withColumns({"__key": group, "__at": micros})
+    timed = calls.withColumns({"__key": F.struct(*keys), "__at": micros_of(calls, ts)})
     moments = timed.select("__key", "__at").distinct().withColumn("__stretch", F.floor(F.col("__at") / stretch))
 
     def last_windows(at: np.ndarray) -> np.ndarray:
@@ -222,9 +230,10 @@ def throttle(
         .applyInPandas(place, "__id string, __at long, __opened long")
     )
     marked = timed.withColumn("__id", F.to_json(F.struct("__key"))).join(placed, ["__id", "__at"])
+    # A window opens at a call, so its first call gives its start in the column's own type.
     order = W.partitionBy("__id", "__opened").orderBy("__at", tie)
     return marked.withColumns(
-        {"window_start": F.timestamp_micros("__opened"), "accepted": F.row_number().over(order) <= per_window}
+        {"window_start": F.first(ts).over(order), "accepted": F.row_number().over(order) <= per_window}
     ).select(*calls.columns, "window_start", "accepted")
 
 

@@ -14,7 +14,7 @@ from findspan.session import dimension_rows
 RULE_SCHEMA = (
     "id string, name string, description string, pattern string, severity string, category string, "
     "enabled boolean, languages array<string>, impact_score int, fix_template string, "
-    "confidence double, all_matches boolean"
+    "confidence double, all_matches boolean, requires array<string>"
 )
 
 MATCH_TYPE = (
@@ -26,6 +26,29 @@ MAX_RULES = 2000
 
 _SCRIPT = ["typescript", "javascript"]
 
+# Literals of which a text must contain one to match a rule: a substring test costs far less than
+# the pattern and spares it on most lines.
+REQUIRES = {
+    "eval-usage": ["eval"],
+    "console-log": ["console."],
+    "hardcoded-secrets": ["password", "secret", "key", "token"],
+    "nested-loops": ["for"],
+    "sync-fs": ["fs."],
+    "any-type": ["any"],
+    "non-null-assertion": ["!"],
+    "todo-markers": [":"],
+    "replace-any": ["any"],
+    "replace-any-parameter": ["any"],
+    "cache-length-for": [".length"],
+    "cache-length-while": [".length"],
+    "cache-length-nested": [".length"],
+    "remove-eval": ["eval"],
+    "sanitize-inner-html": [".innerHTML"],
+    "remove-document-write": ["document.write"],
+    "sanitize-set-html": ["dangerouslySetInnerHTML"],
+    "remove-timer-string": ["setTimeout", "setInterval"],
+}
+
 # The eight shipped regex rules.
 # id, name, description, pattern, severity, category, languages, impact score
 PATTERN_RULES = [
@@ -90,7 +113,7 @@ CATEGORIES = (
 def default_rules(spark: SparkSession) -> DataFrame:
     """The shipped regex rules as a table."""
     rows = [
-        (i, n, d, p, s, c, True, langs, impact, None, 1.0, False)
+        (i, n, d, p, s, c, True, langs, impact, None, 1.0, False, REQUIRES.get(i))
         for i, n, d, p, s, c, langs, impact in PATTERN_RULES
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
@@ -99,7 +122,7 @@ def default_rules(spark: SparkSession) -> DataFrame:
 def fix_rules(spark: SparkSession) -> DataFrame:
     """The rules that propose a replacement text."""
     rows = [
-        (i, i, d, p, "Warning", "fix", True, ["*"], impact, fix, conf, every)
+        (i, i, d, p, "Warning", "fix", True, ["*"], impact, fix, conf, every, REQUIRES.get(i))
         for i, p, every, d, fix, conf, impact in FIX_RULES
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
@@ -116,7 +139,8 @@ def scan_rules(
     The rule table is a dimension of checked size; each pattern becomes a literal, so Spark
     compiles it once per task and needs neither a join nor a shuffle. A line that no rule hits is
     dropped by one filter; only hit lines build findings. A rule applies when its languages
-    contain the row's language or ``*``; without a ``language`` column all rules apply.
+    contain the row's language or ``*``; without a ``language`` column all rules apply. A rule
+    may name literals it ``requires`` (any of them), which are looked for before the pattern.
     """
     rows = dimension_rows(rules.filter("enabled"), MAX_RULES, "the rule table")
     kept = [c for c in lines.columns if c != text]
@@ -124,6 +148,8 @@ def scan_rules(
 
     def applies(rule) -> Column:
         hit = line.rlike(rule.pattern)
+        if rule.requires:
+            hit = reduce(lambda a, b: a | b, [line.contains(x) for x in rule.requires]) & hit
         if language is None or "*" in rule.languages:
             return hit
         return F.col(language).isin(*rule.languages) & hit

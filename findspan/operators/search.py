@@ -53,7 +53,7 @@ def predict(
                 out["error"] = pd.Series(errors, dtype=object)
                 yield out
 
-    schema = T.StructType(df.schema.fields).add(
+    schema = T.StructType(list(df.schema.fields)).add(
         T.StructField(result, T.DataType.fromDDL(result_type), True)).add("error", T.StringType(), True)
     return df.mapInPandas(run, schema)
 

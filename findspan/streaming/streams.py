@@ -80,7 +80,7 @@ def stream_throttle_exact(
 
     State per key is the start of the open window and its number of calls.
     """
-    schema = T.StructType(calls.schema.fields).add("accepted", T.BooleanType())
+    schema = T.StructType(list(calls.schema.fields)).add("accepted", T.BooleanType())
     width = pd.Timedelta(seconds=window_seconds)
 
     def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
