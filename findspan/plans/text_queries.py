@@ -485,11 +485,10 @@ def predict(spark, sf):
 
 
 @query("search_candidates", """
-SELECT 'language' AS predictor, c.candidate, round(avg(contains(d.text, ' ' || c.candidate || ' ')::INT = (d.lang = 'en')::INT), 9) AS score
+SELECT 'language' AS predictor, c.candidate,
+       round(avg((contains(d.text, ' ' || c.candidate || ' ') = (d.lang = 'en'))::INT), 9) AS score
 FROM documents d, (VALUES ('the'), ('of'), ('der'), ('que')) c(candidate) GROUP BY c.candidate
-UNION ALL SELECT 'language', 'known', 0.25""".replace(
-    "avg(contains(d.text, ' ' || c.candidate || ' ')::INT = (d.lang = 'en')::INT)",
-    "avg((contains(d.text, ' ' || c.candidate || ' ') = (d.lang = 'en'))::INT)"))
+UNION ALL SELECT 'language', 'known', 0.25""")
 def search_candidates(spark, sf):
     """Which word tells English best?"""
     words = spark.createDataFrame(

@@ -64,17 +64,19 @@ def main(argv: list[str]) -> int:
     for name, fn in entry.queries().items():
         if only and name not in only:
             continue
-        start = time.time()
+        start, spent = time.time(), 0.0
         try:
             sql = entry.oracle_sql().get(name)
             df = fn(spark, folder)
             problems = [f"no sql, {df.count()} rows"] if sql is None else compare(df, con, sql)
+            spent, begun = time.time() - start, time.time()
             rows = con.execute(f"SELECT count(*) FROM ({sql})").fetchall()[0][0] if sql else -1
         except Exception as error:  # noqa: BLE001
             problems, rows = [f"{type(error).__name__}: {str(error)[:900]}"], -1
         ok = not problems or problems[0].startswith("no sql")
         bad += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name} {rows} rows {time.time() - start:.1f}s {'; '.join(problems)}", flush=True)
+        took = time.time() - begun if spent else 0.0
+        print(f"{'ok  ' if ok else 'FAIL'} {name} {rows} rows {spent:.1f}s (sql about {took:.1f}s) {'; '.join(problems)}", flush=True)
     spark.stop()
     return bad
 
