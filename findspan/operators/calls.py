@@ -134,6 +134,21 @@ def micros_of(df: DataFrame, ts: str) -> Column:
     return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
 
 
+def _ordered_moments(part: pd.DataFrame, width: int, stretch: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Moments by key, stretch and time; where each group begins; and for each moment the index of
+    the first one of its group at least ``width`` later (-1 if none)."""
+    part = part.sort_values(["__id", "__stretch", "__at"], ignore_index=True)
+    ids, number, at = part["__id"].to_numpy(), part["__stretch"].to_numpy(), part["__at"].to_numpy()
+    first = np.append(True, (ids[1:] != ids[:-1]) | (number[1:] != number[:-1]))
+    group = np.cumsum(first) - 1
+    # Groups are laid out one after another with room between them, so one search serves all.
+    line = group * (stretch + 2 * width) + (at - number * stretch)
+    after = np.searchsorted(line, line + width)
+    inside = after < len(part)
+    inside[inside] = group[after[inside]] == group[inside]
+    return part, first, np.where(inside, after, -1)
+
+
 def throttle_aligned(
     calls: DataFrame, keys: Sequence[str], ts: str, tie: str, per_window: int = 20, window: str = "60 seconds"
 ) -> DataFrame:
@@ -159,77 +174,73 @@ def throttle(
     function of it: given when the last window before the stretch opened, which one is the last
     inside? Each (key, stretch) is summarised to that function in parallel, the functions of a key
     are chained, and the windows inside each stretch then follow independently. So the calls of a
-    busy key are spread over its stretches, and only summaries meet in one task.
+    busy key are spread over its stretches, and only summaries meet in one task. Many stretches
+    share one pandas frame, sized by the number of shuffle partitions.
     """
     width = int(window_seconds * 1_000_000)
     stretch = int((bucket_seconds or max(window_seconds * 60, 1)) * 1_000_000)
-    timed = calls.withColumns({"__key": F.struct(*keys), "__at": micros_of(calls, ts)})
-    moments = timed.select("__key", "__at").distinct().withColumn("__stretch", F.floor(F.col("__at") / stretch))
-
-    def last_windows(at: np.ndarray) -> np.ndarray:
-        """For each moment, the last window that opens here if one opens at that moment."""
-        after = np.searchsorted(at, at + width)
-        last = np.where(after < len(at), after, np.arange(len(at)))
-        while True:
-            further = last[last]
-            if np.array_equal(further, last):
-                return last
-            last = further
-
-    def summarise(group_key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(part["__at"].to_numpy())
-        first_end = (int(group_key[1]) * stretch) + width
-        entries = min(int(np.searchsorted(at, first_end)) + 1, len(at))
-        leaves = at[last_windows(at)][:entries]
-        ends = np.append(np.flatnonzero(leaves[1:] != leaves[:-1]), entries - 1)
-        return pd.DataFrame({"entry": at[ends], "leave": leaves[ends]})
-
-    def _with_key(part: pd.DataFrame, body: pd.DataFrame) -> pd.DataFrame:
-        body.insert(0, "__stretch", part["__stretch"].iloc[0])
-        body.insert(0, "__id", part["__id"].iloc[0])
-        return body
-
+    chunks = 4 * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The key travels as text so that any key type passes through pandas unchanged.
-    moments = moments.withColumn("__id", F.to_json(F.struct("__key")))
-    summaries = moments.select("__id", "__stretch", "__at").groupBy("__id", "__stretch").applyInPandas(
-        lambda key, part: _with_key(part, summarise(key, part)),
-        "__id string, __stretch long, entry long, leave long",
-    )
+    timed = calls.withColumns({"__id": F.to_json(F.struct(*keys)), "__at": micros_of(calls, ts)})
+    moments = timed.select("__id", "__at").distinct().withColumn("__stretch", F.floor(F.col("__at") / stretch))
+
+    def chunk(*columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(chunks)).alias("__chunk")
+
+    def summarise(part: pd.DataFrame) -> pd.DataFrame:
+        part, first, after = _ordered_moments(part, width, stretch)
+        at, index = part["__at"].to_numpy(), np.arange(len(part))
+        last = np.where(after < 0, index, after)
+        while not np.array_equal(last[last], last):
+            last = last[last]
+        leave = at[last]
+        # Only moments that can follow a window from before the stretch are entries: those of
+        # its first window length and one more.
+        early = at - part["__stretch"].to_numpy() * stretch < width
+        entry = early | first | np.append(False, early[:-1])
+        part, leave, group = part[entry], leave[entry], (np.cumsum(first) - 1)[entry]
+        # Neighbouring entries with the same outcome are one step of the function, kept as its last.
+        step = np.append((leave[1:] != leave[:-1]) | (group[1:] != group[:-1]), True)
+        part = part.rename(columns={"__at": "entry"}).assign(leave=leave)
+        return part[step][["__id", "__stretch", "entry", "leave"]]
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
-        rows, opened = [], None
-        for number, step in part.sort_values(["__stretch", "entry"]).groupby("__stretch", sort=True):
-            rows.append((number, opened))
-            entry, leave = step["entry"].to_numpy(), step["leave"].to_numpy()
-            at = 0 if opened is None else int(np.searchsorted(entry, opened + width))
-            if at < len(entry):
-                opened = int(leave[at])
-        out = pd.DataFrame(rows, columns=["__stretch", "opened"])
-        out["opened"] = out["opened"].astype("Int64")
-        out.insert(0, "__id", part["__id"].iloc[0])
-        return out
-
-    states = summaries.groupBy("__id").applyInPandas(chain, "__id string, __stretch long, opened long")
+        part = part.sort_values(["__id", "__stretch", "entry"])
+        rows, opened, done = [], None, False
+        for key, number, entry, leave in part[["__id", "__stretch", "entry", "leave"]].itertuples(index=False):
+            if not rows or rows[-1][0] != key:
+                opened, following = None, None
+            if not rows or rows[-1][:2] != (key, number):
+                opened, done = following, False
+                rows.append((key, number, opened))
+            if not done and (opened is None or entry >= opened + width):
+                following, done = leave, True
+        out = pd.DataFrame(rows, columns=["__id", "__stretch", "opened"])
+        return out.astype({"opened": "Int64"})
 
     def place(part: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(part["__at"].to_numpy())
-        opened = part["opened"].iloc[0]
-        starts = [] if pd.isna(opened) else [int(opened)]
-        index = 0 if not starts else int(np.searchsorted(at, starts[0] + width))
-        while index < len(at):
-            starts.append(int(at[index]))
-            index = int(np.searchsorted(at, starts[-1] + width))
-        opening = np.asarray(starts, dtype="int64")
-        owner = opening[np.searchsorted(opening, at, side="right") - 1]
-        return pd.DataFrame({"__id": part["__id"].iloc[0], "__at": at, "__opened": owner})
-
-    placed = (
-        moments.select("__id", "__stretch", "__at")
-        .join(states, ["__id", "__stretch"])
-        .groupBy("__id", "__stretch")
-        .applyInPandas(place, "__id string, __at long, __opened long")
-    )
-    marked = timed.withColumn("__id", F.to_json(F.struct("__key"))).join(placed, ["__id", "__at"])
+        part, first, after = _ordered_moments(part, width, stretch)
+        at, index = part["__at"].to_numpy(), np.arange(len(part))
+        opened = part["opened"].fillna(np.iinfo("int64").min // 2).to_numpy("int64")
+        group = np.cumsum(first) - 1
+        # The first moment of each group after the window that was open before it has run out.
+        fits = np.flatnonzero(at >= opened + width)
+        _, begin = np.unique(group[fits], return_index=True)
+        front, starts = fits[begin], np.zeros(len(part), dtype=bool)
+        while len(front):
+            starts[front] = True
+            front = after[front]
+            front = front[front >= 0]
+        owner = np.maximum.accumulate(np.where(starts, index, -1))
+        inside = (owner >= 0) & (group[owner] == group)
+        return part[["__id", "__at"]].assign(__opened=np.where(inside, at[owner], opened))
+
+    summaries = moments.groupBy(chunk("__id", "__stretch")).applyInPandas(
+        summarise, "__id string, __stretch long, entry long, leave long")
+    states = summaries.groupBy(chunk("__id")).applyInPandas(chain, "__id string, __stretch long, opened long")
+    placed = moments.join(states, ["__id", "__stretch"]).groupBy(chunk("__id", "__stretch")).applyInPandas(
+        place, "__id string, __at long, __opened long")
+    marked = timed.join(placed, ["__id", "__at"])
     # A window opens at a call, so its first call gives its start in the column's own type.
     order = W.partitionBy("__id", "__opened").orderBy("__at", tie)
     return marked.withColumns(

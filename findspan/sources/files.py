@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from findspan.operators.corpus import filter_by_globs
 from findspan.operators.rules import severity_label
@@ -68,12 +69,13 @@ def scan_corpus(
     )
 
 
-def read_findings(spark: SparkSession, path: str, source: str) -> DataFrame:
+def read_findings(spark: SparkSession, path: str, source: str, one_per_line: bool = False) -> DataFrame:
     """Findings from nested lint reports; numeric (2, 1) and textual severities are accepted.
 
-    Missing texts become empty and missing numbers 0. Each file is one JSON array, read per file.
+    Missing texts become empty and missing numbers 0. Each file is one JSON array, or with
+    ``one_per_line`` each line is one, so that large files split over tasks.
     """
-    reports = spark.read.schema(REPORT_SCHEMA).option("multiLine", "true").json(path)
+    reports = spark.read.schema(REPORT_SCHEMA).option("multiLine", str(not one_per_line).lower()).json(path)
     message = reports.select(
         F.coalesce("filePath", F.lit("")).alias("file_path"), F.explode("messages").alias("m"))
     return message.select(
@@ -92,9 +94,10 @@ def report_severity(raw: Column) -> Column:
     return F.when(raw.isin("2", "error"), "Error").when(raw.isin("1", "warning"), "Warning").otherwise("Info")
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """One row per rule id from catalogues with static, behavioural and hybrid rules; the later entry of an id wins."""
-    catalog = spark.read.schema(CATALOG_SCHEMA).option("multiLine", "true").json(path)
+def read_rules(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """One row per rule id from catalogues with static, behavioural and hybrid rules; the later
+    entry of an id wins, over files in order of their names."""
+    catalog = spark.read.schema(CATALOG_SCHEMA).option("multiLine", str(not one_per_line).lower()).json(path)
     kinds = ("static", "behavioral", "hybrid")
     parts = [
         catalog.select(
@@ -117,7 +120,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return last.drop("__file", "__kind_order", "__place")
 
 
-def read_run_log(spark: SparkSession, path: str, schema: str = RUN_LOG_SCHEMA) -> DataFrame:
+def read_run_log(spark: SparkSession, path: str, schema: str | StructType = RUN_LOG_SCHEMA) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
@@ -129,6 +132,6 @@ def append_run_log(
     The old log is not overwritten while it is being read: callers switch to the new path. Each
     task keeps at most ``keep_last`` rows before the merge.
     """
-    existing = read_run_log(df.sparkSession, path, df.schema.simpleString()[7:-1]) if path else None
+    existing = read_run_log(df.sparkSession, path, df.schema) if path else None
     every = df if existing is None else existing.select(*df.columns).unionByName(df)
     every.orderBy(F.desc(at), F.desc(tie)).limit(keep_last).write.json(new_path)
