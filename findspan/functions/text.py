@@ -45,21 +45,20 @@ def bytes_of(text: Column) -> Column:
     return F.octet_length(text)
 
 
-def match_columns(text: Column, pattern: Column) -> Column:
-    """All matches of a pattern as ``array<struct<column, matched>>`` with 1-based character columns.
+def match_columns(text: str, pattern: str) -> str:
+    """SQL for all matches of a pattern as ``array<struct<column, matched>>`` with 1-based character columns.
 
     The text between the matches comes from ``split``, so a match starts after all earlier gaps
-    and matches. Patterns must not match the empty string.
+    and matches. Both arguments are SQL expressions; patterns must not match the empty string.
     """
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    widths = F.transform(found, lambda m: F.length(m))
+    both = f"named_struct('found', regexp_extract_all({text}, {pattern}, 0), 'gaps', split({text}, {pattern}, -1))"
 
-    def start(index: Column) -> Column:
-        before = F.concat(F.slice(gaps, 1, index + 1), F.slice(widths, 1, index))
-        return F.aggregate(before, F.lit(1), lambda total, width: total + width)
+    def width(parts: str, count: str) -> str:
+        return f"aggregate(slice({parts}, 1, {count}), 0, (total, part) -> total + length(part))"
 
-    return F.transform(found, lambda m, i: F.struct(start(i).alias("column"), m.alias("matched")))
+    # The outer lambda names both arrays, so that they are built once per text and not per match.
+    return (f"get(transform(array({both}), t -> transform(t.found, (m, i) -> named_struct("
+            f"'column', 1 + {width('t.gaps', 'i + 1')} + {width('t.found', 'i')}, 'matched', m))), 0)")
 
 
 def _alternatives(glob: str) -> list[str]:

@@ -159,25 +159,33 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1
         problems.append(unknown.select("node", F.lit("unknown").alias("problem")))
         links = links.join(known.select(F.col("node").alias("src")), "src", "left_semi").join(
             known.select(F.col("node").alias("dst")), "dst", "left_semi")
-    links, waiting = cut_lineage(links.select("src", "dst")), cut_lineage(known)
-    placed = None
+    links = cut_lineage(links.select("src", "dst"))
+    waits = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("missing"))
+    state = known.join(waits, "node", "left").select(
+        "node",
+        F.coalesce("missing", F.lit(0)).alias("missing"),
+        F.when(F.col("missing").isNull(), 0).alias("level"),
+    )
     for level in range(max_rounds):
-        free = waiting.join(links.select(F.col("dst").alias("node")), "node", "left_anti")
-        free = cut_lineage(free.withColumn("level", F.lit(level)))
-        if free.isEmpty():
+        state = cut_lineage(state)
+        placed = state.filter(F.col("level") == level)
+        if placed.isEmpty():
             break
-        placed = free if placed is None else placed.union(free)
-        waiting = cut_lineage(waiting.join(free, "node", "left_anti"))
-        links = cut_lineage(links.join(free.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
+        met = links.join(placed.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(
+            F.count("*").alias("met"))
+        left = F.col("missing") - F.coalesce("met", F.lit(0))
+        state = state.join(met, "node", "left").select(
+            "node",
+            left.alias("missing"),
+            F.coalesce("level", F.when(left == 0, level + 1)).alias("level"),
+        )
     else:
         raise RuntimeError(f"nodes left after {max_rounds} levels")
-    problems.append(waiting.select("node", F.lit("cyclic").alias("problem")))
+    problems.append(state.filter(F.col("level").isNull()).select("node", F.lit("cyclic").alias("problem")))
     report = problems[0]
     for more in problems[1:]:
         report = report.unionByName(more)
-    if placed is None:
-        placed = waiting.limit(0).withColumn("level", F.lit(0))
-    return placed, report
+    return state.filter(F.col("level").isNotNull()).select("node", "level"), report
 
 
 def ancestry(children: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:

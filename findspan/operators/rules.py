@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -17,9 +18,11 @@ RULE_SCHEMA = (
     "confidence double, all_matches boolean, requires array<string>"
 )
 
-MATCH_TYPE = (
-    "array<struct<column: int, matched: string, rule_name: string, message: string, severity: string, "
-    "category: string, suggested_fix: string, confidence: double, impact_score: int>>"
+MATCH_TYPE = "array<struct<column: int, matched: string>>"
+
+RULE_ATTRIBUTES = (
+    "struct<rule_name: string, message: string, severity: string, category: string, "
+    "suggested_fix: string, confidence: double, impact_score: int>"
 )
 
 MAX_RULES = 2000
@@ -128,6 +131,30 @@ def fix_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def _text(value: str) -> str:
+    """SQL literal of a text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _applies(rule, line: str, language: str | None) -> str:
+    """Condition under which a rule hits a line, cheapest test first."""
+    tests = [f"{line} RLIKE {_text(rule.pattern)}"]
+    if rule.requires:
+        tests.insert(0, "(" + " OR ".join(f"contains({line}, {_text(x)})" for x in rule.requires) + ")")
+    if language is not None and "*" not in rule.languages:
+        tests.insert(0, f"`{language}` IN ({', '.join(_text(x) for x in rule.languages)})")
+    return " AND ".join(tests)
+
+
+def _matches(rule, line: str) -> str:
+    """Array of the matches of a rule that hits: the first, or all."""
+    pattern = _text(rule.pattern)
+    if rule.all_matches:
+        return match_columns(line, pattern)
+    return (f"array(named_struct('column', regexp_instr({line}, {pattern}), "
+            f"'matched', regexp_extract({line}, {pattern}, 0)))")
+
+
 def scan_rules(
     lines: DataFrame,
     rules: DataFrame,
@@ -144,49 +171,28 @@ def scan_rules(
     """
     rows = dimension_rows(rules.filter("enabled"), MAX_RULES, "the rule table")
     kept = [c for c in lines.columns if c != text]
-    line = F.col(text)
-
-    def applies(rule) -> Column:
-        hit = line.rlike(rule.pattern)
-        if rule.requires:
-            hit = reduce(lambda a, b: a | b, [line.contains(x) for x in rule.requires]) & hit
-        if language is None or "*" in rule.languages:
-            return hit
-        return F.col(language).isin(*rule.languages) & hit
-
-    def matches(rule) -> Column:
-        pattern = F.lit(rule.pattern)
-        if rule.all_matches:
-            found = match_columns(line, pattern)
-        else:
-            found = F.array(
-                F.struct(
-                    F.regexp_instr(line, pattern).alias("column"),
-                    F.regexp_extract(line, rule.pattern, 0).alias("matched"),
-                )
-            )
-        return F.transform(
-            found,
-            lambda m: F.struct(
-                m["column"].alias("column"),
-                m["matched"].alias("matched"),
-                F.lit(rule.id).alias("rule_name"),
-                F.lit(rule.description).alias("message"),
-                F.lit(rule.severity).alias("severity"),
-                F.lit(rule.category).alias("category"),
-                F.lit(rule.fix_template).cast("string").alias("suggested_fix"),
-                F.lit(rule.confidence).cast("double").alias("confidence"),
-                F.lit(rule.impact_score).cast("int").alias("impact_score"),
-            ),
-        )
-
-    any_hit = reduce(lambda a, b: a | b, [applies(r) for r in rows], F.lit(False))
-    no_match = F.array().cast(MATCH_TYPE)
-    per_rule = F.array_compact(F.array(no_match, *[F.when(applies(r), matches(r)) for r in rows]))
+    # SQL text rather than Column calls: a table of rules is a large expression to hand over.
+    line = f"`{text}`"
+    hits = [_applies(r, line, language) for r in rows]
+    any_hit = " OR ".join(f"({h})" for h in hits) or "false"
+    per_rule = ", ".join(
+        f"CASE WHEN {h} THEN named_struct('rule', {i}, 'found', {_matches(r, line)}) END"
+        for i, (h, r) in enumerate(zip(hits, rows))
+    ) or f"CAST(NULL AS struct<rule: int, found: {MATCH_TYPE}>)"
+    # The rules' attributes are one literal; a finding picks its entry by the rule's number.
+    attributes = json.dumps(
+        [
+            dict(rule_name=r.id, message=r.description, severity=r.severity, category=r.category,
+                 suggested_fix=r.fix_template, confidence=r.confidence, impact_score=r.impact_score)
+            for r in rows
+        ]
+    )
+    rule = F.get(F.from_json(F.lit(attributes), f"array<{RULE_ATTRIBUTES}>"), F.col("hit.rule"))
     return (
         lines.filter(any_hit)
-        .select(*kept, F.explode(F.flatten(per_rule)).alias("finding"))
-        .select(*kept, "finding.*")
+        .select(*kept, F.expr(f"explode(array_compact(array({per_rule})))").alias("hit"))
+        .select(*kept, rule.alias("rule"), F.explode("hit.found").alias("match"))
+        .select(*kept, "match.column", "match.matched", "rule.*")
         .withColumns(
             {
                 "end_column": F.col("column") + F.length("matched"),

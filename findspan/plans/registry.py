@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from findspan.session import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, spread over the cores while it is small."""
+    return spread_small(table(spark, folder, name).select(*columns))
+
+
 def quoted(text: str | None) -> str:
     """SQL literal of a text."""
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"

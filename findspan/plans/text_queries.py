@@ -13,7 +13,7 @@ from findspan.operators import metrics as M
 from findspan.operators import rules as R
 from findspan.operators import search as S
 from findspan.operators import templates as T
-from findspan.plans.registry import query, quoted, table
+from findspan.plans.registry import query, quoted, table, texts
 
 # Rules a user adds for this data, in the form of the shipped ones.
 EXTRA_RULES = [
@@ -39,12 +39,12 @@ def _lines_sql(source: str, key: str, text: str) -> str:
 
 def corpus_texts(spark: SparkSession, sf: str) -> DataFrame:
     """All texts with a source, a key and a language."""
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "documents", "doc_id", "lang", "text").select(
         F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("file_path"), F.col("lang").alias("language"), "text")
-    pages = table(spark, sf, "pages").select(
+    pages = texts(spark, sf, "pages", "page_id", "html").select(
         F.lit("pages").alias("source"), F.col("page_id").cast("string").alias("file_path"), F.lit("html").alias("language"),
         F.col("html").alias("text"))
-    talks = table(spark, sf, "conversations").select(
+    talks = texts(spark, sf, "conversations", "conv_id", "turn", "text").select(
         F.lit("conversations").alias("source"), F.concat_ws("/", "conv_id", "turn").alias("file_path"),
         F.lit("chat").alias("language"), "text")
     return docs.unionByName(pages).unionByName(talks)
@@ -122,7 +122,7 @@ def lint_by_source(spark, sf):
 
 @query("explode_lines", _lines_sql("documents", "doc_id", "text"))
 def explode_lines(spark, sf):
-    return X.explode_lines(table(spark, sf, "documents"), "text", ["doc_id"])
+    return X.explode_lines(texts(spark, sf, "documents", "doc_id", "text"), "text")
 
 
 @query("line_smells", f"""
@@ -219,13 +219,13 @@ def nesting_score(spark, sf):
 SELECT doc_id, ({" + ".join(_count_sql("text", n) for n in ("TODO", "FIXME", "the ", "der "))})::BIGINT AS markers
 FROM documents""")
 def marker_count(spark, sf):
-    return X.marker_count(table(spark, sf, "documents"), "text", ("TODO", "FIXME", "the ", "der ")).select("doc_id", "markers")
+    return X.marker_count(texts(spark, sf, "documents", "doc_id", "text"), "text", ("TODO", "FIXME", "the ", "der ")).select("doc_id", "markers")
 
 
 @query("paired_absence", """
 SELECT page_id, 'unclosed-table' AS rule_name FROM pages WHERE contains(html, '<div') AND NOT contains(html, '<table')""")
 def paired_absence(spark, sf):
-    found = X.paired_absence(table(spark, sf, "pages"), "html", "<div", "<table", "unclosed-table")
+    found = X.paired_absence(texts(spark, sf, "pages", "page_id", "html"), "html", "<div", "<table", "unclosed-table")
     return found.select("page_id", "rule_name")
 
 
@@ -238,7 +238,7 @@ def reuse_by_content(spark, sf):
         return texts.select("content_id", F.size(found).cast("long").alias("words"),
                             F.size(F.array_distinct(found)).cast("long").alias("distinct_words"))
 
-    return X.reuse_by_content(table(spark, sf, "documents"), "text", words).select("doc_id", "words", "distinct_words")
+    return X.reuse_by_content(texts(spark, sf, "documents", "doc_id", "text"), "text", words).select("doc_id", "words", "distinct_words")
 
 
 _MIX = rf"""
@@ -341,7 +341,7 @@ FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:(?:<!--[^>]*-->)\s*)?<
 
 @query("annotation_symbols", f"SELECT page_id, name, params, documented FROM ({_SYMBOLS})")
 def annotation_symbols(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = texts(spark, sf, "pages", "page_id", "html")
     found = D.annotation_symbols(pages, "html", ELEMENTS, PAGE_COMMENT)
     return found.select("page_id", "name", "params", "documented")
 
@@ -351,7 +351,7 @@ SELECT page_id, count(name) AS total_symbols, count(*) FILTER (documented) AS do
        round(coalesce(count(*) FILTER (documented) * 100.0 / nullif(count(name), 0), 100.0), 6)::DOUBLE AS coverage
 FROM pages LEFT JOIN ({_SYMBOLS}) USING (page_id) GROUP BY page_id""")
 def annotation_coverage(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = texts(spark, sf, "pages", "page_id", "html")
     found = D.annotation_coverage(pages, "html", ELEMENTS, PAGE_COMMENT)
     return found.withColumn("coverage", F.round("coverage", 6))
 
@@ -366,7 +366,7 @@ SELECT page_id, name, 'missing-comment' AS gap, name AS detail FROM named WHERE
 UNION ALL
 SELECT page_id, name, 'missing-param', unnest(names) FROM named WHERE documented""")
 def annotation_gaps(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = texts(spark, sf, "pages", "page_id", "html")
     gaps = D.annotation_gaps(D.annotation_symbols(pages, "html", ELEMENTS, PAGE_COMMENT))
     return gaps.select("page_id", "name", "gap", "detail")
 
@@ -410,7 +410,7 @@ def apply_replacements(spark, sf):
         F.struct(F.lit(2).alias("line"), F.lit(" the ").alias("original"), F.lit(" THE ").alias("fixed")),
     )
     fixes = labelled.select("doc_id", F.explode(fix).alias("f")).select("doc_id", "f.*")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents", "doc_id", "text")
     return N.apply_replacements(docs, fixes, "doc_id", "text")
 
 
@@ -449,7 +449,7 @@ SELECT l.toxic, count(*) AS examples, round(avg(coalesce((l.quality = 0 AND f.fi
 FROM labels l LEFT JOIN flagged f ON f.file_path = l.doc_id::VARCHAR GROUP BY l.toxic""")
 def score_predictions(spark, sf):
     """Documents with findings are predicted to be of low quality; documents without have no prediction."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), "text")
+    docs = texts(spark, sf, "documents", "doc_id", "lang", "text").withColumnRenamed("lang", "language")
     rules = all_rules(spark).filter(F.col("id").isin("mail-address", "license-line"))
     flagged = R.scan_rules(X.explode_lines(docs, "text"), rules, "language").select(
         "doc_id", F.lit(0).alias("predicted")).distinct()
@@ -467,7 +467,7 @@ WHERE CASE rule_name WHEN 'starts-upper-E' THEN starts_with(line_text, 'E')
 def custom_rules(spark, sf):
     R.register_rule("starts-upper-E", lambda line: line.startswith("E"))
     R.register_rule("many-commas", lambda line: F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))) > 10)
-    lines = X.explode_lines(table(spark, sf, "documents"), "text", ["doc_id"])
+    lines = X.explode_lines(texts(spark, sf, "documents", "doc_id", "text"), "text")
     return R.scan_custom_rules(lines, ["starts-upper-E", "many-commas"])
 
 
@@ -480,7 +480,7 @@ def predict(spark, sf):
             raise ValueError("too long")
         return [len(t) for t in rows["text"]]
 
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    docs = texts(spark, sf, "documents", "doc_id", "n_chars", "text")
     return S.predict(docs, lengths, batch=32, result_type="long").select("doc_id", "prediction", "error")
 
 
@@ -494,7 +494,7 @@ def search_candidates(spark, sf):
     words = spark.createDataFrame(
         [("language", w) for w in ("the", "of", "der", "que", "known")], "predictor string, candidate string")
     known = spark.createDataFrame([("language", "known", 0.25)], "predictor string, candidate string, score double")
-    docs = table(spark, sf, "documents").select("lang", "text")
+    docs = texts(spark, sf, "documents", "lang", "text")
     found = S.search_candidates(
         words, docs,
         lambda word, rows: rows["text"].str.contains(f" {word} ", regex=False),

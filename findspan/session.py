@@ -57,6 +57,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_INPUT = 1 << 30
+
+
+def spread_small(df: DataFrame, below: int = SMALL_INPUT) -> DataFrame:
+    """Spread the rows of a small input over all cores before costly work on each row.
+
+    A file of one row group is one task however many cores wait. Inputs above the limit come in
+    enough splits of their own and are not shuffled.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 def dimension_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Read a small dimension (rules, providers, templates) after proving that it is small."""
     rows = df.limit(limit + 1).collect()
