@@ -141,19 +141,35 @@ def project_rollup(files: DataFrame, findings: DataFrame, keys: Sequence[str] =
 
 
 def response_summary(outcomes: DataFrame) -> DataFrame:
-    """Per file: issues found, issues fixed (the model's result before the linter's) and success."""
+    """Per file: issues found, issues fixed (the model's result before the linter's), success and a message.
+
+    Optional maps ``learned_patterns`` and ``custom_prompts`` give what was learned and optimised;
+    without the first, warnings count as learned.
+    """
     fixed = (
         F.when(F.coalesce("model_success", F.lit(False)), F.coalesce("model_resolved", F.lit(0)))
         .when(F.coalesce("linter_success", F.lit(False)), F.coalesce("linter_fixed", F.lit(0)))
         .otherwise(0)
     )
+
+    def entries(name: str):
+        known = name in outcomes.columns
+        return F.when(F.col(name).isNotNull(), F.size(name)) if known else F.lit(None).cast("int")
+
     return outcomes.withColumns(
         {
             "issues_found": F.col("findings") + F.col("warnings"),
             "issues_fixed": fixed,
+            "patterns_learned": F.coalesce(entries("learned_patterns"), F.col("warnings")),
+            "prompts_optimized": F.coalesce(entries("custom_prompts"), F.lit(0)),
+        }
+    ).withColumns(
+        {
+            "success": F.coalesce("task_success", F.lit(False)) & (F.col("issues_fixed") >= F.col("findings")),
+            "message": F.format_string(
+                "Analysis complete: %d issues found, %d issues flagged for fixing", "issues_found", "issues_fixed"
+            ),
         }
-    ).withColumn(
-        "success", F.coalesce("task_success", F.lit(False)) & (F.col("issues_fixed") >= F.col("findings"))
     )
 
 

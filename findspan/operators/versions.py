@@ -81,7 +81,7 @@ def version_timeline(
 
 
 def next_version(version: Column, change: Column) -> Column:
-    """One bump of a version; malformed versions start over at 1.0.1, 1.1.0 or 2.0.0."""
+    """One bump of a version; malformed versions become 1.0.1, 1.1.0 or 1.0.0."""
     parts = F.split(version, r"\.")
 
     def number(index: int) -> Column:

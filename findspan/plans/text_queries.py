@@ -381,6 +381,22 @@ def extract_code_blocks(spark, sf):
     return D.extract_code_blocks(answers, "answer").select("conv_id", "turn", "code")
 
 
+@query("extract_json_edges", """
+SELECT event_id, 'u' || user_id AS source, event_type AS target, 'did' AS type, value AS confidence
+FROM events WHERE event_type NOT IN ('view', 'signup', 'click')""")
+def extract_json_edges(spark, sf):
+    """Views lack a field, clicks carry a number for a text, sign-ups are broken JSON."""
+    kind = F.col("event_type")
+    source = F.when(kind == "click", F.col("user_id").cast("string")).otherwise(
+        F.concat(F.lit('"u'), F.col("user_id"), F.lit('"')))
+    last = F.when(kind == "view", F.lit('"c":1')).otherwise(F.concat(F.lit('"confidence":'), F.col("value")))
+    item = F.concat(F.lit('{"source":'), source, F.lit(',"target":"'), kind, F.lit('","type":"did",'), last, F.lit("}"))
+    broken = F.when(kind == "signup", F.lit("{")).otherwise(F.lit(""))
+    answers = table(spark, sf, "events").select(
+        "event_id", F.concat(F.lit("see ["), item, F.lit(',{"source":"x"}'), broken, F.lit("] end")).alias("answer"))
+    return D.extract_json_edges(answers, "answer")
+
+
 # Assignments and links of this corpus, with one character around them in place of quotes.
 SECRET_LITERAL = r".(?:password|secret|key|token)\s*[:=]\s*['\"][^'\"]+['\"]|[ >\"]http://[^ <>\"]+."
 _LITERALS = f"""

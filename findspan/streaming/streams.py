@@ -32,11 +32,8 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
 def stream_corpus(spark: SparkSession, folder: str, glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
     """Arriving text files, each once: ``path`` and ``text``."""
     return (
-        spark.readStream.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .text(folder)
+        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        .text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
