@@ -149,13 +149,28 @@ def _ordered_moments(part: pd.DataFrame, width: int, stretch: int) -> tuple[pd.D
     return part, first, np.where(inside, after, -1)
 
 
+def _accept_first(calls: DataFrame, window: str, at: str, tie: str, per_window: int) -> DataFrame:
+    """Add ``accepted`` for the first calls of each window, and ``__opening``, its first ``at``.
+
+    Only the first few calls of a window are ranked (each task passes on that many per window);
+    every other call is compared with the last accepted one. A window may hold any share of all
+    calls: its rows stay spread over the tasks.
+    """
+    order = W.partitionBy(window).orderBy(at, tie)
+    early = calls.select(window, at, tie).withColumn("__place", F.row_number().over(order))
+    cuts = early.filter(F.col("__place") <= max(per_window, 1)).groupBy(window).agg(
+        F.max(F.struct(at, tie)).alias("__cut"), F.min(at).alias("__opening"))
+    inside = F.struct(at, tie) <= F.col("__cut")
+    return calls.join(cuts, window).withColumn("accepted", inside & F.lit(per_window > 0)).drop("__cut")
+
+
 def throttle_aligned(
     calls: DataFrame, keys: Sequence[str], ts: str, tie: str, per_window: int = 20, window: str = "60 seconds"
 ) -> DataFrame:
-    """Accept the first ``per_window`` calls of each clock-aligned window per key."""
+    """Accept the first ``per_window`` calls of each clock-aligned window per key; ``tie`` tells calls of a key apart."""
     opened = calls.withColumn("window_start", F.window(F.col(ts), window)["start"])
-    place = F.row_number().over(W.partitionBy(*keys, "window_start").orderBy(ts, tie))
-    return opened.withColumn("accepted", place <= per_window)
+    marked = _accept_first(opened.withColumn("__window", F.struct(*keys, "window_start")), "__window", ts, tie, per_window)
+    return marked.select(*calls.columns, "window_start", "accepted")
 
 
 def throttle(
@@ -168,7 +183,7 @@ def throttle(
     bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Accept at most ``per_window`` calls per window, where a window opens at the first call at
-    least ``window_seconds`` after the last window opened.
+    least ``window_seconds`` after the last window opened. ``tie`` tells calls of a key apart.
 
     Where windows open depends on the whole past of a key, but a stretch of time is a small
     function of it: given when the last window before the stretch opened, which one is the last
@@ -242,10 +257,10 @@ def throttle(
         place, "__id string, __at long, __opened long")
     marked = timed.join(placed, ["__id", "__at"])
     # A window opens at a call, so its first call gives its start in the column's own type.
-    order = W.partitionBy("__id", "__opened").orderBy("__at", tie)
-    return marked.withColumns(
-        {"window_start": F.first(ts).over(order), "accepted": F.row_number().over(order) <= per_window}
-    ).select(*calls.columns, "window_start", "accepted")
+    return (
+        _accept_first(marked.withColumn("__window", F.struct("__id", "__opened")), "__window", ts, tie, per_window)
+        .select(*calls.columns, F.col("__opening").alias("window_start"), "accepted")
+    )
 
 
 def first_success(attempts: DataFrame, keys: Sequence[str], score: str, success: str, tie: str,

@@ -115,16 +115,18 @@ def detect_language(
     df: DataFrame, path: str | None = None, text: str | None = None, default: str | None = None
 ) -> DataFrame:
     """Add ``language``: by extension, else by content, else the default, else typescript."""
-    candidates = []
+    candidates, marked = [], df
     if path is not None:
         ext, by_extension = extension(F.col(path)), F.lit(None).cast("string")
         for name, language in LANGUAGE_BY_EXTENSION.items():
             by_extension = F.when(ext == name, language).otherwise(by_extension)
         candidates.append(by_extension)
     if text is not None:
-        candidates.append(_probe(F.lower(F.col(text))))
+        # A column of its own, so that the text is put in lower case once for all probes.
+        marked = marked.withColumn("__low", F.lower(F.col(text)))
+        candidates.append(_probe(F.col("__low")))
     candidates.append(F.lit(default or "typescript"))
-    return df.withColumn("language", F.coalesce(*candidates))
+    return marked.withColumn("language", F.coalesce(*candidates)).drop("__low")
 
 
 def split_supported(

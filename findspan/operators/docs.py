@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from findspan.functions.text import text_lines
 
-# A documentation block, function and method heads.
-COMMENT = r"/\*\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+# A documentation block, function and method heads. The block's quantifiers give
+# nothing back, so a comment of any length is matched in a loop and not by recursion.
+COMMENT = r"/\*\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 FUNCTION = r"(?m)^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]*)\)"
 METHOD = (
     r"(?m)^\s*(?:public\s+|private\s+|protected\s+|readonly\s+|static\s+)*\s*"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from findspan.operators.corpus import filter_by_globs
+from findspan.functions.text import glob_regex
 from findspan.operators.rules import severity_label
 from findspan.operators.versions import latest_per_key
 
@@ -47,22 +47,25 @@ def scan_corpus(
 ) -> DataFrame:
     """Files below a folder: relative ``path``, ``bytes``, ``modified`` and ``text``.
 
-    Globs apply to the path and ``max_kb`` to the length before any content is read: both are
-    filters on metadata columns of the scan. ``file_glob`` prunes the listing itself.
+    Globs apply to the path and ``max_kb`` to the size in whole KB. Both are filters on file
+    metadata, so Spark drops other files while it plans the scan and never opens them;
+    ``file_glob`` already prunes the listing.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
+    # The scan reports absolute URIs; what follows the root is the path within the corpus.
     root = path.rstrip("/") + "/"
+    inside = F.substring_index(F.col("_metadata.file_path"), root, -1)
     files = reader.load(path)
+    if include:
+        files = files.filter(inside.rlike(glob_regex(include)))
+    if exclude:
+        files = files.filter(~inside.rlike(glob_regex(exclude)))
     if max_kb is not None:
-        files = files.filter(F.col("length") < (max_kb + 1) * 1024)
-    # The scan reports absolute URIs; what follows the root is the path within the corpus.
-    inside = F.substring_index(F.col("path"), root, -1)
-    named = files.withColumn("__inside", inside)
-    kept = filter_by_globs(named, "__inside", include, exclude)
-    return kept.select(
-        F.col("__inside").alias("path"),
+        files = files.filter(F.col("_metadata.file_size") < (max_kb + 1) * 1024)
+    return files.select(
+        inside.alias("path"),
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified"),
         F.decode("content", "UTF-8").alias("text"),

@@ -1,6 +1,5 @@
 """Registered queries: equal to their SQL, and planned for large inputs."""
 
-import re
 import sys
 from pathlib import Path
 
@@ -47,13 +46,15 @@ PLANNED = [
 ]
 
 
+# One row from a global aggregate that every task prepares.
+GLOBAL = ["best_candidate"]
+
+
 @pytest.mark.parametrize("name", PLANNED)
 def test_no_cross_join_and_no_window_in_one_task(spark, name):
     text = plan(entry.queries()[name](spark, DATA))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    for window in re.findall(r"Window \[.*", text):
-        assert not window.endswith(", false]") or "partition" in window or "[" in window
-    assert not re.search(r"SinglePartition(?!.*\n.*(Aggregate|LocalLimit|GlobalLimit))", text) or name in ("best_candidate",)
+    assert "SinglePartition" not in text or name in GLOBAL
 
 
 @pytest.mark.parametrize("name", ["scan_rules", "line_smells", "token_mix", "annotation_coverage", "rank_providers", "secret_literals"])
