@@ -73,19 +73,19 @@ PATTERN_RULES = [
      r"(?i)(TODO|FIXME|HACK|XXX|NOTE|BUG|DEPRECATED):", "Info", "documentation", ["*"], 2),
 ]
 
-# Rules that propose a fix.
+# Rules that propose a fix; ``$1`` stands for the pattern's first group.
 # id, pattern, all matches on a line?, description, fix text, confidence, impact score
 FIX_RULES = [
     ("replace-any", r":\s*any\b", True,
      "Replace 'any' type with more specific type annotation", "unknown", 0.8, 6),
     ("replace-any-parameter", r"\(\s*\w+\s*:\s*any\s*\)", True,
      "Replace parameter 'any' type with specific type", "unknown", 0.75, 7),
-    ("cache-length-for", r"for\s*\(\s*\w+\s*=\s*\d+\s*;\s*\w+\s*<\s*\w+\.length\s*;\s*\w+\+\+\s*\)", False,
+    ("cache-length-for", r"for\s*\(\s*\w+\s*=\s*\d+\s*;\s*\w+\s*<\s*(\w+)\.length\s*;\s*\w+\+\+\s*\)", False,
      "Cache array length in variable to avoid repeated property access",
-     "const length = array.length; for (let i = 0; i < length; i++)", 0.85, 6),
-    ("cache-length-while", r"while\s*\(\s*\w+\s*<\s*\w+\.length\s*\)", False,
+     "const length = $1.length; for (let i = 0; i < length; i++)", 0.85, 6),
+    ("cache-length-while", r"while\s*\(\s*\w+\s*<\s*(\w+)\.length\s*\)", False,
      "Cache array length to improve loop performance",
-     "const length = array.length; while (i < length)", 0.8, 5),
+     "const length = $1.length; while (i < length)", 0.8, 5),
     ("cache-length-nested", r"for\s*\([^)]+\)\s*\{[^}]*for\s*\([^)]+\.length[^}]*\}", False,
      "Cache array length outside nested loops for better performance",
      "Cache length variables before nested loops", 0.75, 7),
@@ -155,6 +155,12 @@ def _matches(rule, line: str) -> str:
             f"'matched', regexp_extract({line}, {pattern}, 0)))")
 
 
+def _first_group(rule, line: str) -> str:
+    """What the first group matched, for rules whose fix names it."""
+    named = "$1" in (rule.fix_template or "")
+    return f"regexp_extract({line}, {_text(rule.pattern)}, 1)" if named else "CAST(NULL AS string)"
+
+
 def scan_rules(
     lines: DataFrame,
     rules: DataFrame,
@@ -176,9 +182,9 @@ def scan_rules(
     hits = [_applies(r, line, language) for r in rows]
     any_hit = " OR ".join(f"({h})" for h in hits) or "false"
     per_rule = ", ".join(
-        f"CASE WHEN {h} THEN named_struct('rule', {i}, 'found', {_matches(r, line)}) END"
+        f"CASE WHEN {h} THEN named_struct('rule', {i}, 'part', {_first_group(r, line)}, 'found', {_matches(r, line)}) END"
         for i, (h, r) in enumerate(zip(hits, rows))
-    ) or f"CAST(NULL AS struct<rule: int, found: {MATCH_TYPE}>)"
+    ) or f"CAST(NULL AS struct<rule: int, part: string, found: {MATCH_TYPE}>)"
     # The rules' attributes are one literal; a finding picks its entry by the rule's number.
     attributes = json.dumps(
         [
@@ -187,12 +193,22 @@ def scan_rules(
             for r in rows
         ]
     )
-    rule = F.get(F.from_json(F.lit(attributes), f"array<{RULE_ATTRIBUTES}>"), F.col("hit.rule"))
+    rule = F.get(F.from_json(F.lit(attributes), f"array<{RULE_ATTRIBUTES}>"), F.col("__hit.rule"))
+    fix = F.col("__rule.suggested_fix")
+    named = F.when(F.col("__part").isNotNull(), F.replace(fix, F.lit("$1"), F.col("__part"))).otherwise(fix)
     return (
         lines.filter(any_hit)
-        .select(*kept, F.expr(f"explode(array_compact(array({per_rule})))").alias("hit"))
-        .select(*kept, rule.alias("rule"), F.explode("hit.found").alias("match"))
-        .select(*kept, "match.column", "match.matched", "rule.*")
+        .select(*kept, F.expr(f"explode(array_compact(array({per_rule})))").alias("__hit"))
+        .select(*kept, rule.alias("__rule"), F.col("__hit.part").alias("__part"), F.explode("__hit.found").alias("__match"))
+        .select(
+            *kept,
+            "__match.column",
+            "__match.matched",
+            *[f"__rule.{name}" for name in ("rule_name", "message", "severity", "category")],
+            named.alias("suggested_fix"),
+            "__rule.confidence",
+            "__rule.impact_score",
+        )
         .withColumns(
             {
                 "end_column": F.col("column") + F.length("matched"),

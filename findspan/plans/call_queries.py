@@ -388,11 +388,11 @@ _KINDS = ", ".join(f"({i}, {quoted(k)}, {str(r).lower()}, {quoted(s)}, {quoted(c
 @query("error_rollup", f"""
 WITH kinds(i, kind, recoverable, severity, category) AS (VALUES {_KINDS})
 SELECT event_type, kind, count(*) AS errors, recoverable, severity, category
-FROM events JOIN kinds ON i = floor(value * 22 / 500)::INT GROUP BY ALL""")
+FROM events JOIN kinds ON i = least(floor(value * 22 / 500)::INT, 21) GROUP BY ALL""")
 def error_rollup(spark, sf):
     names = F.array(*[F.lit(k) for k, *_ in C.ERROR_KINDS])
     errors = table(spark, sf, "events").select(
-        "event_type", F.get(names, F.floor(F.col("value") * 22 / 500).cast("int")).alias("kind"))
+        "event_type", F.get(names, F.least(F.floor(F.col("value") * 22 / 500).cast("int"), F.lit(21))).alias("kind"))
     return C.error_rollup(errors, C.error_kinds(spark), ["event_type"])
 
 

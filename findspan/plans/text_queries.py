@@ -256,14 +256,13 @@ FROM ({_MIX})"""
 @query("token_mix", f"""
 SELECT source, file_path, total_operators::BIGINT AS total_operators, total_operands::BIGINT AS total_operands,
        n1::BIGINT AS distinct_operators, n2::BIGINT AS distinct_operands, (n1 + n2)::BIGINT AS vocabulary,
-       (total_operators + total_operands)::BIGINT AS length, round(volume, 4) AS volume, round(difficulty, 4) AS difficulty,
-       round(difficulty * volume, 2) AS effort
+       (total_operators + total_operands)::BIGINT AS length, round(volume + 1e-9, 4) AS volume, round(difficulty + 1e-9, 4) AS difficulty,
+       round(difficulty * volume + 1e-9, 2) AS effort
 FROM ({_MEASURED})""")
 def token_mix(spark, sf):
     return M.token_mix(corpus_texts(spark, sf), "text").select(
         "source", "file_path", "total_operators", "total_operands", "distinct_operators", "distinct_operands",
-        "vocabulary", "length", F.round("volume", 4).alias("volume"), F.round("difficulty", 4).alias("difficulty"),
-        F.round("effort", 2).alias("effort"))
+        "vocabulary", "length", *[F.round(F.col(c) + 1e-9, digits).alias(c) for c, digits in (("volume", 4), ("difficulty", 4), ("effort", 2))])
 
 
 _CC = " + ".join(_count_sql("text", w) for w in ("if ", "for ", "while ", "case ", " && ", " || "))

@@ -109,6 +109,9 @@ def test_every_shipped_rule_and_literal_test_agree(spark):
     plain = rules.withColumn("requires", F.lit(None).cast("array<string>"))
     found = fs.scan_rules(lines, rules)
     assert {(r.file_path, r.rule_name) for r in found.collect()} >= {(k, k) for k in samples}
+    fixes = {r.rule_name: r.suggested_fix for r in found.filter("file_path = rule_name").collect()}
+    assert fixes["cache-length-while"] == "const length = a.length; while (i < length)"
+    assert fixes["cache-length-for"].startswith("const length = a.length; for") and fixes["replace-any"] == "unknown"
     columns = ["file_path", "rule_name", "column", "matched"]
     assert rows(found, *columns) == rows(fs.scan_rules(lines, plain), *columns)
 
