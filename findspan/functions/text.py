@@ -45,6 +45,11 @@ def bytes_of(text: Column) -> Column:
     return F.octet_length(text)
 
 
+def sql_text(value: str) -> str:
+    """SQL literal of a text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def match_columns(text: str, pattern: str) -> str:
     """SQL for all matches of a pattern as ``array<struct<column, matched>>`` with 1-based character columns.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from findspan.functions.scoring import ratio
+from findspan.functions.text import sql_text
 from findspan.session import dimension_rows
 
 MAX_PROVIDERS = 1000
@@ -74,12 +75,22 @@ def error_kinds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ERROR_KINDS, "kind string, recoverable boolean, severity string, category string")
 
 
-def _needs(kind: Column, which: int) -> Column:
-    """Requirement flag of a request kind; unknown kinds count as general."""
-    flag = F.lit(REQUIREMENTS["general"][which])
-    for name, needs in REQUIREMENTS.items():
-        flag = F.when(kind == name, needs[which]).otherwise(flag)
-    return flag
+_KIND = "coalesce(kind, 'general')"
+
+
+def _needs(which: int) -> str:
+    """SQL condition for a requirement of a request; unknown kinds count as general."""
+    by_flag = {flag: [sql_text(k) for k, needs in REQUIREMENTS.items() if needs[which] is flag] for flag in (True, False)}
+    if sql_text("general") in by_flag[True]:
+        return f"{_KIND} NOT IN ({', '.join(by_flag[False])})"
+    return f"{_KIND} IN ({', '.join(by_flag[True])})"
+
+
+def _context_size() -> str:
+    fixed = {k: needs[4] for k, needs in REQUIREMENTS.items()}
+    cases = " ".join(
+        f"WHEN {sql_text(k)} THEN {'floor(octet_length(content) / 4)' if size is None else size}" for k, size in fixed.items())
+    return f"(CASE {_KIND} {cases} ELSE {fixed['general']} END)"
 
 
 def rank_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
@@ -89,38 +100,32 @@ def rank_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
     ranking is one sort of a short array per row, without a cross join, window or shuffle.
     ``requests`` has ``kind``, ``content`` and ``preferred`` (names, best first).
     """
-    kind = F.col("kind")
-    analysis, generation, reasoning, speed = (_needs(kind, i) for i in range(4))
-    fixed = F.coalesce(*[F.when(kind == k, n[4]) for k, n in REQUIREMENTS.items()],
-                       F.when(~kind.isin(*REQUIREMENTS), REQUIREMENTS["general"][4]))
-    context = F.coalesce(fixed.cast("long"), F.floor(F.octet_length("content") / 4))
-    sessions = _needs(kind, 5)
-    none_needed = ~(analysis | generation | reasoning)
-
-    def scored(p) -> Column:
-        zero = F.lit(0.0)
-        score = (
-            F.when(analysis, p.code_analysis * 0.3).otherwise(zero)
-            + F.when(generation, p.code_generation * 0.3).otherwise(zero)
-            + F.when(reasoning, p.complex_reasoning * 0.3).otherwise(zero)
-            + F.when(speed, p.speed * 0.2).otherwise(zero)
-        )
-        score = score * F.when(context > p.context_length, 0.5).otherwise(1.0)
+    analysis, generation, reasoning, speed, sessions = (_needs(i) for i in (0, 1, 2, 3, 5))
+
+    def when(condition: str, value: float, otherwise: float = 0.0) -> str:
+        return f"IF({condition}, {value!r}D, {otherwise!r}D)"
+
+    def scored(p) -> str:
+        capable = " + ".join(
+            (when(analysis, p.code_analysis * 0.3), when(generation, p.code_generation * 0.3),
+             when(reasoning, p.complex_reasoning * 0.3), when(speed, p.speed * 0.2)))
+        score = f"({capable}) * {when(f'{_context_size()} > {p.context_length}', 0.5, 1.0)}"
         if not p.supports_sessions:
-            score = score * F.when(sessions, 0.7).otherwise(1.0)
+            score += f" * {when(sessions, 0.7, 1.0)}"
         average = (p.code_analysis + p.code_generation + p.complex_reasoning) / 3.0
-        score = F.when(none_needed, F.lit(average)).otherwise(score)
-        place = F.coalesce(F.array_position("preferred", p.name), F.lit(0))
-        boost = F.when(place > 0, 1.0 + (F.size("preferred") - place + 1) * 0.1).otherwise(zero)
-        return F.struct((-F.round(score + boost, 9)).alias("order"), F.lit(p.name).alias("provider"))
+        needed = f"({analysis}) OR ({generation}) OR ({reasoning})"
+        place = f"coalesce(array_position(preferred, {sql_text(p.name)}), 0)"
+        boost = f"IF({place} > 0, 1.0D + (size(preferred) - {place} + 1) * 0.1D, 0.0D)"
+        return (f"named_struct('order', -round(IF({needed}, {score}, {average!r}D) + {boost}, 9), "
+                f"'provider', {sql_text(p.name)})")
 
     rows = dimension_rows(providers, MAX_PROVIDERS, "the provider table")
-    ranked = F.array_sort(F.array(*[scored(p) for p in rows]))
-    return requests.select(*requests.columns, F.posexplode(ranked).alias("rank", "choice")).select(
+    ranked = F.expr(f"posexplode(array_sort(array({', '.join(scored(p) for p in rows)})))")
+    return requests.select("*", ranked.alias("__place", "__choice")).select(
         *requests.columns,
-        F.col("choice")["provider"].alias("provider"),
-        (-F.col("choice")["order"]).alias("score"),
-        (F.col("rank") + 1).alias("rank"),
+        F.col("__choice.provider").alias("provider"),
+        (-F.col("__choice.order")).alias("score"),
+        (F.col("__place") + 1).alias("rank"),
     )
 
 

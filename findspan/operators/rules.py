@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspan.functions.text import match_columns
+from findspan.functions.text import match_columns, sql_text
 from findspan.session import dimension_rows
 
 RULE_SCHEMA = (
@@ -131,24 +131,19 @@ def fix_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def _text(value: str) -> str:
-    """SQL literal of a text."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _applies(rule, line: str, language: str | None) -> str:
     """Condition under which a rule hits a line, cheapest test first."""
-    tests = [f"{line} RLIKE {_text(rule.pattern)}"]
+    tests = [f"{line} RLIKE {sql_text(rule.pattern)}"]
     if rule.requires:
-        tests.insert(0, "(" + " OR ".join(f"contains({line}, {_text(x)})" for x in rule.requires) + ")")
+        tests.insert(0, "(" + " OR ".join(f"contains({line}, {sql_text(x)})" for x in rule.requires) + ")")
     if language is not None and "*" not in rule.languages:
-        tests.insert(0, f"`{language}` IN ({', '.join(_text(x) for x in rule.languages)})")
+        tests.insert(0, f"`{language}` IN ({', '.join(sql_text(x) for x in rule.languages)})")
     return " AND ".join(tests)
 
 
 def _matches(rule, line: str) -> str:
     """Array of the matches of a rule that hits: the first, or all."""
-    pattern = _text(rule.pattern)
+    pattern = sql_text(rule.pattern)
     if rule.all_matches:
         return match_columns(line, pattern)
     return (f"array(named_struct('column', regexp_instr({line}, {pattern}), "
@@ -158,7 +153,7 @@ def _matches(rule, line: str) -> str:
 def _first_group(rule, line: str) -> str:
     """What the first group matched, for rules whose fix names it."""
     named = "$1" in (rule.fix_template or "")
-    return f"regexp_extract({line}, {_text(rule.pattern)}, 1)" if named else "CAST(NULL AS string)"
+    return f"regexp_extract({line}, {sql_text(rule.pattern)}, 1)" if named else "CAST(NULL AS string)"
 
 
 def scan_rules(
