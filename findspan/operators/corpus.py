@@ -13,6 +13,7 @@ from findspan.functions.text import (
     glob_regex,
     occurrences,
     position,
+    sql_text,
     text_lines,
 )
 
@@ -43,6 +44,13 @@ SUPPORTED_BY_EXTENSION = {
     "cjs": "javascript",
 }
 
+# Line heuristics: name, condition, confidence, advice.
+LINE_SMELLS = [
+    ("long-line", "octet_length({line}) > 120", 1.0, "Break long line into multiple lines"),
+    ("multiple-statements", "length({line}) - length(replace({line}, ';', '')) > 3", 0.8,
+     "Split into separate lines for better readability"),
+]
+
 # What each unit of nesting or branching looks like in text.
 NESTING_NEEDLES = ("{", "if ", "else if", "switch", "case ", "for ", "while ", "do ", " && ", " || ")
 
@@ -152,29 +160,18 @@ def nesting_score(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def line_smells(lines: DataFrame, max_bytes: int = 120, max_statements: int = 3) -> DataFrame:
-    """Findings for long lines and for several statements on one line, one row per smell."""
-    text = F.col("line_text")
-    smells = F.array(
-        F.when(
-            bytes_of(text) > max_bytes,
-            F.struct(
-                F.lit("long-line").alias("rule_name"),
-                F.lit(1.0).alias("confidence"),
-                F.lit("Break long line into multiple lines").alias("suggested_fix"),
-            ),
-        ),
-        F.when(
-            occurrences(text, ";") > max_statements,
-            F.struct(
-                F.lit("multiple-statements").alias("rule_name"),
-                F.lit(0.8).alias("confidence"),
-                F.lit("Split into separate lines for better readability").alias("suggested_fix"),
-            ),
-        ),
+def line_smells(lines: DataFrame, text: str = "line_text") -> DataFrame:
+    """Findings for long lines and for several statements on one line, one row per smell.
+
+    ``scan_rules(…, smells=True)`` gives the same findings along with those of the rules.
+    """
+    kept = [c for c in lines.columns if c != text]
+    smells = ", ".join(
+        f"CASE WHEN {condition.format(line=f'`{text}`')} THEN named_struct('rule_name', {sql_text(name)}, "
+        f"'confidence', {confidence}D, 'suggested_fix', {sql_text(fix)}) END"
+        for name, condition, confidence, fix in LINE_SMELLS
     )
-    kept = [c for c in lines.columns if c != "line_text"]
-    return lines.select(*kept, F.explode(F.array_compact(smells)).alias("smell")).select(*kept, "smell.*")
+    return lines.select(*kept, F.expr(f"explode(array_compact(array({smells})))").alias("__smell")).select(*kept, "__smell.*")
 
 
 def marker_count(df: DataFrame, text: str, markers: Sequence[str] = ("TODO", "FIXME")) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findspan.functions.text import match_columns, sql_text
+from findspan.operators.corpus import LINE_SMELLS
 from findspan.session import dimension_rows
 
 RULE_SCHEMA = (
@@ -161,34 +162,42 @@ def scan_rules(
     rules: DataFrame,
     language: str | None = None,
     text: str = "line_text",
+    smells: bool = False,
 ) -> DataFrame:
-    """Findings of every enabled rule on every line.
+    """Findings of every enabled rule on every line, with ``smells`` also those of the line heuristics.
 
     The rule table is a dimension of checked size; each pattern becomes a literal, so Spark
     compiles it once per task and needs neither a join nor a shuffle. A line that no rule hits is
     dropped by one filter; only hit lines build findings. A rule applies when its languages
     contain the row's language or ``*``; without a ``language`` column all rules apply. A rule
     may name literals it ``requires`` (any of them), which are looked for before the pattern.
+    All of this is one pass over the lines.
     """
     rows = dimension_rows(rules.filter("enabled"), MAX_RULES, "the rule table")
     kept = [c for c in lines.columns if c != text]
     # SQL text rather than Column calls: a table of rules is a large expression to hand over.
     line = f"`{text}`"
     hits = [_applies(r, line, language) for r in rows]
+    found = [_matches(r, line) for r in rows]
+    parts = [_first_group(r, line) for r in rows]
+    attributes = [
+        dict(rule_name=r.id, message=r.description, severity=r.severity, category=r.category,
+             suggested_fix=r.fix_template, confidence=r.confidence, impact_score=r.impact_score)
+        for r in rows
+    ]
+    for name, condition, confidence, fix in LINE_SMELLS if smells else ():
+        hits.append(condition.format(line=line))
+        found.append("array(named_struct('column', 1, 'matched', CAST(NULL AS string)))")
+        parts.append("CAST(NULL AS string)")
+        attributes.append(dict(rule_name=name, message=fix, severity="Warning", category="style",
+                               suggested_fix=fix, confidence=confidence, impact_score=None))
     any_hit = " OR ".join(f"({h})" for h in hits) or "false"
     per_rule = ", ".join(
-        f"CASE WHEN {h} THEN named_struct('rule', {i}, 'part', {_first_group(r, line)}, 'found', {_matches(r, line)}) END"
-        for i, (h, r) in enumerate(zip(hits, rows))
+        f"CASE WHEN {h} THEN named_struct('rule', {i}, 'part', {part}, 'found', {matches}) END"
+        for i, (h, part, matches) in enumerate(zip(hits, parts, found))
     ) or f"CAST(NULL AS struct<rule: int, part: string, found: {MATCH_TYPE}>)"
     # The rules' attributes are one literal; a finding picks its entry by the rule's number.
-    attributes = json.dumps(
-        [
-            dict(rule_name=r.id, message=r.description, severity=r.severity, category=r.category,
-                 suggested_fix=r.fix_template, confidence=r.confidence, impact_score=r.impact_score)
-            for r in rows
-        ]
-    )
-    rule = F.get(F.from_json(F.lit(attributes), f"array<{RULE_ATTRIBUTES}>"), F.col("__hit.rule"))
+    rule = F.get(F.from_json(F.lit(json.dumps(attributes)), f"array<{RULE_ATTRIBUTES}>"), F.col("__hit.rule"))
     fix = F.col("__rule.suggested_fix")
     named = F.when(F.col("__part").isNotNull(), F.replace(fix, F.lit("$1"), F.col("__part"))).otherwise(fix)
     return (

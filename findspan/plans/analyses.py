@@ -14,15 +14,12 @@ from findspan.operators import rules as R
 
 
 def lint_texts(
-    texts: DataFrame, rules: DataFrame, text: str = "text", path: str = "file_path", language: str | None = None
+    texts: DataFrame, rules: DataFrame, text: str = "text", language: str | None = None
 ) -> DataFrame:
     """Findings of the rules and of the line heuristics on a table of texts: one pass over the lines."""
-    lines = X.explode_lines(texts, text)
-    matched = R.scan_rules(lines, rules, language)
-    smells = X.line_smells(lines).withColumns(
-        {"column": F.lit(1), "message": F.col("suggested_fix"), "severity": F.lit("Warning")}
-    )
-    return N.combine_engines(rules=matched, lines=smells)
+    found = R.scan_rules(X.explode_lines(texts, text), rules, language, smells=True)
+    smell = F.col("rule_name").isin([name for name, *_ in X.LINE_SMELLS])
+    return found.withColumn("source", F.when(smell, "lines").otherwise("rules"))
 
 
 def learn_rules(findings: DataFrame, known: DataFrame | None = None, seen_at: str = "seen_at") -> DataFrame:

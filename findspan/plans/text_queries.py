@@ -115,9 +115,7 @@ GROUP BY source""")
 def lint_by_source(spark, sf):
     """Flagship: lines, rules and line heuristics to metrics per source."""
     lines = X.explode_lines(corpus_texts(spark, sf), "text")
-    found = R.scan_rules(lines, all_rules(spark), "language").select("source", "file_path", "severity")
-    smells = X.line_smells(lines).select("source", "file_path", F.lit("Warning").alias("severity"))
-    return N.lint_metrics(found.unionByName(smells), ["source"])
+    return N.lint_metrics(R.scan_rules(lines, all_rules(spark), "language", smells=True), ["source"])
 
 
 @query("explode_lines", _lines_sql("documents", "doc_id", "text"))

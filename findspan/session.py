@@ -66,6 +66,8 @@ def spread_small(df: DataFrame, below: int = SMALL_INPUT) -> DataFrame:
     A file of one row group is one task however many cores wait. Inputs above the limit come in
     enough splits of their own and are not shuffled.
     """
+    if not hasattr(df, "_jdf"):
+        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
 

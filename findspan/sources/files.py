@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +56,7 @@ def scan_corpus(
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     # The scan reports absolute URIs; what follows the root is the path within the corpus.
-    root = path.rstrip("/") + "/"
+    root = re.sub(r"^[A-Za-z0-9+.-]+:/+", "/", path).rstrip("/") + "/"
     inside = F.substring_index(F.col("_metadata.file_path"), root, -1)
     files = reader.load(path)
     if include:
