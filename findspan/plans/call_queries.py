@@ -212,7 +212,7 @@ def part_rules(spark, sf) -> DataFrame:
         F.when(F.col("p_size") < 10, "static").when(F.col("p_size") < 30, "behavioral").otherwise("hybrid").alias("kind"),
         F.col("p_size").alias("cost"),
         (F.col("p_size") > 25).alias("ai_enhanced"),
-        (F.col("p_retailprice") > 1000).alias("autofix"),
+        (F.col("p_retailprice") > 950).alias("autofix"),
         F.split("p_type", " ").alias("tags"),
     )
 
@@ -220,7 +220,7 @@ def part_rules(spark, sf) -> DataFrame:
 PART_RULES = """(
     SELECT p_partkey::VARCHAR AS id, p_brand AS category, p_type, p_retailprice,
            CASE WHEN p_size < 10 THEN 'static' WHEN p_size < 30 THEN 'behavioral' ELSE 'hybrid' END AS kind,
-           p_size AS cost, p_size > 25 AS ai_enhanced, p_retailprice > 1000 AS autofix, string_split(p_type, ' ') AS tags
+           p_size AS cost, p_size > 25 AS ai_enhanced, p_retailprice > 950 AS autofix, string_split(p_type, ' ') AS tags
     FROM part)"""
 
 
@@ -244,13 +244,13 @@ def rule_stats(spark, sf):
 
 @query("enabled_rules", f"""
 SELECT r.id, r.category FROM {PART_RULES} r
-LEFT JOIN (SELECT p_partkey::VARCHAR AS id, p_retailprice > 1400 AS switched FROM part WHERE p_retailprice > 1200 OR p_size = 1) i USING (id)
+LEFT JOIN (SELECT p_partkey::VARCHAR AS id, p_retailprice > 985 AS switched FROM part WHERE p_retailprice > 970 OR p_size = 1) i USING (id)
 LEFT JOIN (SELECT p_brand AS category, avg(p_size) > 25 AS switched FROM part GROUP BY p_brand HAVING count(*) > 60) c USING (category)
 WHERE coalesce(i.switched, c.switched, true)""")
 def enabled_rules(spark, sf):
     part = table(spark, sf, "part")
-    individual = part.filter("p_retailprice > 1200 OR p_size = 1").select(
-        F.col("p_partkey").cast("string").alias("rule"), (F.col("p_retailprice") > 1400).alias("on"))
+    individual = part.filter("p_retailprice > 970 OR p_size = 1").select(
+        F.col("p_partkey").cast("string").alias("rule"), (F.col("p_retailprice") > 985).alias("on"))
     by_brand = part.groupBy("p_brand").agg(F.avg("p_size").alias("size"), F.count("*").alias("n")).filter("n > 60").select(
         F.upper("p_brand").alias("category"), (F.col("size") > 25).alias("on"))
     return R.enabled_rules(part_rules(spark, sf), by_brand, individual).select("id", "category")
