@@ -1,5 +1,9 @@
 """Findings, patterns and call accounting over large text corpora, as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from findspan.operators.calls import (
     assemble_conversations,
     default_providers,
@@ -106,3 +110,6 @@ from findspan.streaming.streams import (
 )
 
 __all__ = sorted(name for name in globals() if not name.startswith("_") and callable(globals()[name]))
+
+# Functions of this package travel to Python workers by value: a cluster needs no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
