@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspan.llm import chat, simhash
+from findspan.llm import chat, licenses, simhash
 from findspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op2_licenses", licenses.licences_sql())
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licences(table(spark, folder, "documents"))
+
+
 @query("op10_chat")
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
