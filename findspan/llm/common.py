@@ -56,3 +56,19 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x7F4A7C15))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
+
+
+def free_name(docs: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def labelled(labels: DataFrame, column: str, rows: int, where: F.Column | None = None) -> DataFrame:
+    """At most ``rows`` labelled documents (doc_id, label): the same ones each time, whatever the order of the table."""
+    usable = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
+    usable = usable if where is None else usable.filter(where)
+    one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

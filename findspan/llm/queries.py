@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspan.llm import chat, licenses, simhash
+from findspan.llm import chat, importance, licenses, simhash, toxicity
 from findspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,16 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licences(table(spark, folder, "documents"))
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_importance")
+def op9_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.sample_by_importance(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op10_chat")
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
