@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspan.llm import chat, contamination, importance, licenses, simhash, toxicity
+from findspan.llm import chat, contamination, fuzzyhash, importance, licenses, packing, simhash, toxicity
 from findspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licences(table(spark, folder, "documents"))
 
 
+@query("op4_fuzzyhash")
+def op4_fuzzyhash(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzyhash.fingerprint_edits(table(spark, folder, "documents"))
+
+
 @query("op5_decontamination")
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -45,6 +50,11 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op8_packing")
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents")).drop("ids")
+
+
 @query("op9_importance")
 def op9_importance(spark: SparkSession, folder: str) -> DataFrame:
     return importance.sample_by_importance(table(spark, folder, "documents"), table(spark, folder, "labels"))
