@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspan.llm import chat, contamination, fuzzyhash, importance, licenses, packing, simhash, toxicity
+from findspan.llm import chat, contamination, fuzzyhash, importance, licenses, packing, simhash, toxicity, webtext
 from findspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licences(table(spark, folder, "documents"))
 
 
+@query("op3_webtext")
+def op3_webtext(spark: SparkSession, folder: str) -> DataFrame:
+    return webtext.extract_main_text(table(spark, folder, "pages"))
+
+
 @query("op4_fuzzyhash")
 def op4_fuzzyhash(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzyhash.fingerprint_edits(table(spark, folder, "documents"))
