@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspan.llm import chat, contamination, fuzzyhash, importance, licenses, packing, simhash, toxicity, webtext
+from findspan.llm import chat, contamination, fuzzyhash, importance, licenses, ngrams, packing, simhash, toxicity, webtext
 from findspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op6_ngrams")
+def op6_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.score_texts(table(spark, folder, "documents"))
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
