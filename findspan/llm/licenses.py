@@ -5,6 +5,8 @@ DataFrame functions only: no Python runs on the rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +86,9 @@ CUT = "\x01"
 
 
 def plain(text: str) -> str:
-    """The normal form of a sentence: a-z and 0-9, other characters as single blanks."""
-    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
+    """The normal form of a sentence: a-z and 0-9, other characters as single blanks, a notice's lead as its mark."""
+    normal = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
+    return re.sub(LEADS, MARK, normal)
 
 
 def sentence_ids() -> dict[str, str]:
@@ -114,7 +117,8 @@ def rule_patterns() -> list[tuple[str, str]]:
 def known_sentences(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    Sentences end at ``. ; : ! ?`` before white space and at empty lines. A sentence that is not known is looked
+    Sentences end at ``. ; : ! ?`` before white space (not at a colon after r, as in ``SPDX-License-Identifier:``)
+    and at empty lines. A sentence that is not known is looked
     up line by line, since notices often stand on lines of their own.
     """
     table = F.create_map(*[F.lit(x) for pair in sentence_ids().items() for x in pair])
@@ -125,7 +129,7 @@ def known_sentences(text: Column) -> Column:
         return F.when(F.length(normal) <= longest, F.element_at(table, F.regexp_replace(normal, LEADS, MARK)))
 
     longest = max(map(len, sentence_ids())) + 80
-    cut = F.regexp_replace(F.regexp_replace(text, r"([.;:!?])[ \t\r\n]+", f"$1{CUT}"), r"\n[ \t\r]*\n", CUT)
+    cut = F.regexp_replace(F.regexp_replace(text, r"([.;!?]|[^r]:)[ \t\r\n]+", f"$1{CUT}"), r"\n[ \t\r]*\n", CUT)
     parts = F.split(cut, CUT, -1)
     found = F.transform(
         parts,
@@ -187,7 +191,7 @@ def licences_sql() -> str:
         layers = f"SELECT *, regexp_replace(r{n}, {_quoted(pattern)}, '#|', 'g') AS r{n + 1} FROM ({layers})"
     return f"""
 WITH p AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.;:!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'),
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.;!?]|[^r]:)[ \\t\\r\\n]+', '\\1' || chr(1), 'g'),
     '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(1)) AS parts FROM documents),
 i AS (
   SELECT doc_id, list_filter(flatten(list_transform(parts, lambda p: CASE WHEN {look_up('p')} IS NOT NULL THEN [{look_up('p')}]
