@@ -32,7 +32,7 @@ LEVELS, BINS = 28, 64
 
 def squeezed(numbers: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
-    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T)
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
