@@ -13,6 +13,7 @@ from findspan.operators.calls import (
     hit_rate,
     parse_conversations,
     rank_providers,
+    ranked_providers,
     run_summary,
     throttle,
     throttle_aligned,
@@ -79,6 +80,7 @@ from findspan.operators.rules import (
     rule_stats,
     scan_custom_rules,
     scan_rules,
+    scan_texts,
 )
 from findspan.operators.running import running, running_mean
 from findspan.operators.search import best_candidate, predict, score_predictions, search_candidates

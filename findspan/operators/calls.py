@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from findspan.functions.scoring import ratio
 from findspan.functions.text import sql_text
-from findspan.session import dimension_rows
-
-MAX_PROVIDERS = 1000
 
 PROVIDER_SCHEMA = (
     "name string, code_analysis double, code_generation double, complex_reasoning double, "
@@ -93,39 +90,59 @@ def _context_size() -> str:
     return f"(CASE {_KIND} {cases} ELSE {fixed['general']} END)"
 
 
-def rank_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
-    """Every provider's score and rank for every request.
+def ranked_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
+    """Add ``ranked``: the providers for a request, best first, as (``provider``, ``score``, ``reason``).
 
-    Providers are a dimension of checked size, so they become literals in each request's row:
-    ranking is one sort of a short array per row, without a cross join, window or shuffle.
+    The provider table becomes one array (a scalar subquery) that each request scores in its own
+    row: one sort of that array, without a cross join, window or shuffle, whatever the number of
+    providers. A provider whose ``available`` is false is not a choice; the table may lack the column.
     ``requests`` has ``kind``, ``content`` and ``preferred`` (names, best first).
     """
+    usable = providers if "available" not in providers.columns else providers.filter(F.coalesce("available", F.lit(True)))
+    fields = ("name", "code_analysis", "code_generation", "complex_reasoning", "speed", "context_length", "supports_sessions")
+    every = usable.agg(F.array_sort(F.collect_list(F.struct(*fields)))).scalar()
     analysis, generation, reasoning, speed, sessions = (_needs(i) for i in (0, 1, 2, 3, 5))
 
-    def when(condition: str, value: float, otherwise: float = 0.0) -> str:
-        return f"IF({condition}, {value!r}D, {otherwise!r}D)"
+    def scored(p: str, of: str) -> str:
+        def when(condition: str, value: str, otherwise: str = "0.0D") -> str:
+            return f"IF({condition}, {value}, {otherwise})"
 
-    def scored(p) -> str:
         capable = " + ".join(
-            (when(analysis, p.code_analysis * 0.3), when(generation, p.code_generation * 0.3),
-             when(reasoning, p.complex_reasoning * 0.3), when(speed, p.speed * 0.2)))
-        score = f"({capable}) * {when(f'{_context_size()} > {p.context_length}', 0.5, 1.0)}"
-        if not p.supports_sessions:
-            score += f" * {when(sessions, 0.7, 1.0)}"
-        average = (p.code_analysis + p.code_generation + p.complex_reasoning) / 3.0
-        needed = f"({analysis}) OR ({generation}) OR ({reasoning})"
-        place = f"coalesce(array_position(preferred, {sql_text(p.name)}), 0)"
-        boost = f"IF({place} > 0, 1.0D + (size(preferred) - {place} + 1) * 0.1D, 0.0D)"
-        return (f"named_struct('order', -round(IF({needed}, {score}, {average!r}D) + {boost}, 9), "
-                f"'provider', {sql_text(p.name)})")
-
-    rows = dimension_rows(providers, MAX_PROVIDERS, "the provider table")
-    ranked = F.expr(f"posexplode(array_sort(array({', '.join(scored(p) for p in rows)})))")
-    return requests.select("*", ranked.alias("__place", "__choice")).select(
-        *requests.columns,
-        F.col("__choice.provider").alias("provider"),
-        (-F.col("__choice.order")).alias("score"),
-        (F.col("__place") + 1).alias("rank"),
+            (when(f"{of}.analysis", f"{p}.code_analysis * 0.3D"), when(f"{of}.generation", f"{p}.code_generation * 0.3D"),
+             when(f"{of}.reasoning", f"{p}.complex_reasoning * 0.3D"), when(f"{of}.speed", f"{p}.speed * 0.2D")))
+        short = f"{of}.context > {p}.context_length"
+        unkept = f"{of}.sessions AND NOT {p}.supports_sessions"
+        score = f"({capable}) * {when(short, '0.5D', '1.0D')} * {when(unkept, '0.7D', '1.0D')}"
+        average = f"({p}.code_analysis + {p}.code_generation + {p}.complex_reasoning) / 3.0D"
+        place = f"coalesce(array_position({of}.preferred, {p}.name), 0)"
+        boost = f"IF({place} > 0, 1.0D + (size({of}.preferred) - {place} + 1) * 0.1D, 0.0D)"
+        why = ", ".join(
+            (when(f"{of}.analysis", "'analysis'", "NULL"), when(f"{of}.generation", "'generation'", "NULL"),
+             when(f"{of}.reasoning", "'reasoning'", "NULL"), when(f"{of}.speed", "'speed'", "NULL"),
+             when(f"NOT {of}.needed", "'all-round'", "NULL"), when(short, "'short context'", "NULL"),
+             when(unkept, "'no sessions'", "NULL"), f"IF({place} > 0, concat('choice ', {place}), NULL)"))
+        return (f"named_struct('order', -round(IF({of}.needed, {score}, {average}) + {boost}, 9), "
+                f"'provider', {p}.name, 'reason', concat_ws(', ', {why}))")
+
+    needs = (f"named_struct('analysis', {analysis}, 'generation', {generation}, 'reasoning', {reasoning}, 'speed', {speed}, "
+             f"'sessions', {sessions}, 'context', {_context_size()}, 'preferred', preferred, "
+             f"'needed', ({analysis}) OR ({generation}) OR ({reasoning}))")
+    sorted_choices = f"array_sort(transform(__every, p -> {scored('p', '__needs')}))"
+    return (
+        requests.withColumns({"__every": every, "__needs": F.expr(needs)})
+        .withColumn("__choices", F.expr(sorted_choices))
+        .withColumn("ranked", F.expr(
+            "transform(__choices, c -> named_struct('provider', c.provider, 'score', -c.order, 'reason', c.reason))"))
+        .drop("__every", "__needs", "__choices")
+    )
+
+
+def rank_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
+    """One row per request and usable provider with ``score``, ``rank`` and ``reason``: :func:`ranked_providers`
+    laid out. Where the best few are enough, take them from the array instead."""
+    ranked = ranked_providers(requests, providers).select("*", F.posexplode("ranked").alias("__place", "__choice"))
+    return ranked.select(
+        *requests.columns, "__choice.provider", "__choice.score", (F.col("__place") + 1).alias("rank"), "__choice.reason"
     )
 
 
@@ -358,8 +375,8 @@ def assemble_conversations(
 ) -> DataFrame:
     """Ordered ``messages`` per conversation and the same as JSON.
 
-    A conversation of more than ``part_size`` turns continues in further rows (``part`` 1, 2, …),
-    so no row has to hold an unbounded list.
+    A conversation continues in further rows (``part`` 1, 2, …) after every ``part_size`` turn numbers, so
+    no row has to hold an unbounded list; :func:`parse_conversations` puts parts together again.
     """
     clean_role, clean_content = conversation_role(F.col(role), F.col(content))
     message = F.struct(
@@ -371,11 +388,20 @@ def assemble_conversations(
     return gathered.withColumn("messages", messages).withColumn("json", F.to_json("messages")).drop("__messages")
 
 
-def parse_conversations(df: DataFrame, keys: Sequence[str], json: str = "json") -> DataFrame:
-    """Turns from a JSON array; items without a text role or content are dropped, unknown roles become user."""
+def parse_conversations(df: DataFrame, keys: Sequence[str], json: str = "json", part: str | None = None) -> DataFrame:
+    """Turns from a JSON array; items without a text role or content are dropped, unknown roles become user.
+
+    ``part`` names the column that orders the rows of one conversation; turns count on through them.
+    """
     items = F.from_json(F.col(json), "array<struct<role: string, content: string>>")
-    turns = df.select(*keys, F.posexplode(items).alias("turn", "message")).filter(
+    earlier = F.lit(0)
+    if part is not None:
+        sizes = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+        counted = df.select(*keys, part, F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0)).alias("__n"))
+        before = counted.select(*keys, part, F.coalesce(F.sum("__n").over(sizes), F.lit(0)).alias("__before"))
+        df, earlier = df.join(before, [*keys, part]), F.col("__before")
+    turns = df.select(*keys, earlier.cast("long").alias("__before"), F.posexplode(items).alias("__at", "message")).filter(
         F.col("message.role").isNotNull() & F.col("message.content").isNotNull()
     )
     role, content = conversation_role(F.col("message.role"), F.col("message.content"))
-    return turns.select(*keys, "turn", role.alias("role"), content.alias("content"))
+    return turns.select(*keys, (F.col("__before") + F.col("__at")).cast("int").alias("turn"), role.alias("role"), content.alias("content"))

@@ -93,9 +93,11 @@ def pattern_stats(findings: DataFrame, seen_at: str = "seen_at", mode: str = "li
     )
 
 
-def pattern_contexts(findings: DataFrame, contexts: DataFrame, mode: str = "literals") -> DataFrame:
+def pattern_contexts(
+    findings: DataFrame, contexts: DataFrame, mode: str = "literals", keep: Sequence[str] = ()
+) -> DataFrame:
     """Code context of every finding with its pattern: one row per finding, any number per pattern."""
-    keyed = message_template(findings, mode=mode).select("pattern_id", "file_path", "line")
+    keyed = message_template(findings, mode=mode).select("pattern_id", "file_path", "line", *keep)
     return keyed.join(contexts, ["file_path", "line"])
 
 
@@ -232,10 +234,12 @@ def apply_replacements(df: DataFrame, fixes: DataFrame, key: str, text: str) ->
     """Apply each text's fixes from the last line to the first, every occurrence of each.
 
     ``fixes`` has the key, ``line``, ``original`` and ``fixed``. Fixes of one text belong to one
-    output value, so they are gathered per text; ties on a line go by original and fixed text.
+    output value, so they are gathered per text, a repeated one once; ties on a line go by original
+    and fixed text.
     """
     fix = F.struct((-F.col("line")).alias("at"), "original", "fixed")
-    gathered = fixes.filter(F.length("original") > 0).groupBy(key).agg(F.array_sort(F.collect_list(fix)).alias("__fixes"))
+    wanted = fixes.filter(F.length("original") > 0).select(key, "line", "original", "fixed").distinct()
+    gathered = wanted.groupBy(key).agg(F.array_sort(F.collect_list(fix)).alias("__fixes"))
     patched = F.aggregate(
         F.coalesce("__fixes", F.array()), F.col(text), lambda t, f: F.replace(t, f["original"], f["fixed"])
     )

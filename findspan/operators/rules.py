@@ -8,24 +8,26 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspan.functions.text import match_columns, sql_text
+from findspan.functions.patterns import REGEX_ONLY_INSIDE, required_literals
+from findspan.functions.text import match_columns, sql_text, text_lines
 from findspan.operators.corpus import LINE_SMELLS
-from findspan.session import dimension_rows
+from findspan.session import in_blocks
 
 RULE_SCHEMA = (
     "id string, name string, description string, pattern string, severity string, category string, "
     "enabled boolean, languages array<string>, impact_score int, fix_template string, "
-    "confidence double, all_matches boolean, requires array<string>"
+    "confidence double, all_matches boolean, requires array<string>, replaces string"
 )
 
-MATCH_TYPE = "array<struct<column: int, matched: string>>"
+MATCH_TYPE = "array<struct<column: int, matched: string, fix: string>>"
 
 RULE_ATTRIBUTES = (
     "struct<rule_name: string, message: string, severity: string, category: string, "
-    "suggested_fix: string, confidence: double, impact_score: int>"
+    "suggested_fix: string, replaces: string, confidence: double, impact_score: int>"
 )
 
-MAX_RULES = 2000
+# Rules that one pass over the texts handles; a longer table takes more passes.
+RULES_PER_PASS = 400
 
 _SCRIPT = ["typescript", "javascript"]
 
@@ -52,6 +54,9 @@ REQUIRES = {
     "remove-timer-string": ["setTimeout", "setInterval"],
 }
 
+# Fixed value: what these two rules replace is less than what they match.
+REPLACES = {"replace-any": "any", "replace-any-parameter": "any"}
+
 # The eight shipped regex rules.
 # id, name, description, pattern, severity, category, languages, impact score
 PATTERN_RULES = [
@@ -116,7 +121,7 @@ CATEGORIES = (
 def default_rules(spark: SparkSession) -> DataFrame:
     """The shipped regex rules as a table."""
     rows = [
-        (i, n, d, p, s, c, True, langs, impact, None, 1.0, False, REQUIRES.get(i))
+        (i, n, d, p, s, c, True, langs, impact, None, 1.0, False, REQUIRES.get(i), None)
         for i, n, d, p, s, c, langs, impact in PATTERN_RULES
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
@@ -125,102 +130,187 @@ def default_rules(spark: SparkSession) -> DataFrame:
 def fix_rules(spark: SparkSession) -> DataFrame:
     """The rules that propose a replacement text."""
     rows = [
-        (i, i, d, p, "Warning", "fix", True, ["*"], impact, fix, conf, every, REQUIRES.get(i))
+        (i, i, d, p, "Warning", "fix", True, ["*"], impact, fix, conf, every, REQUIRES.get(i), REPLACES.get(i))
         for i, p, every, d, fix, conf, impact in FIX_RULES
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def _applies(rule, line: str, language: str | None) -> str:
-    """Condition under which a rule hits a line, cheapest test first."""
-    tests = [f"{line} RLIKE {sql_text(rule.pattern)}"]
-    if rule.requires:
-        tests.insert(0, "(" + " OR ".join(f"contains({line}, {sql_text(x)})" for x in rule.requires) + ")")
-    if language is not None and "*" not in rule.languages:
-        tests.insert(0, f"`{language}` IN ({', '.join(sql_text(x) for x in rule.languages)})")
-    return " AND ".join(tests)
-
+def _literal_tests(rule, text: str) -> list[str]:
+    """Substring tests that any text or line with a match passes; the rule names the literals, or its pattern tells."""
+    literals = rule.requires or required_literals(rule.pattern)
+    return ["(" + " OR ".join(f"contains({text}, {sql_text(x)})" for x in literals) + ")"] if literals else []
 
-def _matches(rule, line: str) -> str:
-    """Array of the matches of a rule that hits: the first, or all."""
-    pattern = sql_text(rule.pattern)
-    if rule.all_matches:
-        return match_columns(line, pattern)
-    return (f"array(named_struct('column', regexp_instr({line}, {pattern}), "
-            f"'matched', regexp_extract({line}, {pattern}, 0)))")
 
+def _language_test(rule, language: str | None) -> list[str]:
+    if language is None or "*" in rule.languages:
+        return []
+    return [f"`{language}` IN ({', '.join(sql_text(x) for x in rule.languages)})"]
 
-def _first_group(rule, line: str) -> str:
-    """What the first group matched, for rules whose fix names it."""
-    named = "$1" in (rule.fix_template or "")
-    return f"regexp_extract({line}, {sql_text(rule.pattern)}, 1)" if named else "CAST(NULL AS string)"
 
+def _matches(rule, line: str) -> str:
+    """Array of the matches of a rule that hits, the first or all, each with the text that fixes it.
 
-def scan_rules(
-    lines: DataFrame,
-    rules: DataFrame,
-    language: str | None = None,
-    text: str = "line_text",
-    smells: bool = False,
-) -> DataFrame:
-    """Findings of every enabled rule on every line, with ``smells`` also those of the line heuristics.
-
-    The rule table is a dimension of checked size; each pattern becomes a literal, so Spark
-    compiles it once per task and needs neither a join nor a shuffle. A line that no rule hits is
-    dropped by one filter; only hit lines build findings. A rule applies when its languages
-    contain the row's language or ``*``; without a ``language`` column all rules apply. A rule
-    may name literals it ``requires`` (any of them), which are looked for before the pattern.
-    All of this is one pass over the lines.
+    ``$1`` to ``$9`` in the fix stand for what the match's groups hold.
     """
-    rows = dimension_rows(rules.filter("enabled"), MAX_RULES, "the rule table")
-    kept = [c for c in lines.columns if c != text]
-    # SQL text rather than Column calls: a table of rules is a large expression to hand over.
-    line = f"`{text}`"
-    hits = [_applies(r, line, language) for r in rows]
-    found = [_matches(r, line) for r in rows]
-    parts = [_first_group(r, line) for r in rows]
-    attributes = [
+    pattern = sql_text(rule.pattern)
+    groups = [g for g in "987654321" if f"${g}" in (rule.fix_template or "")]
+    fix = "CAST(NULL AS string)" if rule.fix_template is None else sql_text(rule.fix_template)
+    if not rule.all_matches:
+        for g in groups:
+            fix = f"replace({fix}, '${g}', regexp_extract({line}, {pattern}, {g}))"
+        return (f"array(named_struct('column', regexp_instr({line}, {pattern}), "
+                f"'matched', regexp_extract({line}, {pattern}, 0), 'fix', {fix}))")
+    if not groups:
+        return f"transform({match_columns(line, pattern)}, m -> named_struct('column', m.column, 'matched', m.matched, 'fix', {fix}))"
+    held = ", ".join(f"'g{g}', regexp_extract_all({line}, {pattern}, {g})" for g in groups)
+    for g in groups:
+        fix = f"replace({fix}, '${g}', get(t.held.g{g}, i))"
+    both = f"array(named_struct('found', {match_columns(line, pattern)}, 'held', named_struct({held})))"
+    return (f"get(transform({both}, t -> transform(t.found, (m, i) -> "
+            f"named_struct('column', m.column, 'matched', m.matched, 'fix', {fix}))), 0)")
+
+
+def _attributes(rows: list, smells: bool) -> list[dict]:
+    found = [
         dict(rule_name=r.id, message=r.description, severity=r.severity, category=r.category,
-             suggested_fix=r.fix_template, confidence=r.confidence, impact_score=r.impact_score)
+             suggested_fix=r.fix_template, replaces=getattr(r, "replaces", None), confidence=r.confidence,
+             impact_score=r.impact_score)
         for r in rows
     ]
-    for name, condition, confidence, fix in LINE_SMELLS if smells else ():
+    for name, _, confidence, fix in LINE_SMELLS if smells else ():
+        found.append(dict(rule_name=name, message=fix, severity="Warning", category="style", suggested_fix=fix,
+                          replaces=None, confidence=confidence, impact_score=None))
+    return found
+
+
+def _line_hits(rows: list, line: str, language: str | None, smells: bool, listed: str | None) -> tuple[str, str]:
+    """SQL for: whether any rule hits a line, and the array of (rule number, matches) of those that do.
+
+    ``listed`` is an array of the numbers of the rules that can hit at all.
+    """
+    hits, found = [], []
+    for i, r in enumerate(rows):
+        early = [f"array_contains({listed}, {i})"] if listed else _language_test(r, language)
+        hits.append(" AND ".join([*early, *_literal_tests(r, line), f"{line} RLIKE {sql_text(r.pattern)}"]))
+        found.append(_matches(r, line))
+    for _, condition, _, fix in LINE_SMELLS if smells else ():
         hits.append(condition.format(line=line))
-        found.append("array(named_struct('column', 1, 'matched', CAST(NULL AS string)))")
-        parts.append("CAST(NULL AS string)")
-        attributes.append(dict(rule_name=name, message=fix, severity="Warning", category="style",
-                               suggested_fix=fix, confidence=confidence, impact_score=None))
-    any_hit = " OR ".join(f"({h})" for h in hits) or "false"
+        found.append(f"array(named_struct('column', 1, 'matched', CAST(NULL AS string), 'fix', {sql_text(fix)}))")
     per_rule = ", ".join(
-        f"CASE WHEN {h} THEN named_struct('rule', {i}, 'part', {part}, 'found', {matches}) END"
-        for i, (h, part, matches) in enumerate(zip(hits, parts, found))
-    ) or f"CAST(NULL AS struct<rule: int, part: string, found: {MATCH_TYPE}>)"
-    # The rules' attributes are one literal; a finding picks its entry by the rule's number.
-    rule = F.get(F.from_json(F.lit(json.dumps(attributes)), f"array<{RULE_ATTRIBUTES}>"), F.col("__hit.rule"))
-    fix = F.col("__rule.suggested_fix")
-    named = F.when(F.col("__part").isNotNull(), F.replace(fix, F.lit("$1"), F.col("__part"))).otherwise(fix)
+        f"CASE WHEN {h} THEN named_struct('rule', {i}, 'found', {m}) END" for i, (h, m) in enumerate(zip(hits, found))
+    ) or f"CAST(NULL AS struct<rule: int, found: {MATCH_TYPE}>)"
+    return " OR ".join(f"({h})" for h in hits) or "false", f"array_compact(array({per_rule}))"
+
+
+def _findings(hits: DataFrame, kept: Sequence[str], rows: list, smells: bool) -> DataFrame:
+    """One row per match from rows with ``__hit``; the rules' attributes are one literal, picked by number."""
+    rule = F.get(F.from_json(F.lit(json.dumps(_attributes(rows, smells))), f"array<{RULE_ATTRIBUTES}>"), F.col("__hit.rule"))
+    matched = F.col("__match.matched")
     return (
-        lines.filter(any_hit)
-        .select(*kept, F.expr(f"explode(array_compact(array({per_rule})))").alias("__hit"))
-        .select(*kept, rule.alias("__rule"), F.col("__hit.part").alias("__part"), F.explode("__hit.found").alias("__match"))
+        hits.select(*kept, rule.alias("__rule"), F.explode("__hit.found").alias("__match"))
         .select(
             *kept,
             "__match.column",
             "__match.matched",
             *[f"__rule.{name}" for name in ("rule_name", "message", "severity", "category")],
-            named.alias("suggested_fix"),
+            F.col("__match.fix").alias("suggested_fix"),
+            F.coalesce("__rule.replaces", "__match.matched").alias("original_text"),
             "__rule.confidence",
             "__rule.impact_score",
-        )
-        .withColumns(
-            {
-                "end_column": F.col("column") + F.length("matched"),
-                "fix_available": F.col("suggested_fix").isNotNull(),
-            }
+            (F.col("__match.column") + F.length(matched)).alias("end_column"),
+            F.col("__match.fix").isNotNull().alias("fix_available"),
         )
     )
 
 
+def _every_pass(rules: DataFrame, smells: bool, scan: Callable[[list, bool], DataFrame]) -> DataFrame:
+    """Union of the passes over the blocks of the rule table; the heuristics belong to the first."""
+    found = None
+    for number, rows in enumerate(in_blocks(rules.filter("enabled"), "id", RULES_PER_PASS)):
+        part = scan(sorted(rows, key=lambda r: r.id), smells and number == 0)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def scan_rules(
+    lines: DataFrame,
+    rules: DataFrame,
+    language: str | None = None,
+    text: str = "line_text",
+    smells: bool = False,
+) -> DataFrame:
+    """Findings of every enabled rule on every line, with ``smells`` also those of the line heuristics.
+
+    Rules are read in blocks and each pattern becomes a literal, so Spark compiles it once per task
+    and needs neither a join nor a shuffle; a block is one pass over the lines, so the table of
+    rules may have any length. A line that no rule hits is dropped by one filter. A rule applies when its languages
+    contain the row's language or ``*``; without a ``language`` column all rules apply. Literals
+    that a match must contain are looked for before the pattern. A finding's ``original_text`` is
+    what its ``suggested_fix`` stands in for. For whole texts :func:`scan_texts` is faster.
+    """
+    kept = [c for c in lines.columns if c != text]
+
+    def scan(rows: list, with_smells: bool) -> DataFrame:
+        # SQL text rather than Column calls: a table of rules is a large expression to hand over.
+        any_hit, hits = _line_hits(rows, f"`{text}`", language, with_smells, None)
+        hit_lines = lines.filter(any_hit).select(*kept, F.expr(f"explode({hits})").alias("__hit"))
+        return _findings(hit_lines, kept, rows, with_smells)
+
+    return _every_pass(rules, smells, scan)
+
+
+def scan_texts(
+    texts: DataFrame,
+    rules: DataFrame,
+    language: str | None = None,
+    text: str = "text",
+    smells: bool = False,
+    context: int | None = None,
+) -> DataFrame:
+    """Findings of :func:`scan_rules` on whole texts, each with its ``line``.
+
+    Each text is first tested as a whole: the rules that can hit one of its lines become a short
+    list of numbers, and texts without any are not cut into lines (but for ``smells``). Only the
+    listed rules then run on the lines. With ``context`` a finding carries ``before_lines``, ``error_line`` and ``after_lines``,
+    up to so many lines around it, from the same row.
+    """
+    kept = [c for c in texts.columns if c != text]
+
+    def scan(rows: list, with_smells: bool) -> DataFrame:
+        tests = []
+        for i, r in enumerate(rows):
+            whole = [f"`{text}` RLIKE {sql_text(r.pattern)}"] if not REGEX_ONLY_INSIDE.search(r.pattern) else []
+            test = " AND ".join([*_language_test(r, language), *_literal_tests(r, f"`{text}`"), *whole]) or "true"
+            tests.append(f"CASE WHEN {test} THEN {i} END")
+        listed = f"array_compact(array({', '.join(tests)}))" if tests else "CAST(array() AS array<int>)"
+        marked = texts.select("*", F.expr(listed).alias("__listed"))
+        if not with_smells:
+            marked = marked.filter(F.size("__listed") > 0)
+        lines = text_lines(F.col(text))
+        if context is None:
+            cut = marked.select(*kept, "__listed", F.posexplode(lines).alias("__at", "__line"))
+            any_hit, hits = _line_hits(rows, "`__line`", language, with_smells, "__listed")
+            cut = cut.filter(any_hit).select(
+                *kept, (F.col("__at") + 1).alias("line"), F.expr(f"explode({hits})").alias("__hit"))
+            return _findings(cut, [*kept, "line"], rows, with_smells)
+        _, hits = _line_hits(rows, "l", language, with_smells, "__listed")
+        at_lines = f"filter(transform(__lines, (l, i) -> named_struct('at', i + 1, 'hits', {hits})), x -> size(x.hits) > 0)"
+        near = marked.select(*kept, "__listed", lines.alias("__lines")).select(
+            *kept, "__lines", F.expr(f"explode({at_lines})").alias("__spot"))
+        at = F.col("__spot.at")
+        first = F.greatest(at - context, F.lit(1))
+        around = near.select(
+            *kept, at.alias("line"),
+            F.slice("__lines", first, at - first).alias("before_lines"),
+            F.get("__lines", at - 1).alias("error_line"),
+            F.slice("__lines", at + 1, F.lit(context)).alias("after_lines"),
+            F.explode("__spot.hits").alias("__hit"))
+        return _findings(around, [*kept, "line", "before_lines", "error_line", "after_lines"], rows, with_smells)
+
+    return _every_pass(rules, smells, scan)
+
+
 def custom_rule(
     lines: DataFrame, rule_name: str, condition: Callable[[Column], Column], text: str = "line_text",
     message: str | None = None, severity: str = "Warning",
@@ -236,19 +326,22 @@ def custom_rule(
     )
 
 
-_CUSTOM_RULES: dict[str, Callable[[Column], Column]] = {}
-
+def register_rule(
+    registry: dict[str, Callable[[Column], Column]], rule_id: str, condition: Callable[[Column], Column]
+) -> dict[str, Callable[[Column], Column]]:
+    """Add a user rule to a registry (a plain dict that the caller keeps); a later one of the same id wins."""
+    registry[rule_id] = condition
+    return registry
 
-def register_rule(rule_id: str, condition: Callable[[Column], Column]) -> None:
-    """Make a user rule available to :func:`scan_custom_rules` under its id."""
-    _CUSTOM_RULES[rule_id] = condition
 
-
-def scan_custom_rules(lines: DataFrame, rule_ids: Sequence[str] | None = None, text: str = "line_text") -> DataFrame:
+def scan_custom_rules(
+    lines: DataFrame, registry: dict[str, Callable[[Column], Column]], rule_ids: Sequence[str] | None = None,
+    text: str = "line_text",
+) -> DataFrame:
     """Findings of the registered user rules, evaluated in one pass over the lines."""
-    wanted = list(_CUSTOM_RULES) if rule_ids is None else list(rule_ids)
+    wanted = list(registry) if rule_ids is None else list(rule_ids)
     kept = [c for c in lines.columns if c != text]
-    hits = F.array_compact(F.array(*[F.when(_CUSTOM_RULES[r](F.col(text)), F.lit(r)) for r in wanted]))
+    hits = F.array_compact(F.array(*[F.when(registry[r](F.col(text)), F.lit(r)) for r in wanted]))
     return lines.select(*kept, F.explode(hits).alias("rule_name"))
 
 

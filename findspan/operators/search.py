@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findspan.functions.scoring import is_finite
-from findspan.session import dimension_rows
+from findspan.session import in_blocks
 
-MAX_CANDIDATES = 10_000
+# Candidates that one pass over the examples evaluates; a longer list takes more passes.
+CANDIDATES_PER_PASS = 5_000
 
 # Fixed value: a candidate is chosen for all predictors if it beats the mean of their bests by this factor.
 GLOBAL_FACTOR = 1.1
@@ -105,34 +106,42 @@ def search_candidates(
 ) -> DataFrame:
     """Mean score of every candidate over all examples; those in ``scored`` keep their score.
 
-    Candidates are a list of checked size that travels to the examples. Each batch of examples
-    yields one partial sum per candidate, so pairs are never rows and only sums are shuffled. An
-    example whose prediction fails counts 0.
+    Candidates travel to the examples in blocks, so the list may have any length. Each batch of
+    examples yields one partial sum per candidate, so pairs are never rows and only sums are
+    shuffled. An example whose prediction fails counts 0; without examples every score is 0.
     """
     wanted = candidates.select("predictor", "candidate").distinct()
     if scored is not None:
         wanted = wanted.join(scored.select("predictor", "candidate"), ["predictor", "candidate"], "left_anti")
-    todo = [(r.predictor, r.candidate) for r in dimension_rows(wanted, MAX_CANDIDATES, "the candidate list")]
 
-    def evaluate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for predictor, candidate in todo:
-                try:
-                    total = float(sum(metric(part, fn(candidate, part))))
-                except Exception:  # noqa: BLE001 - find the examples that fail
-                    total = 0.0
-                    for i in range(len(part)):
-                        one = part.iloc[i:i + 1]
-                        try:
-                            total += float(sum(metric(one, fn(candidate, one))))
-                        except Exception:  # noqa: BLE001
-                            continue
-                rows.append((predictor, candidate, total, len(part)))
-            yield pd.DataFrame(rows, columns=["predictor", "candidate", "total", "n"])
-
-    partial = examples.mapInPandas(evaluate, "predictor string, candidate string, total double, n long")
-    new = partial.groupBy("predictor", "candidate").agg((F.sum("total") / F.sum("n")).alias("score"))
+    def evaluate_all(todo: list[tuple[str, str]]) -> Callable:
+        def evaluate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                rows = []
+                for predictor, candidate in todo:
+                    try:
+                        total = float(sum(metric(part, fn(candidate, part))))
+                    except Exception:  # noqa: BLE001 - find the examples that fail
+                        total = 0.0
+                        for i in range(len(part)):
+                            one = part.iloc[i:i + 1]
+                            try:
+                                total += float(sum(metric(one, fn(candidate, one))))
+                            except Exception:  # noqa: BLE001
+                                continue
+                    rows.append((predictor, candidate, total, len(part)))
+                yield pd.DataFrame(rows, columns=["predictor", "candidate", "total", "n"])
+
+        return evaluate
+
+    schema = "predictor string, candidate string, total double, n long"
+    # A row of nothing for every candidate, so that each has a score even without examples.
+    partial = wanted.select("predictor", "candidate", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
+    for rows in in_blocks(wanted, "candidate", CANDIDATES_PER_PASS):
+        todo = sorted((r.predictor, r.candidate) for r in rows)
+        partial = partial.unionByName(examples.mapInPandas(evaluate_all(todo), schema))
+    new = partial.groupBy("predictor", "candidate").agg(
+        F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("score"))
     if scored is None:
         return new
     return new.unionByName(scored.select("predictor", "candidate", "score"))

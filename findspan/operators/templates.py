@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findspan.functions.text import glob_regex
-from findspan.session import dimension_rows
+from findspan.session import in_blocks
 
-MAX_TEMPLATES = 2000
+# Templates that one pass over the files handles; a longer table takes more passes.
+TEMPLATES_PER_PASS = 400
 
 
 def match_templates(files: DataFrame, templates: DataFrame, path: str = "path") -> DataFrame:
     """Every template whose include globs accept the path and whose exclude globs do not.
 
-    ``templates`` (``template_id``, ``include``, ``exclude`` arrays) is a dimension of checked size:
-    its globs become literal patterns in one projection, so no join is needed.
+    ``templates`` (``template_id``, ``include``, ``exclude`` arrays) are read in blocks, so their
+    number has no limit: the globs of a block become literal patterns in one projection, without a join.
     """
-    rows = dimension_rows(templates.select("template_id", "include", "exclude"), MAX_TEMPLATES, "the template table")
-    matched = []
-    for row in rows:
-        if not row.include:
-            continue
-        accepts = F.col(path).rlike(glob_regex(row.include))
-        if row.exclude:
-            accepts = accepts & ~F.col(path).rlike(glob_regex(row.exclude))
-        matched.append(F.when(accepts, F.lit(row.template_id)))
-    return files.select(*files.columns, F.explode(F.array_compact(F.array(*matched))).alias("template_id"))
+    found = None
+    for rows in in_blocks(templates.select("template_id", "include", "exclude"), "template_id", TEMPLATES_PER_PASS):
+        matched = [F.lit(None).cast("string")]
+        for row in sorted(rows, key=lambda r: r.template_id):
+            if not row.include:
+                continue
+            accepts = F.col(path).rlike(glob_regex(row.include))
+            if row.exclude:
+                accepts = accepts & ~F.col(path).rlike(glob_regex(row.exclude))
+            matched.append(F.when(accepts, F.lit(row.template_id)))
+        part = files.select(*files.columns, F.explode(F.array_compact(F.array(*matched))).alias("template_id"))
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -101,18 +101,6 @@ def propose_rules(spark, sf):
     return N.propose_rules(stats, known)
 
 
-@query("pattern_contexts", f"""
-SELECT t.pattern_id, t.event_id, o.o_orderpriority AS context
-FROM {TEMPLATED} t JOIN orders o ON o.o_orderkey = t.event_id""")
-def pattern_contexts(spark, sf):
-    """The order with an event's number stands for the code around it."""
-    found = event_findings(spark, sf)
-    contexts = found.select("file_path", "line", "event_id").join(
-        table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("context")),
-        "event_id")
-    return N.pattern_contexts(found, contexts).select("pattern_id", "event_id", "context")
-
-
 @query("lint_metrics", f"""
 SELECT rule_name, count(*) AS findings, count(DISTINCT file_path) AS files_processed,
        count(*) FILTER (severity = 'Error') AS errors, count(*) FILTER (severity = 'Warning') AS warnings
@@ -225,13 +213,9 @@ PART_RULES = """(
 
 
 @query("filter_rules", f"""
-SELECT id, cost FROM {PART_RULES}
-WHERE category = (SELECT min(p_brand) FROM part) AND cost <= 40 AND autofix
-  AND list_has_any(tags, [(SELECT max(string_split(p_type, ' ')[1]) FROM part), 'none'])""")
+SELECT id, cost FROM {PART_RULES} WHERE category = 'Brand#1' AND cost <= 40 AND autofix AND list_has_any(tags, ['STANDARD', 'none'])""")
 def filter_rules(spark, sf):
-    part = table(spark, sf, "part")
-    brand, tag = part.agg(F.min("p_brand"), F.max(F.split("p_type", " ")[0])).first()
-    kept = R.filter_rules(part_rules(spark, sf), category=brand, tags=[tag, "none"], max_cost=40, autofix=True)
+    kept = R.filter_rules(part_rules(spark, sf), category="Brand#1", tags=["STANDARD", "none"], max_cost=40, autofix=True)
     return kept.select("id", "cost")
 
 
@@ -285,7 +269,12 @@ scored AS (
     SELECT *, round(CASE WHEN kind = 'general' THEN (analysis + generation + reasoning) / 3.0 ELSE needed END
               + CASE WHEN google_first AND provider = 'google' THEN 1.2 WHEN google_first AND provider = 'openai' THEN 1.1 ELSE 0 END, 6)::DOUBLE AS score
     FROM base)
-SELECT conv_id, turn, provider, score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, provider)::INT AS rank
+SELECT conv_id, turn, provider, score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, provider)::INT AS rank,
+       concat_ws(', ', CASE WHEN {_need(0)} THEN 'analysis' END, CASE WHEN {_need(1)} THEN 'generation' END,
+                 CASE WHEN {_need(2)} THEN 'reasoning' END, CASE WHEN {_need(3)} THEN 'speed' END,
+                 CASE WHEN NOT ({_need(0)} OR {_need(1)} OR {_need(2)}) THEN 'all-round' END,
+                 CASE WHEN context > context_length THEN 'short context' END, CASE WHEN {_need(5)} AND NOT sessions THEN 'no sessions' END,
+                 CASE WHEN google_first AND provider = 'google' THEN 'choice 1' WHEN google_first AND provider = 'openai' THEN 'choice 2' END) AS reason
 FROM scored""")
 def rank_providers(spark, sf):
     talks = table(spark, sf, "conversations")
@@ -297,9 +286,11 @@ def rank_providers(spark, sf):
         F.when(F.length("text") > 400, F.array(F.lit("google"), F.lit("openai")))
         .otherwise(F.array().cast("array<string>")).alias("preferred"),
     )
-    tiny = spark.createDataFrame([("tiny", 0.5, 0.99, 0.6, 1.0, 40, False)], C.PROVIDER_SCHEMA)
-    ranked = C.rank_providers(requests, C.default_providers(spark).unionByName(tiny))
-    return ranked.select("conv_id", "turn", "provider", F.round("score", 6).alias("score"), "rank")
+    more = spark.createDataFrame(
+        [("tiny", 0.5, 0.99, 0.6, 1.0, 40, False, True), ("closed", 1.0, 1.0, 1.0, 1.0, 10**6, True, False)],
+        C.PROVIDER_SCHEMA + ", available boolean")
+    ranked = C.rank_providers(requests, C.default_providers(spark).unionByName(more, allowMissingColumns=True))
+    return ranked.select("conv_id", "turn", "provider", F.round("score", 6).alias("score"), "rank", "reason")
 
 
 @query("throttle", """
@@ -396,25 +387,31 @@ def error_rollup(spark, sf):
     return C.error_rollup(errors, C.error_kinds(spark), ["event_type"])
 
 
-@query("assemble_conversations", """
+_MESSAGES = """(SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'user' ELSE role END AS role,
+    CASE WHEN role = 'system' THEN 'Invalid role ''tool'', defaulting to user: ' || text ELSE text END AS content FROM conversations)"""
+
+
+def _tool_talks(spark, sf):
+    """Conversations whose system turns come as an unknown role."""
+    return table(spark, sf, "conversations").withColumn(
+        "role", F.when(F.col("role") == "system", "tool").otherwise(F.col("role")))
+
+
+@query("assemble_conversations", f"""
 SELECT conv_id, turn // 2 AS part, count(*) AS turns,
-       string_agg(CASE WHEN role = 'system' THEN 'user:Invalid role ''tool'', defaulting to user: ' || text ELSE role || ':' || text END, '|' ORDER BY turn) AS talk
-FROM conversations GROUP BY conv_id, turn // 2""")
+       to_json(list({{'role': role, 'content': content}} ORDER BY turn))::VARCHAR AS json FROM {_MESSAGES} GROUP BY conv_id, turn // 2""")
 def assemble_conversations(spark, sf):
-    """System turns come as an unknown role; every row holds two turns."""
-    talks = table(spark, sf, "conversations").withColumn(
-        "role", F.when(F.col("role") == "system", "tool").otherwise(F.col("role")))
-    done = C.assemble_conversations(talks, ["conv_id"], part_size=2)
-    talk = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
-    return done.select("conv_id", "part", F.size("messages").cast("long").alias("turns"), F.array_join(talk, "|").alias("talk"))
+    """Every row holds two turns."""
+    done = C.assemble_conversations(_tool_talks(spark, sf), ["conv_id"], part_size=2)
+    return done.select("conv_id", "part", F.size("messages").cast("long").alias("turns"), "json")
 
 
-@query("parse_conversations", """
-SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS turn, role, text AS content FROM conversations""")
+@query("parse_conversations", f"""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS turn, role, content FROM {_MESSAGES}""")
 def parse_conversations(spark, sf):
-    """To JSON and back."""
-    done = C.assemble_conversations(table(spark, sf, "conversations"), ["conv_id"])
-    return C.parse_conversations(done.select("conv_id", "json"), ["conv_id"])
+    """To JSON, in rows of three turns, and back in order."""
+    done = C.assemble_conversations(_tool_talks(spark, sf), ["conv_id"], part_size=3)
+    return C.parse_conversations(done.select("conv_id", "part", "json"), ["conv_id"], part="part")
 
 
 @query("best_candidate", """

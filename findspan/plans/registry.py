@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findspan.session import spread_small
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -29,8 +27,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table of texts, spread over the cores while it is small."""
-    return spread_small(table(spark, folder, name).select(*columns))
+    """Columns of a table of texts."""
+    return table(spark, folder, name).select(*columns)
 
 
 def quoted(text: str | None) -> str:

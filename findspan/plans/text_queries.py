@@ -18,14 +18,16 @@ from findspan.plans.registry import query, quoted, table, texts
 # Rules a user adds for this data, in the form of the shipped ones.
 EXTRA_RULES = [
     ("script-element", "Script Element", "Detects inline scripts", r"<script[^>]*>", "Warning", "security",
-     True, ["html"], 4, None, 1.0, True, ["<script"]),
+     True, ["html"], 4, None, 1.0, True, ["<script"], None),
     ("plain-link", "Plain Link", "Detects links without encryption", r"http://[^ <>]+", "Info", "security",
-     True, ["*"], 3, "https://", 0.9, True, ["http://"]),
+     True, ["*"], 3, "https://", 0.9, True, ["http://"], "http://"),
     ("mail-address", "Mail Address", "Detects mail addresses", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+", "Error", "privacy",
-     True, ["*"], 8, None, 0.85, True, ["@"]),
+     True, ["*"], 8, None, 0.85, True, ["@"], None),
     ("license-line", "License Line", "Detects license texts", r"(?i)license|copyright", "Info", "documentation",
-     True, ["en", "de", "fr", "es"], 1, None, 1.0, False, None),
-    ("switched-off", "Switched Off", "Never reported", r"e", "Info", "style", False, ["*"], 1, None, 1.0, False, None),
+     True, ["en", "de", "fr", "es"], 1, None, 1.0, False, None, None),
+    ("switched-off", "Switched Off", "Never reported", r"e", "Info", "style", False, ["*"], 1, None, 1.0, False, None, None),
+    ("named-address", "Named Address", "Spell out the address", r"([A-Za-z0-9._]+)@([A-Za-z0-9]+)\.[a-z]+", "Info", "privacy",
+     True, ["*"], 2, "$1 at $2", 0.7, True, ["@"], None),
 ]
 
 
@@ -55,19 +57,26 @@ def all_rules(spark: SparkSession) -> DataFrame:
         spark.createDataFrame(EXTRA_RULES, R.RULE_SCHEMA))
 
 
+def _groups_sql(fix: str | None, pattern: str, group: int) -> str:
+    """What a group of every match holds, for fixes that name it."""
+    named = f"${group}" in (fix or "")
+    return f"regexp_extract_all(line_text, {quoted(pattern)}, {group})" if named else "CAST(NULL AS VARCHAR[])"
+
+
 def _hits_sql() -> str:
     """Every rule against every line, one branch per rule so that its pattern is a constant."""
-    rows = [(i, p, s, c, langs, impact, None, 1.0, False, d) for i, _, d, p, s, c, langs, impact in R.PATTERN_RULES]
-    rows += [(i, p, "Warning", "fix", ["*"], impact, fix, conf, every, d) for i, p, every, d, fix, conf, impact in R.FIX_RULES]
-    rows += [(i, p, s, c, langs, impact, fix, conf, every, d)
-             for i, _, d, p, s, c, on, langs, impact, fix, conf, every, _ in EXTRA_RULES if on]
+    rows = [(i, p, s, c, langs, impact, None, 1.0, False, d, None) for i, _, d, p, s, c, langs, impact in R.PATTERN_RULES]
+    rows += [(i, p, "Warning", "fix", ["*"], impact, fix, conf, every, d, R.REPLACES.get(i)) for i, p, every, d, fix, conf, impact in R.FIX_RULES]
+    rows += [(i, p, s, c, langs, impact, fix, conf, every, d, old)
+             for i, _, d, p, s, c, on, langs, impact, fix, conf, every, _, old in EXTRA_RULES if on]
     branches = []
-    for i, p, s, c, langs, impact, fix, conf, every, d in rows:
+    for i, p, s, c, langs, impact, fix, conf, every, d, old in rows:
         spoken = "" if "*" in langs else f" AND language IN ({', '.join(quoted(x) for x in langs)})"
         branches.append(
             f"SELECT *, {quoted(i)} AS rule_name, {quoted(s)} AS severity, {quoted(c)} AS category, {impact} AS impact_score, "
-            f"{quoted(fix)}::VARCHAR AS suggested_fix, {conf} AS confidence, {str(every).lower()} AS every_match, {quoted(d)} AS message, "
-            f"regexp_extract_all(line_text, {quoted(p)}) AS found, string_split_regex(line_text, {quoted(p)}) AS gaps "
+            f"{quoted(fix)}::VARCHAR AS fix_text, {quoted(old)}::VARCHAR AS replaces, {conf} AS confidence, {str(every).lower()} AS every_match, {quoted(d)} AS message, "
+            f"regexp_extract_all(line_text, {quoted(p)}) AS found, string_split_regex(line_text, {quoted(p)}) AS gaps, "
+            f"{_groups_sql(fix, p, 1)} AS first_group, {_groups_sql(fix, p, 2)} AS second_group "
             f"FROM lines WHERE regexp_matches(line_text, {quoted(p)}){spoken}"
         )
     return " UNION ALL ".join(branches)
@@ -86,7 +95,9 @@ lines AS ({_lines_sql("corpus", "source, file_path, language", "text")}),
 hits AS ({_hits_sql()}),
 numbered AS (SELECT *, unnest(generate_series(1, CASE WHEN every_match THEN len(found) ELSE 1 END)) AS k FROM hits),
 findings AS (
-    SELECT source, file_path, language, line, found[k] AS matched, rule_name, severity, category, message, suggested_fix,
+    SELECT source, file_path, language, line, found[k] AS matched, rule_name, severity, category, message,
+           replace(replace(fix_text, '$2', coalesce(second_group[k], '')), '$1', coalesce(first_group[k], '')) AS suggested_fix,
+           coalesce(replaces, found[k]) AS original_text,
            confidence::DOUBLE AS confidence, impact_score,
            (1 + list_sum(list_transform(gaps[1:k], lambda g: length(g)))
               + coalesce(list_sum(list_transform(found[1:k-1], lambda m: length(m))), 0))::INT AS "column"
@@ -96,11 +107,37 @@ findings AS (
 
 @query("scan_rules", FINDINGS_SQL + """
 SELECT source, file_path, line, "column", "column" + length(matched)::INT AS end_column, rule_name, matched, severity,
-       category, suggested_fix, confidence, impact_score FROM findings""")
+       category, suggested_fix, original_text, confidence, impact_score FROM findings""")
 def scan_rules(spark, sf):
-    found = R.scan_rules(X.explode_lines(corpus_texts(spark, sf), "text"), all_rules(spark), "language")
+    found = R.scan_texts(corpus_texts(spark, sf), all_rules(spark), "language")
     return found.select("source", "file_path", "line", "column", "end_column", "rule_name", "matched", "severity",
-                        "category", "suggested_fix", "confidence", "impact_score")
+                        "category", "suggested_fix", "original_text", "confidence", "impact_score")
+
+
+@query("scan_lines", FINDINGS_SQL + "SELECT source, file_path, line, rule_name, matched, suggested_fix FROM findings")
+def scan_lines(spark, sf):
+    """The same rules on lines that were cut before."""
+    found = R.scan_rules(X.explode_lines(corpus_texts(spark, sf), "text"), all_rules(spark), "language")
+    return found.select("source", "file_path", "line", "rule_name", "matched", "suggested_fix")
+
+
+@query("fix_texts", FINDINGS_SQL.replace("WITH corpus", "WITH RECURSIVE corpus", 1) + """
+, fixes AS (SELECT DISTINCT source, file_path, line, original_text, suggested_fix FROM findings WHERE suggested_fix IS NOT NULL),
+numbered_fixes AS (
+    SELECT *, row_number() OVER (PARTITION BY source, file_path ORDER BY line DESC, original_text, suggested_fix) AS nth FROM fixes),
+patched AS (
+    SELECT source, file_path, text, 0::BIGINT AS nth FROM corpus SEMI JOIN fixes USING (source, file_path)
+    UNION ALL
+    SELECT p.source, p.file_path, replace(p.text, f.original_text, f.suggested_fix), f.nth
+    FROM patched p JOIN numbered_fixes f ON f.source = p.source AND f.file_path = p.file_path AND f.nth = p.nth + 1)
+SELECT source, file_path, arg_max(md5(text), nth) AS fixed_md5 FROM patched GROUP BY source, file_path""")
+def fix_texts(spark, sf):
+    """From texts to findings to fixed texts."""
+    texts = corpus_texts(spark, sf).withColumn("file", F.struct("source", "file_path"))
+    found = R.scan_texts(texts, all_rules(spark), "language").filter("fix_available")
+    fixes = found.select("file", "line", F.col("original_text").alias("original"), F.col("suggested_fix").alias("fixed"))
+    fixed = N.apply_replacements(texts.join(fixes.select("file").distinct(), "file", "left_semi"), fixes, "file", "text")
+    return fixed.select("source", "file_path", F.md5(F.col("text").cast("binary")).alias("fixed_md5"))
 
 
 @query("lint_by_source", FINDINGS_SQL + """
@@ -114,8 +151,7 @@ FROM (SELECT source, file_path, severity FROM findings UNION ALL SELECT source,
 GROUP BY source""")
 def lint_by_source(spark, sf):
     """Flagship: lines, rules and line heuristics to metrics per source."""
-    lines = X.explode_lines(corpus_texts(spark, sf), "text")
-    return N.lint_metrics(R.scan_rules(lines, all_rules(spark), "language", smells=True), ["source"])
+    return N.lint_metrics(R.scan_texts(corpus_texts(spark, sf), all_rules(spark), "language", smells=True), ["source"])
 
 
 @query("explode_lines", _lines_sql("documents", "doc_id", "text"))
@@ -428,7 +464,8 @@ def apply_replacements(spark, sf):
 
 
 @query("with_context", FINDINGS_SQL + """
-, spots AS (SELECT DISTINCT source, file_path, line FROM findings WHERE rule_name IN ('hardcoded-secrets', 'mail-address', 'license-line'))
+, spots AS (SELECT DISTINCT source, file_path, line FROM findings
+)
 SELECT a.source, a.file_path, a.line,
        coalesce(string_agg(l.line_text, '|' ORDER BY l.line) FILTER (l.line < a.line), '') AS before_lines,
        max(l.line_text) FILTER (l.line = a.line) AS error_line,
@@ -436,12 +473,44 @@ SELECT a.source, a.file_path, a.line,
 FROM spots a JOIN lines l ON l.source = a.source AND l.file_path = a.file_path AND abs(l.line - a.line) <= 3
 GROUP BY a.source, a.file_path, a.line""")
 def with_context(spark, sf):
-    lines = X.explode_lines(corpus_texts(spark, sf), "text")
-    rules = all_rules(spark).filter(F.col("id").isin("hardcoded-secrets", "mail-address", "license-line"))
-    found = R.scan_rules(lines, rules, "language")
-    context = N.with_context(lines, found, ["source", "file_path"], 3)
-    return context.withColumns(
-        {"before_lines": F.array_join("before_lines", "|"), "after_lines": F.array_join("after_lines", "|")})
+    """The lines around every finding, taken from the text's own row."""
+    found = R.scan_texts(corpus_texts(spark, sf), all_rules(spark), "language", context=3)
+    spots = found.select("source", "file_path", "line", F.array_join("before_lines", "|").alias("before_lines"), "error_line",
+                         F.array_join("after_lines", "|").alias("after_lines"))
+    return spots.distinct()
+
+
+@query("with_context_joined", FINDINGS_SQL + """
+SELECT a.doc_id, a.line, count(l.line) AS lines, min(l.line) AS first_line, max(length(l.line_text)) AS longest
+FROM (SELECT DISTINCT file_path AS doc_id, line FROM findings WHERE source = 'documents') a
+JOIN lines l ON l.source = 'documents' AND l.file_path = a.doc_id AND abs(l.line - a.line) <= 2 GROUP BY a.doc_id, a.line""")
+def with_context_joined(spark, sf):
+    """The lines around findings that come from another table than the lines."""
+    docs = corpus_texts(spark, sf).filter("source = 'documents'")
+    lines = X.explode_lines(docs, "text").withColumnRenamed("file_path", "doc_id")
+    found = R.scan_texts(docs, all_rules(spark), "language").withColumnRenamed("file_path", "doc_id")
+    context = N.with_context(lines, found, ["doc_id"], 2)
+    whole = F.concat("before_lines", F.array("error_line"), "after_lines")
+    return context.select(
+        "doc_id", "line", F.size(whole).cast("long").alias("lines"), (F.col("line") - F.size("before_lines")).cast("long").alias("first_line"),
+        F.array_max(F.transform(whole, lambda x: F.length(x))).cast("long").alias("longest"))
+
+
+@query("pattern_contexts", FINDINGS_SQL + r"""
+SELECT f.rule_name || '::' || regexp_replace(regexp_replace(regexp_replace(f.message, '''[^'']*''', '''<STRING>''', 'g'),
+           '"[^"]*"', '"<STRING>"', 'g'), '\b\d+\b', '<NUMBER>', 'g') AS pattern_id,
+       f.file_path, f.line, f."column", md5(string_agg(l.line_text, chr(10) ORDER BY l.line)) AS context_md5
+FROM findings f JOIN lines l ON l.source = f.source AND l.file_path = f.file_path AND abs(l.line - f.line) <= 1
+WHERE f.source = 'documents' GROUP BY f.rule_name, f.message, f.file_path, f.line, f."column"
+""")
+def pattern_contexts(spark, sf):
+    """Each finding's line with its neighbours, under the pattern of its message."""
+    docs = corpus_texts(spark, sf).filter("source = 'documents'")
+    found = R.scan_texts(docs, all_rules(spark), "language", context=1)
+    context = F.array_join(F.concat("before_lines", F.array("error_line"), "after_lines"), "\n")
+    contexts = found.select("file_path", "line", context.alias("context")).distinct()
+    placed = N.pattern_contexts(found.select("file_path", "line", "column", "rule_name", "message"), contexts, keep=["column"])
+    return placed.select("pattern_id", "file_path", "line", "column", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
 @query("match_templates", """
@@ -457,14 +526,13 @@ def match_templates(spark, sf):
 
 
 @query("score_predictions", FINDINGS_SQL + """
-, flagged AS (SELECT DISTINCT file_path FROM findings WHERE source = 'documents' AND rule_name IN ('mail-address', 'license-line'))
+, flagged AS (SELECT DISTINCT file_path FROM findings WHERE source = 'documents')
 SELECT l.toxic, count(*) AS examples, round(avg(coalesce((l.quality = 0 AND f.file_path IS NOT NULL)::INT, 0)), 9) AS score
 FROM labels l LEFT JOIN flagged f ON f.file_path = l.doc_id::VARCHAR GROUP BY l.toxic""")
 def score_predictions(spark, sf):
     """Documents with findings are predicted to be of low quality; documents without have no prediction."""
     docs = texts(spark, sf, "documents", "doc_id", "lang", "text").withColumnRenamed("lang", "language")
-    rules = all_rules(spark).filter(F.col("id").isin("mail-address", "license-line"))
-    flagged = R.scan_rules(X.explode_lines(docs, "text"), rules, "language").select(
+    flagged = R.scan_texts(docs, all_rules(spark), "language").select(
         "doc_id", F.lit(0).alias("predicted")).distinct()
     scored = S.score_predictions(
         table(spark, sf, "labels"), flagged, ["doc_id"], F.col("predicted") == F.col("quality"), ["toxic"])
@@ -478,10 +546,10 @@ SELECT doc_id, line, rule_name FROM (
 WHERE CASE rule_name WHEN 'starts-upper-E' THEN starts_with(line_text, 'E')
       ELSE length(line_text) - length(replace(line_text, ',', '')) > 10 END""")
 def custom_rules(spark, sf):
-    R.register_rule("starts-upper-E", lambda line: line.startswith("E"))
-    R.register_rule("many-commas", lambda line: F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))) > 10)
+    rules = R.register_rule({}, "starts-upper-E", lambda line: line.startswith("E"))
+    R.register_rule(rules, "many-commas", lambda line: F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))) > 10)
     lines = X.explode_lines(texts(spark, sf, "documents", "doc_id", "text"), "text")
-    return R.scan_custom_rules(lines, ["starts-upper-E", "many-commas"])
+    return R.scan_custom_rules(lines, rules)
 
 
 @query("predict", """

@@ -1,11 +1,12 @@
-"""Session defaults, shared scratch folders and size checks."""
+"""Session defaults, shared scratch folders and tables read in blocks."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def builder(app: str = "findspan") -> SparkSession.Builder:
@@ -27,20 +28,14 @@ def builder(app: str = "findspan") -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
-    temporary folder: on a cluster the executors would not see it.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder beside the
+    warehouse tables serves, which all executors reach as well.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="findspan-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_findspan"
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured.rstrip("/")
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
@@ -57,24 +52,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SMALL_INPUT = 1 << 30
+def in_blocks(df: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
+    """The rows of a table of rules, templates or candidates, about ``size`` at a time.
 
-
-def spread_small(df: DataFrame, below: int = SMALL_INPUT) -> DataFrame:
-    """Spread the rows of a small input over all cores before costly work on each row.
-
-    A file of one row group is one task however many cores wait. Inputs above the limit come in
-    enough splits of their own and are not shuffled.
+    A block holds the rows whose key's hash falls into it, so the driver never holds more than a block
+    and a table of any length is read to its end. An empty table is one empty block.
     """
-    if not hasattr(df, "_jdf"):
-        return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
-
-
-def dimension_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
-    """Read a small dimension (rules, providers, templates) after proving that it is small."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows")
-    return rows
+    blocks = max(1, -(-df.count() // size))
+    for block in range(blocks):
+        yield df.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).collect()
