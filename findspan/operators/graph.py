@@ -1,7 +1,7 @@
 """Graphs of references: resolving, coupling, cycles, levels and ancestry.
 
-The loops keep their state in checkpoints (one per round) and ask the driver only whether
-anything is left to do.
+The loops write their state to the shared folder (once per round), run until nothing changes
+and ask the driver only whether anything is left to do.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from findspan.session import cut_lineage
 
 # Extensions tried for a reference, in this order.
-REFERENCE_EXTENSIONS = ("", ".ts", ".tsx", ".js", ".jsx")
+REFERENCE_EXTENSIONS = ("", ".ts", ".tsx", ".js", ".jsx", ".json")
 
 
 def normal_path(path: Column) -> Column:
@@ -35,8 +35,9 @@ def resolve_edges(
 ) -> tuple[DataFrame, DataFrame]:
     """References to files: (``src``, ``ref``, ``dst``) edges and the unresolved (``src``, ``ref``).
 
-    The path as written is tried first, then with each extension. Only relative references can
-    name files; all files count, whether they come before or after the referring one.
+    The path as written is tried first, then with each extension. References that start with a dot
+    are relative to the referring file, others to the root of the corpus; all files count, whether
+    they come before or after the referring one.
     """
     asked = refs.select(F.col("path").alias("src"), "ref").distinct()
     folder = F.regexp_extract("src", r"^(.*)/[^/]*\z", 1)
@@ -72,14 +73,15 @@ def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def _spread(edges: DataFrame, labels: DataFrame, max_rounds: int) -> DataFrame:
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest label that reaches each node along the edges, to the fixed point.
 
-    Only labels that fell in the last round travel on; a hub is a skewed key of the edge side,
-    which adaptive execution splits, and labels meet in a mergeable minimum.
+    Labels only fall, so the rounds end. Only labels that fell in the last round travel on; a hub is a
+    skewed key of the edge side, which adaptive execution splits, and labels meet in a mergeable
+    minimum.
     """
     state = labels.withColumn("moved", F.lit(True))
-    for _ in range(max_rounds):
+    while True:
         fresh = state.filter("moved").select(F.col("node").alias("src"), "label")
         pushed = edges.join(fresh, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("pushed"))
         state = cut_lineage(
@@ -91,7 +93,6 @@ def _spread(edges: DataFrame, labels: DataFrame, max_rounds: int) -> DataFrame:
         )
         if state.filter("moved").isEmpty():
             return state.select("node", "label")
-    raise RuntimeError(f"labels still move after {max_rounds} rounds")
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -106,20 +107,19 @@ def _trim(edges: DataFrame) -> DataFrame:
     )
 
 
-def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node: (``component``, ``node``).
 
     Each sweep colours every node with the smallest node that reaches it. The node a colour is
     named after and everything of that colour that reaches it form one component; edges between
-    colours can be on no cycle. Components leave the graph and the sweep repeats.
+    colours can be on no cycle. Components leave the graph and the sweep repeats until no edge is left;
+    each sweep takes the component of at least one colour away.
     """
     left = edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
     left = _trim(cut_lineage(left))
     found = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        colours = _spread(left, _nodes(left).withColumn("label", F.col("node")), max_rounds)
+    while not left.isEmpty():
+        colours = _spread(left, _nodes(left).withColumn("label", F.col("node")))
         source = colours.select(F.col("node").alias("src"), F.col("label").alias("src_colour"))
         target = colours.select(F.col("node").alias("dst"), F.col("label").alias("dst_colour"))
         inside = left.join(source, "src").join(target, "dst").filter("src_colour = dst_colour")
@@ -127,27 +127,30 @@ def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         # Backwards from the node that names the colour: 0 = reaches it, 1 = not known to.
         backwards = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         start = colours.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label"))
-        reach = _spread(backwards, start, max_rounds).filter("label = 0").select("node")
+        reach = _spread(backwards, start).filter("label = 0").select("node")
         members = cut_lineage(colours.join(reach, "node").select(F.col("label").alias("component"), "node"))
         found = members if found is None else found.union(members)
         left = inside.select("src", "dst")
         done = members.select("node")
         left = left.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(
             done.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        left = _trim(cut_lineage(left.select("src", "dst")))
-    else:
-        raise RuntimeError(f"components left after {max_rounds} sweeps")
+        left = _trim(left.select("src", "dst"))
     if found is None:
         return left.select(F.col("src").alias("component"), F.col("dst").alias("node"))
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
     return found.join(sizes, "component").select("component", "node", "size")
 
 
-def levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+#: Written levels that one plan reads before they are put together.
+LEVELS_PER_TABLE = 50
+
+
+def levels(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Dependency level of each node where ``dst`` depends on ``src``, and the problems.
 
     Level 0 depends on nothing; a node is one above its highest dependency. Problems name
-    endpoints missing from ``nodes``, ids given twice, and nodes on or behind cycles.
+    endpoints missing from ``nodes``, ids given twice, and nodes on or behind cycles. A round places one
+    level and carries on only the nodes that still wait; it ends when a level is empty.
     """
     links = edges.select("src", "dst").distinct()
     known = _nodes(links) if nodes is None else nodes.select("node").distinct()
@@ -161,54 +164,57 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1
             known.select(F.col("node").alias("dst")), "dst", "left_semi")
     links = cut_lineage(links.select("src", "dst"))
     waits = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("missing"))
-    state = known.join(waits, "node", "left").select(
-        "node",
-        F.coalesce("missing", F.lit(0)).alias("missing"),
-        F.when(F.col("missing").isNull(), 0).alias("level"),
-    )
-    for level in range(max_rounds):
-        state = cut_lineage(state)
-        placed = state.filter(F.col("level") == level)
-        if placed.isEmpty():
+    # Nodes of the current level have nothing missing, the others wait.
+    state = cut_lineage(known.join(waits, "node", "left").select("node", F.coalesce("missing", F.lit(0)).alias("missing")))
+    done: list[DataFrame] = []
+    level = 0
+    while True:
+        placed, waiting = state.filter("missing = 0").select("node"), state.filter("missing > 0")
+        done.append(placed.withColumn("level", F.lit(level)))
+        if len(done) >= LEVELS_PER_TABLE:
+            done = [cut_lineage(_union(done))]
+        if placed.isEmpty() or waiting.isEmpty():
             break
         met = links.join(placed.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(
             F.count("*").alias("met"))
-        left = F.col("missing") - F.coalesce("met", F.lit(0))
-        state = state.join(met, "node", "left").select(
-            "node",
-            left.alias("missing"),
-            F.coalesce("level", F.when(left == 0, level + 1)).alias("level"),
-        )
-    else:
-        raise RuntimeError(f"nodes left after {max_rounds} levels")
-    problems.append(state.filter(F.col("level").isNull()).select("node", F.lit("cyclic").alias("problem")))
-    report = problems[0]
-    for more in problems[1:]:
-        report = report.unionByName(more)
-    return state.filter(F.col("level").isNotNull()).select("node", "level"), report
+        state = cut_lineage(waiting.join(met, "node", "left").select(
+            "node", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing")))
+        level += 1
+    problems.append(waiting.select("node", F.lit("cyclic").alias("problem")))
+    return _union(done), _union(problems)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
-def ancestry(children: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def ancestry(children: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chain of parents of every child, nearest first, and the children whose chain is circular.
 
-    Each round joins the open chains with the parents of their ends. Only chains still growing
-    take part, and a circular chain leaves the loop as soon as a node repeats.
+    A circular chain ends with the first node that comes again (or is the child). Each round joins the
+    open chains with the chains of their last nodes, so chains double and the rounds grow with
+    the logarithm of the longest one.
     """
-    step = children.select(F.col("child").alias("at"), F.col("parent").alias("next"))
-    step = cut_lineage(step.filter(F.col("next").isNotNull()))
-    grown = step.select(F.col("at").alias("child"), F.array("next").alias("chain"), F.col("next").alias("at"))
-    finished, circular = None, None
-    for _ in range(max_rounds):
-        grown = cut_lineage(grown)
-        repeated = (F.col("at") == F.col("child")) | (F.array_position("chain", F.col("at")) < F.size("chain"))
-        loops = grown.filter(repeated).select("child", "chain")
-        circular = loops if circular is None else circular.union(loops)
-        open_chains = grown.filter(~repeated)
-        extended = open_chains.join(step, "at", "left")
-        ended = extended.filter(F.col("next").isNull()).select("child", "chain")
-        finished = ended if finished is None else finished.union(ended)
-        grown = extended.filter(F.col("next").isNotNull()).select(
-            "child", F.concat("chain", F.array("next")).alias("chain"), F.col("next").alias("at"))
-        if grown.isEmpty():
-            return finished, circular
-    raise RuntimeError(f"chains still grow after {max_rounds} rounds")
+    step = children.filter(F.col("parent").isNotNull())
+    # Whether a chain goes on, has ended at a node without a parent, or turns in a circle.
+    start = F.when(F.col("parent") == F.col("child"), "circular").otherwise("open")
+    state = cut_lineage(step.select("child", F.array("parent").alias("chain"), start.alias("state")))
+    while not state.filter("state = 'open'").isEmpty():
+        tail = state.select(F.col("child").alias("__last"), F.col("chain").alias("__more"), F.col("state").alias("__then"))
+        grown = state.filter("state = 'open'").withColumn("__last", F.element_at("chain", -1)).join(tail, "__last", "left")
+        grown = grown.select(
+            "child", F.concat("chain", F.coalesce("__more", F.expr("slice(chain, 1, 0)"))).alias("chain"),
+            F.coalesce("__then", F.lit("ended")).alias("state"))
+        with_child = F.concat(F.array("child"), F.col("chain"))
+        turns = F.size(F.array_distinct(with_child)) < F.size(with_child)
+        # Place of the first node that was there before.
+        first = F.expr("array_min(filter(sequence(2, size(__all)), i -> array_position(__all, element_at(__all, i)) < i))")
+        closed = grown.withColumn("__all", F.when(turns, with_child)).select(
+            "child",
+            F.when(turns, F.slice("chain", F.lit(1), first - 1)).otherwise(F.col("chain")).alias("chain"),
+            F.when(turns, "circular").otherwise(F.col("state")).alias("state"))
+        state = cut_lineage(state.filter("state <> 'open'").unionByName(closed))
+    return tuple(state.filter(F.col("state") == s).select("child", "chain") for s in ("ended", "circular"))

@@ -44,12 +44,11 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint reliably, so that a lost executor costs a re-read and not a replay of all rounds."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back, so that a lost executor costs a re-read and
+    not a replay of all rounds. Unlike a checkpoint, a written table is computed once."""
+    path = work_dir(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_blocks(df: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
