@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from findspan.operators.running import running
-
 PROMPTS_SCHEMA = (
     "version string, optimized_prompts map<string, struct<template: string>>, "
     "copro_candidates struct<active: array<struct<name: string, template: string, score: double>>>, "
@@ -51,33 +49,49 @@ def version_timeline(
 ) -> DataFrame:
     """Version after each change, starting from 1.0.0: minor resets patch, major resets both.
 
-    Each part is a running count minus the count at its last reset; counts never fall, so the
-    count at the last reset is a running maximum.
+    Within a (key, bucket) the parts are counts since the last reset. A bucket is summed up as its number of
+    majors and the minors and patches after its last reset; that composes, so the sums of the earlier buckets
+    give where a bucket starts: one pass over the rows and one over the buckets. ``bucket`` must never
+    decrease along ``order`` within a key and bounds what one task sorts.
     """
-    kind = F.col(change)
-    counted = running(
-        changes, keys, order, bucket,
-        sums={
-            "__majors": (kind == "major").cast("long"),
-            "__minors": (kind == "minor").cast("long"),
-            "__patches": (kind == "patch").cast("long"),
-        },
-    )
-    reset = running(
-        counted, keys, order, bucket,
-        maxima={
-            "__minors_at_reset": F.when(kind == "major", F.col("__minors")),
-            "__patches_at_reset": F.when(kind.isin("major", "minor"), F.col("__patches")),
-        },
-    )
-    parts = (
-        F.col("__majors") + 1,
-        F.col("__minors") - F.coalesce("__minors_at_reset", F.lit(0)),
-        F.col("__patches") - F.coalesce("__patches_at_reset", F.lit(0)),
-    )
-    return reset.withColumn("version", F.concat_ws(".", *[p.cast("string") for p in parts])).select(
-        *changes.columns, "version"
-    )
+    kind = F.col("__kind")
+    group = F.struct(*keys, bucket.alias("__bucket"))
+    source = changes.withColumns({"__group": group, "__kind": F.col(change)})
+    inside = W.partitionBy("__group").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+
+    def upto(condition: Column) -> Column:
+        return F.sum(F.when(condition, 1).otherwise(0)).over(inside)
+
+    counted = source.withColumns({
+        "__majors": upto(kind == "major"), "__minors": upto(kind == "minor"), "__patches": upto(kind == "patch")})
+    counted = counted.withColumns({
+        "__minors_at": F.max(F.when(kind == "major", F.col("__minors"))).over(inside),
+        "__patches_at": F.max(F.when(kind.isin("major", "minor"), F.col("__patches"))).over(inside)})
+    # A bucket's own counts: all majors, and what follows its last major or minor (all, without one).
+    totals = counted.groupBy("__group").agg(
+        F.max("__majors").alias("majors"),
+        (F.max("__minors") - F.coalesce(F.max("__minors_at"), F.lit(0))).alias("minors"),
+        (F.max("__patches") - F.coalesce(F.max("__patches_at"), F.lit(0))).alias("patches"),
+        F.max("__minors_at").isNotNull().alias("major_reset"),
+        F.max("__patches_at").isNotNull().alias("reset"))
+    earlier = W.partitionBy(*[F.col("__group")[k] for k in keys]).orderBy(F.col("__group")["__bucket"])
+    before = earlier.rowsBetween(W.unboundedPreceding, -1)
+    # Sums since the last bucket with a reset, that one's rest included.
+    marks = totals.withColumns({
+        "minors_upto": F.sum("minors").over(earlier.rowsBetween(W.unboundedPreceding, 0)),
+        "patches_upto": F.sum("patches").over(earlier.rowsBetween(W.unboundedPreceding, 0))})
+    carried = marks.select(
+        "__group",
+        F.coalesce(F.sum("majors").over(before), F.lit(0)).alias("__majors_before"),
+        (F.coalesce(F.sum("minors").over(before), F.lit(0)) - F.coalesce(
+            F.max(F.when(F.col("major_reset"), F.col("minors_upto") - F.col("minors"))).over(before), F.lit(0))).alias("__minors_before"),
+        (F.coalesce(F.sum("patches").over(before), F.lit(0)) - F.coalesce(
+            F.max(F.when(F.col("reset"), F.col("patches_upto") - F.col("patches"))).over(before), F.lit(0))).alias("__patches_before"))
+    joined = counted.join(carried, "__group")
+    minors = F.when(F.col("__minors_at").isNull(), F.col("__minors") + F.col("__minors_before")).otherwise(F.col("__minors") - F.col("__minors_at"))
+    patches = F.when(F.col("__patches_at").isNull(), F.col("__patches") + F.col("__patches_before")).otherwise(F.col("__patches") - F.col("__patches_at"))
+    parts = (F.col("__majors") + F.col("__majors_before") + 1, minors, patches)
+    return joined.withColumn("version", F.concat_ws(".", *[p.cast("string") for p in parts])).select(*changes.columns, "version")
 
 
 def next_version(version: Column, change: Column) -> Column:
@@ -137,18 +151,25 @@ def effective_prompts(docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ``docs`` follows ``PROMPTS_SCHEMA`` plus the keys.
     """
     usable = docs.filter(F.col("version").isNull() | F.col("version").startswith("1."))
-    optimized = usable.select(*keys, F.explode("optimized_prompts").alias("name", "value")).select(
-        *keys, F.concat("name", F.lit("_optimized")).alias("name"), F.col("value.template").alias("template"),
-        F.col("name").alias("__base"))
-    candidates = usable.select(*keys, F.explode("copro_candidates.active").alias("c")).filter(
-        (F.col("c.score") > HIGH_SCORE) & F.col("c.name").isNotNull()
-    ).select(*keys, F.concat("c.name", F.lit("_copro")).alias("name"), F.col("c.template").alias("template"),
-             F.col("c.name").alias("__base"))
-    better = optimized.unionByName(candidates).filter(F.col("template").isNotNull())
-    base = usable.select(*keys, F.explode("base_prompts").alias("__base", "value")).select(
-        *keys, F.col("__base").alias("name"), F.col("value.template").alias("template"), "__base"
-    ).filter(F.col("template").isNotNull()).join(better.select(*keys, "__base"), [*keys, "__base"], "left_anti")
-    return better.unionByName(base).select(*keys, "name", "template")
+
+    def entries(column: str) -> Column:
+        return F.coalesce(F.map_entries(column), F.array().cast("array<struct<key:string,value:struct<template:string>>>"))
+
+    def entry(base: Column, suffix: str, template: Column) -> Column:
+        return F.struct(F.concat(base, F.lit(suffix)).alias("name"), template.alias("template"), base.alias("base"))
+
+    # All three sections are in the row, so choosing among them needs neither a join nor a shuffle.
+    optimized = F.transform(entries("optimized_prompts"), lambda e: entry(e["key"], "_optimized", e["value"]["template"]))
+    active = F.coalesce("copro_candidates.active", F.array().cast("array<struct<name:string,template:string,score:double>>"))
+    good = F.filter(active, lambda c: (c["score"] > HIGH_SCORE) & c["name"].isNotNull())
+    candidates = F.transform(good, lambda c: entry(c["name"], "_copro", c["template"]))
+    better = F.filter(F.concat(optimized, candidates), lambda p: p["template"].isNotNull())
+    chosen = usable.select(*keys, "base_prompts", better.alias("__better"))
+    base = F.filter(
+        F.transform(entries("base_prompts"), lambda e: entry(e["key"], "", e["value"]["template"])),
+        lambda p: p["template"].isNotNull() & ~F.exists("__better", lambda b: b["base"] == p["name"]))
+    return chosen.select(*keys, F.explode(F.concat("__better", base)).alias("__p")).select(
+        *keys, F.col("__p.name").alias("name"), F.col("__p.template").alias("template"))
 
 
 def template_variables(template: Column) -> Column:

@@ -18,18 +18,18 @@ from findspan.streaming import streams as T
 
 
 @query("scan_corpus", """
-SELECT lang, source, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents
-WHERE lang IN ('en', 'fr') AND source <> 'src3' GROUP BY lang, source""")
+SELECT 'lang=' || lang || '/source=' || source || '/doc ' || doc_id AS folder, strlen(text) + 1 AS bytes, md5(text || chr(10)) AS text_md5
+FROM documents WHERE lang IN ('en', 'fr') AND source NOT IN ('src3', 'src5')""")
 def scan_corpus(spark, sf):
-    """Documents as text files in folders by language and source."""
+    """A folder per document, by language and source; a glob and ignore rules leave some out."""
     folder = work_dir(spark, "corpus")
-    docs = table(spark, sf, "documents").select("lang", "source", "text")
-    docs.repartition("lang", "source").write.partitionBy("lang", "source").text(folder)
-    files = S.scan_corpus(spark, folder, include=["lang={en,fr}/**/*.txt"], exclude=["**/source=src3/**"], max_kb=100_000)
-    lines = X.explode_lines(files, "text", ["path"])
-    return lines.groupBy(
-        F.regexp_extract("path", r"lang=(\w+)/", 1).alias("lang"), F.regexp_extract("path", r"source=(\w+)/", 1).alias("source")
-    ).agg(F.count("*").alias("lines"))
+    docs = table(spark, sf, "documents").select("lang", "source", F.concat(F.lit("doc "), F.col("doc_id")).alias("doc"), "text")
+    docs.write.partitionBy("lang", "source", "doc").text(folder)
+    files = S.scan_corpus(
+        spark, folder, include=["lang={en,fr}/**/*.txt"], exclude=["**/source=src3/**"], ignore=["# sources", "source=src5/"], max_kb=100_000)
+    return files.select(
+        F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "doc=", "").alias("folder"), "bytes",
+        F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("read_findings", f"""
@@ -73,7 +73,8 @@ def read_rules(spark, sf):
         ordered = F.array_sort(F.collect_list(F.when(condition, placed)))
         return F.transform(ordered, lambda x: x["rule"])
 
-    p.groupBy("p_type").agg(F.struct(
+    # A catalogue for every 64 part numbers of a type, so none grows with the table.
+    p.groupBy("p_type", F.expr("p_partkey div 64")).agg(F.struct(
         rules(size < 10).alias("static_rules"), rules((size >= 10) & (size < 30)).alias("behavioral_rules"),
         rules(size >= 30).alias("hybrid_rules")).alias("rulebase")).select("rulebase").write.json(folder)
     return S.read_rules(spark, folder, one_per_line=True).select("id", "name", "kind", "severity", "cost", "autofix")
@@ -101,12 +102,32 @@ def append_run_log(spark, sf):
 
 
 @query("stream_findings", FINDINGS_SQL + """
-SELECT file_path::BIGINT AS doc_id, line, rule_name, matched FROM findings WHERE source = 'documents' AND rule_name <> 'license-line'""")
+SELECT source, file_path, line, rule_name, matched, suggested_fix FROM findings""")
 def stream_findings(spark, sf):
-    docs = T.stream_table(spark, sf, "documents").select("doc_id", "text")
-    rules = all_rules(spark).filter("array_contains(languages, '*')")
-    found = T.stream_findings(docs, rules).select("doc_id", "line", "rule_name", "matched")
-    return T.drain(found, work_dir(spark, "stream-findings")).select("doc_id", "line", "rule_name", "matched")
+    """All three tables of texts as streams, all rules."""
+    docs = T.stream_table(spark, sf, "documents").select(
+        F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("file_path"), F.col("lang").alias("language"), "text")
+    pages = T.stream_table(spark, sf, "pages").select(
+        F.lit("pages").alias("source"), F.col("page_id").cast("string").alias("file_path"), F.lit("html").alias("language"),
+        F.col("html").alias("text"))
+    talks = T.stream_table(spark, sf, "conversations").select(
+        F.lit("conversations").alias("source"), F.concat_ws("/", "conv_id", "turn").alias("file_path"), F.lit("chat").alias("language"), "text")
+    found = T.stream_findings(docs.unionByName(pages).unionByName(talks), all_rules(spark), language="language")
+    columns = ("source", "file_path", "line", "rule_name", "matched", "suggested_fix")
+    return T.drain(found.select(*columns), work_dir(spark, "stream-findings")).select(*columns)
+
+
+def _shuffled_events(spark, sf, *columns):
+    """Events as a stream of five files that are not in time order, and a last one with an event that lets time pass."""
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = work_dir(spark, "events")
+    for part in range(5):
+        some = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == part)
+        some.coalesce(1).write.mode("append").parquet(folder)
+    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
+    clock = last.select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
+    clock.coalesce(1).write.mode("append").parquet(folder)
+    return T.stream_files(spark, folder, events.schema, 1).select(*columns)
 
 
 @query("stream_pattern_stats", f"""
@@ -127,10 +148,10 @@ def stream_pattern_stats(spark, sf):
 SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS calls, least(count(*), 2) AS accepted,
        greatest(count(*) - 2, 0) AS rejected FROM events GROUP BY 1, 2""")
 def stream_throttle(spark, sf):
-    # Spark's watermarks need an instant, so the zone-less column is read as UTC.
-    calls = T.stream_table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    counted = T.stream_throttle(calls, ["user_id"], "at", 2, "1 day", "1 day")
-    written = T.drain(counted, work_dir(spark, "stream-throttle"), "update")
+    # The files are in no order, so the watermark allows for the time they span.
+    calls = _shuffled_events(spark, sf, "user_id", F.col("ts").alias("at"))
+    counted = T.stream_throttle(calls, ["user_id"], "at", 2, "1 day", "60 days")
+    written = T.drain(counted, work_dir(spark, "stream-throttle"), "update").filter("user_id IS NOT NULL")
     return T.last_state(written, ["user_id", "window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -144,19 +165,27 @@ placed AS (SELECT e.event_id, e.user_id, e.ts, max(o.window_start) AS window_sta
            FROM events e JOIN opened o ON o.user_id = e.user_id AND o.window_start <= e.ts GROUP BY ALL)
 SELECT event_id, row_number() OVER (PARTITION BY user_id, window_start ORDER BY ts, event_id) <= 2 AS accepted FROM placed""")
 def stream_throttle_exact(spark, sf):
-    calls = T.stream_table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    admitted = T.stream_throttle_exact(calls, ["user_id"], "ts", "event_id", 2, 86400)
-    return T.drain(admitted, work_dir(spark, "stream-exact")).select("event_id", "accepted")
+    calls = _shuffled_events(spark, sf, "event_id", "user_id", "ts")
+    admitted = T.stream_throttle_exact(calls, ["user_id"], "ts", "event_id", 2, 86400, "60 days")
+    return T.drain(admitted, work_dir(spark, "stream-exact")).filter("event_id IS NOT NULL").select("event_id", "accepted")
 
 
 @query("stream_dedup", """
-SELECT count(DISTINCT event_type || '/' || props) AS requests FROM events""")
+WITH RECURSIVE answers AS (
+    SELECT event_type, props, min(ts) AS opened FROM events GROUP BY event_type, props
+    UNION ALL
+    SELECT a.event_type, a.props, (SELECT min(e.ts) FROM events e
+           WHERE e.event_type = a.event_type AND e.props = a.props AND e.ts >= a.opened + INTERVAL 1 DAY)
+    FROM answers a WHERE a.opened IS NOT NULL),
+placed AS (SELECT e.event_id, e.event_type, e.props, e.ts, max(a.opened) AS opened
+           FROM events e JOIN answers a ON a.event_type = e.event_type AND a.props = e.props AND a.opened <= e.ts GROUP BY ALL),
+named AS (SELECT *, first_value(event_id) OVER (PARTITION BY event_type, props, opened ORDER BY ts, event_id) AS answered_by FROM placed)
+SELECT event_id, answered_by, event_id = answered_by AS fresh FROM named""")
 def stream_dedup(spark, sf):
-    """All events arrive at once, so each content is answered once."""
-    requests = T.stream_table(spark, sf, "events").select("event_id", "event_type", "props", F.col("ts").cast("timestamp").alias("ts"))
-    kept = T.stream_dedup(requests, ["event_type", "props"], "ts")
-    written = T.drain(kept, work_dir(spark, "stream-dedup"))
-    return written.agg(F.count("*").alias("requests"))
+    """Events of one type and properties ask for the same; an answer is good for a day."""
+    requests = _shuffled_events(spark, sf, "event_id", "event_type", "props", "ts")
+    answered = T.stream_dedup(requests, ["event_type", "props"], "ts", "event_id", 86400, "60 days")
+    return T.drain(answered, work_dir(spark, "stream-dedup")).filter("event_id IS NOT NULL").select("event_id", "answered_by", "fresh")
 
 
 @query("stream_run_summary", r"""
@@ -164,9 +193,13 @@ SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS runs, round
        round(avg(floor(value)), 6) AS avg_duration_ms, sum(regexp_extract(props, '\d+')::BIGINT)::BIGINT AS issues_found
 FROM events GROUP BY 1""")
 def stream_run_summary(spark, sf):
+    """The log comes in files that are in no order of time."""
     folder = work_dir(spark, "stream-runs")
-    _runs(spark, sf).drop("value").write.json(f"{folder}/log")
-    summary = T.stream_run_summary(T.stream_run_log(spark, f"{folder}/log"), window="6 hours", delay="30 days")
+    runs = _runs(spark, sf).drop("value")
+    for part in range(4):
+        some = runs.filter(F.pmod(F.xxhash64("file_path"), F.lit(4)) == part)
+        some.coalesce(1).write.mode("append").json(f"{folder}/log")
+    summary = T.stream_run_summary(T.stream_run_log(spark, f"{folder}/log", files_per_batch=1), window="6 hours", delay="60 days")
     written = T.drain(summary, folder, "update")
     return T.last_state(written, ["window_start"]).withColumns({
         "window_start": F.col("window_start").cast("timestamp_ntz"),

@@ -38,6 +38,41 @@ RUN_LOG_SCHEMA = (
 RUN_LOG_LIMIT = 5000
 
 
+def ignored(path: Column, rules: Sequence[str]) -> Column:
+    """Whether ignore rules leave a file out; ``path`` is relative to the folder the rules are for.
+
+    The rules are the lines of an ignore file: ``#`` comments, ``!`` takes a rule back, a name without
+    ``/`` counts at any depth, one with ``/`` from the top, one with ``/`` at the end only for folders. The last rule that
+    matches decides, and nothing below an ignored folder comes back.
+    """
+    parts = F.split(path, "/")
+    # Every folder on the way and at last the file itself.
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("path"), (n < F.size(parts)).alias("folder")),
+    )
+
+    def left_out(step: Column) -> Column:
+        verdict = F.lit(False)
+        for line in rules:
+            rule = line.rstrip("\n").rstrip()
+            if not rule or rule.startswith("#"):
+                continue
+            back = rule.startswith("!")
+            rule = rule.removeprefix("!").removeprefix("\\")
+            folders_only = rule.endswith("/")
+            rule = rule.rstrip("/")
+            if "/" not in rule:
+                rule = "**/" + rule
+            hit = step["path"].rlike(glob_regex(rule.removeprefix("/"), literal_separator=True))
+            if folders_only:
+                hit = hit & step["folder"]
+            verdict = F.when(hit, F.lit(not back)).otherwise(verdict)
+        return verdict
+
+    return F.exists(steps, left_out)
+
+
 def scan_corpus(
     spark: SparkSession,
     path: str,
@@ -45,24 +80,32 @@ def scan_corpus(
     exclude: Sequence[str] = (),
     max_kb: int | None = None,
     file_glob: str | None = None,
+    ignore: Sequence[str] = (),
 ) -> DataFrame:
     """Files below a folder: relative ``path``, ``bytes``, ``modified`` and ``text``.
 
-    Globs apply to the path and ``max_kb`` to the size in whole KB. Both are filters on file
+    Globs and ``ignore`` rules (see :func:`ignored`) apply to the path and ``max_kb`` to the size in whole KB. All are filters on file
     metadata, so Spark drops other files while it plans the scan and never opens them;
-    ``file_glob`` already prunes the listing.
+    ``file_glob`` already prunes the listing. ``INCLUDE`` and ``EXCLUDE`` are the usual globs for
+    source code. The folder is an absolute path or a URI.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
-    # The scan reports absolute URIs; what follows the root is the path within the corpus.
-    root = re.sub(r"^[A-Za-z0-9+.-]+:/+", "/", path).rstrip("/") + "/"
-    inside = F.substring_index(F.col("_metadata.file_path"), root, -1)
+    # The scan reports escaped absolute URIs; what follows the root is the path within the corpus.
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    root = "/" + re.sub(scheme, "", path).strip("/") + "/"
+    if not re.sub(scheme, "", path).startswith("/"):
+        raise ValueError("the corpus folder must be an absolute path or a URI")
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    inside = F.substring(F.regexp_replace(whole, scheme, ""), F.lit(len(root) + 1), F.lit(1 << 30))
     files = reader.load(path)
     if include:
         files = files.filter(inside.rlike(glob_regex(include)))
     if exclude:
         files = files.filter(~inside.rlike(glob_regex(exclude)))
+    if ignore:
+        files = files.filter(~ignored(inside, ignore))
     if max_kb is not None:
         files = files.filter(F.col("_metadata.file_size") < (max_kb + 1) * 1024)
     return files.select(
@@ -76,8 +119,8 @@ def scan_corpus(
 def read_findings(spark: SparkSession, path: str, source: str, one_per_line: bool = False) -> DataFrame:
     """Findings from nested lint reports; numeric (2, 1) and textual severities are accepted.
 
-    Missing texts become empty and missing numbers 0. Each file is one JSON array, or with
-    ``one_per_line`` each line is one, so that large files split over tasks.
+    Missing texts become empty and missing numbers 0. Each file is one JSON array and is read by
+    one task, as linters write it; with ``one_per_line`` each line is an array, so that files of any size split over tasks.
     """
     reports = spark.read.schema(REPORT_SCHEMA).option("multiLine", str(not one_per_line).lower()).json(path)
     message = reports.select(
@@ -100,17 +143,22 @@ def report_severity(raw: Column) -> Column:
 
 def read_rules(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """One row per rule id from catalogues with static, behavioural and hybrid rules; the later
-    entry of an id wins, over files in order of their names."""
+    entry of an id wins, over files in order of their names and over the lines of a file."""
     catalog = spark.read.schema(CATALOG_SCHEMA).option("multiLine", str(not one_per_line).lower()).json(path)
+    # Within a task rows count up in the order of the file, and blocks of a file say where they start.
+    catalog = catalog.select(
+        "rulebase", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__line"))
     kinds = ("static", "behavioral", "hybrid")
     parts = [
         catalog.select(
-            F.input_file_name().alias("__file"), F.lit(order).alias("__kind_order"), F.lit(kind).alias("kind"),
+            "__file", "__block", "__line", F.lit(order).alias("__kind_order"), F.lit(kind).alias("kind"),
             F.posexplode(f"rulebase.{kind}_rules").alias("__place", "rule"),
         )
         for order, kind in enumerate(kinds)
     ]
-    rules = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("__file", "__kind_order", "__place", "kind", "rule.*")
+    rules = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+        "__file", "__block", "__line", "__kind_order", "__place", "kind", "rule.*")
     rules = rules.withColumns(
         {
             "severity": severity_label(F.col("severity")),
@@ -120,8 +168,8 @@ def read_rules(spark: SparkSession, path: str, one_per_line: bool = False) -> Da
             "dependencies": F.coalesce("dependencies", F.array().cast("array<string>")),
         }
     )
-    last = latest_per_key(rules, ["id"], ["__file", "__kind_order", "__place"])
-    return last.drop("__file", "__kind_order", "__place")
+    last = latest_per_key(rules, ["id"], ["__file", "__block", "__line", "__kind_order", "__place"])
+    return last.drop("__file", "__block", "__line", "__kind_order", "__place")
 
 
 def read_run_log(spark: SparkSession, path: str, schema: str | StructType = RUN_LOG_SCHEMA) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +13,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from findspan.functions.scoring import ratio
-from findspan.operators.corpus import explode_lines
 from findspan.operators.findings import message_template
-from findspan.operators.rules import scan_rules
+from findspan.operators.rules import scan_texts
 from findspan.operators.versions import latest_per_key
 from findspan.sources.files import RUN_LOG_SCHEMA
 
 
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """Parquet files of one folder as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
     """A parquet table of a folder as a stream; its schema comes from the files already there."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
@@ -42,7 +48,7 @@ def stream_findings(
     stream: DataFrame, rules: DataFrame, text: str = "text", language: str | None = None
 ) -> DataFrame:
     """Rule findings on arriving texts. Stateless: the source's checkpoint makes each file count once."""
-    return scan_rules(explode_lines(stream, text), rules, language)
+    return scan_texts(stream, rules, language, text)
 
 
 def stream_pattern_stats(findings: DataFrame, seen_at: str = "seen_at", mode: str = "literals") -> DataFrame:
@@ -70,37 +76,118 @@ def stream_throttle(
     )
 
 
-def stream_throttle_exact(
-    calls: DataFrame, keys: Sequence[str], ts: str, tie: str, per_window: int = 20, window_seconds: int = 60
+def _windows(at: np.ndarray, opened: int | None, width: int) -> np.ndarray:
+    """Start of the window of each ascending time: a window opens at the first time at least ``width`` after the last start."""
+    starts = np.empty(len(at), dtype=np.int64)
+    first = 0
+    while first < len(at):
+        if opened is None or at[first] >= opened + width:
+            opened = int(at[first])
+        end = int(np.searchsorted(at, opened + width, "left"))
+        starts[first:end] = opened
+        first = end
+    return starts
+
+
+def _in_event_order(
+    calls: DataFrame, keys: Sequence[str], ts: str, tie: str, width: int, delay: str, added: Sequence[tuple[str, str]],
+    judge: Callable[[pd.DataFrame, np.ndarray, dict], pd.DataFrame],
 ) -> DataFrame:
-    """Accepts or rejects each call; a window opens at the first call after the last one has run out.
+    """Rows of each key, judged in the order of their times behind the watermark.
 
-    State per key is the start of the open window and its number of calls.
+    A row waits in the state until the watermark has passed its time, because an earlier one may still
+    arrive; then it can't any more (Spark drops later ones as late), so files in any order give the same
+    result as all rows at once. ``judge`` sees rows in order with the starts of their windows and a
+    dict that it may keep things in. When nothing waits and the window has run out, the state of the key is removed.
+    The last rows come out when later ones of any key have moved the watermark on.
     """
-    schema = T.StructType(list(calls.schema.fields)).add("accepted", T.BooleanType())
-    width = pd.Timedelta(seconds=window_seconds)
+    schema = T.StructType(list(calls.schema.fields))
+    for name, kind in added:
+        schema = schema.add(name, T.DataType.fromDDL(kind))
+    columns = [f.name for f in schema.fields]
 
     def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, used = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, 0)
-        rows = pd.concat(list(parts)).sort_values([ts, tie])
-        verdicts = []
-        for at in rows[ts]:
-            if opened is None or at - opened >= width:
-                opened, used = at, 0
-            verdicts.append(used < per_window)
-            used += used < per_window
-        state.update((int(opened.value // 1000), used))
-        yield rows.assign(accepted=verdicts)
-
-    return calls.groupBy(*keys).applyInPandasWithState(
-        admit, schema, "opened long, used int", "append", GroupStateTimeout.NoTimeout
+        kept = pickle.loads(state.get[0]) if state.exists else {"waiting": None, "opened": None}
+        arrived = [] if state.hasTimedOut else [p for p in parts if len(p)]
+        waiting = [kept["waiting"]] if kept["waiting"] is not None else []
+        rows = pd.concat([*waiting, *arrived], ignore_index=True) if waiting or arrived else None
+        passed = state.getCurrentWatermarkMs() * 1000
+        out = None
+        if rows is not None:
+            rows = rows.sort_values([ts, tie], ignore_index=True)
+            at = rows[ts].to_numpy("datetime64[us]").astype(np.int64)
+            ready = int(np.searchsorted(at, passed, "right")) if passed > 0 else 0
+            if ready:
+                starts = _windows(at[:ready], kept["opened"], width)
+                out = judge(rows.iloc[:ready], starts, kept)
+                kept["opened"] = int(starts[-1])
+            kept["waiting"] = rows.iloc[ready:].reset_index(drop=True) if ready < len(rows) else None
+        # The next row that may be judged, or the end of the window.
+        if kept["waiting"] is not None:
+            due = int(kept["waiting"][ts].to_numpy("datetime64[us]").astype(np.int64)[0])
+        else:
+            due = kept["opened"] + width
+        if kept["waiting"] is None and due <= passed:
+            state.remove()
+        else:
+            state.update((pickle.dumps(kept),))
+            state.setTimeoutTimestamp(max(due, passed) // 1000 + 1)
+        if out is not None:
+            yield out[columns]
+
+    timed = calls.filter(F.col(ts).isNotNull()).withWatermark(ts, delay)
+    return timed.groupBy(*keys).applyInPandasWithState(
+        admit, schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def stream_dedup(requests: DataFrame, content: Sequence[str], ts: str, ttl: str = "5 minutes") -> DataFrame:
-    """Requests whose content was not seen within the time to live; the others reuse an earlier result."""
+def stream_throttle_exact(
+    calls: DataFrame, keys: Sequence[str], ts: str, tie: str, per_window: int = 20, window_seconds: int = 60,
+    delay: str = "60 seconds",
+) -> DataFrame:
+    """Accepts or rejects each call; a window opens at the first call after the last one has run out.
+
+    Calls are judged in the order of their times once the watermark has passed them, so late and
+    shuffled files change nothing; state per key is the open window, its number of calls and the calls that wait.
+    Calls without a time are left out.
+    """
+
+    def judge(rows: pd.DataFrame, starts: np.ndarray, kept: dict) -> pd.DataFrame:
+        before = kept.get("used", 0) if kept["opened"] == starts[0] else 0
+        first = np.searchsorted(starts, starts, "left")
+        place = np.arange(len(rows)) - first + np.where(starts == starts[0], before, 0)
+        kept["used"] = int(place[-1]) + 1
+        return rows.assign(accepted=place < per_window)
+
+    width = int(window_seconds * 1_000_000)
+    return _in_event_order(calls, keys, ts, tie, width, delay, [("accepted", "boolean")], judge)
+
+
+def stream_dedup(
+    requests: DataFrame, content: Sequence[str], ts: str, tie: str, ttl_seconds: int = 300, delay: str = "5 minutes"
+) -> DataFrame:
+    """Requests with ``answered_by``, the ``tie`` of the request whose result they get, and ``fresh`` (their own).
+
+    A request is answered anew if the last fresh answer to the same content is at least the time to live
+    old, otherwise it gets that answer. Times decide, not the order of arrival.
+    """
+    kind = requests.schema[tie].dataType.simpleString()
+
+    def judge(rows: pd.DataFrame, starts: np.ndarray, kept: dict) -> pd.DataFrame:
+        first = np.searchsorted(starts, starts, "left")
+        ties = rows[tie].to_numpy()
+        answered = ties[first]
+        fresh = np.arange(len(rows)) == first
+        if kept["opened"] == starts[0]:
+            own = starts == starts[0]
+            answered = np.where(own, kept["opener"], answered)
+            fresh = fresh & ~own
+        kept["opener"] = answered[-1]
+        return rows.assign(answered_by=answered, fresh=fresh)
+
     keyed = requests.withColumn("content_key", F.sha2(F.to_json(F.struct(*content)), 256))
-    return keyed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["content_key"])
+    width = int(ttl_seconds * 1_000_000)
+    return _in_event_order(keyed, ["content_key"], ts, tie, width, delay, [("answered_by", kind), ("fresh", "boolean")], judge)
 
 
 def stream_run_summary(
@@ -115,9 +202,11 @@ def stream_run_summary(
     ).select(F.col("__window.start").alias("window_start"), "runs", "success_rate", "avg_duration_ms", "issues_found")
 
 
-def stream_run_log(spark: SparkSession, folder: str, schema: str = RUN_LOG_SCHEMA) -> DataFrame:
+def stream_run_log(
+    spark: SparkSession, folder: str, schema: str = RUN_LOG_SCHEMA, files_per_batch: int = 1000
+) -> DataFrame:
     """The JSON-lines run log as a stream."""
-    return spark.readStream.schema(schema).json(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
