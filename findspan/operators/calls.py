@@ -156,6 +156,10 @@ def micros_of(df: DataFrame, ts: str) -> Column:
     return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
 
 
+# Calls of one pandas frame, about.
+FRAME_ROWS = 250_000
+
+
 def _ordered_moments(part: pd.DataFrame, width: int, stretch: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     """Moments by key, stretch and time; where each group begins; and for each moment the index of
     the first one of its group at least ``width`` later (-1 if none)."""
@@ -189,10 +193,13 @@ def _accept_first(calls: DataFrame, window: str, at: str, tie: str, per_window:
 def throttle_aligned(
     calls: DataFrame, keys: Sequence[str], ts: str, tie: str, per_window: int = 20, window: str = "60 seconds"
 ) -> DataFrame:
-    """Accept the first ``per_window`` calls of each clock-aligned window per key; ``tie`` tells calls of a key apart."""
-    opened = calls.withColumn("window_start", F.window(F.col(ts), window)["start"])
+    """Accept the first ``per_window`` calls of each clock-aligned window per key; ``tie`` tells calls of a key apart.
+    Calls without a time are rejected and have no window."""
+    opened = calls.filter(F.col(ts).isNotNull()).withColumn("window_start", F.window(F.col(ts), window)["start"])
+    start_type = opened.schema["window_start"].dataType
+    untimed = calls.filter(F.col(ts).isNull()).select("*", F.lit(None).cast(start_type).alias("window_start"), F.lit(False).alias("accepted"))
     marked = _accept_first(opened.withColumn("__window", F.struct(*keys, "window_start")), "__window", ts, tie, per_window)
-    return marked.select(*calls.columns, "window_start", "accepted")
+    return marked.select(*calls.columns, "window_start", "accepted").unionByName(untimed)
 
 
 def throttle(
@@ -211,15 +218,16 @@ def throttle(
     function of it: given when the last window before the stretch opened, which one is the last
     inside? Each (key, stretch) is summarised to that function in parallel, the functions of a key
     are chained, and the windows inside each stretch then follow independently. So the calls of a
-    busy key are spread over its stretches, and only summaries meet in one task. Many stretches
-    share one pandas frame, sized by the number of shuffle partitions.
+    busy key are spread over its stretches, and only summaries meet in one task, which walks from stretch to
+    stretch. Many stretches share one pandas frame of about ``FRAME_ROWS`` calls. Calls without a
+    time are rejected and have no window.
     """
     width = int(window_seconds * 1_000_000)
     stretch = int((bucket_seconds or max(window_seconds * 60, 1)) * 1_000_000)
-    chunks = 4 * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(4 * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), calls.count() // FRAME_ROWS + 1)
     # The key travels as text so that any key type passes through pandas unchanged.
     timed = calls.withColumns({"__id": F.to_json(F.struct(*keys)), "__at": micros_of(calls, ts)})
-    moments = timed.select("__id", "__at").distinct().withColumn("__stretch", F.floor(F.col("__at") / stretch))
+    moments = timed.filter("__at is not null").select("__id", "__at").distinct().withColumn("__stretch", F.floor(F.col("__at") / stretch))
 
     def chunk(*columns: str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(chunks)).alias("__chunk")
@@ -242,18 +250,32 @@ def throttle(
         return part[step][["__id", "__stretch", "entry", "leave"]]
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__id", "__stretch", "entry"])
-        rows, opened, done = [], None, False
-        for key, number, entry, leave in part[["__id", "__stretch", "entry", "leave"]].itertuples(index=False):
-            if not rows or rows[-1][0] != key:
-                opened, following = None, None
-            if not rows or rows[-1][:2] != (key, number):
-                opened, done = following, False
-                rows.append((key, number, opened))
-            if not done and (opened is None or entry >= opened + width):
-                following, done = leave, True
-        out = pd.DataFrame(rows, columns=["__id", "__stretch", "opened"])
-        return out.astype({"opened": "Int64"})
+        part = part.sort_values(["__id", "__stretch", "entry"], ignore_index=True)
+        codes = part["__id"].factorize()[0].astype(np.int64)
+        entry, leave, number = (part[c].to_numpy() for c in ("entry", "leave", "__stretch"))
+        # Keys are laid out one after another with room between them, so one search serves all.
+        room = int(entry.max() - entry.min()) + 2 * width + 1
+        line = codes * room + (entry - entry.min())
+        following = np.searchsorted(line, codes * room + (leave - entry.min()) + width)
+        same = following < len(part)
+        same[same] = codes[following[same]] == codes[same]
+        step = np.where(same, following, -1).tolist()
+        # From each key's first entry to the entry that follows its outcome, and so on: one step per stretch at most.
+        path = []
+        for at in np.flatnonzero(np.append(True, codes[1:] != codes[:-1])).tolist():
+            while at >= 0:
+                path.append(at)
+                at = step[at]
+        first = np.append(True, (codes[1:] != codes[:-1]) | (number[1:] != number[:-1]))
+        begins = np.flatnonzero(first)
+        # A stretch is entered with the outcome of the last step of its key before it.
+        path = np.array(path, dtype=np.int64)
+        last = np.searchsorted(path, begins, "left") - 1
+        reached = path[np.maximum(last, 0)]
+        known = (last >= 0) & (codes[reached] == codes[begins]) & (number[reached] < number[begins])
+        opened = pd.array(np.where(known, leave[reached], 0), dtype="Int64")
+        opened[~known] = pd.NA
+        return pd.DataFrame({"__id": part["__id"].to_numpy()[begins], "__stretch": number[begins], "opened": opened})
 
     def place(part: pd.DataFrame) -> pd.DataFrame:
         part, first, after = _ordered_moments(part, width, stretch)
@@ -278,35 +300,44 @@ def throttle(
     placed = moments.join(states, ["__id", "__stretch"]).groupBy(chunk("__id", "__stretch")).applyInPandas(
         place, "__id string, __at long, __opened long")
     marked = timed.join(placed, ["__id", "__at"])
+    untimed = calls.filter(F.col(ts).isNull()).select("*", F.col(ts).alias("window_start"), F.lit(False).alias("accepted"))
     # A window opens at a call, so its first call gives its start in the column's own type.
     return (
         _accept_first(marked.withColumn("__window", F.struct("__id", "__opened")), "__window", ts, tie, per_window)
         .select(*calls.columns, F.col("__opening").alias("window_start"), "accepted")
+        .unionByName(untimed)
     )
 
 
 def first_success(attempts: DataFrame, keys: Sequence[str], score: str, success: str, tie: str,
-                  keep: Sequence[str] = ()) -> DataFrame:
+                  keep: Sequence[str] = (), error: str | None = None) -> DataFrame:
     """Attempts are tried by descending score: the first that succeeds and how many failed before it.
 
     Requests without a success have a null winner and all their attempts as failures. The winner
-    is a mergeable maximum; failures are counted against it in a second mergeable pass.
+    is a mergeable maximum; failures are counted against it in a second mergeable pass. With ``error`` a request
+    that failed altogether carries ``errors``, those of its attempts in order (null for others).
     """
     place = F.struct(F.col(score).alias("score"), (-F.col(tie)).alias("order"))
     best = F.struct(place.alias("place"), *[F.col(c) for c in (tie, *keep)])
     tried = attempts.withColumn("__request", F.struct(*keys)).withColumn("__place", place)
     winners = tried.groupBy("__request").agg(F.max(F.when(F.col(success), best)).alias("__won"))
+    message = F.struct((-F.col(score)).alias("at"), F.col(tie), (F.lit(None) if error is None else F.col(error)).cast("string").alias("error"))
     failed = ~F.col(success) & (F.col("__won").isNull() | (F.col("__place") > F.col("__won")["place"]))
+    listed = F.when(F.col("__won").isNull(), F.transform(F.array_sort("__errors"), lambda e: e["error"]))
     return (
         tried.join(winners, "__request")
         .groupBy("__request", "__won")
-        .agg(F.count_if(failed).alias("failures_before"))
+        .agg(
+            F.count_if(failed).alias("failures_before"),
+            F.collect_list(F.when(F.col("__won").isNull(), message)).alias("__errors"),
+        )
         .select(
             *[F.col("__request")[k].alias(k) for k in keys],
             F.col("__won")["place"]["score"].alias(score),
             *[F.col("__won")[c].alias(c) for c in (tie, *keep)],
             F.col("__won").isNotNull().alias("succeeded"),
             "failures_before",
+            *([] if error is None else [listed.alias("errors")]),
         )
     )
 

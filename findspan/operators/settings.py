@@ -77,7 +77,7 @@ def effective_settings(
         loops = loops.unionByName(more)
     loops = loops.distinct()
     # Lowest first: a deeper list sorts before the file that it belongs to, an earlier place before a later one.
-    order = F.concat(F.transform("rank", lambda r: r), F.array(F.lit(2147483647)))
+    order = F.concat("rank", F.array(F.lit(2147483647)))
     placed = layers.join(loops, "file", "left_anti").select("file", order.alias("__layer"), "layer")
     values = placed.join(settings.withColumnRenamed("file", "layer"), "layer")
     merged = merge_layers(values, "file", path, value, "__layer", separator)

@@ -321,12 +321,15 @@ WITH a AS (SELECT *, event_type <> 'error' AS success FROM events),
 w AS (SELECT user_id, props, arg_max(event_id, (value, -event_id)) FILTER (success) AS winner FROM a GROUP BY user_id, props),
 t AS (SELECT w.*, e.value FROM w LEFT JOIN events e ON e.event_id = w.winner)
 SELECT t.user_id, t.props, t.value, t.winner AS event_id, t.winner IS NOT NULL AS succeeded,
-       count(*) FILTER (NOT a.success AND (t.winner IS NULL OR a.value > t.value OR (a.value = t.value AND a.event_id < t.winner))) AS failures_before
-FROM t JOIN a ON a.user_id = t.user_id AND a.props = t.props GROUP BY ALL""")
+       count(*) FILTER (NOT a.success AND (t.winner IS NULL OR a.value > t.value OR (a.value = t.value AND a.event_id < t.winner))) AS failures_before,
+       CASE WHEN t.winner IS NULL THEN string_agg(a.event_type || a.event_id, '|' ORDER BY a.value DESC, a.event_id) END AS errors
+FROM t JOIN a ON a.user_id = t.user_id AND a.props = t.props GROUP BY t.user_id, t.props, t.value, t.winner""")
 def first_success(spark, sf):
     """Events of a user with the same properties are attempts at one request."""
-    attempts = table(spark, sf, "events").withColumn("success", F.col("event_type") != "error")
-    return C.first_success(attempts, ["user_id", "props"], "value", "success", "event_id")
+    attempts = table(spark, sf, "events").withColumns(
+        {"success": F.col("event_type") != "error", "message": F.concat("event_type", "event_id")})
+    tried = C.first_success(attempts, ["user_id", "props"], "value", "success", "event_id", error="message")
+    return tried.withColumn("errors", F.array_join("errors", "|"))
 
 
 @query("usage_rollup", """
@@ -500,14 +503,14 @@ m AS (SELECT *, sum(minor) OVER (PARTITION BY user_id, majors ORDER BY ts, event
 SELECT event_id, user_id, (majors + 1) || '.' || minors || '.' ||
        sum(patch) OVER (PARTITION BY user_id, majors, minors ORDER BY ts, event_id) AS version FROM m""")
 def version_timeline(spark, sf):
-    timeline = V.version_timeline(_changes(spark, sf), ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    timeline = V.version_timeline(_changes(spark, sf), ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
     return timeline.select("event_id", "user_id", "version")
 
 
 @query("running_mean", """
 SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1e-9, 6) AS running_mean FROM events""")
 def running_mean(spark, sf):
-    means = mean_so_far(_changes(spark, sf), ["user_id"], ["ts", "event_id"], "value", F.date_trunc("day", "ts"))
+    means = mean_so_far(_changes(spark, sf), ["user_id"], ["ts", "event_id"], "value", F.date_trunc("hour", "ts"))
     return means.select("event_id", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean"))
 
 
@@ -641,3 +644,39 @@ def merge_layers(spark, sf):
     layers = e.select(F.col("user_id").alias("tenant"), F.col("event_id").alias("layer"), path.alias("path"),
                       F.col("value").cast("string").alias("value"))
     return G.merge_layers(layers)
+
+
+@query("effective_settings", """
+SELECT 'region/' || r_regionkey AS file, 'a' AS path, r_name AS value FROM region
+UNION ALL SELECT 'region/' || r_regionkey, 'b|x', r_regionkey::VARCHAR FROM region
+UNION ALL SELECT 'nation/' || n_nationkey, 'a', r_name FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'nation/' || n_nationkey, 'b', n_name FROM nation
+UNION ALL SELECT 'customer/' || c_custkey, 'a', r_name FROM customer JOIN region ON r_regionkey = c_custkey % 5
+UNION ALL SELECT 'customer/' || c_custkey, 'b|x', (c_custkey % 5)::VARCHAR FROM customer
+UNION ALL SELECT 'customer/' || c_custkey, 'b|y', c_mktsegment FROM customer WHERE c_custkey % 2 = 0""")
+def effective_settings(spark, sf):
+    """Customers build on their nation, which builds on its region, and then on another region."""
+    region, nation, customer = (table(spark, sf, t) for t in ("region", "nation", "customer"))
+
+    def name(kind, key):
+        return F.concat(F.lit(kind + "/"), key)
+
+    r, n, c = name("region", F.col("r_regionkey")), name("nation", F.col("n_nationkey")), name("customer", F.col("c_custkey"))
+    none = F.array().cast("array<string>")
+    files = (
+        region.select(r.alias("file"), none.alias("extends"))
+        .unionByName(nation.select(n.alias("file"), F.array(name("region", F.col("n_regionkey"))).alias("extends")))
+        .unionByName(customer.select(
+            c.alias("file"), F.array(name("nation", F.col("c_nationkey")), name("region", F.col("c_custkey") % 5)).alias("extends")))
+    )
+
+    def setting(df, file, path, value):
+        return df.select(file.alias("file"), F.lit(path).alias("path"), F.col(value).cast("string").alias("value"))
+
+    settings = (
+        setting(region, r, "a", "r_name").unionByName(setting(region, r, "b|x", "r_regionkey"))
+        .unionByName(setting(nation, n, "b", "n_name"))
+        .unionByName(setting(customer.filter("c_custkey % 2 = 0"), c, "b|y", "c_mktsegment"))
+    )
+    merged, _ = G.effective_settings(files, settings, separator="|")
+    return merged

@@ -1,6 +1,7 @@
 """Files and streams on small fixtures."""
 
 import json
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -29,6 +30,39 @@ def test_corpus_files(spark, tmp_path):
     assert fs.scan_corpus(spark, str(tmp_path)).count() == 5
 
 
+def test_corpus_paths_are_decoded_and_relative_to_the_root(spark, tmp_path):
+    root = tmp_path / "corpus"
+    names = ["y.ts", "lib/corpus/y.ts", "a b/x.ts", "50%/+c.ts", "é/z.ts", f"deep{tmp_path}/corpus/w.ts"]
+    for name in names:
+        file = root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(name)
+    found = fs.scan_corpus(spark, str(root))
+    assert rows(found, "path") == sorted([(n,) for n in names], key=repr)
+    assert all(r.path == r.text for r in found.collect())
+    assert rows(fs.scan_corpus(spark, f"file://{root}/", ["a b/*"]), "path") == [("a b/x.ts",)]
+
+
+def test_ignore_rules(spark):
+    from findspan.sources.files import ignored
+
+    rules = ["# comment", "", "build/", "*.log", "!keep.log", "/top.ts", "docs/*.md", "gen", "!gen/kept.ts", "\\#odd"]
+    cases = {
+        "a.ts": False, "build/x.ts": True, "src/build/x.ts": True, "build": False, "x.log": True, "a/b/y.log": True, "keep.log": False,
+        "a/keep.log": False, "build/keep.log": True, "top.ts": True, "a/top.ts": False, "docs/a.md": True, "docs/a/b.md": False,
+        "a/docs/a.md": False, "gen/kept.ts": True, "gen": True, "#odd": True,
+    }
+    paths = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert {r.path: r.out for r in paths.select("path", ignored(F.col("path"), rules).alias("out")).collect()} == cases
+
+
+def test_later_line_of_a_catalogue_wins(spark, tmp_path):
+    rule = lambda name: {"id": "r", "name": name, "severity": "error"}
+    lines = [json.dumps({"rulebase": {"static_rules": [rule(f"n{k}")]}}) for k in range(500)]
+    (tmp_path / "rules.json").write_text("\n".join(lines))
+    assert fs.read_rules(spark, str(tmp_path), one_per_line=True).first().name == "n499"
+
+
 def test_reports(spark, tmp_path):
     one = [{"filePath": "a.ts", "messages": [
         {"ruleId": "no-eval", "message": "m", "line": 3, "column": 7, "severity": 2, "fix": {"text": "x"}}, {"ruleId": "no-console", "severity": 1}]}]
@@ -103,6 +137,9 @@ def _at(second):
     return datetime(2024, 1, 1, 0, second // 60, second % 60)
 
 
+FAR = 3590
+
+
 def test_exact_stream_throttle_keeps_its_windows_between_batches(spark, tmp_path):
     folder = str(tmp_path / "in")
     calls = [(i, "k", _at(s)) for i, s in enumerate((0, 10, 20, 61, 62, 63))]
@@ -110,11 +147,41 @@ def test_exact_stream_throttle_keeps_its_windows_between_batches(spark, tmp_path
     first = fs.stream_throttle_exact(_read_calls(spark, folder), ["key"], "ts", "id", 2, 60)
     T.drain(first, str(tmp_path / "out"))
     _write_calls(spark, folder, calls[4:])
+    _write_calls(spark, folder, [(99, "clock", _at(FAR))])
     again = fs.stream_throttle_exact(_read_calls(spark, folder), ["key"], "ts", "id", 2, 60)
     got = T.drain(again, str(tmp_path / "out"))
     assert rows(got, "id", "accepted") == [(0, True), (1, True), (2, False), (3, True), (4, True), (5, False)]
 
 
+def test_exact_stream_throttle_goes_by_time_not_arrival(spark, tmp_path):
+    """Two calls a long time apart, the later one first: both are accepted."""
+    folder = str(tmp_path / "in")
+    _write_calls(spark, folder, [(2, "k", _at(600))])
+    _write_calls(spark, folder, [(1, "k", _at(0))])
+    _write_calls(spark, folder, [(99, "clock", _at(FAR))])
+    exact = fs.stream_throttle_exact(_read_calls(spark, folder), ["key"], "ts", "id", 1, 60, "20 minutes")
+    assert rows(T.drain(exact, str(tmp_path / "out")), "id", "accepted") == [(1, True), (2, True)]
+
+
+def test_shuffled_stream_equals_the_batch(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rng = random.Random(8)
+    calls = [(i, rng.choice("aab"), _at(rng.randrange(1200))) for i in range(150)]
+    for part in range(5):
+        _write_calls(spark, folder, calls[part::5])
+    _write_calls(spark, folder, [(999, "clock", _at(FAR))])
+    exact = fs.stream_throttle_exact(_read_calls(spark, folder), ["key"], "ts", "id", 2, 60, "30 minutes")
+    batch = fs.throttle(spark.createDataFrame(calls, "id int, key string, ts timestamp"), ["key"], "ts", "id", 2, 60)
+    assert rows(T.drain(exact, str(tmp_path / "exact")), "id", "accepted") == rows(batch, "id", "accepted")
+    reuse = fs.stream_dedup(_read_calls(spark, folder), ["key"], "ts", "id", 60, "30 minutes")
+    fresh, owner = {}, []
+    for i, key, at in sorted(calls, key=lambda c: (c[2], c[0])):
+        if key not in fresh or (at - fresh[key][1]).total_seconds() >= 60:
+            fresh[key] = (i, at)
+        owner.append((i, fresh[key][0], fresh[key][0] == i))
+    assert rows(T.drain(reuse, str(tmp_path / "reuse")), "id", "answered_by", "fresh") == sorted(owner, key=repr)
+
+
 def test_stream_counts_and_late_calls(spark, tmp_path):
     folder = str(tmp_path / "in")
     _write_calls(spark, folder, [(i, "k", _at(i)) for i in range(5)] + [(9, "k", _at(3000))])
@@ -129,10 +196,11 @@ def test_stream_counts_and_late_calls(spark, tmp_path):
 def test_stream_reuses_recent_requests(spark, tmp_path):
     folder = str(tmp_path / "in")
     _write_calls(spark, folder, [(1, "same", _at(0)), (2, "other", _at(1))])
-    T.drain(fs.stream_dedup(_read_calls(spark, folder), ["key"], "ts"), str(tmp_path / "out"))
-    _write_calls(spark, folder, [(3, "same", _at(60))])
-    got = T.drain(fs.stream_dedup(_read_calls(spark, folder), ["key"], "ts"), str(tmp_path / "out"))
-    assert rows(got, "id") == [(1,), (2,)]
+    T.drain(fs.stream_dedup(_read_calls(spark, folder), ["key"], "ts", "id"), str(tmp_path / "out"))
+    _write_calls(spark, folder, [(3, "same", _at(60)), (4, "same", _at(300)), (5, "same", _at(599))])
+    _write_calls(spark, folder, [(99, "clock", _at(FAR))])
+    got = T.drain(fs.stream_dedup(_read_calls(spark, folder), ["key"], "ts", "id"), str(tmp_path / "out"))
+    assert rows(got, "id", "answered_by", "fresh") == [(1, 1, True), (2, 2, True), (3, 1, False), (4, 4, True), (5, 4, False)]
 
 
 def test_stream_statistics_equal_the_batch(spark, tmp_path):

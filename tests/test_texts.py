@@ -267,8 +267,7 @@ def test_custom_rule(spark):
     def hashed(x):
         return x.str.startswith("#")
 
-    fs.register_rule("vectorised", hashed)
-    assert rows(fs.scan_custom_rules(lines, ["vectorised"]), "line") == [(1,), (3,)]
+    assert rows(fs.scan_custom_rules(lines, fs.register_rule({}, "vectorised", hashed)), "line") == [(1,), (3,)]
 
 
 def test_text_metrics(spark):
