@@ -26,13 +26,9 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
     """A parquet table of a folder as a stream; its schema comes from the files already there."""
+    # As a pattern the path may be one file or a folder of files; a plain path to a file is refused.
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    return stream_files(spark, f"{folder}/{name}.parque[t]", schema, files_per_batch)
 
 
 def stream_corpus(spark: SparkSession, folder: str, glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
