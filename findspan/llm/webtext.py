@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,12 +281,19 @@ def extract_main_text(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     )
     gone = seen.join(recurring, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [packer.compress(p.encode("utf-8", "surrogatepass")) for p in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["row", "page_id", "url", "packed"])
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 found = [
-                    extract(page, frozenset(digests or ()))
+                    extract(opener.decompress(page).decode("utf-8", "surrogatepass"), frozenset(digests or ()))
                     for page, digests in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -293,7 +301,9 @@ def extract_main_text(pages: DataFrame, min_pages: int = 8) -> DataFrame:
                     ["page_id", "url", "text", "n_chars"],
                 )
 
+    # Pages travel compressed to the digests of what recurs in them.
+    packed = rows.select("row", "page_id", "url", "html").mapInArrow(squeeze, "row long, page_id long, url string, packed binary")
     return (
-        rows.join(gone, "row", "left").select("page_id", "url", "html", "gone")
+        packed.join(gone, "row", "left").select("page_id", "url", "packed", "gone")
         .mapInArrow(clean, "page_id long, url string, text string, n_chars long")
     )
