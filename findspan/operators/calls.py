@@ -61,7 +61,9 @@ ERROR_KINDS = [
     ("WorkflowError", True, "Warning", "workflow"),
 ]
 
+# Known roles, and the note about another one.
 ROLES = ("system", "user", "assistant")
+ROLE_NOTE = ("Invalid role '", "', defaulting to user: ")
 
 
 def default_providers(spark: SparkSession) -> DataFrame:
@@ -395,7 +397,7 @@ def conversation_role(role: Column, content: Column) -> tuple[Column, Column]:
     """Known roles pass; others become user messages that say so."""
     known = F.coalesce(role.isin(*ROLES), F.lit(False))
     note = F.concat(
-        F.lit("Invalid role '"), F.coalesce(role, F.lit("")), F.lit("', defaulting to user: "), F.coalesce(content, F.lit(""))
+        F.lit(ROLE_NOTE[0]), F.coalesce(role, F.lit("")), F.lit(ROLE_NOTE[1]), F.coalesce(content, F.lit(""))
     )
     return F.when(known, role).otherwise("user"), F.when(known, content).otherwise(note)
 

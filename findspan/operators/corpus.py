@@ -106,6 +106,7 @@ def _probe(low: Column) -> Column:
             test = test & low.contains(needle)
         return test
 
+    # What tells each language, in this order.
     return (
         F.when(has("#!/usr/bin/env python") | has("import ", "def "), "python")
         .when(has("#!/bin/bash") | has("#!/bin/sh"), "bash")

@@ -108,6 +108,11 @@ def pattern_clusters(stats: DataFrame) -> DataFrame:
     )
 
 
+# Name and description of a proposed rule; the description has the count and the template put in.
+PROPOSED_NAME = "Adaptive Rule: "
+PROPOSED_DESCRIPTION = ("AI-generated rule for pattern detected ", " times: ")
+
+
 def propose_rules(
     stats: DataFrame, known: DataFrame | None = None, min_count: int = 3, min_confidence: float = 0.8
 ) -> DataFrame:
@@ -118,10 +123,10 @@ def propose_rules(
         stats.filter(F.col("count") >= min_count)
         .select(
             F.concat(F.lit("adaptive_"), F.col("pattern_id")).alias("rule_id"),
-            F.concat(F.lit("Adaptive Rule: "), F.col("rule_id")).alias("name"),
+            F.concat(F.lit(PROPOSED_NAME), F.col("rule_id")).alias("name"),
             F.concat(
-                F.lit("AI-generated rule for pattern detected "), F.col("count").cast("string"),
-                F.lit(" times: "), F.col("message_template"),
+                F.lit(PROPOSED_DESCRIPTION[0]), F.col("count").cast("string"),
+                F.lit(PROPOSED_DESCRIPTION[1]), F.col("message_template"),
             ).alias("description"),
             F.lit("warning").alias("severity"),
             F.round((frequency + consistency) / 2, 9).alias("confidence"),
@@ -199,6 +204,13 @@ def confident_fixes(fixes: DataFrame, minimum: float = FIX_CONFIDENCE) -> DataFr
 DEFAULT_LITERAL = r"\"[^\"\n]*\"|'[^'\n]*'"
 
 
+# Kind, message, advice, confidence and impact of the two findings about literals.
+CREDENTIAL_FINDING = (
+    "hardcoded-credential", "Potential hardcoded credential detected",
+    "// Use environment variables or secure key management", 0.8, 8)
+URL_FINDING = ("insecure-url", "Insecure HTTP URL detected", "// Use HTTPS instead of HTTP", 0.9, 7)
+
+
 def secret_literals(df: DataFrame, text: str, literal_re: str = DEFAULT_LITERAL) -> DataFrame:
     """String literals that look like credentials, and literals with plain http addresses."""
     kept = [c for c in df.columns if c != text]
@@ -216,11 +228,8 @@ def secret_literals(df: DataFrame, text: str, literal_re: str = DEFAULT_LITERAL)
 
     found = F.array_compact(
         F.array(
-            F.when(credential, finding(
-                "hardcoded-credential", "Potential hardcoded credential detected",
-                "// Use environment variables or secure key management", 0.8, 8)),
-            F.when(low.startswith("http://"), finding(
-                "insecure-url", "Insecure HTTP URL detected", "// Use HTTPS instead of HTTP", 0.9, 7)),
+            F.when(credential, finding(*CREDENTIAL_FINDING)),
+            F.when(low.startswith("http://"), finding(*URL_FINDING)),
         )
     )
     return (
