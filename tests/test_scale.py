@@ -1,5 +1,10 @@
 """No limits: long rule tables, templates, chains and talks; hot keys; literal values of the fixed tables."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -148,3 +153,19 @@ def test_values_of_the_fixed_tables():
     assert rules.PATTERN_RULES[2][3] == r"(password|secret|key|token)\s*[:=]\s*['\"][^'\"]+['\"]"
     assert corpus.NESTING_NEEDLES == ("{", "if ", "else if", "switch", "case ", "for ", "while ", "do ", " && ", " || ")
     assert [s[0] for s in corpus.LINE_SMELLS] == ["long-line", "multiple-statements"]
+
+
+def test_worker_functions_need_no_package_on_the_path(tmp_path):
+    """Only the driver knows where the library is; its workers start in an empty folder."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(fs.__file__).resolve().parents[1])!r})
+import findspan as fs
+from findspan.session import builder
+spark = builder("ship").master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+calls = spark.sql("SELECT id, 'k' AS key, timestamp_seconds(id * 40) AS ts FROM range(4)")
+print(fs.throttle(calls, ["key"], "ts", "id", 1, 60).filter("accepted").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240, check=True)
+    assert done.stdout.split()[-1] == "2"
