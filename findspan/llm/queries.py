@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findspan.llm import chat, contamination, fuzzyhash, importance, licenses, ngrams, packing, simhash, toxicity, webtext
-from findspan.llm.common import table
+from findspan.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,10 +17,15 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            small_batches(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
-        return fn
+        return run
 
     return register
 

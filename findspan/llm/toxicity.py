@@ -18,7 +18,7 @@ BITS = 20
 #: FTRL-proximal: step, offset of the per-coordinate rates, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 0.1
 #: Labelled rows to learn from, rows of one learner, and rows it sees in all its rounds.
-SAMPLE_ROWS, LEARNER_ROWS, SEEN_ROWS = 20_000, 10_000, 40_000
+SAMPLE_ROWS, LEARNER_ROWS, SEEN_ROWS = 20_000, 5_000, 40_000
 
 
 def slots(text: str) -> np.ndarray:
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
     chosen = texts(docs).join(F.broadcast(sample), "doc_id")  # at most ``rows`` pairs of numbers
 
     def to_slots(batch: pa.RecordBatch) -> pa.RecordBatch:
-        blobs = [np.unique(slots(t)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+        blobs = [np.append(np.unique(slots(t)), np.uint64(1 << BITS)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(blobs, pa.binary()), batch.column(2)], ["doc_id", "slots", "label"]
         )
@@ -89,11 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
         part = part.iloc[np.random.default_rng(42).permutation(len(part))]
         positive = max(1, int((part["label"] == 1).sum()))
         boost = float(np.clip((len(part) - positive) / positive, 1.0, 4.0))
-        model, bias = Ftrl(), np.array([1 << BITS])
-        made = [
-            (np.concatenate([np.frombuffer(b, "<u4").astype(np.int64), bias]), int(y))
-            for b, y in zip(part["slots"], part["label"], strict=True)
-        ]
+        model = Ftrl()
+        made = [(np.frombuffer(b, "<u4"), int(y)) for b, y in zip(part["slots"], part["label"], strict=True)]
         for _ in range(min(16, max(4, SEEN_ROWS // len(made)))):
             for at, label in made:
                 model.learn(at, label, boost if label else 1.0)
