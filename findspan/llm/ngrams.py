@@ -23,7 +23,7 @@ from findspan.llm.common import fold, mixed, saved, texts
 
 CHUNK_TOKENS = 1 << 20
 #: Hashes that one task adds up at a time, about.
-RANGE_KEYS = 2_000_000
+RANGE_KEYS = 1_000_000
 END = np.uint64(0x0123456789ABCDEF)
 #: Keys are 56 bits of a hash whose lowest two say the order.
 KEY_BITS = 56
@@ -164,7 +164,7 @@ def questions(table: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 grams = Grams(row["held"], row["lengths"], row["words"], row["ids"])
                 keys, order = grams.asked()
                 counts = np.concatenate([grams.counts(n) for n in (1, 2, 3)])[order].astype(np.uint32)
@@ -273,7 +273,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     tokens, train = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tokens // RANGE_KEYS + 1)
     answered = saved(
-        questions(table, ranges).groupBy("range").applyInPandas(answer, "chunk long, range long, totals binary, words long, events binary"),
+        questions(table, ranges).repartition(ranges, "range").groupBy("range").applyInPandas(answer, "chunk long, range long, totals binary, words long, events binary"),
         "answers",
     )
     words = answered.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
@@ -301,8 +301,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    asked = table.select("chunk", "doc_ids", "held", "lengths", "words", "ids")
-    return asked.join(replies, "chunk").drop("chunk").mapInArrow(run, SCORES)
+    # A few chunks a task, however many there are.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // (4 * CHUNK_TOKENS) + 1)
+    asked = table.select("chunk", "doc_ids", "held", "lengths", "words", "ids").repartition(parts, "chunk")
+    return asked.join(replies.repartition(parts, "chunk"), "chunk").drop("chunk").mapInArrow(run, SCORES)
 
 
 def summed_events(answered: DataFrame) -> DataFrame:
