@@ -149,7 +149,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     named = roots.join(prints, roots.u == prints.fp).select("u", "v", "least")
     lowest = named.groupBy("v").agg(F.min("least").alias("lowest"))
     linked = named.join(lowest, "v").select(F.col("u").alias("fp"), "lowest")
-    groups = prints.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    groups = saved(prints.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "groups")
+    # Both sides are plain tables here, so Spark can split a fingerprint that very many documents share.
     return rows.join(groups, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
 
 
