@@ -1,4 +1,14 @@
-"""Benchmark passages in documents: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark passages in documents: rare n-gram seeds, then Smith-Waterman alignment.
+
+Seeds are pairs of words, and a place is aligned wherever the seeds leave a score of ``threshold`` possible, so the
+result is that of aligning every item with every document. Let an alignment of an item of L words match m of
+them and reach ``2 * threshold * L`` points. Words left out, replaced or put in cost one point each, ``2 * m - 2 *
+threshold * L`` in all at most, and no more than L - m words of the item can be left out or replaced. So at least
+``(4 * threshold - 1) / 3 * L - 1`` neighbours of the item are matched as neighbours or with one word put in between, and the
+alignment covers at most ``(3 - 2 * threshold) * L`` words of the document. An item for which this is no
+more than 0 also has seeds from words with one between; any of more than ``1 / threshold`` words then has a seed in
+every such alignment, because without one each further match costs the two points that it brings.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +24,8 @@ from pyspark.sql import functions as F
 from findspan.llm.common import free_name, mixed, texts
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
-SEED_WORDS = 3
+#: Shorter items have no rows.
+LEAST_WORDS = 3
 #: Points of an equal word, of another word, and of a word left out on either side.
 EQUAL, OTHER, GAP = 2, -1, -1
 #: Share of an item's best possible score from which a document counts as contaminated.
@@ -29,11 +40,31 @@ def words(text: str) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, found), dtype=np.uint64, count=len(found))
 
 
-def seeds(hashes: np.ndarray) -> np.ndarray:
-    """Hash of each run of three words."""
-    if len(hashes) < SEED_WORDS:
-        return hashes[:0]
-    return mixed(mixed(hashes[:-2], hashes[1:-1]), hashes[2:])
+def neighbours(hashes: np.ndarray) -> np.ndarray:
+    """Hash of each word and the next."""
+    return mixed(hashes[:-1], hashes[1:])
+
+
+def jumps(hashes: np.ndarray) -> np.ndarray:
+    """Hash of each word and the next but one."""
+    return mixed(hashes[:-2], hashes[2:])
+
+
+def pairs(hashes: np.ndarray) -> np.ndarray:
+    """What a document can match seeds with: neighbours, then words with one between."""
+    return np.concatenate([neighbours(hashes), jumps(hashes)])
+
+
+def least_hits(length: int, threshold: float) -> int:
+    """How many neighbours of an item every alignment that reaches the threshold has; 0: maybe none."""
+    return max(0, int(np.ceil((4 * threshold - 1) / 3 * length - 1 - 1e-9)))
+
+
+def seeds(item: np.ndarray, threshold: float) -> np.ndarray:
+    """The hashes by which an item is found in documents."""
+    if len(item) < LEAST_WORDS:
+        return item[:0]
+    return neighbours(item) if least_hits(len(item), threshold) else pairs(item)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -53,11 +84,14 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class SeedIndex:
-    """Which items have a seed, and where; sorted arrays that are small enough to travel to every task."""
+    """Which items have a seed, and how many seeds in how many words of a text make an alignment worthwhile.
+
+    Sorted arrays that are small enough to travel to every task.
+    """
 
-    def __init__(self, hashes: np.ndarray, items: np.ndarray, places: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, items: np.ndarray, least: np.ndarray, spans: np.ndarray) -> None:
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.items, self.places = hashes[order], items[order], places[order]
+        self.hashes, self.items, self.least, self.spans = hashes[order], items[order], least, spans
 
     def maybe(self) -> np.ndarray:
         """Which 16-bit prefixes of hashes occur: most words of a text are ruled out by this."""
@@ -65,14 +99,33 @@ class SeedIndex:
         flags[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
         return flags
 
-    def hits(self, found: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of all seeds of a text."""
+    def hits(self, hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, item) of all seeds of a text, by item and place."""
+        found = pairs(hashes)
         at = np.flatnonzero(flags[(found >> np.uint64(48)).astype(np.int64)])
         left = np.searchsorted(self.hashes, found[at], "left")
         count = np.searchsorted(self.hashes, found[at], "right") - left
         at, left, count = at[count > 0], left[count > 0], count[count > 0]
         entry = np.repeat(left - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else left
-        return np.repeat(at, count), self.items[entry], self.places[entry]
+        at = np.where(at < len(hashes) - 1, at, at - (len(hashes) - 1))
+        at, item = np.repeat(at, count), self.items[entry]
+        order = np.lexsort((at, item))
+        return at[order], item[order]
+
+    def windows(self, hashes: np.ndarray, flags: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to): the parts of a text that alignments which reach the threshold lie in, by item and place."""
+        at, item = self.hits(hashes, flags)
+        first = np.arange(len(at))
+        last = first + self.least[item] - 1
+        first, last = first[last < len(at)], last[last < len(at)]
+        near = (item[first] == item[last]) & (at[last] - at[first] <= self.spans[item[first]])
+        owner, low, high = item[first[near]], at[first[near]], at[last[near]]
+        # Hits nearer than a span go to one window.
+        split = np.flatnonzero((np.diff(owner) != 0) | (low[1:] - high[:-1] > self.spans[owner[1:]])) + 1
+        for group in np.split(np.arange(len(owner)), split) if len(owner) else []:
+            k = int(owner[group[0]])
+            span = int(self.spans[k])
+            yield k, max(0, int(low[group[0]]) - span), int(high[group[-1]]) + span + 2
 
 
 def _frequencies(docs: DataFrame, known: np.ndarray) -> dict[int, int]:
@@ -85,7 +138,7 @@ def _frequencies(docs: DataFrame, known: np.ndarray) -> dict[int, int]:
         counts = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = seeds(words(text))
+                found = pairs(words(text))
                 found = np.unique(found[flags[(found >> np.uint64(48)).astype(np.int64)]])
                 if len(found) and len(known):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -97,45 +150,37 @@ def _frequencies(docs: DataFrame, known: np.ndarray) -> dict[int, int]:
     return {int(known[r["seed"]]): r["n"] for r in counted.toLocalIterator()}  # at most the seeds of a block
 
 
-def rare_seeds(items: list[np.ndarray], frequency: dict[int, int], share: float = 0.5, least: int = 12) -> SeedIndex:
-    """The rarest ``share`` of every item's seeds, ``least`` of them at least.
+def rare_seeds(items: list[np.ndarray], frequency: dict[int, int], threshold: float) -> SeedIndex:
+    """The seeds of every item that occur in documents, but for some of the most frequent.
 
-    Rarity is ranked within the item. A passage that very many documents hold keeps as many seeds as any other.
+    Every seed that is dropped lowers the number of hits that an item needs by one, and no more than half
+    of that number are dropped, so no window is lost. Rarity is ranked within the item.
     """
-    hashes, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    least, spans = np.ones(len(items), np.int64), np.zeros(len(items), np.int64)
     for k, item in enumerate(items):
-        found = seeds(item)
+        found = seeds(item, threshold)
         often = np.array([frequency.get(int(s), 0) for s in found], dtype=np.int64)
-        keep = np.argsort(often, kind="stable")[: max(least, int(np.ceil(share * len(found))))]
+        needed = max(1, least_hits(len(item), threshold))
+        dropped = needed // 2
+        keep = np.argsort(often, kind="stable")[: len(found) - dropped]
+        keep = keep[often[keep] > 0]
         hashes.append(found[keep])
         owners.append(np.full(len(keep), k))
-        places.append(keep.astype(np.int64))
-    return SeedIndex(np.concatenate(hashes), np.concatenate(owners), np.concatenate(places))
+        least[k], spans[k] = needed - dropped, int(np.ceil((3 - 2 * threshold) * len(item)))
+    return SeedIndex(np.concatenate(hashes), np.concatenate(owners), least, spans)
 
 
 def find_items(text: str, items: list[np.ndarray], index: SeedIndex, flags: np.ndarray, threshold: float) -> list[tuple[int, float, int]]:
     """(item, score, last word) of the items that a text holds, by item."""
     hashes = words(text)
-    at, item, place = index.hits(seeds(hashes), flags)
-    found: list[tuple[int, float, int]] = []
-    for k in np.unique(item):
-        words_of = items[k]
-        length = len(words_of)
-        start = np.sort((at - place)[item == k])
-        # Where the item would begin; beginnings within half an item belong to one window.
-        groups = np.split(start, np.flatnonzero(np.diff(start) > length // 2 + 1) + 1)
-        best, end = 0, 0
-        for group in groups:
-            if len(group) < 2 and length > 2 * SEED_WORDS:
-                continue  # one seed of a longer item: another two are needed for half of its score
-            low = max(0, int(group[0]) - length // 2)
-            window = hashes[low : int(group[-1]) + length + length // 2]
-            score, last = align(words_of, window)
-            if score > best:
-                best, end = score, low + last
-        if best >= threshold * EQUAL * length:
-            found.append((int(k), best / (EQUAL * length), end))
-    return found
+    best: dict[int, tuple[int, int]] = {}
+    for k, low, high in index.windows(hashes, flags):
+        score, last = align(items[k], hashes[low:high])
+        if score > best.get(k, (0, 0))[0]:
+            best[k] = score, low + last
+    full = {k: EQUAL * len(items[k]) for k in best}
+    return [(k, score / full[k], end) for k, (score, end) in best.items() if score >= threshold * full[k]]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
@@ -149,8 +194,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int | None], list[np.nd
 
 def matcher(docs: DataFrame, ids: list[int | None], items: list[np.ndarray], threshold: float):
     """A column function: the items of one block that a whole text holds."""
-    known = np.concatenate([np.zeros(0, np.uint64), *[seeds(i) for i in items]])
-    index = rare_seeds(items, _frequencies(docs, known))
+    known = np.concatenate([np.zeros(0, np.uint64), *[seeds(i, threshold) for i in items]])
+    index = rare_seeds(items, _frequencies(docs, known), threshold)
     flags = index.maybe()
 
     def match(series):
@@ -165,8 +210,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """One row per document and benchmark item it holds: doc_id, item_id, score, last_word.
 
     ``score`` is the item's best local alignment in the document as a share of a perfect one; exact copies have 1.
-    A window is aligned where at least two of the item's rare seeds (runs of three words, ranked by the
-    number of documents that have them) suggest one place. The benchmark goes to the tasks in blocks
+    A window is aligned where so many of the item's rare seeds (pairs of words, ranked by the number of
+    documents that have them) are close together that it could reach the threshold. The benchmark goes to the tasks in blocks
     of ``BLOCK_ITEMS`` items, so its size has no limit; texts are never shuffled. Items of fewer
     than three words have no seeds and no rows, as have null and empty texts. Repeated documents
     give repeated rows, repeated items one.

@@ -70,3 +70,63 @@ def test_empty_tables(spark):
     assert contamination.contaminated(docs, bench.limit(0)).count() == 0
     assert contamination.contaminated(docs.limit(0), bench).count() == 0
     assert contamination.keep_uncontaminated(docs, bench.limit(0)).count() == 1
+
+
+def edited(rng, passage, word, how):
+    """A copy of a passage: every n-th word replaced, left out or doubled by another, or a part of it alone."""
+    kind, n = how
+    if kind == "replaced":
+        return [word() if i % n == n - 1 else w for i, w in enumerate(passage)]
+    if kind == "left out":
+        return [w for i, w in enumerate(passage) if i % n != n - 1]
+    if kind == "put in":
+        return [x for i, w in enumerate(passage) for x in ([w, word()] if i % n == n - 1 else [w])]
+    length = max(1, round(len(passage) * n / 100))
+    at = rng.choice([0, len(passage) - length])
+    return passage[at : at + length]
+
+
+def test_edited_and_partial_copies_as_in_brute_force(spark):
+    rng = random.Random(17)
+    common = ["of", "the", "and", "to"]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else "".join(rng.choice("bcdfaeiou") for _ in range(7))
+    hows = [("replaced", n) for n in (2, 3, 4, 5, 6)] + [("left out", n) for n in (2, 3, 5)]
+    hows += [("put in", n) for n in (1, 2, 4)] + [("part", n) for n in (35, 40, 45, 50)]
+    items, docs, clear = [], [], 0
+    for length in (3, 4, 5, 6, 11, 30, 40, 60, 100):
+        for how in hows:
+            passage = [word() for _ in range(length)]
+            text = [word() for _ in range(rng.randint(20, 60))]
+            text[10:10] = edited(rng, passage, word, how)
+            items.append((len(items), " ".join(passage)))
+            docs.append((len(docs), " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {
+        (r.doc_id, r.item_id): r.score
+        for r in contamination.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    }
+    want = {}
+    for k, item in items:
+        a = contamination.words(item)
+        for i, text in docs:
+            score = contamination.align(a, contamination.words(text))[0] / (2 * len(a))
+            if score >= contamination.THRESHOLD:
+                want[i, k] = score
+                clear += i == k
+    assert got == want
+    assert clear > len(items) * 0.6  # most of the copies reach the threshold
+
+
+def test_every_alignment_at_the_threshold_has_the_seeds():
+    rng = random.Random(18)
+    for _ in range(3000):
+        threshold = rng.choice([0.3, 0.4, 0.6, 0.9])
+        item, text = ([rng.randrange(rng.choice([4, 12])) for _ in range(rng.randint(3, n))] for n in (25, 40))
+        a, b = np.array(item, np.uint64), np.array(text, np.uint64)
+        frequency = {int(s): rng.randint(1, 9) for s in contamination.seeds(a, threshold)}
+        index = contamination.rare_seeds([a], frequency, threshold)
+        if len(a) * threshold > 1:
+            best = contamination.align(a, b)[0]
+            windows = list(index.windows(b, index.maybe()))
+            found = max([contamination.align(a, b[low:high])[0] for _, low, high in windows], default=0)
+            assert found == best or best < threshold * 2 * len(a)
