@@ -155,25 +155,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """The documents that represent their near-duplicate component, all columns kept.
+    """The documents that represent their near-duplicate component, all columns kept."""
+    return keep_one(docs, near_duplicates(docs, key, text, radius), key, text)
 
-    Of each component the row with the least key stays (the least text hash where rows repeat a
-    key; one of rows that repeat both). Only keys and hashes travel to decide it; texts are
-    read again and shuffled once.
+
+def keep_one(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component of ``groups`` (doc_id, text_hash, component_id) the document with the least key, all columns kept.
+
+    The least text hash stays where rows repeat a key, one of rows that repeat both. Only keys and
+    hashes travel to decide it; texts are read again and shuffled once.
     """
-    groups = near_duplicates(docs, key, text, radius)
     kept = groups.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("keep")
-    ).select(_key_text("keep.doc_id").alias("_key"), F.col("keep.text_hash").alias("_hash"))
+    ).select(key_text("keep.doc_id").alias("_key"), F.col("keep.text_hash").alias("_hash"))
     # In a struct the columns keep their names, whatever they are called.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     left = whole.select(
-        "row", _key_text(f"row.`{key}`").alias("_key"),
+        "row", key_text(f"row.`{key}`").alias("_key"),
         F.xxhash64(F.coalesce(F.col(f"row.`{text}`"), F.lit(""))).alias("_hash"),
     )
     chosen = left.join(kept, ["_key", "_hash"], "left_semi")
     return chosen.groupBy("_key", "_hash").agg(F.first("row").alias("row")).select("row.*")
 
 
-def _key_text(column: str) -> F.Column:
+def key_text(column: str) -> F.Column:
     return F.coalesce(F.col(column).cast("long").cast("string"), F.lit(""))
