@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspan.llm import chat, contamination, fuzzyhash, importance, licenses, ngrams, packing, simhash, toxicity, webtext
+from findspan.llm import (
+    chat, contamination, divergence, exactcopies, fuzzyhash, importance, licenses, ngrams, packing, simhash, spelling, toxicity, webtext,
+)
 from findspan.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +87,18 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"),
     )
     return chat.conversation_digest(chat.format_windows(turns.unionByName(added)))
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_exactdedup", exactcopies.copies_sql())
+def op12_exactdedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exactcopies.exact_copies(table(spark, folder, "documents")).withColumnRenamed("text_digest", "text_sha256")
+
+
+@query("op13_divergence", divergence.divergence_sql())
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
