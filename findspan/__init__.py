@@ -81,6 +81,7 @@ from findspan.operators.rules import (
     scan_custom_rules,
     scan_rules,
     scan_texts,
+    scan_texts_indexed,
 )
 from findspan.operators.running import running, running_mean
 from findspan.operators.search import best_candidate, predict, score_predictions, search_candidates
@@ -101,6 +102,15 @@ from findspan.operators.versions import (
 )
 from findspan.plans.analyses import learn_rules, lint_texts, route_calls
 from findspan.sources.files import append_run_log, read_findings, read_rules, read_run_log, scan_corpus
+from findspan.sources.stored import (
+    changed_rows,
+    keep_snapshot,
+    read_stored,
+    read_stored_log,
+    reuse_results,
+    stream_to_run_log,
+    upsert_stored,
+)
 from findspan.streaming.streams import (
     stream_corpus,
     stream_dedup,

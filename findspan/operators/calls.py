@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from findspan.functions.ordered import first_at_least, window_starts
 from findspan.functions.scoring import ratio
 from findspan.functions.text import sql_text
+from findspan.session import cut_lineage
 
 PROVIDER_SCHEMA = (
     "name string, code_analysis double, code_generation double, complex_reasoning double, "
@@ -160,21 +162,18 @@ def micros_of(df: DataFrame, ts: str) -> Column:
 
 # Calls of one pandas frame, about.
 FRAME_ROWS = 250_000
+# Stretches of time that are composed to one.
+FAN = 64
 
 
-def _ordered_moments(part: pd.DataFrame, width: int, stretch: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """Moments by key, stretch and time; where each group begins; and for each moment the index of
+def _ordered_moments(part: pd.DataFrame, width: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Moments by key, stretch and time; the number of each one's group; where groups begin; and for each moment the index of
     the first one of its group at least ``width`` later (-1 if none)."""
     part = part.sort_values(["__id", "__stretch", "__at"], ignore_index=True)
     ids, number, at = part["__id"].to_numpy(), part["__stretch"].to_numpy(), part["__at"].to_numpy()
     first = np.append(True, (ids[1:] != ids[:-1]) | (number[1:] != number[:-1]))
     group = np.cumsum(first) - 1
-    # Groups are laid out one after another with room between them, so one search serves all.
-    line = group * (stretch + 2 * width) + (at - number * stretch)
-    after = np.searchsorted(line, line + width)
-    inside = after < len(part)
-    inside[inside] = group[after[inside]] == group[inside]
-    return part, first, np.where(inside, after, -1)
+    return part, group, first, first_at_least(group, at, group, at + width)
 
 
 def _accept_first(calls: DataFrame, window: str, at: str, tie: str, per_window: int) -> DataFrame:
@@ -218,89 +217,115 @@ def throttle(
 
     Where windows open depends on the whole past of a key, but a stretch of time is a small
     function of it: given when the last window before the stretch opened, which one is the last
-    inside? Each (key, stretch) is summarised to that function in parallel, the functions of a key
-    are chained, and the windows inside each stretch then follow independently. So the calls of a
-    busy key are spread over its stretches, and only summaries meet in one task, which walks from stretch to
-    stretch. Many stretches share one pandas frame of about ``FRAME_ROWS`` calls. Calls without a
+    inside? Each (key, stretch) is summarised to that function in parallel. Neighbouring functions of a key are
+    composed, ``FAN`` at a time, until one function is left, and on the way back each part of a composition gets the window that is open
+    before it; so the longest history takes a few rounds, and no task walks through a key. The windows inside each
+    stretch then follow independently. Many stretches share one pandas frame of about ``FRAME_ROWS`` calls. Calls without a
     time are rejected and have no window.
     """
     width = int(window_seconds * 1_000_000)
     stretch = int((bucket_seconds or max(window_seconds * 60, 1)) * 1_000_000)
-    chunks = max(4 * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), calls.count() // FRAME_ROWS + 1)
     # The key travels as text so that any key type passes through pandas unchanged.
     timed = calls.withColumns({"__id": F.to_json(F.struct(*keys)), "__at": micros_of(calls, ts)})
-    moments = timed.filter("__at is not null").select("__id", "__at").distinct().withColumn("__stretch", F.floor(F.col("__at") / stretch))
+    size, begin, end = timed.agg(F.count("__at"), F.min("__at"), F.max("__at")).first()
+    chunks = max(4 * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // FRAME_ROWS + 1)
+    begin = begin or 0
+    number = F.expr(f"(__at - {begin}L) div {stretch}L")
+    moments = timed.filter("__at is not null").select("__id", "__at").distinct().withColumn("__stretch", number)
 
     def chunk(*columns: str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(chunks)).alias("__chunk")
 
-    def summarise(part: pd.DataFrame) -> pd.DataFrame:
-        part, first, after = _ordered_moments(part, width, stretch)
-        at, index = part["__at"].to_numpy(), np.arange(len(part))
-        last = np.where(after < 0, index, after)
-        while not np.array_equal(last[last], last):
-            last = last[last]
-        leave = at[last]
+    def steps(part: pd.DataFrame, leave: np.ndarray, group: np.ndarray, first: np.ndarray, length: int) -> pd.DataFrame:
         # Only moments that can follow a window from before the stretch are entries: those of
         # its first window length and one more.
-        early = at - part["__stretch"].to_numpy() * stretch < width
+        early = part["entry"].to_numpy() - begin - part["__stretch"].to_numpy() * length < width
         entry = early | first | np.append(False, early[:-1])
-        part, leave, group = part[entry], leave[entry], (np.cumsum(first) - 1)[entry]
+        part, leave, group = part[entry], leave[entry], group[entry]
         # Neighbouring entries with the same outcome are one step of the function, kept as its last.
         step = np.append((leave[1:] != leave[:-1]) | (group[1:] != group[:-1]), True)
-        part = part.rename(columns={"__at": "entry"}).assign(leave=leave)
-        return part[step][["__id", "__stretch", "entry", "leave"]]
-
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__id", "__stretch", "entry"], ignore_index=True)
-        codes = part["__id"].factorize()[0].astype(np.int64)
-        entry, leave, number = (part[c].to_numpy() for c in ("entry", "leave", "__stretch"))
-        # Keys are laid out one after another with room between them, so one search serves all.
-        room = int(entry.max() - entry.min()) + 2 * width + 1
-        line = codes * room + (entry - entry.min())
-        following = np.searchsorted(line, codes * room + (leave - entry.min()) + width)
-        same = following < len(part)
-        same[same] = codes[following[same]] == codes[same]
-        step = np.where(same, following, -1).tolist()
-        # From each key's first entry to the entry that follows its outcome, and so on: one step per stretch at most.
-        path = []
-        for at in np.flatnonzero(np.append(True, codes[1:] != codes[:-1])).tolist():
-            while at >= 0:
-                path.append(at)
-                at = step[at]
-        first = np.append(True, (codes[1:] != codes[:-1]) | (number[1:] != number[:-1]))
-        begins = np.flatnonzero(first)
-        # A stretch is entered with the outcome of the last step of its key before it.
-        path = np.array(path, dtype=np.int64)
-        last = np.searchsorted(path, begins, "left") - 1
-        reached = path[np.maximum(last, 0)]
-        known = (last >= 0) & (codes[reached] == codes[begins]) & (number[reached] < number[begins])
-        opened = pd.array(np.where(known, leave[reached], 0), dtype="Int64")
-        opened[~known] = pd.NA
-        return pd.DataFrame({"__id": part["__id"].to_numpy()[begins], "__stretch": number[begins], "opened": opened})
+        return part.assign(leave=leave)[step][["__id", "__stretch", "entry", "leave"]]
 
-    def place(part: pd.DataFrame) -> pd.DataFrame:
-        part, first, after = _ordered_moments(part, width, stretch)
-        at, index = part["__at"].to_numpy(), np.arange(len(part))
-        opened = part["opened"].fillna(np.iinfo("int64").min // 2).to_numpy("int64")
-        group = np.cumsum(first) - 1
-        # The first moment of each group after the window that was open before it has run out.
-        fits = np.flatnonzero(at >= opened + width)
-        _, begin = np.unique(group[fits], return_index=True)
-        front, starts = fits[begin], np.zeros(len(part), dtype=bool)
-        while len(front):
-            starts[front] = True
+    def summarise(part: pd.DataFrame) -> pd.DataFrame:
+        part, group, first, after = _ordered_moments(part, width)
+        at = part["__at"].to_numpy()
+        last = np.where(after < 0, np.arange(len(part)), after)
+        while not np.array_equal(last[last], last):
+            last = last[last]
+        return steps(part.rename(columns={"__at": "entry"}), at[last], group, first, stretch)
+
+    def compose(part: pd.DataFrame, length: int) -> pd.DataFrame:
+        """The functions of neighbouring stretches as one of the stretch of ``length`` that they make up."""
+        part = part.assign(__stretch=part["__stretch"] // FAN).sort_values(["__id", "__stretch", "entry"], ignore_index=True)
+        ids, number = part["__id"].to_numpy(), part["__stretch"].to_numpy()
+        first = np.append(True, (ids[1:] != ids[:-1]) | (number[1:] != number[:-1]))
+        group, entry, leave = np.cumsum(first) - 1, part["entry"].to_numpy(), part["leave"].to_numpy()
+        after = first_at_least(group, entry, group, leave + width)
+        last = np.where(after < 0, np.arange(len(part)), after)
+        while not np.array_equal(last[last], last):
+            last = last[last]
+        return steps(part, leave[last], group, first, length)
+
+    def enter(part: pd.DataFrame) -> pd.DataFrame:
+        """The window that is open before each of the parts of a composition, from the one open before all (``opened``, null for none)."""
+        part = part.assign(__above=part["__stretch"] // FAN).sort_values(["__id", "__above", "entry"], ignore_index=True)
+        ids, above, number = (part[c].to_numpy() for c in ("__id", "__above", "__stretch"))
+        first = np.append(True, (ids[1:] != ids[:-1]) | (above[1:] != above[:-1]))
+        group, entry, leave = np.cumsum(first) - 1, part["entry"].to_numpy(), part["leave"].to_numpy()
+        known = part["opened"].notna().to_numpy()
+        opened = part["opened"].fillna(0).to_numpy("int64")
+        begins = np.flatnonzero(first)
+        front = np.where(known[begins], first_at_least(group, entry, group[begins], opened[begins] + width), begins)
+        after = first_at_least(group, entry, group, leave + width)
+        passed = np.zeros(len(part), dtype=bool)
+        front = front[front >= 0]
+        while len(front):  # all groups go on by one part, at most FAN times
+            passed[front] = True
             front = after[front]
             front = front[front >= 0]
-        owner = np.maximum.accumulate(np.where(starts, index, -1))
-        inside = (owner >= 0) & (group[owner] == group)
-        return part[["__id", "__at"]].assign(__opened=np.where(inside, at[owner], opened))
-
-    summaries = moments.groupBy(chunk("__id", "__stretch")).applyInPandas(
-        summarise, "__id string, __stretch long, entry long, leave long")
-    states = summaries.groupBy(chunk("__id")).applyInPandas(chain, "__id string, __stretch long, opened long")
-    placed = moments.join(states, ["__id", "__stretch"]).groupBy(chunk("__id", "__stretch")).applyInPandas(
-        place, "__id string, __at long, __opened long")
+        part_first = np.append(True, (group[1:] != group[:-1]) | (number[1:] != number[:-1]))
+        ends = np.flatnonzero(part_first)
+        # A part is entered with the outcome of the last step passed before it in its group, else with the group's own.
+        index = np.where(passed, np.arange(len(part)), -1)
+        latest = np.append(-1, np.maximum.accumulate(index)[:-1])[ends]
+        inside = (latest >= 0) & (group[np.maximum(latest, 0)] == group[ends])
+        value = pd.array(np.where(inside, leave[np.maximum(latest, 0)], opened[ends]), dtype="Int64")
+        value[~(inside | known[ends])] = pd.NA
+        return pd.DataFrame({"__id": ids[ends], "__stretch": number[ends], "opened": value})
+
+    def place(part: pd.DataFrame) -> pd.DataFrame:
+        part, group, first, _ = _ordered_moments(part, width)
+        before = part["opened"][first]
+        starts = window_starts(
+            group, part["__at"].to_numpy(), before.fillna(0).to_numpy("int64"), before.notna().to_numpy(), width)
+        return part[["__id", "__at"]].assign(__opened=starts)
+
+    def composed(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            return compose(part, length)
+
+        return run
+
+    function = "__id string, __stretch long, entry long, leave long"
+    levels = [moments.groupBy(chunk("__id", "__stretch")).applyInPandas(summarise, function)]
+    length, top = stretch, (end - begin) // stretch if size else 0
+    while top > 0:
+        levels[-1] = cut_lineage(levels[-1])
+        length, top = length * FAN, top // FAN
+        above = levels[-1].withColumn("__above", F.expr(f"__stretch div {FAN}")).groupBy(chunk("__id", "__above"))
+        levels.append(above.applyInPandas(composed(length), function))
+    nothing = F.lit(None).cast("long").alias("opened")
+    states = None
+    for level in reversed(levels[:-1]):
+        group = F.expr(f"__stretch div {FAN}").alias("__above")
+        parts = level.select("*", group)
+        if states is None:
+            parts = parts.withColumn("opened", nothing)
+        else:
+            parts = parts.join(states.select("__id", F.col("__stretch").alias("__above"), "opened"), ["__id", "__above"])
+        states = cut_lineage(parts.groupBy(chunk("__id", "__above")).applyInPandas(enter, "__id string, __stretch long, opened long"))
+    known = moments.withColumn("opened", nothing) if states is None else moments.join(states, ["__id", "__stretch"])
+    placed = known.groupBy(chunk("__id", "__stretch")).applyInPandas(place, "__id string, __at long, __opened long")
     marked = timed.join(placed, ["__id", "__at"])
     untimed = calls.filter(F.col(ts).isNull()).select("*", F.col(ts).alias("window_start"), F.lit(False).alias("accepted"))
     # A window opens at a call, so its first call gives its start in the column's own type.
@@ -319,12 +344,13 @@ def first_success(attempts: DataFrame, keys: Sequence[str], score: str, success:
     is a mergeable maximum; failures are counted against it in a second mergeable pass. With ``error`` a request
     that failed altogether carries ``errors``, those of its attempts in order (null for others).
     """
-    place = F.struct(F.col(score).alias("score"), (-F.col(tie)).alias("order"))
-    best = F.struct(place.alias("place"), *[F.col(c) for c in (tie, *keep)])
+    # The least of these is the first: higher scores, then smaller ties of any type, missing scores last.
+    place = F.struct(F.col(score).isNull().alias("unscored"), (-F.col(score)).alias("minus"), F.col(tie).alias("order"))
+    best = F.struct(place.alias("place"), *[F.col(c) for c in (score, tie, *keep)])
     tried = attempts.withColumn("__request", F.struct(*keys)).withColumn("__place", place)
-    winners = tried.groupBy("__request").agg(F.max(F.when(F.col(success), best)).alias("__won"))
+    winners = tried.groupBy("__request").agg(F.min(F.when(F.col(success), best)).alias("__won"))
     message = F.struct((-F.col(score)).alias("at"), F.col(tie), (F.lit(None) if error is None else F.col(error)).cast("string").alias("error"))
-    failed = ~F.col(success) & (F.col("__won").isNull() | (F.col("__place") > F.col("__won")["place"]))
+    failed = ~F.col(success) & (F.col("__won").isNull() | (F.col("__place") < F.col("__won")["place"]))
     listed = F.when(F.col("__won").isNull(), F.transform(F.array_sort("__errors"), lambda e: e["error"]))
     return (
         tried.join(winners, "__request")
@@ -335,8 +361,7 @@ def first_success(attempts: DataFrame, keys: Sequence[str], score: str, success:
         )
         .select(
             *[F.col("__request")[k].alias(k) for k in keys],
-            F.col("__won")["place"]["score"].alias(score),
-            *[F.col("__won")[c].alias(c) for c in (tie, *keep)],
+            *[F.col("__won")[c].alias(c) for c in (score, tie, *keep)],
             F.col("__won").isNotNull().alias("succeeded"),
             "failures_before",
             *([] if error is None else [listed.alias("errors")]),

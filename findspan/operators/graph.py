@@ -107,16 +107,57 @@ def _trim(edges: DataFrame) -> DataFrame:
     )
 
 
+def _chain_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes with one way in and one way out (``node``, ``up``, ``down``); the edges are distinct."""
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up")).filter("n = 1").drop("n")
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("down")).filter("n = 1").drop("n")
+    return cut_lineage(into.join(out, "node"))
+
+
+def _chain_ends(nodes: DataFrame, towards: str) -> tuple[DataFrame, DataFrame]:
+    """The first node in a direction that is no chain node (``node``, ``end``, ``steps``), and rings of chain nodes (``node``, ``component``).
+
+    Each round doubles the way that a node has looked, so the rounds grow with the logarithm of the longest chain.
+    A node that has looked past all of them is in a ring.
+    """
+    linked = nodes.select("node", F.col(towards).alias("end"))
+    state = linked.join(linked.select(F.col("node").alias("end"), F.lit(True).alias("open")), "end", "left")
+    state = cut_lineage(state.select("node", "end", F.lit(1).cast("long").alias("steps"), F.least("node", "end").alias("least"),
+                                     F.coalesce("open", F.lit(False)).alias("open")))
+    size, rounds = nodes.count(), 0
+    while (1 << rounds) <= size and not state.filter("open").isEmpty():
+        further = state.select(F.col("node").alias("end"), F.col("end").alias("next"), F.col("steps").alias("more"),
+                               F.col("least").alias("lower"), F.col("open").alias("still"))
+        moved = state.filter("open").join(further, "end").select(
+            "node", F.col("next").alias("end"), (F.col("steps") + F.col("more")).alias("steps"),
+            F.least("least", "lower").alias("least"), F.col("still").alias("open"))
+        state, rounds = cut_lineage(state.filter("NOT open").unionByName(moved)), rounds + 1
+    return state.filter("NOT open").select("node", "end", "steps"), state.filter("open").select("node", F.col("least").alias("component"))
+
+
+def _contracted(edges: DataFrame, nodes: DataFrame, heads: DataFrame) -> DataFrame:
+    """The edges (src, dst, length) between the nodes that are no chain nodes; a chain is one edge, of parallel ones the longest stays."""
+    ends = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
+    begun = ends.join(heads.select(F.col("node").alias("src"), F.col("end").alias("head"), "steps"), "src", "left")
+    short = begun.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("steps", F.lit(0)) + 1).alias("length"))
+    return cut_lineage(short.groupBy("src", "dst").agg(F.max("length").alias("length")))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """Strongly connected components of more than one node: (``component``, ``node``).
+    """Strongly connected components of more than one node: (``component``, ``node``, ``size``).
 
-    Each sweep colours every node with the smallest node that reaches it. The node a colour is
-    named after and everything of that colour that reaches it form one component; edges between
-    colours can be on no cycle. Components leave the graph and the sweep repeats until no edge is left;
-    each sweep takes the component of at least one colour away.
+    Chains are edges at first, so that rounds follow the branchings and not the length of paths. Each sweep colours every node with
+    the smallest node that reaches it. The node a colour is named after and everything of that colour that reaches it form one
+    component; edges between colours can be on no cycle. Components leave the graph and the sweep repeats until no edge is left;
+    each sweep takes the component of at least one colour away. A chain belongs to the component that both its ends are in. A
+    component is named after its smallest node.
     """
-    left = edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
-    left = _trim(cut_lineage(left))
+    links = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    chain = _chain_nodes(links)
+    heads, rings = _chain_ends(chain, "up")
+    tails, _ = _chain_ends(chain, "down")
+    short = _contracted(links, chain, heads)
+    left = _trim(short.filter(F.col("src") != F.col("dst")).select("src", "dst"))
     found = None
     while not left.isEmpty():
         colours = _spread(left, _nodes(left).withColumn("label", F.col("node")))
@@ -136,9 +177,16 @@ def cycles(edges: DataFrame) -> DataFrame:
             done.withColumnRenamed("node", "dst"), "dst", "left_anti")
         left = _trim(left.select("src", "dst"))
     if found is None:
-        return left.select(F.col("src").alias("component"), F.col("dst").alias("node"))
-    sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
-    return found.join(sizes, "component").select("component", "node", "size")
+        found = links.limit(0).select(F.col("src").alias("component"), F.col("dst").alias("node"))
+    # A chain is in the component that both its ends are in; one that comes back to where it began makes that node a component.
+    on = heads.select("node", F.col("end").alias("head")).join(tails.select("node", F.col("end").alias("tail")), "node")
+    looped = on.filter("head = tail").select(F.col("head").alias("component"), F.col("head").alias("node")).distinct()
+    known = cut_lineage(found.unionByName(looped.join(found.select("node"), "node", "left_anti").select("component", "node")))
+    closed = on.join(known.select(F.col("node").alias("head"), "component"), "head").join(
+        known.select(F.col("node").alias("tail"), F.col("component").alias("other")), "tail").filter("component = other")
+    whole = cut_lineage(known.unionByName(closed.select("component", "node")).unionByName(rings.select("component", "node")))
+    named = whole.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
+    return whole.join(named, "component").select(F.col("least").alias("component"), "node", "size")
 
 
 #: Written levels that one plan reads before they are put together.
@@ -149,8 +197,9 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame,
     """Dependency level of each node where ``dst`` depends on ``src``, and the problems.
 
     Level 0 depends on nothing; a node is one above its highest dependency. Problems name
-    endpoints missing from ``nodes``, ids given twice, and nodes on or behind cycles. A round places one
-    level and carries on only the nodes that still wait; it ends when a level is empty.
+    endpoints missing from ``nodes``, ids given twice, and nodes on or behind cycles. Chains are single edges of their length, so
+    rounds follow the branchings; a round settles the nodes all of whose dependencies have their level, and carries on only those
+    that still wait; it ends when none settles. The nodes of a chain are counted from its head.
     """
     links = edges.select("src", "dst").distinct()
     known = _nodes(links) if nodes is None else nodes.select("node").distinct()
@@ -163,23 +212,30 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame,
         links = links.join(known.select(F.col("node").alias("src")), "src", "left_semi").join(
             known.select(F.col("node").alias("dst")), "dst", "left_semi")
     links = cut_lineage(links.select("src", "dst"))
-    waits = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("missing"))
-    # Nodes of the current level have nothing missing, the others wait.
-    state = cut_lineage(known.join(waits, "node", "left").select("node", F.coalesce("missing", F.lit(0)).alias("missing")))
+    chain = _chain_nodes(links)
+    heads, _ = _chain_ends(chain, "up")
+    short = _contracted(links, chain, heads)
+    waits = short.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("missing"))
+    # Nodes that settle in the current round have nothing missing, the others wait.
+    state = known.join(chain.select("node"), "node", "left_anti").join(waits, "node", "left")
+    state = cut_lineage(state.select("node", F.coalesce("missing", F.lit(0)).alias("missing"), F.lit(0).cast("long").alias("level")))
     done: list[DataFrame] = []
-    level = 0
     while True:
-        placed, waiting = state.filter("missing = 0").select("node"), state.filter("missing > 0")
-        done.append(placed.withColumn("level", F.lit(level)))
+        placed, waiting = state.filter("missing = 0").select("node", "level"), state.filter("missing > 0")
+        done.append(placed)
         if len(done) >= LEVELS_PER_TABLE:
             done = [cut_lineage(_union(done))]
-        if placed.isEmpty() or waiting.isEmpty():
+        settled, open_ones = state.agg(F.count_if(F.col("missing") == 0), F.count_if(F.col("missing") > 0)).first()
+        if not settled or not open_ones:
             break
-        met = links.join(placed.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(
-            F.count("*").alias("met"))
+        met = short.join(placed.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(
+            F.count("*").alias("met"), F.max(F.col("level") + F.col("length")).alias("least"))
         state = cut_lineage(waiting.join(met, "node", "left").select(
-            "node", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing")))
-        level += 1
+            "node", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing"), F.greatest("level", F.coalesce("least", F.lit(0))).alias("level")))
+    settled = cut_lineage(_union(done).select("node", F.col("level").cast("int").alias("level")))
+    on = heads.join(settled.select(F.col("node").alias("end"), "level"), "end").select("node", (F.col("level") + F.col("steps")).cast("int").alias("level"))
+    done = [settled, on]
+    waiting = known.join(settled, "node", "left_anti").join(on, "node", "left_anti")
     problems.append(waiting.select("node", F.lit("cyclic").alias("problem")))
     return _union(done), _union(problems)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from findspan.functions.patterns import REGEX_ONLY_INSIDE, required_literals
 from findspan.functions.text import match_columns, sql_text, text_lines
 from findspan.operators.corpus import LINE_SMELLS
-from findspan.session import in_blocks
+from findspan.session import cut_lineage, in_blocks
 
 RULE_SCHEMA = (
     "id string, name string, description string, pattern string, severity string, category string, "
@@ -311,6 +311,92 @@ def scan_texts(
     return _every_pass(rules, smells, scan)
 
 
+#: Letters of a gram of the literal index, and texts that tell which grams are rare. The number changes the speed, never the result.
+GRAM = 4
+SAMPLE_TEXTS = 2000
+
+
+def _grams(text: str) -> str:
+    """SQL for the distinct grams of a text, all overlapping ones."""
+    return f"array_distinct(regexp_extract_all({text}, '(?s)(?=({'.' * GRAM}))', 1))"
+
+
+def rule_index(rules: DataFrame, texts: DataFrame | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The enabled rules by a gram of each of their literals, and the rules that can't be found that way.
+
+    A match contains one of the rule's literals (its ``requires``, or what its pattern shows); a text without the
+    gram of any of them can't match. Of a literal's grams the one is taken that is rarest in a sample of ``texts``. Rules without literals, or
+    with one shorter than a gram, are returned as they are. The index is a table (``gram``, ``literal``, ``literals``, rule) of any length.
+    """
+    spark, schema = rules.sparkSession, rules.schema
+    literals = F.udf(lambda p: required_literals(p), "array<string>")  # once per rule
+    named = F.when(F.size("requires") > 0, F.col("requires")).otherwise(literals("pattern"))
+    told = rules.filter("enabled").withColumn("literals", named)
+    long = F.forall("literals", lambda x: F.char_length(x) >= GRAM) & (F.size("literals") > 0)
+    # Anchors see the ends of lines; the lines themselves are tested later, so only the literals count here.
+    told = cut_lineage(told.withColumn("found", F.coalesce(long, F.lit(False))))
+    plain = told.filter("NOT found").select(*schema.names)
+    grams = (
+        told.filter("found").select(F.struct(*schema.names).alias("rule"), "literals", F.explode("literals").alias("literal"))
+        .select("*", F.expr(f"explode({_grams('literal')})").alias("gram"))
+    )
+    counts = spark.createDataFrame([], "gram string, texts long")
+    if texts is not None:
+        counts = texts.select(F.col(text).alias("text")).limit(SAMPLE_TEXTS).select(F.expr(f"explode({_grams('text')})").alias("gram"))
+        counts = counts.groupBy("gram").agg(F.count("*").alias("texts"))
+    rated = grams.join(counts, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    rarest = rated.groupBy("rule", "literals", "literal").agg(F.min(F.struct("texts", "gram")).alias("best"))
+    return cut_lineage(rarest.select(F.col("best.gram").alias("gram"), "literal", "literals", "rule")), plain
+
+
+def _matches_of_column(line: str, pattern: str, fix: str) -> tuple[str, str]:
+    """SQL for the first match, and for all, with patterns and fixes that are columns; ``$1`` to ``$9`` as in :func:`_matches`."""
+    first = fix
+    for g in "987654321":
+        first = f"CASE WHEN contains({fix}, '${g}') THEN replace({first}, '${g}', regexp_extract({line}, {pattern}, {g})) ELSE {first} END"
+    one = (f"array(named_struct('column', regexp_instr({line}, {pattern}), 'matched', regexp_extract({line}, {pattern}, 0), 'fix', {first}))")
+    every = "t.fix"
+    for g in "987654321":
+        every = f"CASE WHEN contains(t.fix, '${g}') THEN replace({every}, '${g}', get(regexp_extract_all(t.line, t.pattern, {g}), i)) ELSE {every} END"
+    given = f"array(named_struct('found', {match_columns(line, pattern)}, 'line', {line}, 'pattern', {pattern}, 'fix', {fix}))"
+    many = f"get(transform({given}, t -> transform(t.found, (m, i) -> named_struct('column', m.column, 'matched', m.matched, 'fix', {every}))), 0)"
+    return one, many
+
+
+def scan_texts_indexed(
+    texts: DataFrame, rules: DataFrame, language: str | None = None, text: str = "text", sample: DataFrame | None = None,
+) -> DataFrame:
+    """Findings of :func:`scan_texts` with rules of any number, through an index of their literals.
+
+    A text is cut once into grams; those meet the rules' grams in a join, and only rules whose
+    literal the text contains are run on its lines. So the cost follows the texts and the rules that may hit, not their product. Spark
+    broadcasts the index while it is small. Rules that show no literal are scanned as :func:`scan_texts` does.
+    A text that holds literals of very many rules is one row per rule there.
+    """
+    index, plain = rule_index(rules, texts if sample is None else sample, text)
+    kept = [c for c in texts.columns if c != text]
+    rows = texts.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(text).alias("__text"))
+    met = rows.withColumn("__gram", F.expr(f"explode({_grams('__text')})")).join(index.withColumnRenamed("gram", "__gram"), "__gram")
+    # A rule with several literals is found by the first that the text contains.
+    met = met.filter(F.expr("get(filter(literals, x -> contains(__text, x)), 0) = literal"))
+    if language is not None:
+        spoken = F.array_contains("rule.languages", "*") | F.array_contains("rule.languages", F.col(f"__row.`{language}`"))
+        met = met.filter(spoken)
+    cut = met.select("__row", "literals", "rule", F.posexplode(text_lines(F.col("__text"))).alias("__at", "__line"))
+    cut = cut.filter(F.expr("exists(literals, x -> contains(__line, x)) AND __line RLIKE rule.pattern"))
+    one, many = _matches_of_column("__line", "rule.pattern", "rule.fix_template")
+    found = cut.select(
+        "__row.*", (F.col("__at") + 1).alias("line"), "rule",
+        F.expr(f"explode(CASE WHEN rule.all_matches THEN {many} ELSE {one} END)").alias("__match"))
+    matched = F.col("__match.matched")
+    indexed = found.select(
+        *kept, "line", "__match.column", "__match.matched", F.col("rule.id").alias("rule_name"), F.col("rule.description").alias("message"),
+        "rule.severity", "rule.category", F.col("__match.fix").alias("suggested_fix"),
+        F.coalesce("rule.replaces", "__match.matched").alias("original_text"), "rule.confidence", "rule.impact_score",
+        (F.col("__match.column") + F.length(matched)).alias("end_column"), F.col("__match.fix").isNotNull().alias("fix_available"))
+    return indexed.unionByName(scan_texts(texts, plain, language, text))
+
+
 def custom_rule(
     lines: DataFrame, rule_name: str, condition: Callable[[Column], Column], text: str = "line_text",
     message: str | None = None, severity: str = "Warning",

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from findspan.operators.running import in_ranges
+
 PROMPTS_SCHEMA = (
     "version string, optimized_prompts map<string, struct<template: string>>, "
     "copro_candidates struct<active: array<struct<name: string, template: string, score: double>>>, "
@@ -45,15 +47,18 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
 
 
 def version_timeline(
-    changes: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, change: str = "change"
+    changes: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None, change: str = "change"
 ) -> DataFrame:
     """Version after each change, starting from 1.0.0: minor resets patch, major resets both.
 
     Within a (key, bucket) the parts are counts since the last reset. A bucket is summed up as its number of
     majors and the minors and patches after its last reset; that composes, so the sums of the earlier buckets
-    give where a bucket starts: one pass over the rows and one over the buckets. ``bucket`` must never
-    decrease along ``order`` within a key and bounds what one task sorts.
+    give where a bucket starts: one pass over the rows and one over the buckets. Without ``bucket`` the rows are dealt by range of
+    (keys, order), so that no key is one task; a ``bucket`` must never decrease along ``order`` within a key and bounds what one task sorts.
     """
+    columns = changes.columns
+    if bucket is None:
+        changes, bucket = in_ranges(changes, keys, order), F.col("__range")
     kind = F.col("__kind")
     group = F.struct(*keys, bucket.alias("__bucket"))
     source = changes.withColumns({"__group": group, "__kind": F.col(change)})
@@ -91,7 +96,7 @@ def version_timeline(
     minors = F.when(F.col("__minors_at").isNull(), F.col("__minors") + F.col("__minors_before")).otherwise(F.col("__minors") - F.col("__minors_at"))
     patches = F.when(F.col("__patches_at").isNull(), F.col("__patches") + F.col("__patches_before")).otherwise(F.col("__patches") - F.col("__patches_at"))
     parts = (F.col("__majors") + F.col("__majors_before") + 1, minors, patches)
-    return joined.withColumn("version", F.concat_ws(".", *[p.cast("string") for p in parts])).select(*changes.columns, "version")
+    return joined.withColumn("version", F.concat_ws(".", *[p.cast("string") for p in parts])).select(*columns, "version")
 
 
 def next_version(version: Column, change: Column) -> Column:

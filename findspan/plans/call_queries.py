@@ -495,25 +495,44 @@ def _changes(spark, sf):
     return table(spark, sf, "events").select("event_id", "user_id", "ts", "value", kind.alias("change"))
 
 
-@query("version_timeline", """
+TIMELINE_SQL = """
 WITH c AS (SELECT event_id, user_id, ts, sum((event_type = 'purchase')::INT) OVER w AS majors,
                   (event_type = 'signup')::INT AS minor, (event_type NOT IN ('purchase', 'signup'))::INT AS patch
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 m AS (SELECT *, sum(minor) OVER (PARTITION BY user_id, majors ORDER BY ts, event_id) AS minors FROM c)
 SELECT event_id, user_id, (majors + 1) || '.' || minors || '.' ||
-       sum(patch) OVER (PARTITION BY user_id, majors, minors ORDER BY ts, event_id) AS version FROM m""")
+       sum(patch) OVER (PARTITION BY user_id, majors, minors ORDER BY ts, event_id) AS version FROM m"""
+
+
+@query("version_timeline", TIMELINE_SQL)
 def version_timeline(spark, sf):
     timeline = V.version_timeline(_changes(spark, sf), ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
     return timeline.select("event_id", "user_id", "version")
 
 
-@query("running_mean", """
-SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1e-9, 6) AS running_mean FROM events""")
+@query("version_timeline_ranges", TIMELINE_SQL)
+def version_timeline_ranges(spark, sf):
+    """Without a bucket: the rows are dealt by range."""
+    return V.version_timeline(_changes(spark, sf), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "version")
+
+
+MEAN_SQL = """
+SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1e-9, 6) AS running_mean FROM events"""
+
+
+@query("running_mean", MEAN_SQL)
 def running_mean(spark, sf):
     means = mean_so_far(_changes(spark, sf), ["user_id"], ["ts", "event_id"], "value", F.date_trunc("hour", "ts"))
     return means.select("event_id", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean"))
 
 
+@query("running_mean_ranges", MEAN_SQL)
+def running_mean_ranges(spark, sf):
+    """Without a bucket: the rows are dealt by range."""
+    means = mean_so_far(_changes(spark, sf), ["user_id"], ["ts", "event_id"], "value")
+    return means.select("event_id", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean"))
+
+
 def _history(spark, sf):
     return table(spark, sf, "events").select(
         F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("props").alias("content"), (F.col("value") > 20).alias("success"))

@@ -6,6 +6,8 @@ user's corpus, reports, catalogues and logs are read.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from findspan.operators import corpus as X
@@ -14,6 +16,7 @@ from findspan.plans.registry import query, table
 from findspan.plans.text_queries import FINDINGS_SQL, all_rules
 from findspan.session import work_dir
 from findspan.sources import files as S
+from findspan.sources import stored as K
 from findspan.streaming import streams as T
 
 
@@ -117,17 +120,42 @@ def stream_findings(spark, sf):
     return T.drain(found.select(*columns), work_dir(spark, "stream-findings")).select(*columns)
 
 
+#: Slices of event time that a table is streamed in.
+SLICES = 5
+
+
+def _in_slices(df, at, write):
+    """Write a table in slices of event time, one after another, and return their length.
+
+    The rows of a slice are dealt to all tasks in no order. So no row is older than the newest one before it by more than a slice, whatever time the
+    table spans, and the length of a slice is the delay that a watermark needs.
+    """
+    first, last = df.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        write(df)
+        return timedelta(seconds=1)
+    length = max((last - first) / SLICES, timedelta(seconds=1)) + timedelta(milliseconds=1)
+    for number in range(SLICES):
+        begin = first + number * length
+        some = df.filter((F.col(at) >= F.lit(begin)) & (F.col(at) < F.lit(begin + length)))
+        write(some.repartition(F.xxhash64(F.col(at), F.lit(number))))
+    return length
+
+
+def _interval(length):
+    return f"{int(length.total_seconds() * 1000) + 1} milliseconds"
+
+
 def _shuffled_events(spark, sf, *columns):
-    """Events as a stream of five files that are not in time order, and a last one with an event that lets time pass."""
+    """Events as a stream of slices, and a last file with an event that lets time pass; also the delay of its watermark."""
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = work_dir(spark, "events")
-    for part in range(5):
-        some = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == part)
-        some.coalesce(1).write.mode("append").parquet(folder)
-    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
+    length = _in_slices(events, "ts", lambda part: part.write.mode("append").parquet(folder))
+    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.lit(10 * length) + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
     clock = last.select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
-    clock.coalesce(1).write.mode("append").parquet(folder)
-    return T.stream_files(spark, folder, events.schema, 1).select(*columns)
+    clock.write.mode("append").parquet(folder)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return T.stream_files(spark, folder, events.schema, files).select(*columns), _interval(length)
 
 
 @query("stream_pattern_stats", f"""
@@ -148,9 +176,8 @@ def stream_pattern_stats(spark, sf):
 SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS calls, least(count(*), 2) AS accepted,
        greatest(count(*) - 2, 0) AS rejected FROM events GROUP BY 1, 2""")
 def stream_throttle(spark, sf):
-    # The files are in no order, so the watermark allows for the time they span.
-    calls = _shuffled_events(spark, sf, "user_id", F.col("ts").alias("at"))
-    counted = T.stream_throttle(calls, ["user_id"], "at", 2, "1 day", "60 days")
+    calls, delay = _shuffled_events(spark, sf, "user_id", F.col("ts").alias("at"))
+    counted = T.stream_throttle(calls, ["user_id"], "at", 2, "1 day", delay)
     written = T.drain(counted, work_dir(spark, "stream-throttle"), "update").filter("user_id IS NOT NULL")
     return T.last_state(written, ["user_id", "window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
@@ -165,8 +192,8 @@ placed AS (SELECT e.event_id, e.user_id, e.ts, max(o.window_start) AS window_sta
            FROM events e JOIN opened o ON o.user_id = e.user_id AND o.window_start <= e.ts GROUP BY ALL)
 SELECT event_id, row_number() OVER (PARTITION BY user_id, window_start ORDER BY ts, event_id) <= 2 AS accepted FROM placed""")
 def stream_throttle_exact(spark, sf):
-    calls = _shuffled_events(spark, sf, "event_id", "user_id", "ts")
-    admitted = T.stream_throttle_exact(calls, ["user_id"], "ts", "event_id", 2, 86400, "60 days")
+    calls, delay = _shuffled_events(spark, sf, "event_id", "user_id", "ts")
+    admitted = T.stream_throttle_exact(calls, ["user_id"], "ts", "event_id", 2, 86400, delay)
     return T.drain(admitted, work_dir(spark, "stream-exact")).filter("event_id IS NOT NULL").select("event_id", "accepted")
 
 
@@ -183,8 +210,8 @@ named AS (SELECT *, first_value(event_id) OVER (PARTITION BY event_type, props,
 SELECT event_id, answered_by, event_id = answered_by AS fresh FROM named""")
 def stream_dedup(spark, sf):
     """Events of one type and properties ask for the same; an answer is good for a day."""
-    requests = _shuffled_events(spark, sf, "event_id", "event_type", "props", "ts")
-    answered = T.stream_dedup(requests, ["event_type", "props"], "ts", "event_id", 86400, "60 days")
+    requests, delay = _shuffled_events(spark, sf, "event_id", "event_type", "props", "ts")
+    answered = T.stream_dedup(requests, ["event_type", "props"], "ts", "event_id", 86400, delay)
     return T.drain(answered, work_dir(spark, "stream-dedup")).filter("event_id IS NOT NULL").select("event_id", "answered_by", "fresh")
 
 
@@ -193,14 +220,64 @@ SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS runs, round
        round(avg(floor(value)), 6) AS avg_duration_ms, sum(regexp_extract(props, '\d+')::BIGINT)::BIGINT AS issues_found
 FROM events GROUP BY 1""")
 def stream_run_summary(spark, sf):
-    """The log comes in files that are in no order of time."""
+    """The log comes in slices whose files are in no order of time."""
     folder = work_dir(spark, "stream-runs")
-    runs = _runs(spark, sf).drop("value")
-    for part in range(4):
-        some = runs.filter(F.pmod(F.xxhash64("file_path"), F.lit(4)) == part)
-        some.coalesce(1).write.mode("append").json(f"{folder}/log")
-    summary = T.stream_run_summary(T.stream_run_log(spark, f"{folder}/log", files_per_batch=1), window="6 hours", delay="60 days")
+    length = _in_slices(_runs(spark, sf).drop("value"), "at", lambda part: part.write.mode("append").json(f"{folder}/log"))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    summary = T.stream_run_summary(T.stream_run_log(spark, f"{folder}/log", files_per_batch=files), window="6 hours", delay=_interval(length))
     written = T.drain(summary, folder, "update")
     return T.last_state(written, ["window_start"]).withColumns({
         "window_start": F.col("window_start").cast("timestamp_ntz"),
         "success_rate": F.round("success_rate", 9), "avg_duration_ms": F.round("avg_duration_ms", 6)})
+
+
+@query("stored_run_log", """
+SELECT 'f' || event_id AS file_path, event_type <> 'error' AS success, floor(value)::BIGINT AS duration_ms
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 5000""")
+def stored_run_log(spark, sf):
+    """The log as a stream into a kept log; a batch that is handed over twice counts once."""
+    folder = work_dir(spark, "stored-log")
+    runs = _runs(spark, sf).drop("value")
+    _in_slices(runs, "at", lambda part: part.write.mode("append").json(f"{folder}/in"))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = T.stream_run_log(spark, f"{folder}/in", files_per_batch=files)
+    K.stream_to_run_log(stream, f"{folder}/log", f"{folder}/state").awaitTermination()
+    return K.read_stored_log(spark, f"{folder}/log", stream.schema).select("file_path", "success", "duration_ms")
+
+
+@query("stored_results", r"""
+SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+'))::BIGINT AS words,
+       len(list_distinct(regexp_extract_all(text, '[A-Za-z]+')))::BIGINT AS distinct_words FROM documents""")
+def stored_results(spark, sf):
+    """A run over the English documents, then one over all: the second computes what the first has not seen."""
+    def words(texts):
+        found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+        return texts.select("content_id", F.size(found).cast("long").alias("words"), F.size(F.array_distinct(found)).cast("long").alias("distinct_words"))
+
+    docs, folder = table(spark, sf, "documents").select("doc_id", "lang", "text"), work_dir(spark, "results")
+    K.reuse_results(docs.filter("lang = 'en'"), "text", words, folder, "1")
+    return K.reuse_results(docs, "text", words, folder, "1").select("doc_id", "words", "distinct_words")
+
+
+@query("stored_snapshot", """
+SELECT e.event_id FROM events e LEFT JOIN (
+    SELECT user_id, event_type, max(ts) AS seen FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_type <> 'view' GROUP BY 1, 2) s USING (user_id, event_type)
+WHERE s.seen IS NULL OR e.ts > s.seen""")
+def stored_snapshot(spark, sf):
+    """What is new since the last run's snapshot."""
+    events, folder = table(spark, sf, "events"), work_dir(spark, "snapshot")
+    for until in ("2024-01-10", "2024-01-15"):
+        K.keep_snapshot(events.filter(f"ts < TIMESTAMP_NTZ '{until} 00:00:00' AND event_type <> 'view'"), folder, ["user_id", "event_type"], "ts")
+    return K.changed_rows(events, folder, ["user_id", "event_type"], "ts").select("event_id")
+
+
+@query("stored_upsert", """
+SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value
+FROM events GROUP BY user_id, event_type""")
+def stored_upsert(spark, sf):
+    """Cheap events are the table, dear ones two rounds of updates."""
+    events = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    folder = work_dir(spark, "keyed")
+    for part in ("value <= 50", "value > 50 AND value <= 90", "value > 90"):
+        K.upsert_stored(events.filter(part), folder, ["user_id", "event_type"], "ts", 8)
+    return K.read_stored(spark, folder, events.schema).select("user_id", "event_type", "event_id", "value")

@@ -114,6 +114,35 @@ def scan_rules(spark, sf):
                         "category", "suggested_fix", "original_text", "confidence", "impact_score")
 
 
+@query("scan_rules_indexed", FINDINGS_SQL + """
+SELECT source, file_path, line, "column", "column" + length(matched)::INT AS end_column, rule_name, matched, severity,
+       category, suggested_fix, original_text, confidence, impact_score FROM findings""")
+def scan_rules_indexed(spark, sf):
+    """The same findings through an index of the rules' literals."""
+    found = R.scan_texts_indexed(corpus_texts(spark, sf), all_rules(spark), "language")
+    return found.select("source", "file_path", "line", "column", "end_column", "rule_name", "matched", "severity",
+                        "category", "suggested_fix", "original_text", "confidence", "impact_score")
+
+
+@query("scan_many_rules", """
+WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS word FROM benchmark),
+docs AS (SELECT doc_id, unnest(string_split_regex(CASE WHEN text LIKE '%' || chr(10) THEN left(text, -1) ELSE text END, '\r?\n')) AS line_text,
+                generate_subscripts(string_split_regex(CASE WHEN text LIKE '%' || chr(10) THEN left(text, -1) ELSE text END, '\r?\n'), 1) AS line
+         FROM documents WHERE text <> ''),
+runs AS (SELECT DISTINCT doc_id, line, line_text, unnest(regexp_extract_all(line_text, '[A-Za-z]{8,}')) AS run FROM docs),
+hits AS (SELECT DISTINCT doc_id, line, line_text, word FROM (SELECT DISTINCT run FROM runs) r JOIN words ON contains(r.run, word) JOIN runs USING (run))
+SELECT doc_id, line::INTEGER AS line, word AS rule_name, strpos(line_text, word)::INTEGER AS "column" FROM hits""")
+def scan_many_rules(spark, sf):
+    """A rule for each long word of the benchmark, on whole documents."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), 0)).alias("word")).distinct()
+    nothing = {n: F.lit(None).cast(t.dataType).alias(n) for n, t in ((f.name, f) for f in R.default_rules(spark).schema)}
+    given = nothing | {
+        "id": F.col("word").alias("id"), "pattern": F.col("word").alias("pattern"), "enabled": F.lit(True).alias("enabled"),
+        "languages": F.array(F.lit("*")).alias("languages"), "all_matches": F.lit(False).alias("all_matches")}
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return R.scan_texts_indexed(docs, words.select(*given.values())).select("doc_id", "line", "rule_name", "column")
+
+
 @query("scan_lines", FINDINGS_SQL + "SELECT source, file_path, line, rule_name, matched, suggested_fix FROM findings")
 def scan_lines(spark, sf):
     """The same rules on lines that were cut before."""

@@ -3,11 +3,14 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import findspan as fs
+from findspan.functions.ordered import first_at_least
 from findspan.operators.calls import PROVIDER_SCHEMA
+from findspan.operators.running import in_ranges
 from findspan.operators.versions import PROMPTS_SCHEMA
 
 
@@ -64,6 +67,45 @@ def test_throttle_equals_call_by_call(spark, seed, spread):
     assert got == sequential(calls, 3, 60)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_throttle_composes_many_stretches(spark, monkeypatch, fan):
+    """A long history of few calls: functions are composed over several levels."""
+    monkeypatch.setattr(fs.operators.calls, "FAN", fan)
+    rnd, start = random.Random(fan), datetime(2020, 1, 1)
+    calls = [(i, rnd.choice("ab"), start + timedelta(seconds=rnd.randrange(40_000))) for i in range(900)]
+    calls += [(1000 + i, "late", start + timedelta(seconds=39_000 + i)) for i in range(200)] + [(2000, "once", start)]
+    df = spark.createDataFrame(calls, "id int, key string, ts timestamp").repartition(5)
+    got = {r.id: (r.window_start, r.accepted) for r in fs.throttle(df, ["key"], "ts", "id", 2, 60, 130).collect()}
+    assert got == sequential(calls, 2, 60)
+
+
+def test_throttle_with_many_keys_over_thirty_years(spark):
+    """The third call of each key comes ten seconds after the second, across the end of a stretch: always rejected."""
+    keys, day = 100_000, 86_400
+    calls = spark.range(3 * keys).select(
+        "id", (F.col("id") % keys).alias("key"),
+        F.timestamp_seconds(
+            F.pmod(F.xxhash64(F.col("id") % keys), F.lit(30 * 365)) * day + F.when(F.col("id") < keys, 0).when(F.col("id") < 2 * keys, 3595).otherwise(3605)
+        ).alias("ts"))
+    got = fs.throttle(calls, ["key"], "ts", "id", 1, 60).groupBy((F.col("id") / keys).cast("int").alias("turn"), "accepted").count()
+    assert rows(got, "turn", "accepted", "count") == [(0, True, keys), (1, True, keys), (2, False, keys)]
+
+
+def test_first_at_least_equals_search():
+    rnd = np.random.default_rng(7)
+    big = 1 << 61
+    groups = np.sort(rnd.integers(0, 9, 300))
+    at = rnd.integers(0, 60, 300) * (big // 30) - big
+    order = np.lexsort((at, groups))
+    groups, at = groups[order], at[order]
+    asked = rnd.integers(0, 10, 400)
+    wanted = rnd.integers(0, 62, 400) * (big // 30) - big
+    found = first_at_least(groups, at, asked, wanted)
+    for g, w, k in zip(asked, wanted, found):
+        fits = [i for i in range(300) if groups[i] == g and at[i] >= w]
+        assert k == (fits[0] if fits else -1)
+
+
 def test_aligned_throttle_never_exceeds_the_cap(spark):
     df = spark.range(500).select("id", (F.col("id") % 3).alias("key"), F.timestamp_seconds(F.col("id") * 7 % 600).alias("ts"))
     got = fs.throttle_aligned(df, ["key"], "ts", "id", 5)
@@ -71,6 +113,14 @@ def test_aligned_throttle_never_exceeds_the_cap(spark):
     assert got.filter("accepted").groupBy("key", "window_start").count().agg(F.max("count")).first()[0] == 5
 
 
+def test_first_success_with_ties_of_text_and_missing_scores(spark):
+    df = spark.createDataFrame(
+        [(1, "b", 0.9, True), (1, "a", 0.9, True), (1, "c", 0.9, False), (2, "z", None, True), (2, "y", 0.1, False)],
+        "request int, name string, score double, ok boolean")
+    got = fs.first_success(df, ["request"], "score", "ok", "name")
+    assert rows(got, "request", "name", "failures_before") == [(1, "a", 0), (2, "z", 1)]
+
+
 def test_first_success(spark):
     df = spark.createDataFrame(
         [(1, 1, "a", 0.8, False), (1, 2, "b", 0.7, True), (1, 3, "c", 0.6, True), (2, 4, "a", 0.8, False), (2, 5, "b", 0.7, False),
@@ -143,6 +193,24 @@ def test_version_timeline_equals_replay(spark):
     assert got == expected
 
 
+def test_ranges_split_one_key_at_one_hour(spark):
+    """All rows of a key within one hour, and no bucket given: ranges deal them to many tasks."""
+    df = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise("hot").alias("k"), F.xxhash64("id").alias("i"),
+                                  (F.col("id") % 7).cast("double").alias("v"), F.when(F.col("id") % 5 == 0, "minor").otherwise("patch").alias("change"))
+    sizes = [r["count"] for r in in_ranges(df, ["k"], ["i"]).filter("k = 'hot'").groupBy("__range").count().collect()]
+    assert len(sizes) >= 5 and max(sizes) < 1500
+    total, n, minor, patch = {}, {}, {}, {}
+    want = []
+    for r in sorted(df.collect(), key=lambda r: r.i):
+        total[r.k], n[r.k] = total.get(r.k, 0) + r.v, n.get(r.k, 0) + 1
+        minor[r.k], patch[r.k] = (minor.get(r.k, 0) + 1, 0) if r.change == "minor" else (minor.get(r.k, 0), patch.get(r.k, 0) + 1)
+        want.append((r.i, total[r.k] / n[r.k], f"1.{minor[r.k]}.{patch[r.k]}"))
+    means = {r.i: r.running_mean for r in fs.running_mean(df, ["k"], ["i"], "v").collect()}
+    versions = {r.i: r.version for r in fs.version_timeline(df, ["k"], ["i"]).collect()}
+    assert [(i, pytest.approx(means[i]), versions[i]) for i, _, _ in want] == want
+    assert fs.running_mean(df.limit(0), ["k"], ["i"], "v").count() == 0
+
+
 def test_running_mean(spark):
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate((4, 2, 9, 1))] + [("a", 4, None)], "k string, i int, v double")
     got = fs.running_mean(df, ["k"], ["i"], "v", F.floor(F.col("i") / 2)).orderBy("i").collect()
@@ -301,6 +369,26 @@ def test_graph_example(spark):
     assert fs.cycles(edges.filter("false")).count() == 0
 
 
+def test_long_paths_and_rings_take_few_rounds(spark, monkeypatch):
+    """Rounds grow with the logarithm of the longest chain: counted by the tables that are written."""
+    from findspan.operators import graph
+
+    written, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(1) or cut(df))
+    n = 5000
+    path = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    placed, problems = fs.levels(path)
+    assert placed.filter("level <> node").count() == 0 and placed.count() == n and problems.count() == 0 and len(written) < 30
+    written.clear()
+    ring = spark.range(300).select((F.col("id") + 10_000).alias("src"), ((F.col("id") + 1) % 300 + 10_000).alias("dst"))
+    assert fs.cycles(path).count() == 0
+    assert len(written) < 45
+    # From the end of the path back to its middle, and a ring with nothing in or out.
+    back = spark.createDataFrame([(n - 1, 2500)], "src long, dst long")
+    found = fs.cycles(path.unionByName(back).unionByName(ring))
+    assert rows(found.groupBy("component", "size").count(), "component", "size", "count") == [(10_000, 300, 300), (2500, 2500, 2500)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_cycles_equal_mutual_reachability(spark, seed):
     rnd = random.Random(seed)

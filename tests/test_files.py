@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -182,6 +182,27 @@ def test_shuffled_stream_equals_the_batch(spark, tmp_path):
     assert rows(T.drain(reuse, str(tmp_path / "reuse")), "id", "answered_by", "fresh") == sorted(owner, key=repr)
 
 
+def test_streams_of_a_long_table_equal_the_batch(spark, tmp_path):
+    """400 days, a key with a third of the calls, files in slices of 20 days and in no order within them."""
+    rng = random.Random(9)
+    start = datetime(2023, 1, 1)
+    calls = [(i, rng.choice(["hot"] * 3 + [f"k{j}" for j in range(6)]), start + timedelta(seconds=rng.randrange(400 * 86_400))) for i in range(6000)]
+    calls += [(10_000 + i, "hot", start + timedelta(days=200, seconds=i)) for i in range(500)]
+    folder = str(tmp_path / "in")
+    for number in range(20):
+        some = [c for c in calls if (c[2] - start).days // 20 == number]
+        rng.shuffle(some)
+        for part in range(2):
+            _write_calls(spark, folder, some[part::2])
+    _write_calls(spark, folder, [(99_999, "clock", start + timedelta(days=1000))])
+    table = spark.createDataFrame(calls, "id int, key string, ts timestamp")
+    exact = fs.stream_throttle_exact(_read_calls(spark, folder), ["key"], "ts", "id", 2, 3 * 86_400, "20 days", 5 * 86_400, 4)
+    got = T.drain(exact, str(tmp_path / "exact")).filter("id < 99999")
+    assert rows(got, "id", "accepted") == rows(fs.throttle(table, ["key"], "ts", "id", 2, 3 * 86_400), "id", "accepted")
+    counted = T.drain(fs.stream_throttle(_read_calls(spark, folder), ["key"], "ts", 2, "1 day", "20 days"), str(tmp_path / "n"), "update")
+    assert T.last_state(counted, ["key", "window_start"]).agg(F.sum("calls")).first()[0] == len(calls) + 1
+
+
 def test_stream_counts_and_late_calls(spark, tmp_path):
     folder = str(tmp_path / "in")
     _write_calls(spark, folder, [(i, "k", _at(i)) for i in range(5)] + [(9, "k", _at(3000))])

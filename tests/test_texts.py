@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import findspan as fs
 from findspan.functions.text import glob_regex
+from findspan.operators import rules as rules_module
 from findspan.operators.findings import COMMON_MISTAKES
 
 
@@ -327,3 +328,31 @@ def test_rules_as_data(spark):
     assert rows(fs.normalize_labels(labels, default_severity="Info"), "severity") == [("Info",), ("Warning",)]
     stats = {r.category: r for r in fs.rule_stats(rules).collect()}
     assert (stats["Security"].rules, stats["Security"].ai_enhanced_rules, stats["Security"].autofix_rules) == (1, 1, 0)
+
+
+def test_index_of_literals_gives_the_same_findings(spark):
+    rules = fs.default_rules(spark).unionByName(fs.fix_rules(spark)).unionByName(spark.createDataFrame(
+        [("groups", "g", "d", r"call(\w+)\((\d+)\)", "Info", "x", True, ["*"], 1, "use$1 of $2", 0.5, True, None, None),
+         ("alternatives", "g", "d", "alphabet|betabet", "Info", "x", True, ["ts"], 1, None, 0.5, False, None, "alpha"),
+         ("short", "g", "d", "ab", "Info", "x", True, ["*"], 1, None, 0.5, True, None, None),
+         ("off", "g", "d", "alphabet", "Info", "x", False, ["*"], 1, None, 0.5, True, None, None),
+         ("ends", "g", "d", "alphabet$", "Info", "x", True, ["*"], 1, None, 0.5, False, None, None)], rules_module.RULE_SCHEMA))
+    texts = spark.createDataFrame(
+        [(1, "ts", "x callOne(1) callTwo(22)\r\nalphabet betabet\n\nbetabet alphabet"), (2, "js", "alphabet\nconsole.log(eval(1))"), (3, "ts", ""),
+         (4, None, "for (i = 0; i < list.length; i++) é callX(3) TODO: x"), (5, "ts", None), (6, "ts", "a.b!.c: any; " * 3000 + "callLast(9)")],
+        "id int, language string, text string")
+    for language in (None, "language"):
+        want = fs.scan_texts(texts, rules, language)
+        got = fs.scan_texts_indexed(texts, rules, language)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 3000
+
+
+def test_the_index_keeps_the_rarest_gram(spark):
+    rules = spark.createDataFrame(
+        [("a", "a", "d", "common words here", "Info", "x", True, ["*"], 1, None, 0.5, True, None, None)], rules_module.RULE_SCHEMA)
+    texts = spark.createDataFrame([("common",), ("words",), (" here",), ("wordless",)], "text string")
+    index, plain = rules_module.rule_index(rules, texts)
+    (row,) = index.collect()
+    assert row.literal == "common words here" and row.gram not in ("comm", "word", "here", "ommo") and plain.count() == 0
+    assert fs.scan_texts_indexed(texts, rules).count() == 0
