@@ -2,8 +2,10 @@
 
 The model is never gathered. Texts become chunks of about a million tokens. A chunk asks for its own n-grams: their
 hashes, sorted and cut into ranges, go to one task per range, which adds up the training counts of
-all chunks and answers each in the order it asked. With the answers a chunk has the part of the
-automaton that its texts can visit, and walks it.
+all chunks and answers each in the order it asked. With the answers a chunk builds the part of the
+automaton that its texts can visit: states, the arcs that leave them, their failure arcs and weights. All texts of the chunk then go through
+it from left to right, each with its own state. Everything rests on the counts of the whole corpus, so neither
+chunks nor partitions change a score.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ RANGE_KEYS = 1_000_000
 END = np.uint64(0x0123456789ABCDEF)
 #: Keys are 56 bits of a hash whose lowest two say the order.
 KEY_BITS = 56
-LEVELS, BINS = 28, 64
+#: A context of count c gives c / (c + this) of a prediction, by the number of its words; the failure arc has the rest.
+UNSURE = {1: 8.0, 2: 3.0}
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
@@ -133,30 +136,8 @@ class Grams:
         order = np.argsort(keys, kind="stable")
         return keys[order], order
 
-    def events(self) -> np.ndarray:
-        """Counts (order, level of the context's count, ratio): how well contexts foretell, each token left out in turn.
 
-        The ratio is that of the context's relative frequency to the word's probability without context, in
-        powers of two; bin 0 is a word that the context has not been seen with.
-        """
-        found = np.zeros((2, LEVELS, BINS), np.int64)
-        own = [self.counts(n).astype(np.float64) for n in (1, 2, 3)]
-        total = own[0].sum()
-        for order in (2, 3):
-            use = np.flatnonzero(self.train & (self.at[order - 1] >= 0))
-            context = own[order - 2][self.at[order - 2][use - 1]] - 1
-            use, context = use[context >= 1], context[context >= 1]
-            seen = own[order - 1][self.at[order - 1][use]] - 1
-            alone = np.maximum(own[0][self.at[0][use]] - 1, 0.5) / max(total, 1.0)
-            with np.errstate(divide="ignore"):
-                power = np.log2(seen / context / alone)
-            bins = np.where(seen > 0, np.clip(np.round(power) + 21, 1, BINS - 1), 0).astype(np.int64)
-            level = np.minimum(np.log2(context).astype(np.int64), LEVELS - 1)
-            np.add.at(found[order - 2], (level, bins), 1)
-        return found
-
-
-ASKED = "range long, chunk long, keys binary, counts binary, events binary"
+ASKED = "range long, chunk long, keys binary, counts binary"
 
 
 def questions(table: DataFrame, ranges: int) -> DataFrame:
@@ -172,16 +153,13 @@ def questions(table: DataFrame, ranges: int) -> DataFrame:
                 cuts = np.flatnonzero(np.diff(number)) + 1
                 starts = np.concatenate([[0], cuts])
                 ends = np.concatenate([cuts, [len(keys)]])
-                columns: list[list] = [[], [], [], [], []]
+                columns: list[list] = [[], [], [], []]
                 for start, end in zip(starts, ends, strict=True):
                     steps = np.diff(keys[start:end], prepend=np.uint64(0))
-                    # The range of a chunk's own events is as good as any: it spreads them over the tasks.
-                    events = grams.events().tobytes() if start == 0 else None
-                    for column, value in zip(columns, (int(number[start]), row["chunk"], squeezed(steps), squeezed(counts[start:end]), events), strict=True):
+                    for column, value in zip(columns, (int(number[start]), row["chunk"], squeezed(steps), squeezed(counts[start:end])), strict=True):
                         column.append(value)
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                                 ["range", "chunk", "keys", "counts", "events"])
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "chunk", "keys", "counts"])
 
     return table.mapInArrow(run, ASKED)
 
@@ -196,63 +174,79 @@ def answer(asked: pd.DataFrame) -> pd.DataFrame:
     known = int(((distinct & np.uint64(3)) == 1)[totals > 0].sum())
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     replies = [squeezed(part) for part in np.split(totals[at], cuts)]
-    events = [np.frombuffer(e, np.int64) for e in asked["events"] if e is not None]
-    summed = np.sum(events, axis=0).tobytes() if events else None
     first = [True] + [False] * (len(replies) - 1)
     return pd.DataFrame({
-        "chunk": asked["chunk"], "range": asked["range"], "totals": replies,
-        "words": [known if f else 0 for f in first], "events": [summed if f else None for f in first],
+        "chunk": asked["chunk"], "range": asked["range"], "totals": replies, "words": [known if f else 0 for f in first],
     })
 
 
-def context_shares(events: np.ndarray) -> np.ndarray:
-    """(2, levels): how much of a prediction the context gives, by order and by level of its count.
-
-    Each share is the one under which the left-out tokens are likeliest (expectation-maximisation). Levels with few tokens take the
-    share of the level below.
-    """
-    ratio = np.concatenate([[0.0], 2.0 ** (np.arange(1, BINS) - 21)])
-    shares = np.full((2, LEVELS), 0.05)
-    for order in range(2):
-        last = 0.05
-        for level in range(LEVELS):
-            n = events[order, level]
-            if n.sum() >= 200:
-                share = 0.5
-                for _ in range(60):
-                    share = float((n * share * ratio / (share * ratio + 1 - share)).sum() / n.sum())
-                    share = min(max(share, 1e-4), 0.999)
-                last = share
-            shares[order, level] = last
-    return shares
-
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def walk(grams: Grams, totals: np.ndarray, tokens: int, words: int, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Walk a chunk's texts through its part of the automaton: per token known, base and full log10 probability.
+class Automaton:
+    """The part of the model's automaton that a chunk's texts can visit.
 
-    A state is the longest known context (none, a word, two words). Its arcs carry the interpolated
-    probability of the words seen after it; the failure arc leads to the state without the first word and carries the
-    share that the context leaves to it. All texts of the chunk move together: the state before a token
-    is known from the two tokens before it.
+    State 0 knows no word before, states 1 to W the last word, those above the last two; only contexts that occur in training are
+    ever entered. The arcs of a state are the n-grams that go on from its context: each has the interpolated probability of its word
+    and the state that it leads to. Where a state has no arc for a word, its failure arc leads to the state without the first
+    word, with the weight that the state leaves to it. State 0 has an arc for every word.
     """
-    sizes = np.cumsum([len(k) for k in grams.keys])[:-1]
-    count = [c.astype(np.float64) for c in np.split(totals, sizes)]
-    word = count[0][grams.at[0]]
-    base = (word + 0.5) / (tokens + 0.5 * (words + 1))
-    p = base
-    for order in (2, 3):
-        at = grams.at[order - 1]
-        use = np.flatnonzero(at >= 0)
-        context = count[order - 2][grams.at[order - 2][use - 1]]
-        use, context = use[context > 0], context[context > 0]
-        arc = count[order - 1][at[use]] / context
-        share = shares[order - 2][np.minimum(np.log2(context).astype(np.int64), LEVELS - 1)]
-        p = p.copy()
-        p[use] = share * arc + (1.0 - share) * p[use]
-    return word > 0, np.log10(base), np.log10(p)
+
+    def __init__(self, grams: Grams, totals: np.ndarray, tokens: int, words: int) -> None:
+        sizes = np.cumsum([len(k) for k in grams.keys])[:-1]
+        one, two, three = (c.astype(np.float64) for c in np.split(totals, sizes))
+        self.size = len(one)
+        self.known = one > 0
+        base = (one + 0.5) / (tokens + 0.5 * (words + 1))
+        word_of, context, suffix = {}, {}, {}
+        for order in (2, 3):
+            at = grams.at[order - 1]
+            place = np.zeros(len(grams.keys[order - 1]), np.int64)
+            inside = np.flatnonzero(at >= 0)
+            place[at[inside]] = inside  # any place of the n-gram tells its parts
+            word_of[order] = grams.at[0][place]
+            context[order], suffix[order] = grams.at[order - 2][place - 1], grams.at[order - 2][place]
+        share1, share2 = one / (one + UNSURE[1]), two / (two + UNSURE[2])
+        # Weights and ends of the failure arcs of all states.
+        self.leave = np.concatenate([[1.0], 1.0 - share1, 1.0 - share2])
+        self.fail = np.concatenate([np.zeros(1 + self.size, np.int64), 1 + word_of[2]])
+        # Arcs from state 0, from words and from pairs: there is one if the n-gram occurs in training.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            from_word = share1[context[2]] * two / one[context[2]] + (1.0 - share1[context[2]]) * base[word_of[2]]
+            from_pair = share2[context[3]] * three / two[context[3]] + (1.0 - share2[context[3]]) * from_word[suffix[3]]
+        self.is_arc = [np.ones(len(one), bool), two > 0, three > 0]
+        self.weight = [base, from_word, from_pair]
+        self.to = [np.where(self.known, 1 + np.arange(self.size), 0), 1 + self.size + np.arange(len(two)), 1 + self.size + suffix[3]]
+        self.base = base
+
+    def walk(self, grams: Grams) -> np.ndarray:
+        """The probability of each token: all texts step from left to right together, each in its state."""
+        found = np.empty(len(grams.at[0]))
+        starts = np.cumsum(grams.lengths) - grams.lengths
+        longest = np.argsort(-grams.lengths, kind="stable")
+        starts, lengths = starts[longest], grams.lengths[longest]
+        state = np.zeros(len(starts), np.int64)
+        going = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
+        for step, active in enumerate(going):
+            at, now = starts[:active] + step, state[:active]
+            p, weight, open_ones = np.empty(active), np.ones(active), np.arange(active)
+            for words in (2, 1, 0):  # words that the state knows: each failure arc takes one away
+                here = now[open_ones]
+                mine = here > self.size if words == 2 else here > 0 if words == 1 else here >= 0
+                of = open_ones[mine]
+                if not len(of):
+                    continue
+                arc = grams.at[words][at[of]]
+                hit = self.is_arc[words][arc]  # a context that was entered has an n-gram here, so no arc is -1
+                on, off = of[hit], of[~hit]
+                p[on] = weight[on] * self.weight[words][arc[hit]]
+                if len(off):
+                    weight[off] *= self.leave[now[off]]
+                    now[off] = self.fail[now[off]]
+                state[on] = self.to[words][arc[hit]]
+                open_ones = np.concatenate([open_ones[~mine], off]) if words else open_ones[:0]
+            found[at] = p
+        return found
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,8 +254,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     One row per document: doc_id, held_out (a fifth, by the id), n_tokens, n_known (tokens known from training),
     train_tokens, base_score and score: log10 probability by single words with half a count added, and
-    by the model of up to three words. Contexts are interpolated: a context of count c gives the
-    share learned for its level log2(c), the rest comes from the shorter context and at last from the base.
+    by the model of up to three words. Contexts are interpolated: a context of count c gives the share c / (c + ``UNSURE``),
+    the rest comes from the shorter context and at last from the base. Counts are those of all training texts.
     A null or empty text is its end alone. Repeated rows count and are scored as often as they occur. No
     documents give no rows; without training texts every probability is that of an unknown word.
 
@@ -273,14 +267,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     tokens, train = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tokens // RANGE_KEYS + 1)
     answered = saved(
-        questions(table, ranges).repartition(ranges, "range").groupBy("range").applyInPandas(answer, "chunk long, range long, totals binary, words long, events binary"),
+        questions(table, ranges).repartition(ranges, "range").groupBy("range").applyInPandas(answer, "chunk long, range long, totals binary, words long"),
         "answers",
     )
     words = answered.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    events = np.zeros((2, LEVELS, BINS), np.int64)
-    for row in summed_events(answered).toLocalIterator():  # at most 2 * levels * bins numbers
-        events[row["order"], row["level"], row["bin"]] = row["n"]
-    shares = context_shares(events)
     replies = answered.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "totals"))).alias("replies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +281,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 _, order = grams.asked()
                 totals = np.zeros(len(order), np.uint64)
                 totals[order] = np.concatenate([restored(r["totals"], "<u8") for r in row["replies"]])
-                known, base, full = walk(grams, totals, train, words, shares)
+                automaton = Automaton(grams, totals, train, words)
+                known, base = automaton.known[grams.at[0]], np.log10(automaton.base)[grams.at[0]]
+                full = np.log10(automaton.walk(grams))
                 ends = np.cumsum(grams.lengths) - grams.lengths
                 columns = [
                     pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(grams.lengths),
@@ -305,19 +297,3 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // (4 * CHUNK_TOKENS) + 1)
     asked = table.select("chunk", "doc_ids", "held", "lengths", "words", "ids").repartition(parts, "chunk")
     return asked.join(replies.repartition(parts, "chunk"), "chunk").drop("chunk").mapInArrow(run, SCORES)
-
-
-def summed_events(answered: DataFrame) -> DataFrame:
-    """(order, level, bin, n): the events of all chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * LEVELS * BINS, np.int64)
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                total += np.frombuffer(data, np.int64)
-        at = np.flatnonzero(total)
-        order, level, place = np.unravel_index(at, (2, LEVELS, BINS))
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (order, level, place, total[at])], ["order", "level", "bin", "n"])
-
-    found = answered.filter("events is not null").select("events").mapInArrow(run, "order long, level long, bin long, n long")
-    return found.groupBy("order", "level", "bin").agg(F.sum("n").alias("n"))

@@ -41,7 +41,6 @@ def test_counts_and_base_score_equal_brute_force(spark, monkeypatch):
 
 def test_scores_equal_a_plain_automaton_and_are_probabilities():
     texts = [["a", "b", "a", "b", "c"], ["a", "b", "d"], ["c"]]
-    shares = np.full((2, ngrams.LEVELS), 0.4)
     one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for t in texts:
         t = [*t, None]
@@ -53,9 +52,11 @@ def test_scores_equal_a_plain_automaton_and_are_probabilities():
     def p(word, context):
         base = (one[word] + 0.5) / (n + 0.5 * (v + 1))
         if context and one[context[-1]]:
-            base = 0.4 * two[(context[-1], word)] / one[context[-1]] + 0.6 * base
+            c = one[context[-1]]
+            base = c / (c + 8) * two[(context[-1], word)] / c + 8 / (c + 8) * base
         if len(context) == 2 and two[tuple(context)]:
-            base = 0.4 * three[(*context, word)] / two[tuple(context)] + 0.6 * base
+            c = two[tuple(context)]
+            base = c / (c + 3) * three[(*context, word)] / c + 3 / (c + 3) * base
         return base
 
     for context in ([], ["a"], ["a", "b"], ["x", "a"], ["b", "a"], ["d"]):
@@ -68,9 +69,24 @@ def test_scores_equal_a_plain_automaton_and_are_probabilities():
     grams = ngrams.Grams([False] * 5, [len(t) + 1 for t in asked], ngrams.squeezed(np.array(words)), ngrams.squeezed(ids))
     grams.train[sum(len(t) + 1 for t in texts) :] = False
     totals = np.concatenate([grams.counts(k) for k in (1, 2, 3)])
-    _, _, full = ngrams.walk(grams, totals, n, v, shares)
-    want = [math.log10(p(w, [*t, None][max(0, k - 2) : k])) for t in asked for k, w in enumerate([*t, None])]
+    automaton = ngrams.Automaton(grams, totals, n, v)
+    full = automaton.walk(grams)
+    want = [p(w, [*t, None][max(0, k - 2) : k]) for t in asked for k, w in enumerate([*t, None])]
     assert full.tolist() == pytest.approx(want)
+    # Every failure arc leads to a shorter context, and only state 0 has none.
+    assert (automaton.fail[1 + automaton.size :] > 0).all() and (automaton.fail[1 + automaton.size :] <= automaton.size).all()
+
+
+def test_partitions_and_chunks_change_no_score(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    found = []
+    for parts, size in ((1, 1 << 20), (32, 1 << 20), (7, 400)):
+        monkeypatch.setattr(ngrams, "CHUNK_TOKENS", size)
+        rows = ngrams.score_texts(docs.repartition(parts, F.xxhash64("doc_id", "text"))).collect()
+        found.append(sorted(((r.doc_id or -1, r.score) for r in rows)))
+    for other in found[1:]:
+        assert [i for i, _ in other] == [i for i, _ in found[0]]
+        assert [x for _, x in other] == pytest.approx([x for _, x in found[0]], rel=1e-12)
 
 
 def test_chunks_answer_in_the_order_asked():
