@@ -63,6 +63,12 @@ LEADS = (
     r"|^spdx license identifier "
 )
 MARK = "under "
+# The holder's name stands where it pleases; in the normal form the words of the licence's own template take its place.
+HOLDERS = r"^neither the names? of .{1,200}? nor the names of (its|their|any) contributors may "
+HOLDER = "neither the name of the copyright holder nor the names of its contributors may "
+#: What begins a line of a comment, and lines that end a sentence whatever follows: who holds the copyright.
+LEADERS = r"(^|\n)[ \t]*(/\*+|\*+/|\*+|//+!?|#+|--+|;+|<!--|dnl|rem )[ \t]*"
+HOLDING = r"(^|\n)([ \t]*(copyright|\(c\)|©)[^\n]*)"
 #: Rules in order: the first takes its identifiers away from those after it. Up to two
 #: other known sentences may stand between two of a rule.
 RULES = [
@@ -83,12 +89,22 @@ RULES = [
     ("Proprietary", ["Reserved"]),
 ]
 CUT = "\x01"
+#: What cuts a text into sentences, one after another: (pattern, what stands instead, groups as ``\\1``). An operator of an
+#: SPDX expression repeats the lead, as often as a line has operators, up to four.
+CUTS = [
+    (LEADERS, "\\1"),
+    *[(rf"(?i)(spdx-license-identifier:)([^\n{CUT}]*?)[ \t()]+(?:and|or|with)[ \t(]+", rf"\1\2{CUT}\1 ")] * 4,
+    (rf"(?i){HOLDING}", rf"\1\2{CUT}"),
+    (r"\b([Ii]nc|[Ll]td|[Cc]orp|[Cc]o|[Ll]lc|LLC)[.](,?[ \t\r\n]+[a-z])", r"\1\2"),  # no end of a sentence
+    (r"([.;!?]|[^r]:)[ \t\r\n]+", rf"\1{CUT}"),
+    (r"\n[ \t\r]*\n", CUT),
+]
 
 
 def plain(text: str) -> str:
     """The normal form of a sentence: a-z and 0-9, other characters as single blanks, a notice's lead as its mark."""
     normal = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
-    return re.sub(LEADS, MARK, normal)
+    return re.sub(LEADS, MARK, re.sub(HOLDERS, HOLDER, normal))
 
 
 def sentence_ids() -> dict[str, str]:
@@ -117,20 +133,23 @@ def rule_patterns() -> list[tuple[str, str]]:
 def known_sentences(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    Sentences end at ``. ; : ! ?`` before white space (not at a colon after r, as in ``SPDX-License-Identifier:``)
-    and at empty lines. A sentence that is not known is looked
+    Comment leaders at line starts are left out first. Sentences end at ``. ; : ! ?`` before white space (not at a colon after r, as in
+    ``SPDX-License-Identifier:``), at empty lines and after a line that names the holder of the copyright. In an expression behind
+    ``SPDX-License-Identifier:`` each licence is a notice of its own. A sentence that is not known is looked
     up line by line, since notices often stand on lines of their own.
     """
     table = F.create_map(*[F.lit(x) for pair in sentence_ids().items() for x in pair])
 
     def look_up(part: Column) -> Column:
         normal = F.trim(F.regexp_replace(lowered(part), "[^a-z0-9]+", " "))
+        named = F.regexp_replace(F.regexp_replace(normal, HOLDERS, HOLDER), LEADS, MARK)
         # Longer than any known sentence: not looked up.
-        return F.when(F.length(normal) <= longest, F.element_at(table, F.regexp_replace(normal, LEADS, MARK)))
+        return F.when(F.length(normal) <= longest, F.element_at(table, named))
 
-    longest = max(map(len, sentence_ids())) + 80
-    cut = F.regexp_replace(F.regexp_replace(text, r"([.;!?]|[^r]:)[ \t\r\n]+", f"$1{CUT}"), r"\n[ \t\r]*\n", CUT)
-    parts = F.split(cut, CUT, -1)
+    longest = max(map(len, sentence_ids())) + 200
+    for pattern, instead in CUTS:
+        text = F.regexp_replace(text, pattern, instead.replace("\\", "$"))
+    parts = F.split(text, CUT, -1)
     found = F.transform(
         parts,
         lambda p: F.when(look_up(p).isNotNull(), F.array(look_up(p))).otherwise(
@@ -175,14 +194,17 @@ def licences_sql() -> str:
     """The same scan in DuckDB's SQL."""
     known = sentence_ids()
     table = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in known.items()) + "}"
-    longest = max(map(len, known)) + 80
+    longest = max(map(len, known)) + 200
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
     def look_up(x: str) -> str:
         normal = f"trim(regexp_replace(translate({x}, '{upper}', '{lower}'), '[^a-z0-9]+', ' ', 'g'), ' ')"
-        named = f"regexp_replace({normal}, {_quoted(LEADS)}, '{MARK}', 'g')"
+        named = f"regexp_replace(regexp_replace({normal}, {_quoted(HOLDERS)}, '{HOLDER}', 'g'), {_quoted(LEADS)}, '{MARK}', 'g')"
         return f"CASE WHEN length({normal}) <= {longest} THEN {table}[{named}] END"
 
+    cut = "coalesce(text, '')"
+    for pattern, instead in CUTS:
+        cut = f"regexp_replace({cut}, {_quoted(pattern)}, {_quoted(instead)}, 'g')"
     steps = []
     for n, (licence, pattern) in enumerate(rule_patterns()):
         steps.append(f"CASE WHEN regexp_matches(r{n}, {_quoted(pattern)}) THEN {_quoted(licence)} END")
@@ -191,8 +213,7 @@ def licences_sql() -> str:
         layers = f"SELECT *, regexp_replace(r{n}, {_quoted(pattern)}, '#|', 'g') AS r{n + 1} FROM ({layers})"
     return f"""
 WITH p AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.;!?]|[^r]:)[ \\t\\r\\n]+', '\\1' || chr(1), 'g'),
-    '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(1)) AS parts FROM documents),
+  SELECT doc_id, string_split({cut}, chr(1)) AS parts FROM documents),
 i AS (
   SELECT doc_id, list_filter(flatten(list_transform(parts, lambda p: CASE WHEN {look_up('p')} IS NOT NULL THEN [{look_up('p')}]
     ELSE list_transform(string_split(p, chr(10)), lambda l: {look_up('l')}) END)), lambda x: x IS NOT NULL) AS ids FROM p),

@@ -31,6 +31,14 @@ CASES = [
     (9, "# SPDX-License-Identifier: Apache-2.0\ncode", "Apache-2.0"),
     (10, licenses.SENTENCES["BSD-source"] + " " + licenses.SENTENCES["BSD-grant"], ""),
     (11, "We talk about the MIT License here, and of all rights.", ""),
+    (20, "/*\n * Copyright (c) 2020 Foo\n *\n * " + MIT.replace(" of ", "\n * of ").replace("\n", "\n") + "\n */\nint x;", "MIT"),
+    (21, "# Copyright 2020 Foo Inc.\n# " + MIT.replace(" of ", " of\n# "), "MIT"),
+    (22, "Copyright (c) 2020 Foo\n" + MIT.replace(" of ", "\nof "), "MIT"),
+    (23, BSD + "\n" + licenses.SENTENCES["BSD-names"].replace("the copyright holder", "Google Inc."), "BSD-3-Clause"),
+    (24, "// SPDX-License-Identifier: MIT OR Apache-2.0\ncode;", "Apache-2.0,MIT"),
+    (25, "# SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause) AND MIT", "BSD-3-Clause,GPL-2.0-or-later,MIT"),
+    (26, "-- " + GPL.replace("\n", "\n-- "), "GPL-3.0-or-later"),
+    (27, "Neither the name of the game nor its rules may be told.", ""),
     (12, "", ""), (13, None, ""), (14, "word " * 60_000 + "\nAll rights reserved.", "Proprietary"), (14, None, ""),
 ]
 
