@@ -19,6 +19,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
+#: Words after which a name is about what the element has or lacks, not about what it is.
+ABOUT = {"no", "has", "with", "without", "hide", "hides", "show", "shows"}
 
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -31,7 +33,7 @@ ENDS_P = BLOCKS - {"html", "head", "body", "td", "th", "tr"} | {"hr"}
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LISTS = {"ul", "ol", "dl", "table", "menu"}
 #: Never part of an article.
-DROPPED = set("head nav footer aside form menu search dialog button select svg canvas object template audio video math map label".split())
+DROPPED = set("head nav footer aside form menu search dialog button select svg canvas object template audio video map".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Words in class, id or role of parts that are not the article.
 NAMED = set(
@@ -40,31 +42,49 @@ NAMED = set(
     "commentlist disqus reply replies respond social share sharing newsletter subscribe subscription signup related recommended "
     "widget toolbar pagination pager skip login search alert toast paywall complementary contentinfo dialog".split()
 )
+#: Parts that are text themselves: a name of several words, like one made from a title, doesn't tell that they are something else.
+TEXT_BLOCKS = {"p", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "blockquote", "pre", "figure", "figcaption", "caption"}
+#: Names that stand whatever the share of the page's text is.
+READERS = {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
 KEPT_BLOCKS = {"p", "blockquote", "pre", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "html", "body", "article", "main", *HEADINGS}
 
 
 class Node:
-    """An element; ``parts`` holds texts and elements in order."""
+    """An element; ``parts`` holds texts and elements in order, ``named`` what its names say it is, ``own_id`` its id."""
 
-    __slots__ = ("tag", "parts", "out", "digest")
+    __slots__ = ("tag", "parts", "out", "digest", "named", "own_id")
 
-    def __init__(self, tag: str, out: bool = False) -> None:
-        self.tag, self.parts, self.out, self.digest = tag, [], out, 0
+    def __init__(self, tag: str, out: bool = False, named: frozenset[str] = frozenset(), own_id: str = "") -> None:
+        self.tag, self.parts, self.out, self.digest, self.named, self.own_id = tag, [], out, 0, named, own_id
 
 
-def _says_out(tag: str, attributes: str) -> bool:
-    """Whether an element's own attributes say that it isn't part of the article or isn't shown."""
+def _names(tag: str, value: str) -> frozenset[str]:
+    """The words of ``NAMED`` that a class, id or role calls an element by."""
+    found = set()
+    for name in value.split():
+        words = WORD.findall(name)
+        own = {w for before, w in zip(["", *words], words) if w in NAMED and before not in ABOUT}
+        if tag not in TEXT_BLOCKS or len(own) == len(set(words)):
+            found |= own
+    return frozenset(found)
+
+
+def _attributes(tag: str, attributes: str) -> tuple[bool, frozenset[str], str]:
+    """Whether an element's own attributes say that it isn't shown, the names that say that it isn't the article, and its id."""
     if not attributes or tag in {"html", "body", "article", "main"}:
-        return False
+        return False, frozenset(), ""
+    named, own_id = frozenset(), ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, named, own_id
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in {"class", "id", "role"} and not NAMED.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+            return True, named, own_id
+        if name in {"class", "id", "role"} and tag not in HEADINGS:
+            named |= _names(tag, value)
+        if name == "id":
+            own_id = value
+    return False, named, own_id
 
 
 def parse(page: str) -> Node:
@@ -111,10 +131,11 @@ def parse(page: str) -> Node:
                     break
         if tag == "hr" or attributes.endswith("/") and tag not in BLOCKS:
             continue
-        out = tag in DROPPED or _says_out(tag, attributes)
+        hidden, named, own_id = _attributes(tag, attributes)
+        out = tag in DROPPED or hidden
         inside = stack[-1].tag == tag and tag not in BLOCKS
-        if tag in BLOCKS or out or inside:
-            node = Node(tag, out)
+        if tag in BLOCKS or out or named or inside:
+            node = Node(tag, out, named, own_id)
             stack[-1].parts.append(node)
             stack.append(node)
     return root
@@ -135,8 +156,42 @@ def _digest(root: Node) -> None:
         node.digest = xxhash.xxh64_intdigest(b"\0".join([node.tag.encode("utf-8", "surrogatepass"), *filter(None, parts)]), 7)
 
 
+def _titled(node: Node) -> bool:
+    """Whether the element's id is made from the heading that it begins with."""
+    if not node.own_id:
+        return False
+    for part in node.parts:
+        if isinstance(part, Node):
+            if part.tag in HEADINGS:
+                title = " ".join(p for p in part.parts if isinstance(p, str))
+                return WORD.findall(html.unescape(title).lower()) == WORD.findall(node.own_id)
+            return False
+        if part.strip():
+            return False
+    return False
+
+
+def _name_out(root: Node) -> None:
+    """Mark what its names say is not the article, unless its id is its own title or, on a page without ``article`` and ``main``, it holds
+    most of the page's text."""
+    order = list(_walk(root))
+    told = any(n.tag in {"article", "main"} for n in order)
+    sizes: dict[int, int] = {}
+    for node in reversed(order):
+        if node.out and not node.named:
+            sizes[id(node)] = 0  # not shown, or never part of an article
+        else:
+            sizes[id(node)] = sum(sizes[id(p)] if isinstance(p, Node) else len(p.strip()) for p in node.parts)
+    whole = sizes[id(root)]
+    for node in order:
+        if node.named and not node.out:
+            most = not told and 2 * sizes[id(node)] > whole and READERS.isdisjoint(node.named)
+            node.out = not (most or _titled(node))
+
+
 def _clear(root: Node, gone: frozenset[int]) -> None:
-    """Mark what is out: recurring subtrees, and page headers (an article's own header keeps its headings)."""
+    """Mark what is out: by name, recurring subtrees, and page headers (an article's own header keeps its headings)."""
+    _name_out(root)
     holders: set[int] = set()
     in_article: set[int] = set()
     order = list(_walk(root))
@@ -189,10 +244,7 @@ def _blocks(node: Node, blocks: list[str]) -> None:
 
 
 def _articles(root: Node) -> list[Node]:
-    """The outermost articles of the page (of ``main`` if it has articles), else ``main``, else the page.
-
-    Of several articles those count that hold at least a quarter of the longest one's text.
-    """
+    """The outermost articles of the page (of ``main`` if it has articles), else ``main``, else the page. All of them count, however short."""
 
     def outermost(top: Node, tag: str) -> list[Node]:
         found, waiting = [], [top]
@@ -207,15 +259,7 @@ def _articles(root: Node) -> list[Node]:
         return found
 
     mains = outermost(root, "main")
-    articles = [a for m in mains for a in outermost(m, "article")] or outermost(root, "article")
-    chosen = articles or mains or [root]
-    if len(chosen) > 1:
-        sizes = []
-        for one in chosen:
-            _blocks(one, texts_of := [])
-            sizes.append(sum(map(len, texts_of)))
-        chosen = [c for c, s in zip(chosen, sizes, strict=True) if 4 * s >= max(sizes)]
-    return chosen
+    return [a for m in mains for a in outermost(m, "article")] or outermost(root, "article") or mains or [root]
 
 
 def extract(page: str, gone: frozenset[int] = frozenset()) -> str:
@@ -244,8 +288,16 @@ def subtrees(page: str) -> tuple[int, set[int]]:
 def extract_main_text(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    The text is the page's article without the parts that by element, class, id or role are something else, and
-    without template subtrees: those that occur on at least ``min_pages`` pages of a host with different main texts (so
+    The text is the page's articles (all outermost ones, else ``main``, else the page) without what is something else:
+
+    * elements of ``DROPPED``, and what is hidden; formulas (``math``) stay;
+    * elements that a word of class, id or role calls one of ``NAMED``. Words after ``no``, ``has``, ``with`` and the like don't count, headings
+      have no such names, and other text blocks (paragraphs, items, cells) only if all words of a name are such. A section whose id is its
+      own heading stays, and so does, on a page without ``article`` and ``main``, an element that holds more than half of the text, unless it is the
+      readers' comments;
+    * headers outside of articles; of an article's own header the headings stay.
+
+    It also goes without template subtrees: those that occur on at least ``min_pages`` pages of a host with different main texts (so
     copies of a page don't make its text a template). Inside an article, paragraphs, headings, quotes, list
     items and table cells are never templates, only whole boxes, lists and sections are. A null or empty page has an
     empty text; pages without a host are a site of their own; repeated rows give repeated rows.
