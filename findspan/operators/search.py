@@ -137,7 +137,7 @@ def search_candidates(
     schema = "predictor string, candidate string, total double, n long"
     # A row of nothing for every candidate, so that each has a score even without examples.
     partial = wanted.select("predictor", "candidate", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))
-    for rows in in_blocks(wanted, "candidate", CANDIDATES_PER_PASS):
+    for rows in in_blocks(wanted, ["predictor", "candidate"], CANDIDATES_PER_PASS):
         todo = sorted((r.predictor, r.candidate) for r in rows)
         partial = partial.unionByName(examples.mapInPandas(evaluate_all(todo), schema))
     new = partial.groupBy("predictor", "candidate").agg(

@@ -510,32 +510,31 @@ def with_context(spark, sf):
 
 
 @query("with_context_joined", FINDINGS_SQL + """
-SELECT a.doc_id, a.line, count(l.line) AS lines, min(l.line) AS first_line, max(length(l.line_text)) AS longest
-FROM (SELECT DISTINCT file_path AS doc_id, line FROM findings WHERE source = 'documents') a
-JOIN lines l ON l.source = 'documents' AND l.file_path = a.doc_id AND abs(l.line - a.line) <= 2 GROUP BY a.doc_id, a.line""")
+SELECT a.source, a.file_path, a.line, count(l.line) AS lines, min(l.line) AS first_line, max(length(l.line_text)) AS longest
+FROM (SELECT DISTINCT source, file_path, line FROM findings) a
+JOIN lines l ON l.source = a.source AND l.file_path = a.file_path AND abs(l.line - a.line) <= 2 GROUP BY a.source, a.file_path, a.line""")
 def with_context_joined(spark, sf):
     """The lines around findings that come from another table than the lines."""
-    docs = corpus_texts(spark, sf).filter("source = 'documents'")
-    lines = X.explode_lines(docs, "text").withColumnRenamed("file_path", "doc_id")
-    found = R.scan_texts(docs, all_rules(spark), "language").withColumnRenamed("file_path", "doc_id")
-    context = N.with_context(lines, found, ["doc_id"], 2)
+    corpus = corpus_texts(spark, sf)
+    found = R.scan_texts(corpus, all_rules(spark), "language")
+    context = N.with_context(X.explode_lines(corpus, "text"), found, ["source", "file_path"], 2)
     whole = F.concat("before_lines", F.array("error_line"), "after_lines")
     return context.select(
-        "doc_id", "line", F.size(whole).cast("long").alias("lines"), (F.col("line") - F.size("before_lines")).cast("long").alias("first_line"),
+        "source", "file_path", "line", F.size(whole).cast("long").alias("lines"), (F.col("line") - F.size("before_lines")).cast("long").alias("first_line"),
         F.array_max(F.transform(whole, lambda x: F.length(x))).cast("long").alias("longest"))
 
 
 @query("pattern_contexts", FINDINGS_SQL + r"""
 SELECT f.rule_name || '::' || regexp_replace(regexp_replace(regexp_replace(f.message, '''[^'']*''', '''<STRING>''', 'g'),
            '"[^"]*"', '"<STRING>"', 'g'), '\b\d+\b', '<NUMBER>', 'g') AS pattern_id,
-       f.file_path, f.line, f."column", md5(string_agg(l.line_text, chr(10) ORDER BY l.line)) AS context_md5
+       f.source || '/' || f.file_path AS file_path, f.line, f."column", md5(string_agg(l.line_text, chr(10) ORDER BY l.line)) AS context_md5
 FROM findings f JOIN lines l ON l.source = f.source AND l.file_path = f.file_path AND abs(l.line - f.line) <= 1
-WHERE f.source = 'documents' GROUP BY f.rule_name, f.message, f.file_path, f.line, f."column"
+GROUP BY f.rule_name, f.message, f.source, f.file_path, f.line, f."column"
 """)
 def pattern_contexts(spark, sf):
     """Each finding's line with its neighbours, under the pattern of its message."""
-    docs = corpus_texts(spark, sf).filter("source = 'documents'")
-    found = R.scan_texts(docs, all_rules(spark), "language", context=1)
+    corpus = corpus_texts(spark, sf).withColumn("file_path", F.concat_ws("/", "source", "file_path"))
+    found = R.scan_texts(corpus, all_rules(spark), "language", context=1)
     context = F.array_join(F.concat("before_lines", F.array("error_line"), "after_lines"), "\n")
     contexts = found.select("file_path", "line", context.alias("context")).distinct()
     placed = N.pattern_contexts(found.select("file_path", "line", "column", "rule_name", "message"), contexts, keep=["column"])

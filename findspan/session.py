@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +51,32 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def work_so_far() -> int:
+    """A mark for :func:`delete_work`."""
+    return len(_made)
+
+
+def delete_work(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> int:
+    """Delete the intermediate tables that this process has made after a mark, but for those named; returns how many.
+
+    Results are read from these tables when they are asked for, so this is for the time when they have been written elsewhere.
+    """
+    kept = set(keep)
+    gone = [path for path in _made[since:] if path not in kept]
+    for path in gone:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _made[since:] = [path for path in _made[since:] if path in kept]
+    return len(gone)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -64,7 +87,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_blocks(df: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
+def in_blocks(df: DataFrame, key: str | Sequence[str], size: int) -> Iterator[list[Row]]:
     """The rows of a table of rules, templates or candidates, about ``size`` at a time.
 
     A block holds the rows whose key's hash falls into it, so the driver never holds more than a block
@@ -72,4 +95,4 @@ def in_blocks(df: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
     """
     blocks = max(1, -(-df.count() // size))
     for block in range(blocks):
-        yield df.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).collect()
+        yield df.filter(F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(blocks)) == block).collect()
