@@ -86,7 +86,7 @@ from findspan.operators.rules import (
 from findspan.operators.running import running, running_mean
 from findspan.operators.search import best_candidate, predict, score_predictions, search_candidates
 from findspan.operators.settings import merge_layers
-from findspan.operators.templates import match_templates
+from findspan.operators.templates import match_templates, match_templates_indexed
 from findspan.operators.versions import (
     available_names,
     changed_since,

@@ -541,16 +541,29 @@ def pattern_contexts(spark, sf):
     return placed.select("pattern_id", "file_path", "line", "column", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
-@query("match_templates", """
+TEMPLATES_SQL = """
 SELECT page_id, 'com' AS template_id FROM pages WHERE url LIKE 'http%://%.example.com/%' AND NOT url LIKE '%#%'
 UNION ALL SELECT page_id, 'french' FROM pages WHERE url LIKE '%/fr/%' OR url LIKE 'fr/%'
-UNION ALL SELECT page_id, 'html' FROM pages WHERE url LIKE '%.html'""")
+UNION ALL SELECT page_id, 'html' FROM pages WHERE url LIKE '%.html'"""
+
+
+@query("match_templates", TEMPLATES_SQL)
 def match_templates(spark, sf):
-    templates = spark.createDataFrame(
+    return T.match_templates(table(spark, sf, "pages").select("page_id", "url"), _templates(spark), "url").select(
+        "page_id", "template_id")
+
+
+@query("match_templates_indexed", TEMPLATES_SQL)
+def match_templates_indexed(spark, sf):
+    """The same through an index of the globs."""
+    found = T.match_templates_indexed(table(spark, sf, "pages").select("page_id", "url"), _templates(spark), "url")
+    return found.select("page_id", "template_id")
+
+
+def _templates(spark):
+    return spark.createDataFrame(
         [("com", ["http*://*.example.com/**"], ["*#*"]), ("french", ["**/fr/**"], []), ("html", ["**/*.html"], [])],
         "template_id string, include array<string>, exclude array<string>")
-    return T.match_templates(table(spark, sf, "pages").select("page_id", "url"), templates, "url").select(
-        "page_id", "template_id")
 
 
 @query("score_predictions", FINDINGS_SQL + """

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import findspan as fs
@@ -36,6 +37,42 @@ def test_templates_beyond_one_pass(spark):
     assert rows(fs.match_templates(files, many), "path", "template_id") == [("2499/y.ts", "t2499"), ("a/7/x.ts", "t7")]
 
 
+def test_twenty_thousand_templates_through_the_index(spark):
+    from findspan.operators.templates import _glob_key
+
+    many = spark.range(20_000).select(
+        F.concat(F.lit("t"), F.col("id")).alias("template_id"),
+        F.when(F.col("id") % 2 == 0, F.array(F.concat(F.lit("src/m"), F.col("id"), F.lit("/**"))))
+        .otherwise(F.array(F.concat(F.lit("**/*.x"), F.col("id")), F.lit("nowhere/*"))).alias("include"),
+        F.array(F.lit("**/skip*")).alias("exclude"))
+    paths = [(f"src/m{i}/a.x{i + 1}",) for i in range(0, 4000, 2)] + [("src/m2/skip.x3",), ("src/m2",), ("",), ("src/m2/é.ts",), (None,)]
+    found = fs.match_templates_indexed(spark.createDataFrame(paths, "path string"), many)
+    want = [(p, f"t{i + k}") for i, (p,) in zip(range(0, 4000, 2), paths) for k in (0, 1)] + [("src/m2/é.ts", "t2")]
+    assert rows(found, "path", "template_id") == sorted(want, key=repr)
+    assert [_glob_key(g) for g in ("a/b/*.ts", "*/a.ts", "**/*", "x*y", "[ab].c", "plain", "a.b")] == ["in a/b/", "by ts", "any", "any", "by c", "any", "by b"]
+
+
+def test_indexed_templates_equal_the_others(spark):
+    globs = ["**/*.ts", "src/**", "src/*/x?.{ts,js}", "*", "**/test*/**", "a.b", "[ab]*.js", "{src,lib}/**/*.js", "**"]
+    templates = spark.createDataFrame([(f"t{i}", [g, globs[i - 1]], [globs[i - 3]] if i % 2 else []) for i, g in enumerate(globs)],
+                                      "template_id string, include array<string>, exclude array<string>")
+    paths = ["src/a.ts", "src/q/x1.ts", "src/q/x12.js", "lib/a/b.js", "a.b", "b.js", "x/tests/y.md", "", "deep/er/a.ts", "src/", "no ext/f"]
+    files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, n int")
+    assert rows(fs.match_templates_indexed(files, templates), "n", "template_id") == rows(fs.match_templates(files, templates), "n", "template_id")
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from findspan.session import cut_lineage, delete_work, work_so_far
+
+    mark = work_so_far()
+    first, second = cut_lineage(spark.range(3)), cut_lineage(spark.range(4))
+    kept = second.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert delete_work(spark, mark, [p for p in (kept, "file:" + kept)]) == 1
+    assert second.count() == 4 and delete_work(spark, mark) == 1
+    with pytest.raises(Exception, match="(?i)not.exist|no such file"):
+        first.count()
+
+
 def test_many_candidates_and_no_examples(spark):
     many = spark.range(6000).select(F.lit("p").alias("predictor"), F.col("id").cast("string").alias("candidate"))
     examples = spark.createDataFrame([(1,), (2,)], "x int")
