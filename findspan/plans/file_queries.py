@@ -35,9 +35,11 @@ def scan_corpus(spark, sf):
         F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("read_findings", f"""
-SELECT rule_name, message, file_path, line, "column", severity, severity = 'Error' AS fix_available, 'engine' AS source FROM {EVENT_FINDINGS}""")
-def read_findings(spark, sf):
+REPORTS_SQL = f"""
+SELECT rule_name, message, file_path, line, "column", severity, severity = 'Error' AS fix_available, 'engine' AS source FROM {EVENT_FINDINGS}"""
+
+
+def _reports(spark, sf):
     """Findings written as nested reports, one report per file and severity in textual or numeric form."""
     folder = work_dir(spark, "reports")
     found = event_findings(spark, sf)
@@ -49,7 +51,18 @@ def read_findings(spark, sf):
     # One report per finding: reports of any number may name the same file.
     report = F.array(F.struct(F.col("file_path").alias("filePath"), F.array(message).alias("messages")))
     found.select(F.to_json(report)).write.text(folder)
-    return S.read_findings(spark, folder, "engine", one_per_line=True)
+    return folder
+
+
+@query("read_findings", REPORTS_SQL)
+def read_findings(spark, sf):
+    return S.read_findings(spark, _reports(spark, sf), "engine", one_per_line=True)
+
+
+@query("read_findings_split", REPORTS_SQL)
+def read_findings_split(spark, sf):
+    """Cut where the entry of a file begins, however long the arrays are."""
+    return S.read_findings(spark, _reports(spark, sf), "engine", split=True)
 
 
 @query("read_rules", f"""

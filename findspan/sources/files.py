@@ -116,13 +116,34 @@ def scan_corpus(
     )
 
 
-def read_findings(spark: SparkSession, path: str, source: str, one_per_line: bool = False) -> DataFrame:
+#: How the entry of a file begins in a report that linters write without extra white space.
+RECORD_START = '{"filePath":'
+
+
+def _split_reports(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of reports that are one array each, of any size: the text is cut where an entry begins, so its parts are read by many tasks.
+
+    Inside of JSON texts quotes are escaped, so the beginning of an entry can't occur there.
+    """
+    parts = spark.read.option("lineSep", RECORD_START).text(path).select(F.regexp_replace("value", r"[,\]\s]*\z", "").alias("value"))
+    other = F.col("value").rlike(r'(^|[^\\])"filePath"\s*:')
+    checked = F.when(other, F.raise_error(F.lit(f"an entry does not begin with {RECORD_START}"))).otherwise(F.col("value"))
+    # What stands before the first entry of a file is no entry.
+    entries = parts.select(F.from_json(F.concat(F.lit(RECORD_START), checked), REPORT_SCHEMA).alias("entry"))
+    return entries.select("entry.*")
+
+
+def read_findings(spark: SparkSession, path: str, source: str, one_per_line: bool = False, split: bool = False) -> DataFrame:
     """Findings from nested lint reports; numeric (2, 1) and textual severities are accepted.
 
     Missing texts become empty and missing numbers 0. Each file is one JSON array and is read by
     one task, as linters write it; with ``one_per_line`` each line is an array, so that files of any size split over tasks.
+    With ``split`` a file is one array and still split, if its entries begin with ``RECORD_START``; other files are refused.
     """
-    reports = spark.read.schema(REPORT_SCHEMA).option("multiLine", str(not one_per_line).lower()).json(path)
+    if split:
+        reports = _split_reports(spark, path)
+    else:
+        reports = spark.read.schema(REPORT_SCHEMA).option("multiLine", str(not one_per_line).lower()).json(path)
     message = reports.select(
         F.coalesce("filePath", F.lit("")).alias("file_path"), F.explode("messages").alias("m"))
     return message.select(

@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 import findspan as fs
@@ -81,6 +82,26 @@ def test_reports(spark, tmp_path):
     assert [r.rule_name for r in fs.sort_findings(both).collect()] == ["no-console", "no-eval", "no-console", "x"]
 
 
+def test_one_large_report_is_split(spark, tmp_path):
+    entries = [{"filePath": f"f{i}.ts", "messages": [
+        {"ruleId": f"r{j}", "message": 'says "filePath": and {\\"filePath\\": ], é', "line": i, "column": j, "severity": j % 3, "fix": {"text": "x"} if j else None}
+        for j in range(i % 4)], "errorCount": 1} for i in range(9000)]
+    path = tmp_path / "report.json"
+    path.write_text(json.dumps(entries, separators=(",", ":"), ensure_ascii=False) + "\n")
+    (tmp_path / "empty.json").write_text("[]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        split = fs.read_findings(spark, str(tmp_path), "lint", split=True)
+        assert split.rdd.getNumPartitions() > 8
+        assert rows(split, *split.columns) == rows(fs.read_findings(spark, str(tmp_path), "lint"), *split.columns)
+        assert split.count() == sum(i % 4 for i in range(9000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    path.write_text(json.dumps(entries[:3], indent=1))
+    with pytest.raises(Exception, match="does not begin"):
+        fs.read_findings(spark, str(path), "lint", split=True).collect()
+
+
 def test_catalogue(spark, tmp_path):
     def rule(ident, category="Style", severity="error", **more):
         return {"id": ident, "name": ident, "description": "", "category": category, "severity": severity, "cost": 1,
