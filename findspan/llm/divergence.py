@@ -5,8 +5,8 @@ language by itself, and ``vocabSize`` is the largest integer, so that no term is
 sparse vector. The vectors are summed per (language, source) within the tasks, as a summarizer does but in whole numbers, and
 then across them.
 
-The model keeps its vocabulary on the driver and in every task. How many terms it will have is counted first, and above
-``BLOCK_TERMS`` the terms are fitted in as many blocks by hash, each in a pass of its own.
+The model keeps its vocabulary on the driver and in every task. How many terms it will have is counted first, on one in ``COUNTED``
+terms by hash, and above ``BLOCK_TERMS`` the terms are fitted in as many blocks by hash, each in a pass of its own.
 
 Pairs of sources are evaluated in tiles: some sources against some sources over the terms of one hash block that any of them
 has; a tile gives one sum per pair. Terms that no source of a tile has differ by the shares of unseen terms, which
@@ -16,11 +16,14 @@ are one number per source.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ UNIT, EXTRA = 1_000_000_000, 5
 TOP = 50
 #: Terms of a vocabulary that the driver and the tasks hold at a time.
 BLOCK_TERMS = 1_000_000
+#: One in so many terms is counted to tell the number of blocks; below so many terms that is no more than one block anyway.
+COUNTED = 16
 #: Sources on a side of a tile, and terms.
 TILE_SOURCES, TILE_TERMS = 64, 2048
 #: Entries that a task gathers before it adds them up, and sums it holds before it hands them on.
@@ -42,55 +47,62 @@ _GATHERED, _HELD = 2_000_000, 1_000_000
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Language, source and the list of tokens (language, line feed, term) of each document; on bytes only A-Z change."""
+    """Language, source and the tokens (language, line feed, term) of each document: every one once, and its further occurrences."""
     term = re.compile(TERM)
+
+    def listed(flat: pa.Array, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            found = [
-                [f"{lang}\n{t}" for t in term.findall(text.encode().lower().decode())]
-                for lang, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.string()))], ["lang", "source", "tokens"])
-
-
-def _sums(names: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse vectors added up per (lang, source), in whole numbers; a group and a token may come more than once."""
-    vocabulary = names.value
-    size = len(vocabulary)
-    codes: dict[tuple[str, str], int] = {}
+        for start in range(0, batch.num_rows, 200):
+            part = batch.slice(start, 200)
+            flat: list[str] = []
+            counts: list[int] = []
+            sizes = []
+            for text in part.column(2).to_pylist():
+                found = Counter(term.findall(text.encode().lower().decode()))  # on bytes only A-Z change
+                flat += found
+                counts += found.values()
+                sizes.append(len(found))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            once = pc.binary_join_element_wise(part.column(0).take(pa.array(of)), pa.array(flat, pa.string()), "\n")
+            again = np.array(counts, dtype=np.int64) - 1
+            more = once.take(pa.array(np.repeat(np.arange(len(flat)), again)))
+            extra = np.bincount(of, again, len(sizes)).astype(np.int64)
+            columns = [part.column(0), part.column(1), listed(once, np.array(sizes, dtype=np.int64)), listed(more, extra)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "once", "more"])
+
+
+def _sums(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse vectors of ``size`` terms added up per source, in whole numbers; a term belongs to one language. A source and a term may come
+    more than once."""
+    codes: dict[str, int] = {}
     keys, counts, gathered = [], [], 0
 
     def added() -> None:
         nonlocal keys, counts, gathered
         if keys:
             key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(key), dtype=np.int64)
-            np.add.at(total, where, np.concatenate(counts))
-            keys, counts, gathered = [key], [total], 0
+            keys, counts, gathered = [key], [np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)], 0
 
     def out() -> Iterator[pa.RecordBatch]:
         nonlocal keys, counts
         if keys:
-            groups = list(codes)
+            sources = pa.array(codes, pa.string())
             for start in range(0, len(keys[0]), 100_000):
                 key, total = keys[0][start : start + 100_000], counts[0][start : start + 100_000]
-                group, term = (key // size).tolist(), (key % size).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([groups[g][0] for g in group], pa.string()), pa.array([groups[g][1] for g in group], pa.string()),
-                     pa.array([vocabulary[t] for t in term], pa.string()), pa.array(total)],
-                    ["lang", "source", "token", "n"],
-                )
+                columns = [sources.take(pa.array(key // size)), pa.array((key % size).astype(np.int32)), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, ["source", "place", "n"])
         keys, counts = [], []
         codes.clear()
 
     for batch in batches:
-        vectors = batch.column(2)
+        vectors = batch.column(1)
         indices, values = vectors.field("indices"), vectors.field("values")
-        group = np.array([codes.setdefault(g, len(codes)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.int64)
+        group = np.array([codes.setdefault(s, len(codes)) for s in batch.column(0).to_pylist()], dtype=np.int64)
         lengths = np.diff(indices.offsets.to_numpy())
         keys.append(np.repeat(group, lengths) * size + indices.flatten().to_numpy().astype(np.int64))
-        counts.append(values.flatten().to_numpy().astype(np.int64))
+        counts.append(values.flatten().to_numpy())
         gathered += len(keys[-1])
         if gathered > _GATHERED:
             added()
@@ -100,26 +112,41 @@ def _sums(names: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     yield from out()
 
 
+def _named(names: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums with the language and the term of each place in the vocabulary."""
+    split = [token.rsplit("\n", 1) for token in names.value]
+    langs, terms = (pa.array([t[i] for t in split], pa.string()) for i in (0, 1))
+    for batch in batches:
+        place = batch.column(1)
+        yield pa.RecordBatch.from_arrays([langs.take(place), batch.column(0), terms.take(place), batch.column(2)], ["lang", "source", "term", "n"])
+
+
 def group_sums(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = MIN_DOCUMENTS, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
     """All groups (lang, source), and the sums (lang, source, term, n) of their documents' vectors over the kept terms."""
     empty = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     rows = docs.select(empty(lang, "lang"), empty(source, "source"), empty(text, "text"))
-    tokens = saved(rows.mapInArrow(_tokens, "lang string, source string, tokens array<string>"), "tokens")
+    tokens = saved(rows.mapInArrow(_tokens, "lang string, source string, once array<string>, more array<string>"), "tokens")
     groups = tokens.select("lang", "source").distinct()
-    kept = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").count().filter(F.col("count") >= least).count()
-    blocks = max(1, -(-kept // block_terms))
+    counted = F.filter(F.transform("once", lambda t: F.xxhash64(t)), lambda h: F.pmod(h, F.lit(COUNTED)) == 0)
+    some = tokens.select(F.explode(counted).alias("h")).groupBy("h").count().filter(F.col("count") >= least).count()
+    blocks = max(1, -(-some * COUNTED // block_terms))
     sums = []
     for block in range(blocks):
-        mine = F.filter("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(blocks)) == block) if blocks > 1 else F.col("tokens")
-        given = tokens.select("lang", "source", mine.alias("tokens"))
-        if not kept:
-            break
-        model = CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(least), vocabSize=ALL_TERMS).fit(given)
+        def mine(name: str, block: int = block) -> Column:
+            if blocks == 1:
+                return F.col(name)
+            return F.filter(name, lambda t: F.pmod(F.shiftright(F.xxhash64(t), 8), F.lit(blocks)) == block)
+
+        model = CountVectorizer(inputCol="once", outputCol="counts", minDF=float(least), vocabSize=ALL_TERMS)
+        try:
+            model = model.fit(tokens.select(mine("once").alias("once")))
+        except IllegalArgumentException:  # it refuses an empty vocabulary
+            continue
         names = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
-        vectors = model.transform(given).select("lang", "source", "counts")
-        part = vectors.mapInArrow(partial(_sums, names), "lang string, source string, token string, n long")
-        part = part.groupBy("lang", "source", "token").agg(F.sum("n").alias("n"))
-        sums.append(saved(part.select("lang", "source", F.substring_index("token", "\n", -1).alias("term"), "n"), "sums"))
+        vectors = model.setInputCol("all").transform(tokens.select("source", F.concat(mine("once"), mine("more")).alias("all")))
+        part = vectors.select("source", "counts").mapInArrow(partial(_sums, len(names.value)), "source string, place int, n long")
+        part = part.groupBy("source", "place").agg(F.sum("n").alias("n"))
+        sums.append(saved(part.mapInArrow(partial(_named, names), "lang string, source string, term string, n long"), "sums"))
     nothing = groups.limit(0).select("lang", "source", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"))
     return groups, reduce(DataFrame.unionByName, sums) if sums else nothing
 
@@ -133,8 +160,8 @@ def _share(n: Column, total: Column, size: Column) -> Column:
 def _tile(table: pa.Table) -> pa.Table:
     """All pairs of sources of a tile: the sum of differences over the terms that any of them has, how many these are, the
     difference of unseen terms. Rows without a term are the sources themselves."""
-    own = table.filter(pa.compute.is_null(table["term"]))
-    entries = table.filter(pa.compute.is_valid(table["term"]))
+    own = table.filter(pc.is_null(table["term"]))
+    entries = table.filter(pc.is_valid(table["term"]))
     names = own["source"].to_pylist()
     tiles, unseen = own["tile"].to_numpy(), own["p"].to_numpy()
     place = {s: i for i, s in enumerate(names)}
