@@ -206,7 +206,7 @@ placed AS (SELECT e.event_id, e.user_id, e.ts, max(o.window_start) AS window_sta
 SELECT event_id, row_number() OVER (PARTITION BY user_id, window_start ORDER BY ts, event_id) <= 2 AS accepted FROM placed""")
 def stream_throttle_exact(spark, sf):
     calls, delay = _shuffled_events(spark, sf, "event_id", "user_id", "ts")
-    admitted = T.stream_throttle_exact(calls, ["user_id"], "ts", "event_id", 2, 86400, delay)
+    admitted = T.stream_throttle_exact(calls, ["user_id"], "ts", "event_id", 2, 86400, delay, int(delay.split()[0]) / 1000)
     return T.drain(admitted, work_dir(spark, "stream-exact")).filter("event_id IS NOT NULL").select("event_id", "accepted")
 
 
@@ -224,7 +224,7 @@ SELECT event_id, answered_by, event_id = answered_by AS fresh FROM named""")
 def stream_dedup(spark, sf):
     """Events of one type and properties ask for the same; an answer is good for a day."""
     requests, delay = _shuffled_events(spark, sf, "event_id", "event_type", "props", "ts")
-    answered = T.stream_dedup(requests, ["event_type", "props"], "ts", "event_id", 86400, delay)
+    answered = T.stream_dedup(requests, ["event_type", "props"], "ts", "event_id", 86400, delay, int(delay.split()[0]) / 1000)
     return T.drain(answered, work_dir(spark, "stream-dedup")).filter("event_id IS NOT NULL").select("event_id", "answered_by", "fresh")
 
 
