@@ -101,7 +101,7 @@ from findspan.operators.versions import (
     version_timeline,
 )
 from findspan.plans.analyses import learn_rules, lint_texts, route_calls
-from findspan.sources.files import append_run_log, read_findings, read_rules, read_run_log, scan_corpus
+from findspan.sources.files import append_run_log, read_findings, read_rules, read_run_log, scan_corpus, write_folders
 from findspan.sources.stored import (
     changed_rows,
     keep_snapshot,

@@ -27,7 +27,7 @@ def scan_corpus(spark, sf):
     """A folder per document, by language and source; a glob and ignore rules leave some out."""
     folder = work_dir(spark, "corpus")
     docs = table(spark, sf, "documents").select("lang", "source", F.concat(F.lit("doc "), F.col("doc_id")).alias("doc"), "text")
-    docs.write.partitionBy("lang", "source", "doc").text(folder)
+    S.write_folders(docs, folder, ["lang", "source", "doc"])
     files = S.scan_corpus(
         spark, folder, include=["lang={en,fr}/**/*.txt"], exclude=["**/source=src3/**"], ignore=["# sources", "source=src5/"], max_kb=100_000)
     return files.select(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -73,6 +77,36 @@ def ignored(path: Column, rules: Sequence[str]) -> Column:
     return F.exists(steps, left_out)
 
 
+#: What Spark escapes in the names of partition folders, and what it calls the folder of a missing or empty value.
+_ESCAPED, _NO_VALUE = re.compile("[\x00-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]"), "__HIVE_DEFAULT_PARTITION__"
+
+
+def _write_part(folder: str, columns: Sequence[str], text: str, rows: Iterable[Row]) -> None:
+    """The files of one task; the rows of a folder follow each other."""
+    for values, same in itertools.groupby(rows, lambda r: tuple(r[c] for c in columns)):
+        names = [f"{c}={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', str(v)) if v not in (None, '') else _NO_VALUE}" for c, v in zip(columns, values)]
+        where = os.path.join(folder, *names)
+        os.makedirs(where, exist_ok=True)
+        # Named after the task's share of the rows: a repeated task writes the same file again.
+        with open(os.path.join(where, f"part-{TaskContext.get().partitionId():05d}.txt"), "wb") as file:
+            file.writelines((r[text] or "").encode("utf-8", "surrogatepass") + b"\n" for r in same)
+
+
+def write_folders(df: DataFrame, folder: str, columns: Sequence[str], text: str = "text") -> None:
+    """Write texts into a folder for each value of the columns, the same files as ``df.write.partitionBy(columns).text(folder)``.
+
+    Spark's own writer starts a process for each file and folder that it makes on a local or mounted file system, which is most of the
+    work when files are small; there the tasks write the files themselves. Elsewhere Spark's writer is used.
+    """
+    local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", folder)
+    if not local or local[1].startswith("//"):
+        df.select(*columns, text).write.partitionBy(*columns).text(folder)
+        return
+    os.makedirs(local[1], exist_ok=True)
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in columns], text).sortWithinPartitions(*columns)
+    rows.foreachPartition(partial(_write_part, local[1], list(columns), text))
+
+
 def scan_corpus(
     spark: SparkSession,
     path: str,
@@ -99,7 +133,14 @@ def scan_corpus(
         raise ValueError("the corpus folder must be an absolute path or a URI")
     whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     inside = F.substring(F.regexp_replace(whole, scheme, ""), F.lit(len(root) + 1), F.lit(1 << 30))
-    files = reader.load(path)
+    # Spark lists folders in tasks of one folder each, up to 10,000 at a time; a few folders a task cost far less.
+    width = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(width)
+    spark.conf.set(width, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        files = reader.load(path)
+    finally:
+        spark.conf.set(width, before)
     if include:
         files = files.filter(inside.rlike(glob_regex(include)))
     if exclude:

@@ -44,6 +44,35 @@ def test_corpus_paths_are_decoded_and_relative_to_the_root(spark, tmp_path):
     assert rows(fs.scan_corpus(spark, f"file://{root}/", ["a b/*"]), "path") == [("a b/x.ts",)]
 
 
+def test_written_folders_are_those_of_sparks_writer(spark, tmp_path):
+    odd = ["x", "", None, "a b", "50%", "k=v:[{^}]?*#'\"\\/", "é", "tab\t", "+&~!"]
+    given = [(o, i, t) for i, (o, t) in enumerate((o, t) for o in odd for t in ("one", "", None, "two\nlines\r\n"))] + [("x", 0, "again"), ("x", None, "z")]
+    df = spark.createDataFrame(given, "kind string, n int, text string").repartition(3, "kind", "n")
+    df.write.partitionBy("kind", "n").text(str(tmp_path / "spark"))
+    fs.write_folders(df, str(tmp_path / "own"), ["kind", "n"])
+
+    def written(root):
+        return sorted((str(f.parent.relative_to(root)), sorted(f.read_bytes().split(b"\n"))) for f in root.rglob("*.txt"))
+
+    assert written(tmp_path / "own") == written(tmp_path / "spark")
+    assert not list((tmp_path / "own").rglob("*.crc"))  # no file of Hadoop's writer, which starts a process for each
+
+
+def test_a_listing_task_takes_many_folders(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.ts").write_text("x")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        found = fs.scan_corpus(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 200
+    assert found.count() == 200
+
+
 def test_ignore_rules(spark):
     from findspan.sources.files import ignored
 
