@@ -1,6 +1,7 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from bands of minhashes; every link is verified exactly on the shingles.
+Candidates come from the SimHash of the shingles by the grid of ``simhash``, which finds the nearest, and from bands of minhashes, which
+reach down to the similarity; every link is verified exactly on the shingles.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 
 from findspan.llm.common import per_batch, saved, texts
 from findspan.llm.components import stars
-from findspan.llm.simhash import keep_one, key_text
+from findspan.llm.simhash import close_pairs, keep_one, key_text, majority, spare_blocks
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Differing bits of fingerprints up to which a pair is verified. Similarity 0.8 has 10 on average; cells of a grid for that are too large.
+RADIUS = 4
 #: Minhashes of a band, and bands: a pair of similarity 0.8 shares none with probability 3e-6, one of 0.9 with 5e-12.
 BAND, BANDS = 4, 24
 #: Minhashes that give a bit each, and differing bits up to which a pair is verified: similarity 0.8 has 51 on average, and 85 is
@@ -47,9 +50,13 @@ def shingles(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def minhashes(found: np.ndarray, flips: np.ndarray = FLIPS, factors: np.ndarray = FACTORS) -> np.ndarray:
-    """The least value of each of the permutations."""
-    parts = [((found[i : i + 1024] ^ flips) * factors).min(axis=1) for i in range(0, len(found), 1024)]
-    return reduce(np.minimum, parts)
+    """The least value of each of the permutations, over a few shingles at a time so that what lies between stays in the processor's cache."""
+    least = np.full(len(flips), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(found), 64):
+        part = found[i : i + 64] ^ flips
+        part *= factors
+        np.minimum(least, part.min(axis=1), out=least)
+    return least
 
 
 def _long_sketches(sets: DataFrame) -> DataFrame:
@@ -68,29 +75,30 @@ def _long_sketches(sets: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_hash, set_id (a hash of the set of shingles), size, the keys of its bands, its bits."""
+    """One row per document: doc_id, text_hash, set_id (a hash of the set of shingles), size, its SimHash, the keys of its bands, its bits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, bands, bits = [], [], [], []
+        ids, sizes, prints, bands, bits = [], [], [], [], []
         for t in batch.column(2).to_pylist():
             found = shingles(t)
             least = minhashes(found)
             ids.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
             sizes.append(len(found))
+            prints.append(majority(found))
             bands.append([xxhash.xxh64_intdigest(b.tobytes(), 9) for b in least[: BAND * BANDS].reshape(BANDS, BAND)])
             bits.append(np.packbits((least * MIXERS) >> np.uint64(63) != 0))
         whole = np.array(bits, dtype=np.uint8).view("<i8")
         signed = lambda x: pa.array(np.array(x, dtype=np.uint64).astype(np.int64).reshape(-1))
         keys = pa.FixedSizeListArray.from_arrays(signed(bands), BANDS)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), signed(ids), pa.array(sizes, pa.int64()), keys.cast(pa.list_(pa.int64())),
+            [batch.column(0), batch.column(1), signed(ids), pa.array(sizes, pa.int64()), signed(prints), keys.cast(pa.list_(pa.int64())),
              *[pa.array(whole[:, i].copy()) for i in range(len(LONGS))]],
-            ["doc_id", "text_hash", "set_id", "size", "bands", *LONGS],
+            ["doc_id", "text_hash", "set_id", "size", "fp", "bands", *LONGS],
         )
 
     rows = texts(docs, key, text).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     columns = ", ".join(f"{c} long" for c in LONGS)
-    return rows.mapInArrow(per_batch(run), f"doc_id long, text_hash long, set_id long, size long, bands array<long>, {columns}")
+    return rows.mapInArrow(per_batch(run), f"doc_id long, text_hash long, set_id long, size long, fp long, bands array<long>, {columns}")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
@@ -113,6 +121,17 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").filter(shared >= SIMILARITY * union).select("u", "v")
 
 
+def _close(prints: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets whose fingerprints are within the radius: links between fingerprints by the grid, each by the first of its
+    sets, and from that to its others."""
+    marks = saved(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("set_id").alias("first")), "marks")
+    near = close_pairs(marks.select("fp", "n"), RADIUS, spare_blocks(marks.count())).distinct()
+    a, b = (marks.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "uv")
+    between = near.join(a, "u").join(b, "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    within = prints.join(marks.filter("n > 1"), "fp").filter("set_id <> first").select(F.col("set_id").alias("u"), F.col("first").alias("v"))
+    return saved(between.unionByName(within), "close")
+
+
 def _pairs_left(current: DataFrame) -> int:
     """Pairs of members of a cell that are in different components, over all cells."""
     labels = current.groupBy("t", "cell", "label").agg(F.count("*").alias("n"))
@@ -153,7 +172,7 @@ def _listed(current: DataFrame, facts: DataFrame, done: float, share: float) ->
 def links(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
     """Links (u, v) that connect all sets of shingles that are similar.
 
-    At first each cell (band and its key) has a pivot, the member that comes first in an order which is the same for all bands, so
+    The pairs that are close by their fingerprints are verified first. Each cell (band and its key) has a pivot, the member that comes first in an order which is the same for all bands, so
     that members of a family have few pivots over all their cells; the others are verified against it. Of the pairs that this leaves in
     different components some are listed by their hash, about ``FEW`` times the members, if their sizes and sketches leave the
     similarity possible, and verified; their links join components, whose other pairs need no look any more. Rounds go on until all
@@ -162,12 +181,14 @@ def links(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
     cells = prints.select("set_id", F.posexplode("bands").alias("t", "cell"))
     shared = cells.groupBy("t", "cell").agg(F.count("*").alias("members")).filter("members > 1").drop("members")
     members = saved(cells.join(shared, ["t", "cell"]), "members")
-    needed = members.select("set_id").distinct().join(prints.select("set_id", "sample"), "set_id").select(
+    close = _close(prints)
+    named = members.select("set_id").unionByName(close.select(F.explode(F.array("u", "v")).alias("set_id"))).distinct()
+    needed = named.join(prints.select("set_id", "sample"), "set_id").select(
         key_text("sample.doc_id").alias("_key"), F.col("sample.text_hash").alias("_hash"), "set_id"
     )
     sets = saved(_sets(docs, needed, key, text), "sets")
     pivots = members.groupBy("t", "cell").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("v"))
-    pairs = members.join(pivots, ["t", "cell"]).filter("set_id <> v").select(F.col("set_id").alias("u"), "v").distinct()
+    pairs = members.join(pivots, ["t", "cell"]).filter("set_id <> v").select(F.col("set_id").alias("u"), "v").unionByName(close).distinct()
     near = saved(_similar(pairs, sets), "near")
 
     def labelled() -> DataFrame:
@@ -207,7 +228,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     rows = saved(sketches(docs, key, text), "sketches")
     sample = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("sample")
-    same = [F.max(c).alias(c) for c in ("size", "bands", *LONGS)]
+    same = [F.max(c).alias(c) for c in ("size", "fp", "bands", *LONGS)]
     prints = saved(rows.groupBy("set_id").agg(sample, *same), "sets_of_shingles")
     found = stars(links(docs, prints, key, text))
     roots = found.unionByName(found.select(F.col("v").alias("u"), "v").distinct())

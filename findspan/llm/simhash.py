@@ -32,8 +32,12 @@ def simhash(text: str, words: int = 4) -> int:
             xxhash.xxh64_intdigest(joined[starts[i] : starts[i + words] - 1], 42)
             for i in range(len(found) - words + 1)
         ]
-    array = np.array(hashes, dtype="<u8")
-    bits = np.unpackbits(array.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     set_in = bits.sum(axis=0, dtype=np.int64)
     packed = np.packbits(2 * set_in > len(hashes), bitorder="little")
     return int(packed.view("<u8")[0])

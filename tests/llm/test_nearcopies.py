@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -59,6 +60,24 @@ def test_groups_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_fingerprints_of_the_grid_give_links(spark, monkeypatch):
+    rng = random.Random(29)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(800)]
+    rows = [(k, " ".join([*text, f"x{k}"])) for k in range(40)]  # one shingle of 797 differs
+    rows += [(100 + k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(50))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    closed = nearcopies._close
+    monkeypatch.setattr(nearcopies, "_close", lambda prints: seen.append(closed(prints)) or seen[-1])
+    # Bands that no two texts share: what is linked now the fingerprints have found.
+    sketched = nearcopies.sketches
+    alone = F.array(*[F.xxhash64("set_id", F.lit(i)) for i in range(nearcopies.BANDS)])
+    monkeypatch.setattr(nearcopies, "sketches", lambda *given: sketched(*given).withColumn("bands", alone))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+    assert got == {i: 0 if i < 100 else i for i, _ in rows}
+    assert 39 <= seen[0].count() <= 15 * 80
+
+
 def test_members_far_from_the_pivot_and_odd_rows(spark):
     rng = random.Random(24)
     text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
