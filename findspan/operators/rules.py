@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findspan.functions.patterns import REGEX_ONLY_INSIDE, required_literals
 from findspan.functions.text import match_columns, sql_text, text_lines
 from findspan.operators.corpus import LINE_SMELLS
-from findspan.session import cut_lineage, in_blocks
+from findspan.session import cut_lineage, in_blocks, small_batches
 
 RULE_SCHEMA = (
     "id string, name string, description string, pattern string, severity string, category string, "
@@ -321,6 +323,42 @@ def _grams(text: str) -> str:
     return f"array_distinct(regexp_extract_all({text}, '(?s)(?=({'.' * GRAM}))', 1))"
 
 
+#: Bits of a key of the filter that tells grams which no rule has, and bytes of texts that are looked at together.
+KEY_BITS = 24
+STRETCH = 1 << 20
+
+
+def _gram_filter(index: DataFrame) -> np.ndarray:
+    """A bit for each key of a gram's first four bytes, packed: two megabytes for an index of any length."""
+    head = "CAST(conv(hex(substring(CAST(gram AS binary), 1, 4)), 16, 10) AS long)"
+    keys = index.selectExpr(f"shiftright({head} * 1640531527L & 4294967295L, {32 - KEY_BITS}) AS key")
+    words = keys.groupBy(F.expr("shiftright(key, 5)").alias("word"))
+    found = words.agg(F.expr("bit_or(shiftleft(1L, CAST(key & 31 AS int)))").alias("bits")).collect()
+    packed = np.zeros(1 << (KEY_BITS - 5), dtype="<u4")
+    for r in found:
+        packed[r.word] = r.bits
+    return packed.view(np.uint8)
+
+
+def _known_grams(texts: pa.Array, bits: np.ndarray) -> pa.Array:
+    """For each text its distinct grams whose key is in the filter; those of the rules are all among them."""
+    texts = texts.cast(pa.large_binary())
+    found: list[set[str]] = [set() for _ in range(len(texts))]
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends[1:] - ends[0]
+    for start in range(0, max(0, len(whole) - 3), STRETCH):
+        part = whole[start : start + STRETCH + 3].astype(np.uint32)
+        head = (part[:-3] << np.uint32(24)) | (part[1:-2] << np.uint32(16)) | (part[2:-1] << np.uint32(8)) | part[3:]
+        key = (head * np.uint32(1640531527)) >> np.uint32(32 - KEY_BITS)
+        places = np.flatnonzero((bits[key >> np.uint32(3)] >> (key & np.uint32(7)).astype(np.uint8)) & np.uint8(1)) + start
+        for place, row in zip(places.tolist(), np.searchsorted(ends, places, side="right").tolist()):
+            gram = whole[place : min(place + 4 * GRAM, ends[row])].tobytes().decode("utf-8", "ignore")[:GRAM]
+            if len(gram) == GRAM:
+                found[row].add(gram)
+    return pa.array([list(f) for f in found], pa.list_(pa.string()))
+
+
 def rule_index(rules: DataFrame, texts: DataFrame | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The enabled rules by a gram of each of their literals, and the rules that can't be found that way.
 
@@ -338,7 +376,7 @@ def rule_index(rules: DataFrame, texts: DataFrame | None = None, text: str = "te
     plain = told.filter("NOT found").select(*schema.names)
     grams = (
         told.filter("found").select(F.struct(*schema.names).alias("rule"), "literals", F.explode("literals").alias("literal"))
-        .select("*", F.expr(f"explode({_grams('literal')})").alias("gram"))
+        .select("*", F.explode(F.expr(f"transform(sequence(1, char_length(literal) - {GRAM - 1}), i -> substring(literal, i, {GRAM}))")).alias("gram"))
     )
     counts = spark.createDataFrame([], "gram string, texts long")
     if texts is not None:
@@ -368,15 +406,23 @@ def scan_texts_indexed(
 ) -> DataFrame:
     """Findings of :func:`scan_texts` with rules of any number, through an index of their literals.
 
-    A text is cut once into grams; those meet the rules' grams in a join, and only rules whose
+    The grams of a text that may be a rule's (a filter of fixed size tells) meet the rules' grams in a join, and only rules whose
     literal the text contains are run on its lines. So the cost follows the texts and the rules that may hit, not their product. Spark
     broadcasts the index while it is small. Rules that show no literal are scanned as :func:`scan_texts` does.
     A text that holds literals of very many rules is one row per rule there.
     """
     index, plain = rule_index(rules, texts if sample is None else sample, text)
     kept = [c for c in texts.columns if c != text]
+    small_batches(texts.sparkSession)
+    bits = texts.sparkSession.sparkContext.broadcast(_gram_filter(index))
+
+    @F.arrow_udf("array<string>")
+    def known(column: pa.Array) -> pa.Array:
+        return _known_grams(column, bits.value)
+
     rows = texts.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(text).alias("__text"))
-    met = rows.withColumn("__gram", F.expr(f"explode({_grams('__text')})")).join(index.withColumnRenamed("gram", "__gram"), "__gram")
+    rows = rows.withColumn("__grams", known("__text")).filter(F.size("__grams") > 0)
+    met = rows.select("__row", "__text", F.explode("__grams").alias("__gram")).join(index.withColumnRenamed("gram", "__gram"), "__gram")
     # A rule with several literals is found by the first that the text contains.
     met = met.filter(F.expr("get(filter(literals, x -> contains(__text, x)), 0) = literal"))
     if language is not None:

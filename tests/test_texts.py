@@ -1,5 +1,6 @@
 """Lines, languages, rules, findings and annotations on small fixtures."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,3 +357,18 @@ def test_the_index_keeps_the_rarest_gram(spark):
     (row,) = index.collect()
     assert row.literal == "common words here" and row.gram not in ("comm", "word", "here", "ommo") and plain.count() == 0
     assert fs.scan_texts_indexed(texts, rules).count() == 0
+
+
+def test_known_grams_are_those_of_the_rules(spark):
+    literals = ["alphabet", "Größe mal", "日本語テキスト", "😀😁😂😃x", "tail"]
+    index, _ = rules_module.rule_index(spark.createDataFrame(
+        [(x, "g", "d", x, "Info", "x", True, ["*"], 1, None, 0.5, False, None, None) for x in literals], rules_module.RULE_SCHEMA))
+    grams = {r.gram for r in index.collect()}
+    assert len(grams) == len(literals)
+    filler = "".join(chr(97 + i * 7 % 26) for i in range(rules_module.STRETCH))
+    texts = [*literals, None, "", "abc", filler + literals[0] + filler, *["x" * i + "tail" for i in range(8)], "tai", "l"]
+    column = pa.array(["not seen", *texts])[1:]
+    found = rules_module._known_grams(column, rules_module._gram_filter(index)).to_pylist()
+    for text, got in zip(texts, found):
+        assert {g for g in got if g in grams} == {g for g in grams if g in (text or "")}
+    assert sum(len(f) for f in found) < 100  # not one for each place of a text
