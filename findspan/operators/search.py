@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findspan.functions.scoring import is_finite
-from findspan.session import in_blocks
+from findspan.session import in_blocks, small_batches
 
 # Candidates that one pass over the examples evaluates; a longer list takes more passes.
 CANDIDATES_PER_PASS = 5_000
@@ -106,19 +106,21 @@ def search_candidates(
 ) -> DataFrame:
     """Mean score of every candidate over all examples; those in ``scored`` keep their score.
 
-    Candidates travel to the examples in blocks, so the list may have any length. Each batch of
-    examples yields one partial sum per candidate, so pairs are never rows and only sums are
-    shuffled. An example whose prediction fails counts 0; without examples every score is 0.
+    Candidates travel to the examples in blocks, so the list may have any length. Each task yields one
+    partial sum per candidate, so pairs are never rows and only sums are shuffled. A worker holds a thousand
+    examples at a time, so its memory doesn't grow with the table. An example whose prediction fails counts 0; without examples every score is 0.
     """
+    small_batches(examples.sparkSession)
     wanted = candidates.select("predictor", "candidate").distinct()
     if scored is not None:
         wanted = wanted.join(scored.select("predictor", "candidate"), ["predictor", "candidate"], "left_anti")
 
     def evaluate_all(todo: list[tuple[str, str]]) -> Callable:
         def evaluate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            totals, n = [0.0] * len(todo), 0
             for part in parts:
-                rows = []
-                for predictor, candidate in todo:
+                n += len(part)
+                for place, (_, candidate) in enumerate(todo):
                     try:
                         total = float(sum(metric(part, fn(candidate, part))))
                     except Exception:  # noqa: BLE001 - find the examples that fail
@@ -129,7 +131,9 @@ def search_candidates(
                                 total += float(sum(metric(one, fn(candidate, one))))
                             except Exception:  # noqa: BLE001
                                 continue
-                    rows.append((predictor, candidate, total, len(part)))
+                    totals[place] += total
+            if n:
+                rows = [(predictor, candidate, total, n) for (predictor, candidate), total in zip(todo, totals)]
                 yield pd.DataFrame(rows, columns=["predictor", "candidate", "total", "n"])
 
         return evaluate

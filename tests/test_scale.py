@@ -206,3 +206,11 @@ print(fs.throttle(calls, ["key"], "ts", "id", 1, 60).filter("accepted").count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240, check=True)
     assert done.stdout.split()[-1] == "2"
+
+
+def test_candidates_see_a_bounded_number_of_examples(spark):
+    candidates = spark.createDataFrame([("p", "a")], "predictor string, candidate string")
+    examples = spark.range(0, 5000, 1, 1).select(F.col("id").alias("x"))
+    # The score is the mean number of examples that a call gets.
+    found = fs.search_candidates(candidates, examples, lambda c, part: [len(part)] * len(part), lambda part, answers: answers)
+    assert found.first().score <= 1000
