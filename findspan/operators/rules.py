@@ -391,11 +391,12 @@ def _matches_of_column(line: str, pattern: str, fix: str) -> tuple[str, str]:
     """SQL for the first match, and for all, with patterns and fixes that are columns; ``$1`` to ``$9`` as in :func:`_matches`."""
     first = fix
     for g in "987654321":
-        first = f"CASE WHEN contains({fix}, '${g}') THEN replace({first}, '${g}', regexp_extract({line}, {pattern}, {g})) ELSE {first} END"
+        # What was built so far is named once a level, or the expression would double with each.
+        first = f"replace({first}, '${g}', CASE WHEN contains({fix}, '${g}') THEN regexp_extract({line}, {pattern}, {g}) ELSE '${g}' END)"
     one = (f"array(named_struct('column', regexp_instr({line}, {pattern}), 'matched', regexp_extract({line}, {pattern}, 0), 'fix', {first}))")
     every = "t.fix"
     for g in "987654321":
-        every = f"CASE WHEN contains(t.fix, '${g}') THEN replace({every}, '${g}', get(regexp_extract_all(t.line, t.pattern, {g}), i)) ELSE {every} END"
+        every = f"replace({every}, '${g}', CASE WHEN contains(t.fix, '${g}') THEN get(regexp_extract_all(t.line, t.pattern, {g}), i) ELSE '${g}' END)"
     given = f"array(named_struct('found', {match_columns(line, pattern)}, 'line', {line}, 'pattern', {pattern}, 'fix', {fix}))"
     many = f"get(transform({given}, t -> transform(t.found, (m, i) -> named_struct('column', m.column, 'matched', m.matched, 'fix', {every}))), 0)"
     return one, many

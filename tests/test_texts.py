@@ -372,3 +372,8 @@ def test_known_grams_are_those_of_the_rules(spark):
     for text, got in zip(texts, found):
         assert {g for g in got if g in grams} == {g for g in grams if g in (text or "")}
     assert sum(len(f) for f in found) < 100  # not one for each place of a text
+
+
+def test_expression_of_a_fix_grows_with_its_groups():
+    one, many = rules_module._matches_of_column("line", "pattern", "fix")
+    assert len(one) < 2000 and len(many) < 2500 and one.count("regexp_extract(") == 10
