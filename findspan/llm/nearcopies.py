@@ -31,6 +31,8 @@ LONGS = [f"bits{i}" for i in range(BITS // 64)]
 #: The longer sketch of sets that pivots have not linked: similarity 0.8 has 205 differing bits on average, and 273 is five deviations above;
 #: 0.7 has 307.
 LONG_BITS, MOST_LONG_BITS = 2048, 273
+#: Differing bits of both sketches, which have their own permutations: similarity 0.8 has 256 on average, and 332 is five deviations above.
+MOST_OF_ALL = 332
 #: A round lists as many pairs as a few times the members of cells, and all that are left after a round that took off less than a share.
 FEW, WORTH = 12, 0.1
 #: Constants that all workers share.
@@ -113,6 +115,30 @@ def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
     return rows.join(needed, ["_key", "_hash"]).select("set_id", "text").mapInArrow(per_batch(run), "set_id long, found array<long>")
 
 
+def _to_pivots(members: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs (u, v) of members of cells with the pivots of their cells, if sizes and sketches leave the similarity possible.
+
+    A pivot is the member that comes first in an order which is the same for all bands, so that members of a family have few pivots over
+    all their cells.
+    """
+    pivots = members.groupBy("t", "cell").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("v"))
+    facts = prints.select("set_id", "size", *LONGS)
+    met = members.join(facts, "set_id").join(pivots, ["t", "cell"]).filter("set_id <> v").dropDuplicates(["set_id", "v"]).alias("a")
+    possible = (
+        (F.col("a.v") == F.col("b.set_id"))
+        & (F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size"))
+        & (_differing("a", "b", LONGS) <= MOST_BITS)
+    )
+    return met.join(facts.alias("b"), possible).select(F.col("a.set_id").alias("u"), "v")
+
+
+def _apart(pairs: DataFrame, forest: DataFrame) -> DataFrame:
+    """The pairs (u, v) that links have not joined yet."""
+    a, b = (forest.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root")) for c in "uv")
+    rooted = pairs.join(a, "u", "left").join(b, "v", "left")
+    return rooted.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets have the similarity."""
     a, b = (sets.select(F.col("set_id").alias(c), F.col("found").alias(f"{c}_found")) for c in "uv")
@@ -164,19 +190,21 @@ def _listed(current: DataFrame, facts: DataFrame, done: float, share: float) ->
         & (F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size"))
         & (_differing("a", "b", LONGS) <= MOST_BITS)
         & (_differing("a", "b", long_names) <= MOST_LONG_BITS)
+        & (_differing("a", "b", [*LONGS, *long_names]) <= MOST_OF_ALL)
         & ~met_before,
     )
     return saved(pairs.select(F.col("b.set_id").alias("u"), F.col("a.set_id").alias("v")), "listed")
 
 
 def links(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
-    """Links (u, v) that connect all sets of shingles that are similar.
+    """Rows (u, v) that link each set of shingles to the least of its component, where similar sets are linked.
 
-    The pairs that are close by their fingerprints are verified first. Each cell (band and its key) has a pivot, the member that comes first in an order which is the same for all bands, so
-    that members of a family have few pivots over all their cells; the others are verified against it. Of the pairs that this leaves in
+    Each cell (band and its key) has a pivot, and its other members are verified against it first. The pairs that are close by their
+    fingerprints are verified next, but for those whose ends are joined already. Of the pairs of a cell that this leaves in
     different components some are listed by their hash, about ``FEW`` times the members, if their sizes and sketches leave the
     similarity possible, and verified; their links join components, whose other pairs need no look any more. Rounds go on until all
-    pairs have been listed or joined. After a round that joined little all the rest is listed at once.
+    pairs have been listed or joined. After a round that joined little all the rest is listed at once. A round's links are added to the
+    components so far, not to the links that made them.
     """
     cells = prints.select("set_id", F.posexplode("bands").alias("t", "cell"))
     shared = cells.groupBy("t", "cell").agg(F.count("*").alias("members")).filter("members > 1").drop("members")
@@ -187,12 +215,11 @@ def links(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
         key_text("sample.doc_id").alias("_key"), F.col("sample.text_hash").alias("_hash"), "set_id"
     )
     sets = saved(_sets(docs, needed, key, text), "sets")
-    pivots = members.groupBy("t", "cell").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("v"))
-    pairs = members.join(pivots, ["t", "cell"]).filter("set_id <> v").select(F.col("set_id").alias("u"), "v").unionByName(close).distinct()
-    near = saved(_similar(pairs, sets), "near")
+    forest = stars(_similar(_to_pivots(members, prints), sets))
+    pending = saved(_apart(close, forest), "pending")
 
     def labelled() -> DataFrame:
-        label = stars(near).select(F.col("u").alias("set_id"), F.col("v").alias("label"))
+        label = forest.select(F.col("u").alias("set_id"), F.col("v").alias("label"))
         named = members.join(label, "set_id", "left").select("t", "cell", "set_id", F.coalesce("label", "set_id").alias("label"))
         return saved(named, "labels")
 
@@ -207,7 +234,8 @@ def links(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
             facts = saved(prints.select("set_id", "size", "bands", *LONGS).join(longer, "set_id"), "facts")
         share = 1.0 - done if stalled else min(1.0, FEW * size / (left * passing)) * (1.0 - done)
         pairs = _listed(current, facts, done, share)
-        near = near.unionByName(saved(_similar(pairs, sets), "near"))
+        known = forest.unionByName(_similar(pairs if pending is None else pairs.unionByName(pending), sets))
+        forest, pending = stars(known), None
         done = done + share if share < 1.0 - done else 1.0
         if done < 1.0:
             looked, listed = left * share / (1.0 - done + share), pairs.count()
@@ -215,7 +243,7 @@ def links(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
             current = labelled()
             before, left = left, _pairs_left(current)
             stalled = listed > FEW * size / 3 and left > (1 - WORTH) * before
-    return near
+    return forest if pending is None else stars(forest.unionByName(_similar(pending, sets)))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,7 +258,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sample = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("sample")
     same = [F.max(c).alias(c) for c in ("size", "fp", "bands", *LONGS)]
     prints = saved(rows.groupBy("set_id").agg(sample, *same), "sets_of_shingles")
-    found = stars(links(docs, prints, key, text))
+    found = links(docs, prints, key, text)
     roots = found.unionByName(found.select(F.col("v").alias("u"), "v").distinct())
     named = roots.join(prints, roots.u == prints.set_id).select("u", "v", F.col("sample.doc_id").alias("least"))
     lowest = named.groupBy("v").agg(F.min("least").alias("lowest"))

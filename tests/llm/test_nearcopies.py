@@ -137,3 +137,16 @@ def test_very_long_texts_and_clashing_columns(spark):
     assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == plain_groups(rows)
     kept = nearcopies.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_links_that_fingerprints_and_bands_both_find_are_verified_once(spark, monkeypatch):
+    """A dense family: its pivots join it, so the pairs that are close by their fingerprints need no look."""
+    listed, similar = [], nearcopies._similar
+    monkeypatch.setattr(nearcopies, "_similar", lambda pairs, sets: listed.append(pairs.count()) or similar(pairs, sets))
+    rng = random.Random(31)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(k, " ".join([*text[: 3 * k], f"x{k}", *text[3 * k + 1 :]])) for k in range(100)]
+    rows += [(100 + k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(50))) for k in range(40)]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
+    assert 99 <= sum(listed) <= 450
