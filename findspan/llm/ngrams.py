@@ -2,7 +2,7 @@
 
 The model is never gathered. Texts become chunks of about a million tokens. A chunk asks for its own n-grams: their
 hashes, sorted and cut into ranges, go to one task per range, which adds up the training counts of
-all chunks and answers each in the order it asked. With the answers a chunk builds the part of the
+all chunks and answers each in the order it asked. A few chunks ask together, so an n-gram that several of them have travels once. With the answers a chunk builds the part of the
 automaton that its texts can visit: states, the arcs that leave them, their failure arcs and weights. All texts of the chunk then go through
 it from left to right, each with its own state. Everything rests on the counts of the whole corpus, so neither
 chunks nor partitions change a score.
@@ -26,6 +26,8 @@ from findspan.llm.common import fold, mixed, saved, texts
 CHUNK_TOKENS = 1 << 20
 #: Hashes that one task adds up at a time, about.
 RANGE_KEYS = 1_000_000
+#: Chunks that ask together at most; a task holds the keys and counts of so many.
+TOGETHER = 6
 END = np.uint64(0x0123456789ABCDEF)
 #: Keys are 56 bits of a hash whose lowest two say the order.
 KEY_BITS = 56
@@ -108,10 +110,12 @@ class Grams:
     def __init__(self, held: list[bool], lengths: list[int], words: bytes, ids: bytes) -> None:
         self.lengths = np.asarray(lengths, np.int64)
         self.train = np.repeat(~np.asarray(held, bool), self.lengths)
-        self.at = [restored(ids, "<u4").astype(np.int64)]
+        at = restored(ids, "<u4").astype(np.int64)
         hashes = restored(words, "<u8")
-        self.keys = [keyed(hashes, 1)]
-        tokens = hashes[self.at[0]]
+        tokens = hashes[at]
+        codes, found = pd.factorize(keyed(hashes, 1))  # words whose keys are equal are one
+        self.at = [codes[at].astype(np.int64)]
+        self.keys = [np.asarray(found, np.uint64)]
         place = np.arange(len(tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         previous = tokens
         for order in (2, 3):
@@ -137,46 +141,70 @@ class Grams:
         return keys[order], order
 
 
-ASKED = "range long, chunk long, keys binary, counts binary"
+ASKED = "range long, chunks array<long>, keys binary, counts array<binary>"
 
 
 def questions(table: DataFrame, ranges: int) -> DataFrame:
-    """One row per chunk and range of keys: the chunk's keys in the range (as differences) and their training counts."""
+    """One row per few chunks and range of keys: the chunks, their distinct keys in the range (as differences), and for each of the chunks
+    one more than its training count of each key, 0 for a key that it doesn't have."""
+
+    def cut(keys: np.ndarray) -> dict[int, slice]:
+        number = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(keys)]])
+        return {int(number[start]): slice(start, end) for start, end in zip(cuts[:-1], cuts[1:], strict=True)}
+
+    def rows(several: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        parts = [cut(keys) for _, keys, _ in several]
+        columns: list[list] = [[], [], [], []]
+        for number in sorted(set().union(*parts)):
+            here = [(chunk, keys[part[number]], counts[part[number]]) for (chunk, keys, counts), part in zip(several, parts, strict=True) if number in part]
+            distinct = here[0][1] if len(here) == 1 else np.unique(np.concatenate([keys for _, keys, _ in here]))
+            marks = []
+            for _, keys, counts in here:
+                mark = np.zeros(len(distinct), np.uint32)
+                mark[np.searchsorted(distinct, keys)] = counts + np.uint32(1)
+                marks.append(squeezed(mark))
+            steps = squeezed(np.diff(distinct, prepend=np.uint64(0)))
+            for column, value in zip(columns, (number, [chunk for chunk, _, _ in here], steps, marks), strict=True):
+                column.append(value)
+        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "chunks", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several: list[tuple[int, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 grams = Grams(row["held"], row["lengths"], row["words"], row["ids"])
                 keys, order = grams.asked()
-                counts = np.concatenate([grams.counts(n) for n in (1, 2, 3)])[order].astype(np.uint32)
-                number = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)
-                cuts = np.flatnonzero(np.diff(number)) + 1
-                starts = np.concatenate([[0], cuts])
-                ends = np.concatenate([cuts, [len(keys)]])
-                columns: list[list] = [[], [], [], []]
-                for start, end in zip(starts, ends, strict=True):
-                    steps = np.diff(keys[start:end], prepend=np.uint64(0))
-                    for column, value in zip(columns, (int(number[start]), row["chunk"], squeezed(steps), squeezed(counts[start:end])), strict=True):
-                        column.append(value)
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "chunk", "keys", "counts"])
+                several.append((row["chunk"], keys, np.concatenate([grams.counts(n) for n in (1, 2, 3)])[order].astype(np.uint32)))
+                del grams, keys, order
+                if len(several) == TOGETHER:
+                    yield from rows(several)
+                    several = []
+        if several:
+            yield from rows(several)
 
     return table.mapInArrow(run, ASKED)
 
 
 def answer(asked: pd.DataFrame) -> pd.DataFrame:
     """Add up the counts of a range of keys over all chunks, and answer each chunk in the order it asked."""
-    asked = asked.sort_values("chunk")
     keys = [np.cumsum(restored(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
-    counts = np.concatenate([restored(c, "<u4") for c in asked["counts"]])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(at, weights=counts).astype(np.uint64)
+    places = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+    totals = np.zeros(len(distinct), np.uint64)
+    for place, marks in zip(places, asked["counts"], strict=True):
+        for mark in marks:
+            found = restored(mark, "<u4")
+            totals[place] += np.maximum(found, 1) - np.uint32(1)  # a row's keys are distinct
     known = int(((distinct & np.uint64(3)) == 1)[totals > 0].sum())
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    replies = [squeezed(part) for part in np.split(totals[at], cuts)]
-    first = [True] + [False] * (len(replies) - 1)
+    chunks, replies = [], []
+    for place, names, marks in zip(places, asked["chunks"], asked["counts"], strict=True):
+        own = totals[place]
+        chunks += [int(name) for name in names]
+        replies += [squeezed(own[restored(mark, "<u4") > 0]) for mark in marks]
     return pd.DataFrame({
-        "chunk": asked["chunk"], "range": asked["range"], "totals": replies, "words": [known if f else 0 for f in first],
+        "chunk": chunks, "range": int(asked["range"].iloc[0]), "totals": replies, "words": [known, *[0] * (len(replies) - 1)],
     })
 
 
@@ -271,8 +299,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         "answers",
     )
     words = answered.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    replies = answered.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "totals"))).alias("replies"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(batch.num_rows):
@@ -296,4 +322,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # A few chunks a task, however many there are.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // (4 * CHUNK_TOKENS) + 1)
     asked = table.select("chunk", "doc_ids", "held", "lengths", "words", "ids").repartition(parts, "chunk")
-    return asked.join(replies.repartition(parts, "chunk"), "chunk").drop("chunk").mapInArrow(run, SCORES)
+    # Dealt before they are grouped, so that answers travel once.
+    replies = answered.repartition(parts, "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "totals"))).alias("replies"))
+    return asked.join(replies, "chunk").drop("chunk").mapInArrow(run, SCORES)

@@ -161,3 +161,21 @@ def test_weights_are_sums_of_log_ratios():
     assert importance.best_cut(np.array([1.0, 2.0, 8.0, 9.0]), np.array([False, False, True, True])) == 5.0
     assert importance.best_cut(np.array([1.0, 2.0]), np.array([True, True])) == -np.inf
     assert float(ratios[found].sum()) == pytest.approx(sum(ratios[f] for f in found))
+
+
+def test_an_ngram_that_chunks_ask_together_travels_once(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "CHUNK_TOKENS", 300)
+    text = " ".join(f"w{k}" for k in range(299))
+    docs = spark.createDataFrame([(i, text) for i in range(8)], "doc_id long, text string").coalesce(1)
+    asked = ngrams.questions(ngrams.chunks(docs), 3).collect()
+    assert sorted({tuple(r.chunks) for r in asked}, key=len) == [(6, 7), (0, 1, 2, 3, 4, 5)]
+    assert sum(len(ngrams.restored(r["keys"], "<u8")) for r in asked) == 2 * (300 + 299 + 298)
+    # Every chunk gets an answer for each of its keys.
+    table = ngrams.questions(ngrams.chunks(docs), 3).toPandas()
+    answers = [ngrams.answer(part) for _, part in table.groupby("range")]
+    got = collections.Counter()
+    for part in answers:
+        for chunk, totals in zip(part["chunk"], part["totals"], strict=True):
+            got[chunk] += len(ngrams.restored(totals, "<u8"))
+    assert got == {k: 300 + 299 + 298 for k in range(8)}
+    assert sum(part["words"].sum() for part in answers) == 300
