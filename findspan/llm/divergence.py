@@ -3,7 +3,7 @@
 ``CountVectorizer`` learns the vocabulary: a token is the language and the term in one, so that one fit with ``minDF`` serves every
 language by itself, and ``vocabSize`` is the largest integer, so that no term is left out. Its model turns each document into an exact
 sparse vector. The vectors are summed per (language, source) within the tasks, as a summarizer does but in whole numbers, and
-then across them.
+then across them; sums travel as lists, one per source and block of terms.
 
 The model keeps its vocabulary on the driver and in every task. How many terms it will have is counted first, on one in ``COUNTED``
 terms by hash, and above ``BLOCK_TERMS`` the terms are fitted in as many blocks by hash, each in a pass of its own.
@@ -42,6 +42,8 @@ BLOCK_TERMS = 1_000_000
 COUNTED = 16
 #: Sources on a side of a tile, and terms.
 TILE_SOURCES, TILE_TERMS = 64, 2048
+#: Terms of a vocabulary whose sums for a source travel as one row.
+BLOCK_PLACES = 2048
 #: Entries that a task gathers before it adds them up, and sums it holds before it hands them on.
 _GATHERED, _HELD = 2_000_000, 1_000_000
 
@@ -74,8 +76,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sums(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse vectors of ``size`` terms added up per source, in whole numbers; a term belongs to one language. A source and a term may come
-    more than once."""
+    """Sparse vectors of ``size`` terms added up per source, in whole numbers; a term belongs to one language. A row has the sums of a source
+    in a block of terms; a source and a term may come more than once."""
     codes: dict[str, int] = {}
     keys, counts, gathered = [], [], 0
 
@@ -91,8 +93,15 @@ def _sums(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             sources = pa.array(codes, pa.string())
             for start in range(0, len(keys[0]), 100_000):
                 key, total = keys[0][start : start + 100_000], counts[0][start : start + 100_000]
-                columns = [sources.take(pa.array(key // size)), pa.array((key % size).astype(np.int32)), pa.array(total)]
-                yield pa.RecordBatch.from_arrays(columns, ["source", "place", "n"])
+                source, place = np.divmod(key, size)
+                block = place // BLOCK_PLACES
+                first = np.flatnonzero(np.diff(source, prepend=-1) | np.diff(block, prepend=-1))
+                offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+                columns = [
+                    sources.take(pa.array(source[first])), pa.array(block[first].astype(np.int32)),
+                    pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(total)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["source", "block", "places", "counts"])
         keys, counts = [], []
         codes.clear()
 
@@ -112,13 +121,35 @@ def _sums(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield from out()
 
 
-def _named(names: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums with the language and the term of each place in the vocabulary."""
+def _added(names: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all tasks, sorted by source and block, added up: each source and term once, with the language and the term of its place."""
     split = [token.rsplit("\n", 1) for token in names.value]
     langs, terms = (pa.array([t[i] for t in split], pa.string()) for i in (0, 1))
+
+    def added(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        source = rows["source"].combine_chunks().dictionary_encode()
+        places = rows["places"].combine_chunks()
+        code = np.repeat(source.indices.to_numpy().astype(np.int64), pc.list_value_length(places).to_numpy())
+        key, where = np.unique(code * len(split) + places.flatten().to_numpy(), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, where, rows["counts"].combine_chunks().flatten().to_numpy())
+        for start in range(0, len(key), 100_000):
+            code, place = (pa.array(x) for x in np.divmod(key[start : start + 100_000], len(split)))
+            columns = [langs.take(place), source.dictionary.take(code), terms.take(place), pa.array(total[start : start + 100_000])]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n"])
+
+    held = None  # the rows of the last source and block, which may go on in the next batch
     for batch in batches:
-        place = batch.column(1)
-        yield pa.RecordBatch.from_arrays([langs.take(place), batch.column(0), terms.take(place), batch.column(2)], ["lang", "source", "term", "n"])
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not len(rows):
+            continue
+        last = pc.and_(pc.equal(rows["source"], rows["source"][-1]), pc.equal(rows["block"], rows["block"][-1]))
+        whole = pc.index(last, True).as_py()
+        held = rows.slice(whole)
+        if whole:
+            yield from added(rows.slice(0, whole))
+    if held is not None:
+        yield from added(held)
 
 
 def group_sums(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = MIN_DOCUMENTS, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
@@ -144,9 +175,9 @@ def group_sums(docs: DataFrame, lang: str = "lang", source: str = "source", text
             continue
         names = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
         vectors = model.setInputCol("all").transform(tokens.select("source", F.concat(mine("once"), mine("more")).alias("all")))
-        part = vectors.select("source", "counts").mapInArrow(partial(_sums, len(names.value)), "source string, place int, n long")
-        part = part.groupBy("source", "place").agg(F.sum("n").alias("n"))
-        sums.append(saved(part.mapInArrow(partial(_named, names), "lang string, source string, term string, n long"), "sums"))
+        part = vectors.select("source", "counts").mapInArrow(partial(_sums, len(names.value)), "source string, block int, places array<int>, counts array<long>")
+        part = part.repartition("source", "block").sortWithinPartitions("source", "block")
+        sums.append(saved(part.mapInArrow(partial(_added, names), "lang string, source string, term string, n long"), "sums"))
     nothing = groups.limit(0).select("lang", "source", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"))
     return groups, reduce(DataFrame.unionByName, sums) if sums else nothing
 
