@@ -1,12 +1,14 @@
 """How far the sources of a language differ in their words.
 
-``CountVectorizer`` learns the vocabulary: a token is the language and the term in one, so that one fit with ``minDF`` serves every
-language by itself, and ``vocabSize`` is the largest integer, so that no term is left out. Its model turns each document into an exact
-sparse vector. The vectors are summed per (language, source) within the tasks, as a summarizer does but in whole numbers, and
-then across them.
+A token is the language and the term in one, so that one vocabulary serves every language by itself. A task first puts its documents
+together: it hands on each token once with its number of documents, and per (language, source) and binary digit of the numbers of
+occurrences the tokens that have the digit. Numbers of documents are added up and tokens of too few documents go, before
+``CountVectorizer`` learns the vocabulary of the others; ``vocabSize`` is the largest integer, so that no term is left out. Its model
+turns the lists of tokens into exact sparse vectors, far fewer and shorter than one per document. The vectors, times what their
+digits are worth, are summed per (language, source) within the tasks, as a summarizer does but in whole numbers, and then across them.
 
-The model keeps its vocabulary on the driver and in every task. How many terms it will have is counted first, on one in ``COUNTED``
-terms by hash, and above ``BLOCK_TERMS`` the terms are fitted in as many blocks by hash, each in a pass of its own.
+The model keeps its vocabulary on the driver and in every task. Above ``BLOCK_TERMS`` the kept terms are fitted in as many blocks by
+hash, each in a pass of its own.
 
 Pairs of sources are evaluated in tiles: some sources against some sources over the terms of one hash block that any of them
 has; a tile gives one sum per pair. Terms that no source of a tile has differ by the shares of unseen terms, which
@@ -16,9 +18,9 @@ are one number per source.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,78 +40,129 @@ UNIT, EXTRA = 1_000_000_000, 5
 TOP = 50
 #: Terms of a vocabulary that the driver and the tasks hold at a time.
 BLOCK_TERMS = 1_000_000
-#: One in so many terms is counted to tell the number of blocks; below so many terms that is no more than one block anyway.
-COUNTED = 16
 #: Sources on a side of a tile, and terms.
 TILE_SOURCES, TILE_TERMS = 64, 2048
+#: Tokens of a list at most.
+LIST_TOKENS = 2048
 #: Entries that a task gathers before it adds them up, and sums it holds before it hands them on.
 _GATHERED, _HELD = 2_000_000, 1_000_000
+#: A-Z lower-cased and a space for what no term has, in UTF-8; ``bytes.split`` then cuts at these spaces alone.
+_FOLDED = bytes(c if c > 127 else ord(chr(c).lower()) if re.fullmatch(TERM, chr(c)) else 32 for c in range(256))
+#: The term's part of a key.
+_LOW = 2**32 - 1
+_COMBINED = pa.schema([
+    ("lang", pa.string()), ("source", pa.string()), ("weight", pa.int64()), ("counted", pa.list_(pa.string())),
+    ("seen", pa.list_(pa.string())), ("documents", pa.list_(pa.int64())),
+])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Language, source and the tokens (language, line feed, term) of each document: every one once, and its further occurrences."""
-    term = re.compile(TERM)
+class _Places(dict):
+    """Numbers of keys, in the order in which they come."""
 
-    def listed(flat: pa.Array, sizes: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+    def __missing__(self, key: object) -> int:
+        self[key] = place = len(self)
+        return place
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, every one once, and the sums of their counts, in whole numbers."""
+    key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(count[order], first) if len(key) else count
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a task put together, in fewer lists of tokens (language, line feed, term).
+
+    Lists of ``seen`` have every token once, and ``documents`` how many documents have it. Lists of ``counted`` have the tokens whose number
+    of occurrences in (lang, source) has the binary digit ``weight``. Every (lang, source) also has a row without lists.
+    """
+    terms, langs, groups = _Places(), _Places(), _Places()
+    own, seen, gathered = [], [], 0  # keys and counts: occurrences of (group, term), documents of (language, term)
+
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(field.name, pa.nulls(size, field.type)) for field in _COMBINED], schema=_COMBINED)
+
+    def listed(head: np.ndarray, *flat: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """Lists of the entries of equal head, long ones in pieces, and where each begins."""
+        first = np.union1d(np.flatnonzero(np.diff(head, prepend=-1)), np.arange(0, len(head), LIST_TOKENS))
+        offsets = pa.array(np.append(first, len(head)).astype(np.int32))
+        return first, [pa.ListArray.from_arrays(offsets, x) for x in flat]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        names, words = pa.array(langs, pa.string()), pa.array(list(terms), pa.binary()).cast(pa.string())
+        group_lang, group_source = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+        yield rows(len(groups), lang=group_lang, source=group_source)
+
+        key, count = _added(own)
+        group = key >> 32
+        tokens = pc.binary_join_element_wise(group_lang.take(pa.array(group)), words.take(pa.array(key & _LOW)), "\n")
+        for digit in range(int(count.max(initial=0)).bit_length()):
+            mine = np.flatnonzero(count >> digit & 1)
+            first, (lists,) = listed(group[mine], tokens.take(pa.array(mine)))
+            of = pa.array(group[mine[first]])
+            yield rows(len(first), lang=group_lang.take(of), source=group_source.take(of), weight=pa.array(np.full(len(first), 1 << digit)), counted=lists)
+
+        key, count = _added(seen)
+        lang = key >> 32
+        tokens = pc.binary_join_element_wise(names.take(pa.array(lang)), words.take(pa.array(key & _LOW)), "\n")
+        first, (lists, documents) = listed(lang, tokens, pa.array(count))
+        yield rows(len(first), seen=lists, documents=documents)
 
     for batch in batches:
         for start in range(0, batch.num_rows, 200):
             part = batch.slice(start, 200)
-            flat: list[str] = []
-            counts: list[int] = []
-            sizes = []
-            for text in part.column(2).to_pylist():
-                found = Counter(term.findall(text.encode().lower().decode()))  # on bytes only A-Z change
-                flat += found
-                counts += found.values()
-                sizes.append(len(found))
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            once = pc.binary_join_element_wise(part.column(0).take(pa.array(of)), pa.array(flat, pa.string()), "\n")
-            again = np.array(counts, dtype=np.int64) - 1
-            more = once.take(pa.array(np.repeat(np.arange(len(flat)), again)))
-            extra = np.bincount(of, again, len(sizes)).astype(np.int64)
-            columns = [part.column(0), part.column(1), listed(once, np.array(sizes, dtype=np.int64)), listed(more, extra)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "once", "more"])
+            found = [text.translate(_FOLDED).split() for text in part.column(2).cast(pa.binary()).to_pylist()]
+            word = np.fromiter(map(terms.__getitem__, chain.from_iterable(found)), np.int64)
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            key, count = np.unique(of << 32 | word, return_counts=True)
+            of, word = key >> 32, key & _LOW
+            lang, source = part.column(0).to_pylist(), part.column(1).to_pylist()
+            own.append((np.array([groups[x] for x in zip(lang, source, strict=True)])[of] << 32 | word, count))
+            seen.append((np.array([langs[x] for x in lang])[of] << 32 | word, np.ones(len(key), np.int64)))
+            gathered += len(key)
+            if gathered > _GATHERED:
+                own, seen, gathered = [_added(own)], [_added(seen)], 0
+                if max(len(own[0][0]), len(terms)) > _HELD:
+                    yield from out()
+                    own, seen = [], []
+                    terms.clear(), langs.clear(), groups.clear()
+    if own:
+        yield from out()
 
 
 def _sums(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse vectors of ``size`` terms added up per source, in whole numbers; a term belongs to one language. A source and a term may come
-    more than once."""
-    codes: dict[str, int] = {}
-    keys, counts, gathered = [], [], 0
-
-    def added() -> None:
-        nonlocal keys, counts, gathered
-        if keys:
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            keys, counts, gathered = [key], [np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)], 0
+    """Sparse vectors of ``size`` terms, so many times each as its weight says, added up per source, in whole numbers; a term belongs to
+    one language. A source and a term may come more than once."""
+    codes = _Places()
+    parts, gathered = [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        nonlocal keys, counts
-        if keys:
-            sources = pa.array(codes, pa.string())
-            for start in range(0, len(keys[0]), 100_000):
-                key, total = keys[0][start : start + 100_000], counts[0][start : start + 100_000]
-                columns = [sources.take(pa.array(key // size)), pa.array((key % size).astype(np.int32)), pa.array(total)]
-                yield pa.RecordBatch.from_arrays(columns, ["source", "place", "n"])
-        keys, counts = [], []
-        codes.clear()
+        keys, counts = _added(parts)
+        sources = pa.array(codes, pa.string())
+        for start in range(0, len(keys), 100_000):
+            key, total = keys[start : start + 100_000], counts[start : start + 100_000]
+            columns = [sources.take(pa.array(key // size)), pa.array((key % size).astype(np.int32)), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, ["source", "place", "n"])
 
     for batch in batches:
-        vectors = batch.column(1)
+        vectors = batch.column(2)
         indices, values = vectors.field("indices"), vectors.field("values")
-        group = np.array([codes.setdefault(s, len(codes)) for s in batch.column(0).to_pylist()], dtype=np.int64)
+        group = np.array([codes[s] for s in batch.column(0).to_pylist()], dtype=np.int64)
         lengths = np.diff(indices.offsets.to_numpy())
-        keys.append(np.repeat(group, lengths) * size + indices.flatten().to_numpy().astype(np.int64))
-        counts.append(values.flatten().to_numpy())
-        gathered += len(keys[-1])
+        times = np.repeat(batch.column(1).to_numpy(), lengths)
+        parts.append((np.repeat(group, lengths) * size + indices.flatten().to_numpy(), values.flatten().to_numpy().astype(np.int64) * times))
+        gathered += len(times)
         if gathered > _GATHERED:
-            added()
-            if len(keys[0]) > _HELD:
+            parts, gathered = [_added(parts)], 0
+            if len(parts[0][0]) > _HELD:
                 yield from out()
-    added()
-    yield from out()
+                parts = []
+                codes.clear()
+    if parts:
+        yield from out()
 
 
 def _named(names: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,27 +178,30 @@ def group_sums(docs: DataFrame, lang: str = "lang", source: str = "source", text
     """All groups (lang, source), and the sums (lang, source, term, n) of their documents' vectors over the kept terms."""
     empty = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     rows = docs.select(empty(lang, "lang"), empty(source, "source"), empty(text, "text"))
-    tokens = saved(rows.mapInArrow(_tokens, "lang string, source string, once array<string>, more array<string>"), "tokens")
-    groups = tokens.select("lang", "source").distinct()
-    counted = F.filter(F.transform("once", lambda t: F.xxhash64(t)), lambda h: F.pmod(h, F.lit(COUNTED)) == 0)
-    some = tokens.select(F.explode(counted).alias("h")).groupBy("h").count().filter(F.col("count") >= least).count()
-    blocks = max(1, -(-some * COUNTED // block_terms))
+    kinds = "lang string, source string, weight long, counted array<string>, seen array<string>, documents array<long>"
+    tokens = saved(rows.mapInArrow(_combined, kinds), "tokens")
+    groups = tokens.filter("source IS NOT NULL").select("lang", "source").distinct()
+    # A task has a token or a sum about once, so they are dealt out before they are added up.
+    seen = tokens.filter("seen IS NOT NULL").select(F.inline(F.arrays_zip("seen", "documents"))).repartition("seen")
+    kept = saved(seen.groupBy("seen").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= least).select("seen"), "kept")
+    blocks = max(1, -(-kept.count() // block_terms))
     sums = []
     for block in range(blocks):
-        def mine(name: str, block: int = block) -> Column:
-            if blocks == 1:
-                return F.col(name)
-            return F.filter(name, lambda t: F.pmod(F.shiftright(F.xxhash64(t), 8), F.lit(blocks)) == block)
+        def mine(token: Column, block: int = block) -> Column:
+            return F.pmod(F.shiftright(F.xxhash64(token), 8), F.lit(blocks)) == block
 
-        model = CountVectorizer(inputCol="once", outputCol="counts", minDF=float(least), vocabSize=ALL_TERMS)
+        model = CountVectorizer(inputCol="seen", outputCol="counts", minDF=1.0, vocabSize=ALL_TERMS)
         try:
-            model = model.fit(tokens.select(mine("once").alias("once")))
+            model = model.fit(kept.filter(mine(F.col("seen"))).select(F.array("seen").alias("seen")))
         except IllegalArgumentException:  # it refuses an empty vocabulary
             continue
         names = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
-        vectors = model.setInputCol("all").transform(tokens.select("source", F.concat(mine("once"), mine("more")).alias("all")))
-        part = vectors.select("source", "counts").mapInArrow(partial(_sums, len(names.value)), "source string, place int, n long")
-        part = part.groupBy("source", "place").agg(F.sum("n").alias("n"))
+        counted = tokens.filter("counted IS NOT NULL").select("source", "weight", "counted")
+        if blocks > 1:
+            counted = counted.withColumn("counted", F.filter("counted", lambda token: mine(token)))  # noqa: B023 - used at once
+        vectors = model.setInputCol("counted").transform(counted)
+        part = vectors.select("source", "weight", "counts").mapInArrow(partial(_sums, len(names.value)), "source string, place int, n long")
+        part = part.repartition("source", "place").groupBy("source", "place").agg(F.sum("n").alias("n"))
         sums.append(saved(part.mapInArrow(partial(_named, names), "lang string, source string, term string, n long"), "sums"))
     nothing = groups.limit(0).select("lang", "source", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"))
     return groups, reduce(DataFrame.unionByName, sums) if sums else nothing

@@ -4,6 +4,8 @@ import collections
 import random
 import re
 
+import pyarrow as pa
+
 from findspan.llm import divergence
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,3 +75,48 @@ def test_empty_and_clashing_tables(spark):
     assert sorted(map(tuple, divergence.divergence(more, least=3).collect())) == sorted(map(tuple, divergence.divergence(docs, least=3).collect()))
     nothing = divergence.divergence(docs, least=1000).collect()
     assert nothing and all(r.part == "pair" and r.value == 0 for r in nothing)
+
+
+def test_fit_and_model_get_fewer_tokens_than_occur(spark, monkeypatch):
+    """A task hands on a token once, and once per group and binary digit of its occurrences."""
+    kept = {}
+    saved = divergence.saved
+    monkeypatch.setattr(divergence, "saved", lambda df, purpose: kept.setdefault(purpose, saved(df, purpose)))
+    rows = [(i, "Alpha beta " * 100 + f"gamma x{chr(97 + i % 26)}y", "en", f"s{i % 2}") for i in range(500)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    divergence.group_sums(docs, least=10)
+    lists = [c for c, kind in kept["tokens"].dtypes if kind == "array<string>"]
+    handed = sum(len(r[c] or ()) for r in kept["tokens"].collect() for c in lists)
+    assert 0 < handed < 200  # of 101,000 occurrences in 2,000 pairs of document and term
+    assert sorted(tuple(r) for r in divergence.divergence(docs, least=10).collect()) == plain(rows, 10)
+
+
+def test_combined_documents_keep_all_counts(monkeypatch):
+    monkeypatch.setattr(divergence, "LIST_TOKENS", 7)
+    rng = random.Random(5)
+    words = [f"w{a}{b}" for a in "abcdefgé" for b in "xyz"]
+    rows = [(rng.choice(("en", "de")), rng.choice("st"), " ".join(rng.choices(words, k=rng.randrange(300)))) for _ in range(900)] + [("none", "", "")]
+    want, want_documents = collections.Counter(), collections.Counter()
+    for lang, source, text in rows:
+        want.update((lang, source, f"{lang}\n{w}") for w in text.split())
+        want_documents.update({f"{lang}\n{w}" for w in text.split()})
+    table = pa.table(dict(zip(("lang", "source", "text"), zip(*rows, strict=True), strict=True)))
+    for gathered, held in ((2_000_000, 1_000_000), (5_000, 10), (5_000, 1_000_000)):  # the task hands on at the end, often, or adds up often
+        monkeypatch.setattr(divergence, "_GATHERED", gathered)
+        monkeypatch.setattr(divergence, "_HELD", held)
+        got, documents, groups = collections.Counter(), collections.Counter(), set()
+        for r in pa.Table.from_batches(divergence._combined(iter(table.to_batches(250)))).to_pylist():
+            if r["source"] is not None:
+                groups.add((r["lang"], r["source"]))
+            for token in r["counted"] or ():
+                got[r["lang"], r["source"], token] += r["weight"]
+            for token, n in zip(r["seen"] or (), r["documents"] or (), strict=True):
+                documents[token] += n
+        assert got == want and documents == want_documents and groups == {r[:2] for r in rows}
+
+
+def test_terms_are_cut_as_the_pattern_cuts_them():
+    text = "".join(map(chr, range(0x300))) + "Ä\u00a0B\u2003c\u2028D\u0085e K\u212a ıİ 日本😀x"
+    table = pa.table({"lang": ["l"], "source": ["s"], "text": [text]})
+    got = [t for r in pa.Table.from_batches(divergence._combined(iter(table.to_batches()))).to_pylist() for t in r["seen"] or ()]
+    assert sorted(got) == sorted({f"l\n{t}" for t in re.findall(divergence.TERM, text.translate(LOW))})
