@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import errno
 import itertools
 import os
 import re
-from collections.abc import Iterable, Sequence
+import zlib
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import partial
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,7 @@ from pyspark.sql.types import StructType
 from findspan.functions.text import glob_regex
 from findspan.operators.rules import severity_label
 from findspan.operators.versions import latest_per_key
+from findspan.session import work_dir
 
 # What is linted by default.
 INCLUDE = ("**/*.{ts,tsx,js,jsx}",)
@@ -107,6 +112,127 @@ def write_folders(df: DataFrame, folder: str, columns: Sequence[str], text: str
     rows.foreachPartition(partial(_write_part, local[1], list(columns), text))
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+#: Entries after which a listing task leaves the folders it has met to the next round; files and bytes of a reading task; bytes of its batches.
+_ENTRIES, _TASK_FILES, _TASK_BYTES, _BATCH_BYTES = 2_000, 10_000, 64 << 20, 8 << 20
+_LISTED = {"place": pa.binary(), "folder": pa.bool_(), "bytes": pa.int64(), "modified": pa.int64()}
+_LISTED_SCHEMA = "place binary, folder boolean, bytes long, modified long"
+
+
+def _passed_over(name: bytes, folder: bool) -> bool:
+    """Whether Spark's readers pass over a name."""
+    hidden = name.startswith(b".") or name.endswith(b"._COPYING_") or name.startswith(b"_") and b"=" not in name
+    return hidden and not (folder and name.startswith((b"_metadata", b"_common_metadata")))
+
+
+def _entries(root: bytes, given: Iterable[bytes]) -> Iterator[tuple[bytes, bool, int, int]]:
+    """Files below the given folders, and the folders that are left to list once ``_ENTRIES`` entries have been seen."""
+    seen = 0
+    for first in given:
+        waiting = deque([first])
+        while waiting:
+            place = waiting.popleft()
+            if place is not first and seen >= _ENTRIES:
+                yield place, True, 0, 0
+                continue
+            with os.scandir(os.path.join(root, place)) as entries:
+                for entry in entries:
+                    seen += 1
+                    try:
+                        folder = entry.is_dir()
+                        status = None if folder else entry.stat()
+                    except OSError as e:  # a link to nowhere or a file that has gone
+                        if e.errno in (errno.ENOENT, errno.ELOOP):
+                            continue
+                        raise
+                    if _passed_over(entry.name, folder):
+                        continue
+                    inner = os.path.join(place, entry.name)
+                    if status is not None:
+                        if status.st_size > 0:  # Spark's reader has no row for an empty file
+                            yield inner, False, status.st_size, status.st_mtime_ns // 1_000_000 * 1000
+                    elif seen < _ENTRIES:
+                        waiting.append(inner)
+                    else:
+                        yield inner, True, 0, 0
+
+
+def _list_folders(root: bytes, folders: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the folders of one task hold, as rows of ``_LISTED``."""
+    found = _entries(root, (place for batch in folders for place in batch.column(0).to_pylist()))
+    while some := list(itertools.islice(found, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _LISTED.values())], list(_LISTED))
+
+
+def _listing(spark: SparkSession, root: bytes, file_glob: str | None) -> DataFrame:
+    """The files below a folder: ``place`` (the path from there), ``bytes`` and ``modified`` (microseconds).
+
+    Tasks list the folders, round by round, and write what they find, so that the driver has no entry per file or folder.
+    """
+    wanted = F.lit(True)
+    if file_glob:
+        pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern(file_glob).compiled().pattern()
+        wanted = F.col("folder") | F.regexp_extract(F.col("place").cast("string"), r"([^/]*)\z", 1).rlike(rf"\A(?s:{pattern})\z")
+    # A name that readers pass over, in case the shared folder is within the corpus.
+    where, rounds = work_dir(spark, ".listing"), []
+    folders = spark.range(0, 1, 1, 1).select(F.lit("").cast("binary").alias("place"))
+    while not rounds or not folders.isEmpty():
+        dealt = folders.repartition(4 * spark.sparkContext.defaultParallelism, "place") if rounds else folders
+        rounds.append(f"{where}/{len(rounds)}")
+        dealt.mapInArrow(partial(_list_folders, root), _LISTED_SCHEMA).filter(wanted).write.parquet(rounds[-1])
+        folders = spark.read.schema(_LISTED_SCHEMA).parquet(rounds[-1]).filter("folder").select("place")
+    return spark.read.schema(_LISTED_SCHEMA).parquet(*rounds).filter("NOT folder").drop("folder")
+
+
+def _checked(path: bytes) -> bytes:
+    """The content of a file; as in Spark's reader, an error if it differs from the checksums that Hadoop's writers put beside a local file."""
+    with open(path, "rb") as file:
+        content = file.read()
+    folder, name = os.path.split(path)
+    try:
+        with open(os.path.join(folder, b"." + name + b".crc"), "rb") as file:
+            kept = file.read()
+    except OSError:
+        return content
+    width = int.from_bytes(kept[4:8], "big")
+    if kept[:4] == b"crc\0" and width > 0:
+        if kept[8:] != b"".join(zlib.crc32(content[at : at + width]).to_bytes(4, "big") for at in range(0, len(content), width)):
+            raise OSError(f"checksum error: {os.fsdecode(path)}")
+    return content
+
+
+def _contents(root: bytes) -> Callable[[Column], Column]:
+    """A function that gives the content of a file below a folder."""
+
+    @F.arrow_udf("binary")
+    def contents(places: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in places:
+            held, size = [], 0
+            for place in batch.to_pylist():
+                held.append(_checked(os.path.join(root, place)))
+                size += len(held[-1])
+                if size >= _BATCH_BYTES:
+                    yield pa.array(held, pa.binary())
+                    held, size = [], 0
+            if held:
+                yield pa.array(held, pa.binary())
+
+    return contents
+
+
+def _local_folder(spark: SparkSession, path: str) -> bytes | None:
+    """A folder of a local or mounted file system as tasks open it; None for any other path."""
+    if re.search(r"[{}\[\]*?\\]", path):  # Spark takes it for a pattern
+        return None
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = system.makeQualified(there).toUri()
+    if place.getScheme() != "file" or not system.exists(there) or not system.getFileStatus(there).isDirectory():
+        return None
+    return os.fsencode(place.getPath())
+
+
 def scan_corpus(
     spark: SparkSession,
     path: str,
@@ -119,42 +245,56 @@ def scan_corpus(
     """Files below a folder: relative ``path``, ``bytes``, ``modified`` and ``text``.
 
     Globs and ``ignore`` rules (see :func:`ignored`) apply to the path and ``max_kb`` to the size in whole KB. All are filters on file
-    metadata, so Spark drops other files while it plans the scan and never opens them;
+    metadata, so other files are never opened, and no file is where ``text`` is not used;
     ``file_glob`` already prunes the listing. ``INCLUDE`` and ``EXCLUDE`` are the usual globs for
     source code. The folder is an absolute path or a URI.
+
+    The files are those that Spark's readers see: empty files and names that begin with ``.`` or ``_`` are left out. On a local or
+    mounted file system tasks list the folders and open the files; what they have listed is a table in the shared folder. Elsewhere
+    Spark's reader is used, which keeps an entry per file and folder on the driver.
     """
+    if not re.sub(_SCHEME, "", path).startswith("/"):
+        raise ValueError("the corpus folder must be an absolute path or a URI")
+    root = _local_folder(spark, path)
+    if root is not None:
+        files = _listing(spark, root, file_glob)
+        inside, size, modified = F.make_valid_utf8(F.col("place").cast("string")), F.col("bytes"), F.timestamp_micros("modified")
+        content = _contents(root)(F.col("place"))
+    else:
+        files, inside = _spark_files(spark, path, file_glob)
+        size, modified, content = F.col("_metadata.file_size"), F.col("modificationTime"), F.col("content")
+    if include:
+        files = files.filter(inside.rlike(glob_regex(include)))
+    if exclude:
+        files = files.filter(~inside.rlike(glob_regex(exclude)))
+    if ignore:
+        files = files.filter(~ignored(inside, ignore))
+    if max_kb is not None:
+        files = files.filter(size < (max_kb + 1) * 1024)
+    if root is not None:
+        count, total = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        tasks = max(1, min(count, spark.sparkContext.defaultParallelism), count // _TASK_FILES, total // _TASK_BYTES)
+        files = files.repartition(tasks, "place")
+    return files.select(inside.alias("path"), size.alias("bytes"), modified.alias("modified"), F.decode(content, "UTF-8").alias("text"))
+
+
+def _spark_files(spark: SparkSession, path: str, file_glob: str | None) -> tuple[DataFrame, Column]:
+    """The files below a folder by Spark's own reader, and their path from there."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     # The scan reports escaped absolute URIs; what follows the root is the path within the corpus.
-    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-    root = "/" + re.sub(scheme, "", path).strip("/") + "/"
-    if not re.sub(scheme, "", path).startswith("/"):
-        raise ValueError("the corpus folder must be an absolute path or a URI")
+    root = "/" + re.sub(_SCHEME, "", path).strip("/") + "/"
     whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    inside = F.substring(F.regexp_replace(whole, scheme, ""), F.lit(len(root) + 1), F.lit(1 << 30))
+    inside = F.substring(F.regexp_replace(whole, _SCHEME, ""), F.lit(len(root) + 1), F.lit(1 << 30))
     # Spark lists folders in tasks of one folder each, up to 10,000 at a time; a few folders a task cost far less.
     width = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(width)
     spark.conf.set(width, min(int(before), 4 * spark.sparkContext.defaultParallelism))
     try:
-        files = reader.load(path)
+        return reader.load(path), inside
     finally:
         spark.conf.set(width, before)
-    if include:
-        files = files.filter(inside.rlike(glob_regex(include)))
-    if exclude:
-        files = files.filter(~inside.rlike(glob_regex(exclude)))
-    if ignore:
-        files = files.filter(~ignored(inside, ignore))
-    if max_kb is not None:
-        files = files.filter(F.col("_metadata.file_size") < (max_kb + 1) * 1024)
-    return files.select(
-        inside.alias("path"),
-        F.col("length").alias("bytes"),
-        F.col("modificationTime").alias("modified"),
-        F.decode("content", "UTF-8").alias("text"),
-    )
 
 
 #: How the entry of a file begins in a report that linters write without extra white space.

@@ -73,6 +73,74 @@ def test_a_listing_task_takes_many_folders(spark, tmp_path):
     assert found.count() == 200
 
 
+def test_the_driver_has_no_entry_per_file_of_a_corpus(spark, tmp_path, monkeypatch):
+    """Tasks list the folders, in rounds where a task has seen enough, and the plan names no file of the corpus."""
+    from findspan.sources import files
+
+    monkeypatch.setattr(files, "_ENTRIES", 20)
+    for i in range(150):
+        folder = tmp_path / "top" / f"d{i % 10}" / f"e{i}" / "f"
+        folder.mkdir(parents=True)
+        (folder / "a.ts").write_text(f"text {i}")
+    found = fs.scan_corpus(spark, str(tmp_path), ["**/*.ts"])
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert rows(found, "path", "text") == sorted([(f"top/d{i % 10}/e{i}/f/a.ts", f"text {i}") for i in range(150)], key=repr)
+
+
+def test_listed_files_are_those_of_sparks_reader(spark, tmp_path):
+    root = tmp_path / "corpus"
+    names = ["a.ts", "b.js", "empty.ts", ".hidden.ts", "_under.ts", "_k=v.ts", "meta/_metadata", "x._COPYING_", "_SUCCESS", "sp ace/[1]{2}.ts", "_skip/a.ts",
+             ".git/a.ts", "_p=1/a.ts", "_metadata/in.ts", "deep/er/_down/a.ts", "deep/er/c;d.ts", "deep/er/q?.ts", "50%/%20+&.ts"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if name == "empty.ts" else f"{name} \u00e9\r\n".encode())
+    (tmp_path / "beside").mkdir()
+    (tmp_path / "beside" / "linked.ts").write_text("linked")
+    (root / "link").symlink_to(tmp_path / "beside")
+    (root / "nowhere").symlink_to(tmp_path / "missing")
+
+    def compared(path, glob=None):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        theirs = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+        own = fs.scan_corpus(spark, path, file_glob=glob)
+        assert own.schema.simpleString() == "struct<path:string,bytes:bigint,modified:timestamp,text:string>"
+        seen = rows(theirs.select("length", "modificationTime", F.decode("content", "UTF-8").alias("text")), "length", "modificationTime", "text")
+        assert rows(own, "bytes", "modified", "text") == seen
+        return {r.path for r in own.collect()}
+
+    assert compared(str(root)) == {
+        "a.ts", "b.js", "_k=v.ts", "sp ace/[1]{2}.ts", "_p=1/a.ts", "_metadata/in.ts", "deep/er/c;d.ts", "deep/er/q?.ts", "50%/%20+&.ts", "link/linked.ts"}
+    assert compared(f"file:{root}", "*[a-c].{js,ts}") == {"a.ts", "b.js", "_p=1/a.ts"}
+    assert compared(str(root / "a.ts")) == {""}  # a file, and a pattern, go through Spark's reader
+    assert len(compared(f"{tmp_path}/co*/dee[p]")) == 2
+    (tmp_path / "none").mkdir()
+    assert compared(str(tmp_path / "none")) == set()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        fs.scan_corpus(spark, str(tmp_path / "missing"))
+
+
+def test_long_files_of_a_corpus_come_in_batches_of_few(spark, tmp_path, monkeypatch):
+    from findspan.sources import files
+
+    monkeypatch.setattr(files, "_BATCH_BYTES", 100)
+    for i in range(50):
+        (tmp_path / f"{i}.ts").write_text(str(i) * 60)
+    (tmp_path / "bad.ts").write_text("x")
+    spark.range(5000).select(F.repeat(F.lit("z"), 7).alias("text")).coalesce(1).write.text(str(tmp_path / "w"))  # with checksums beside it
+    found = fs.scan_corpus(spark, str(tmp_path))
+    assert rows(found.filter("bytes BETWEEN 60 AND 120"), "path", "text") == sorted([(f"{i}.ts", str(i) * 60) for i in range(50)], key=repr)
+    (written,) = (tmp_path / "w").glob("*.txt")
+    assert found.filter("bytes = 40000").first().text == "zzzzzzz\n" * 5000
+    written.write_bytes(b"y" + written.read_bytes()[1:])
+    with pytest.raises(Exception, match="checksum error"):
+        found.filter("bytes = 40000").collect()
+    (tmp_path / "bad.ts").unlink()
+    assert found.select("path").count() == 52  # no file is opened where its text is not used
+    assert "ArrowEvalPython" not in found.select("path", "bytes")._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="bad.ts"):
+        found.filter("bytes = 1").collect()
+
+
 def test_ignore_rules(spark):
     from findspan.sources.files import ignored
 
